@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, exact_dedup, packing, pii, token_count, toxicity
+from rankweave.llm import bpe, exact_dedup, fingerprint, packing, pii, token_count, toxicity
 from rankweave.llm.scratch import documents, fold, text_of
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs)).drop("text")
     of = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *of, F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

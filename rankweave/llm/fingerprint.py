@@ -38,6 +38,7 @@ from rankweave.llm.scratch import text_of
 PERIOD = 1 << 12
 SAMPLES, WINDOW, FIRST = 64, 3, 6  # the first octave is the steps below 2**FIRST
 CHUNK_CHARS = 1 << 21
+FEW = 40  # so many long texts are walked one by one
 CHANCE = 1 / 16
 
 
@@ -52,7 +53,7 @@ def _walk() -> np.ndarray:
     for j in range(2 * PERIOD - 1, -1, -1):
         until = np.where(twice[:, j] == 1, j, until)
         stay[:, j] = until - j + 1
-    return np.ascontiguousarray(stay[:, :PERIOD]).ravel()
+    return np.minimum(stay[:, :PERIOD], 255).astype(np.uint8).ravel()
 
 
 def octaves(steps: int) -> list[tuple[int, int]]:
@@ -93,20 +94,35 @@ def _embed_batch(codes: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     for j in range(1, WINDOW):
         rolling = rolling * np.uint32(0x85EBCA6B) ^ mixed[:, j : width + j] >> np.uint32(5)
     symbol = ((rolling * np.uint32(0xC2B2AE35)) >> np.uint32(28)).astype(np.uint8)
-    offset = np.ascontiguousarray(kind[:, :width].T) * np.int32(PERIOD)
+    offset = kind[:, :width] * np.int32(PERIOD)
     walk, at = _walk(), np.zeros(k, np.int32)
-    path = np.empty((width, k), np.int32)
-    active = np.searchsorted(-n, -np.arange(1, width + 1), side="right")
-    for i in range(width):
-        a = active[i]
-        now = at[:a]
-        path[i, :a] = now
-        now += walk.take(offset[i, :a] + (now & np.int32(PERIOD - 1)))
+    # step by step while many texts go on, then each of the few long ones by itself
+    joint = int(n[FEW - 1]) if k >= FEW else 0
+    path = np.empty((joint, k), np.int32)
+    columns, mask = np.ascontiguousarray(offset[:, :joint].T), np.int32(PERIOD - 1)
+    alive = np.searchsorted(-n, -np.arange(1, joint + 1), side="right")
+    turns = np.flatnonzero(np.diff(alive, prepend=-1)).tolist() + [joint]
+    for first, last in zip(turns, turns[1:], strict=False):
+        a = int(alive[first])
+        now, place, stay = at[:a], np.empty(a, np.int32), np.empty(a, np.uint8)
+        for i in range(first, last):
+            path[i, :a] = now
+            np.bitwise_and(now, mask, out=place)
+            np.add(place, columns[i, :a], out=place)
+            walk.take(place, out=stay, mode="clip")
+            np.add(now, stay, out=now)
     path = np.ascontiguousarray(path.T)
+    table = walk.tobytes()
     out = []
     for d in range(k):
-        end = int(at[d])
-        where = np.searchsorted(path[d, : n[d]], _steps(end), side="right") - 1
+        end, own = int(at[d]), path[d, : n[d]]
+        if n[d] > joint:
+            rest = []
+            for o in offset[d, joint : n[d]].tolist():
+                rest.append(end)
+                end += table[o + (end & (PERIOD - 1))]
+            own = np.concatenate([own, np.array(rest, np.int32)])
+        where = np.searchsorted(own, _steps(end), side="right") - 1
         out.append((end, symbol[d, where]))
     return out
 
@@ -119,7 +135,7 @@ def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
     start = 0
     while start < len(order):
         widest = len(codes[order[start]])
-        stop = start + max(1, CHUNK_CHARS // widest)
+        stop = start + max(1, 2 * CHUNK_CHARS // widest)
         part = [i for i in order[start:stop] if 4 * len(codes[i]) >= widest]
         for i, found in zip(part, _embed_batch([codes[i] for i in part]), strict=True):
             out[i] = found
@@ -202,10 +218,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         """rows: (part, borrowed, id, text); all but the last of a part have their next one behind them."""
         texts = [r[3] for r in rows]
-        own = embed(texts)
         at = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in at]
-        changed = embed(edited)
+        found = embed(texts + edited)
+        own, changed = found[: len(texts)], found[len(texts) :]
         columns = [
             pa.array([rows[i][2] for i in at], pa.int64()),
             pa.array([len(texts[i]) for i in at], pa.int64()),

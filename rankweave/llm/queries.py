@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, exact_dedup, fingerprint, packing, pii, token_count, toxicity
+from rankweave.llm import bpe, exact_dedup, fingerprint, language_model, packing, pii, token_count, toxicity
 from rankweave.llm.scratch import documents, fold, text_of
 
 QUERIES: dict = {}
@@ -79,3 +79,14 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.fingerprints(documents(spark, sf_dir))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    model = language_model.fit(docs.where(~held_out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+

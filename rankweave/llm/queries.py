@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, exact_dedup, fingerprint, language_model, packing, pii, token_count, toxicity
+from rankweave.llm import bpe, exact_dedup, fingerprint, jaccard, language_model, packing, pii, token_count, toxicity
 from rankweave.llm.scratch import documents, fold, text_of
 
 QUERIES: dict = {}
@@ -90,3 +90,8 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))

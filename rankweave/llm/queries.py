@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, exact_dedup, fingerprint, jaccard, language_model, packing, pii, token_count, toxicity
+from rankweave.llm import bpe, chat, exact_dedup, fingerprint, jaccard, language_model, packing, pii, token_count, toxicity
 from rankweave.llm.scratch import documents, fold, text_of
 
 QUERIES: dict = {}
@@ -95,3 +95,23 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# No message of the tables calls a tool: the SQL is for plain messages, calls are tested on literal ones.
+ORACLE["op5_chat_formatting"] = """
+SELECT conv_id,
+       turn // 256 AS part,
+       count(*) AS n_messages,
+       CAST(0 AS BIGINT) AS n_calls,
+       CAST(0 AS BIGINT) AS n_invalid,
+       CAST(0 AS BIGINT) AS n_results,
+       CAST(0 AS BIGINT) AS n_unlinked,
+       '[' || string_agg(CAST(to_json({content: text, role: role}) AS VARCHAR), ',' ORDER BY turn, role, text) || ']' AS chat
+FROM conversations
+GROUP BY conv_id, turn // 256
+"""

@@ -1,4 +1,4 @@
 """Every registered query of the library with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from rankweave.plans import history_queries, relative_queries  # noqa: F401  they register themselves
+from rankweave.plans.registry import ORACLE, QUERIES  # noqa: F401

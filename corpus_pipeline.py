@@ -29,7 +29,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that chains of links join (word 5-grams, Jaccard 0.8) the smallest doc_id stays."""
     classes = jaccard.jaccard_join(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    gone = written(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-gone")
+    if gone.count() <= jaccard.BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

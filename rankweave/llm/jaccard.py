@@ -44,6 +44,7 @@ from rankweave.llm.scratch import discard, text_of, written
 
 LEVELS, BRANCHES = 4, 2
 SMALL, BLOCK = 512, 2048
+BROADCAST_IDS = 500_000  # about 80 MB once hashed; beyond, a shuffled join
 
 
 def runs_for(recall: float, similarity: float, levels: int = LEVELS, branches: int = BRANCHES) -> int:
@@ -307,6 +308,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # the row with the class's smallest id has its set; where ids repeat, other sets drop out again
     ids, none = wanted.select(F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("none")).distinct(), F.col("id").isNull()
+    # the candidates are few beside the texts: where they fit a broadcast, the texts needn't be shuffled
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = rows.select(F.coalesce("id", F.lit(0)).alias("id"), none.alias("none"), "text").join(ids, ["id", "none"], "left_semi")
     shingled = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
     ready = written(wanted.join(shingled, "set_key"), "jaccard-sets")

@@ -8,9 +8,9 @@ the linear classifier g minimises
 
 with the logistic loss l; when the second term falls below zero, the step goes
 back up it, as the non-negative estimator asks. The inputs are the distinct
-lower-case words of a text, hashed to `2**BITS` places and weighted by their
-smoothed log odds between the two samples; places whose odds are within noise
-carry no weight, so that long texts of unknown words stay near the prior.
+lower-case words of a text, hashed to 32 bits and weighted by their smoothed
+log odds between the two samples; words whose odds are within noise carry no
+weight, so that long texts of unknown words stay near the prior.
 
 The fit reads at most `positives` toxic and `unlabelled` other texts, those
 with the smallest hash of their id; what the driver gets of them are word
@@ -38,32 +38,25 @@ from pyspark.sql import types as T
 
 from rankweave.llm.scratch import fold, text_of
 
-BITS = 18
 WORD = regex.compile(r"[^\W\d_]+")
 
 
-class _Places(dict):
-    """Word to hashed place."""
-
-    def __missing__(self, word: str) -> int:
-        place = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-        if len(self) < 1 << 19:
-            self[word] = place
-        return place
+def place_of(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-class _Weights(dict):
-    """Word to the weight of its place."""
+class _Known(dict):
+    """Word to the value of its hash, kept for a bounded number of words."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, value):
         super().__init__()
-        self.weights = weights
+        self.value = value
 
-    def __missing__(self, word: str) -> float:
-        weight = float(self.weights[zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)])
+    def __missing__(self, word: str):
+        found = self.value(place_of(word))
         if len(self) < 1 << 19:
-            self[word] = weight
-        return weight
+            self[word] = found
+        return found
 
 
 def words_of(text: str) -> set[str]:
@@ -72,47 +65,51 @@ def words_of(text: str) -> set[str]:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: dict[int, float]  # by hash, of the words that say something
     bias: float
     prior: float
 
+    def known(self) -> dict:
+        return _Known(lambda place: self.weights.get(place, 0.0))
+
     def score(self, text: str, known: dict) -> float:
         total = math.fsum(map(known.__getitem__, words_of(text))) + self.bias
         return 1 / (1 + math.exp(-min(max(total, -50.0), 50.0)))
 
 
 def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])) if rows else (np.empty(0, np.int32), np.empty(0, np.int64))
+    return (np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])) if rows else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
 
-def _log_odds(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.ndarray:
-    """Smoothed log odds of each place between toxic and other texts, 0 within noise."""
+def _log_odds(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, rising, and their smoothed log odds between toxic and other texts; those within noise are left out."""
+    (all_p, _), (all_u, _) = _sparse(pos), _sparse(unl)
+    places = np.unique(np.concatenate([all_p, all_u]))
     n_p, n_u = len(pos), len(unl)
-    in_p = np.bincount(_sparse(pos)[0], minlength=1 << BITS).astype(float)
-    in_u = np.bincount(_sparse(unl)[0], minlength=1 << BITS).astype(float)
+    in_p = np.bincount(np.searchsorted(places, all_p), minlength=len(places)).astype(float)
+    in_u = np.bincount(np.searchsorted(places, all_u), minlength=len(places)).astype(float)
     rate_p = (in_p + 0.5) / (n_p + 1)
     # the unlabelled texts hold a share of toxic ones
     rate_n = np.maximum((in_u + 0.5) / (n_u + 1) - prior * rate_p, 0.5 / (n_u + 1)) / (1 - prior)
     odds = np.log(rate_p / rate_n)
     noise = np.sqrt(1 / (in_p + 0.5) + 1 / (in_u + 0.5))
     raw = np.log(rate_p) - np.log((in_u + 0.5) / (n_u + 1))
-    return np.where((np.abs(raw) > 4 * noise) & (in_p + in_u >= 8), odds, 0.0)
+    on = (np.abs(raw) > 4 * noise) & (in_p + in_u >= 8)
+    return places[on], odds[on]
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Full-batch gradient descent with Adam on the non-negative risk."""
-    odds = _log_odds(pos, unl, prior)
-    active = np.flatnonzero(odds)
-    slot = np.full(1 << BITS, -1)
-    slot[active] = np.arange(len(active))
+    active, odds = _log_odds(pos, unl, prior)
 
     def design(rows):
         place, row = _sparse(rows)
-        on = slot[place] >= 0 if len(place) else np.empty(0, bool)
-        return slot[place[on]] if len(place) else place, row[on] if len(place) else row
+        at = np.searchsorted(active, place)
+        on = active[np.minimum(at, len(active) - 1)] == place if len(active) else np.zeros(len(place), bool)
+        return at[on], row[on]
 
     (col_p, row_p), (col_u, row_u) = design(pos), design(unl)
-    scale, w, b = odds[active], np.full(len(active), 0.5), math.log(prior / (1 - prior))
+    scale, w, b = odds, np.full(len(active), 0.5), math.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
     def forward(col, row, n):
@@ -134,18 +131,16 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights = np.zeros(1 << BITS)
-    weights[active] = w * scale
-    return Model(weights, b, prior)
+    return Model(dict(zip(active.tolist(), (w * scale).tolist(), strict=True)), float(b), prior)
 
 
 def _hashed(df: DataFrame) -> DataFrame:
     """(positive, places): the distinct hashed words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places()
+        places = _Known(int)
         for batch in batches:
-            rows = [np.unique(np.fromiter(map(places.__getitem__, words_of(t or "")), np.int32)).tobytes() for t in batch.column(1).to_pylist()]
+            rows = [np.unique(np.fromiter(map(places.__getitem__, words_of(t or "")), np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["positive", "places"])
 
     return df.select("positive", "text").mapInArrow(run, "positive boolean, places binary")
@@ -157,31 +152,30 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counted = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).head()
     prior = (counted["p"] or 0) / counted["n"] if counted["n"] else 0.0
     if not 0 < prior < 1:
-        return Model(np.zeros(1 << BITS), 50.0 if prior else -50.0, prior)
+        return Model({}, 50.0 if prior else -50.0, prior)
     ids = df.where(F.col(id_col).isNotNull() & (fold(id_col, folds) != 0)).select(F.col(id_col).alias("__id"))
     toxic = ids.join(marks.where("toxic = 1").select(F.col(id_col).alias("__id")), "__id", "left_semi")
     first = F.xxhash64("__id")
     chosen = toxic.orderBy(first, "__id").limit(positives).withColumn("positive", F.lit(True)).unionByName(ids.orderBy(first, "__id").limit(unlabelled).withColumn("positive", F.lit(False)))
     texts = df.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
     rows = _hashed(texts.join(F.broadcast(chosen.distinct()), "__id")).collect()  # at most positives + unlabelled rows
-    pos = [np.frombuffer(r["places"], np.int32) for r in rows if r["positive"]]
-    unl = [np.frombuffer(r["places"], np.int32) for r in rows if not r["positive"]]
+    pos = [np.frombuffer(r["places"], np.uint32) for r in rows if r["positive"]]
+    unl = [np.frombuffer(r["places"], np.uint32) for r in rows if not r["positive"]]
     order_key = lambda r: r.tobytes()  # noqa: E731  the sums must not depend on the order in which tasks end
     if not pos or not unl:
-        return Model(np.zeros(1 << BITS), math.log(prior / (1 - prior)), prior)
+        return Model({}, math.log(prior / (1 - prior)), prior)
     return fit_nnpu(sorted(pos, key=order_key), sorted(unl, key=order_key), prior)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """df with the probability of toxicity in `out`, by whole texts."""
-    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64).tobytes(), model.bias, model.prior))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.prior))  # the words of a bounded sample
     others = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*others, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, bias, prior = shared.value
-        own = Model(np.frombuffer(data), bias, prior)
-        known = _Weights(own.weights)
+        own = Model(*shared.value)
+        known = own.known()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             scores = [own.score(t or "", known) for t in batch.column(at).to_pylist()]

@@ -16,6 +16,10 @@ The likeness of two fingerprints is the share of agreeing samples, octaves
 weighted by their steps, less what chance gives; steps that only one text has
 count as differing.
 
+`similar` finds texts whose fingerprints are alike: bands of sampled bits, drawn
+in the last two octaves that a text has walked through, name buckets; the
+members of a bucket are verified against each other by all their samples.
+
 Null counts as the empty text, whose fingerprint has no samples; two of them
 are alike (1), an empty and another text are not (0). Rows that share an id
 are ordered by their text; null ids come first. The next row of a lone row is
@@ -24,6 +28,7 @@ the row itself. Other columns are not carried along.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.scratch import text_of
+from rankweave.llm.jaccard import SMALL, block_links, block_units, class_facts
+from rankweave.llm.scratch import discard, text_of, written
 
 PERIOD = 1 << 12
 SAMPLES, WINDOW, FIRST = 64, 3, 6  # the first octave is the steps below 2**FIRST
@@ -249,3 +255,88 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield solve(held)
 
     return _in_order(df, id_col, text_col).select("part", "borrowed", "id", "text").mapInArrow(run, schema)
+
+
+BANDS, WIDTH = 32, 8  # a pair of likeness 0.8 misses all bands with probability 0.003
+
+
+@lru_cache(maxsize=64)
+def _bands(low: int, high: int) -> np.ndarray:
+    """For each band the samples of an octave that it takes."""
+    n = len(_samples(low, high))
+    rng = np.random.default_rng([7, low, high])
+    return np.stack([rng.choice(n, min(WIDTH, n), replace=False) for _ in range(BANDS)])
+
+
+def band_keys(found: tuple[int, np.ndarray]) -> list[int]:
+    """Bucket keys of a text from the last two octaves below its end; a short text has one of all it wrote."""
+    end, symbols = found
+    full = [(k, o) for k, o in enumerate(octaves(end)) if o[1] <= end][-2:]
+    if not full:
+        return [zlib.crc32(symbols.tobytes(), end)]
+    starts = np.cumsum([0, *(len(_samples(*o)) for o in octaves(end))])
+    keys = []
+    for k, octave in full:
+        own = symbols[starts[k] : starts[k + 1]].astype(np.uint64)[_bands(*octave)]
+        mixed = np.arange(BANDS, dtype=np.uint64) + np.uint64(1000 * (k + 1))
+        for column in own.T:
+            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        keys += mixed.astype(np.int64).tolist()
+    return keys
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the fingerprints, as bytes, are alike."""
+    a, b = ([read_back(x.tobytes().decode()) for x in side] for side in (left, right))
+    ends_a, ends_b = np.array([e for e, _ in a]), np.array([e for e, _ in b])
+    longest = np.maximum(ends_a[:, None], ends_b)
+    width = max(len(s) for _, s in (*a, *b))
+    table = lambda side, gap: np.stack([np.pad(s, (0, width - len(s)), constant_values=gap) for _, s in side])
+    x, y = table(a, 254), table(b, 255)
+    total, done = np.zeros(longest.shape), 0
+    for low, high in octaves(int(longest.max())):
+        steps = _samples(low, high)
+        same = np.zeros(longest.shape, np.float32)
+        for k in range(done, min(done + len(steps), width)):
+            same += x[:, k][:, None] == y[:, k]
+        n = np.searchsorted(steps, longest)
+        share = same / np.maximum(n, 1)
+        weight = np.clip(longest - low, 0, high - low)
+        total += np.where(n > 0, weight * np.maximum(0, (share - CHANCE) / (1 - CHANCE)), 0)
+        done += len(steps)
+    return np.where(longest > 0, total / np.maximum(longest, 1), 1) >= least
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(id, class_id, links): texts joined by chains of fingerprints whose likeness is `least` or more.
+
+    Equal fingerprints form a class; classes that share a bucket are compared
+    in blocks, a pair in the first bucket that both are in. Empty texts are
+    alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = embed(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([written_out(f).encode() for f in found], pa.binary()), pa.array([band_keys(f) for f in found], pa.list_(pa.int64()))], names=["id", "set_key", "bands"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    prints = written(rows.mapInArrow(run, "id long, set_key binary, bands array<long>"), "fingerprint-bands")
+    classes = written(prints.groupBy("set_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "fingerprint-classes")
+    members = written(classes.select("set_key", F.explode(F.array_distinct("bands")).alias("leaf")), "fingerprint-members")
+    mix = F.xxhash64("set_key")
+    buckets = members.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.shiftright(mix, 30)).alias("x"), F.sum(F.shiftright(F.xxhash64(mix), 30)).alias("y")).where("n > 1")
+    once = buckets.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
+    leaves = written(members.join(once, "leaf").select("set_key", "leaf", "n"), "fingerprint-leaves")
+    lists = leaves.groupBy("set_key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    ready = lists.join(classes.select("set_key", "copies"), "set_key").withColumn("shingles", F.col("set_key"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = block_units(leaves, small).join(ready, "set_key").repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set_key")
+    partial = written(block_links(placed, lambda a, b: alike(a, b, least), np.uint8), "fingerprint-links")
+    facts, joined = class_facts(classes, partial, "fingerprint")
+    for used in (members, leaves, partial, joined):
+        discard(used)
+    return prints.select("id", "set_key").join(facts, "set_key").select(F.col("id").alias(id_col), "class_id", "links")

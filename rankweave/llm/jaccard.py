@@ -189,13 +189,17 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray], width: int = 2048
     return out
 
 
-def _compare(left: list[dict], right: list[dict] | None, leaf: int, similarity: float) -> Iterator[tuple[bytes, int, bytes]]:
+def similar_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have at least this Jaccard similarity."""
+    a, b = np.array(list(map(len, left)), np.float32), np.array(list(map(len, right)), np.float32)
+    both = overlaps(left, right)
+    return both >= similarity * (a[:, None] + b - both) - 1e-4
+
+
+def _compare(left: list[dict], right: list[dict] | None, leaf: int, alike) -> Iterator[tuple[bytes, int, bytes]]:
     """(set_key, links, root) of the members of a block: links that belong to this leaf, and a member of the same component."""
     others = left if right is None else right
-    a, b = [r["set"] for r in left], [r["set"] for r in others]
-    size_a, size_b = np.array(list(map(len, a)), np.float32), np.array(list(map(len, b)), np.float32)
-    both = overlaps(a, b)
-    near = both >= similarity * (size_a[:, None] + size_b - both) - 1e-4
+    near = alike([r["set"] for r in left], [r["set"] for r in others])
     if right is None:
         np.fill_diagonal(near, False)
     on_a, on_b = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
@@ -225,15 +229,18 @@ def _compare(left: list[dict], right: list[dict] | None, leaf: int, similarity:
             yield r["set_key"], int(n), keys[label]
 
 
-def _links(members: DataFrame, similarity: float) -> DataFrame:
-    """(set_key, links, root): partial sums over the blocks, whose members come one behind the other."""
+def block_links(members: DataFrame, alike, kind=np.uint64) -> DataFrame:
+    """(set_key, links, root): partial sums over the blocks, whose members come one behind the other.
+
+    alike: two lists of arrays of this kind to a matrix of links.
+    """
 
     def solve(key: tuple[int, int, int], rows: list[dict]) -> Iterator[tuple[bytes, int, bytes]]:
         leaf, i, j = key
         left = [r for r in rows if r["block"] == i]
         right = None if i == j else [r for r in rows if r["block"] == j]
         if left and (right is None or right):
-            yield from _compare(left, right, leaf, similarity)
+            yield from _compare(left, right, leaf, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found):
@@ -251,7 +258,7 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
                     if len(ready) > 10_000:
                         yield out(ready)
                         ready = []
-                rows.append({"set_key": r["set_key"], "copies": r["copies"], "block": r["block"], "leaves": np.array(r["leaves"], np.int64), "set": np.frombuffer(r["shingles"], np.uint64)})
+                rows.append({"set_key": r["set_key"], "copies": r["copies"], "block": r["block"], "leaves": np.array(r["leaves"], np.int64), "set": np.frombuffer(r["shingles"], kind)})
         if len(rows) > 1:
             ready += solve(key, rows)
         yield out(ready)
@@ -259,7 +266,7 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
     return members.mapInArrow(run, "set_key binary, links long, root binary")
 
 
-def _units(leaves: DataFrame, small: int) -> DataFrame:
+def block_units(leaves: DataFrame, small: int) -> DataFrame:
     """(set_key, leaf, block, i, j): every member with the pairs of blocks of its leaf that it takes part in.
 
     A member's home is its first large leaf. Members of a large leaf that share
@@ -287,6 +294,17 @@ def _units(leaves: DataFrame, small: int) -> DataFrame:
     return plain.unionByName(placed)
 
 
+def class_facts(classes: DataFrame, partial: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(set_key, class_id, links) of all classes (set_key, least, copies) from partial links, and the components behind it."""
+    counted = partial.groupBy("set_key").agg(F.sum("links").alias("links"))
+    joined = written(components(partial.select(F.col("set_key").alias("a"), F.col("root").alias("b"))), f"{name}-components")
+    own = classes.select("set_key", "least", "copies").join(counted, "set_key", "left").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left")
+    own = own.withColumn("component", F.coalesce("component", "set_key"))
+    least = own.groupBy("component").agg(F.min("least").alias("class_id"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    return written(own.join(least, "component").select("set_key", "class_id", links), f"{name}-facts"), joined
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.999, small: int = SMALL) -> DataFrame:
     """(id, class_id, links): for every row the smallest id that chains of links lead to, and its number of links.
 
@@ -315,15 +333,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingled = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
     ready = written(wanted.join(shingled, "set_key"), "jaccard-sets")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = _units(leaves, small).join(ready.select("set_key", "copies", "leaves", "shingles"), "set_key")
-    partial = written(_links(units.repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set_key"), similarity), "jaccard-links")
-    counted = partial.groupBy("set_key").agg(F.sum("links").alias("links"))
-    joined = written(components(partial.select(F.col("set_key").alias("a"), F.col("root").alias("b"))), "jaccard-components")
-    own = classes.select("set_key", "least", "copies").join(counted, "set_key", "left").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left")
-    own = own.withColumn("component", F.coalesce("component", "set_key"))
-    least = own.groupBy("component").agg(F.min("least").alias("class_id"))
-    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    facts = written(own.join(least, "component").select("set_key", "class_id", links), "jaccard-facts")
+    units = block_units(leaves, small).join(ready.select("set_key", "copies", "leaves", "shingles"), "set_key")
+    placed = units.repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set_key")
+    partial = written(block_links(placed, lambda a, b: similar_sets(a, b, similarity)), "jaccard-links")
+    facts, joined = class_facts(classes, partial, "jaccard")
     for used in (leaves, wanted, ready, partial, joined):
         discard(used)
     known = sketches.select("id", "set_key").join(facts, "set_key").select("id", "class_id", "links")

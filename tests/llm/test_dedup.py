@@ -131,3 +131,31 @@ def test_fingerprints_of_one_and_of_no_row(spark):
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()[0]
     assert one["edited"] == "abcabc" and one["near_next"] == 1.0
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_similar_texts_are_those_of_all_pairs(spark):
+    rnd = random.Random(5)
+    make = lambda n: "".join(rnd.choice("abcdefghij klmno") for _ in range(n))
+    edited = lambda t, k: "".join(rnd.choice("xyz") if rnd.random() < k else c for c in t)
+    base = make(1500)
+    rows = [(i, edited(base, 0.004)) for i in range(40)] + [(100 + i, make(rnd.randrange(40, 2000))) for i in range(40)] + [(200, base), (201, base), (None, None), (202, ""), (203, "ab")]
+    found = fingerprint.similar(spark.createDataFrame(rows, "doc_id long, text string"), small=16).collect()
+    prints = fingerprint.embed([t or "" for _, t in rows])
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if fingerprint.likeness(prints[i], prints[j]) >= 0.8:
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min((x for x in (least.get(root(i)), d) if x is not None), default=None)
+    assert Counter(tuple(r) for r in found) == Counter((d, least[root(i)], links[i]) for i, (d, _) in enumerate(rows))
+    assert max(links) > 20

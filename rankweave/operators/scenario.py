@@ -134,3 +134,28 @@ def observed(df: DataFrame, key: str = "contest_id") -> DataFrame:
     status = F.when(F.col("favourite_rank") == 1, "won").when(F.col("favourite_rank") <= 3, "placed").when(F.col("favourite_rank").isNull(), "absent").otherwise("lost")
     shape = F.when(outside == 0, "inside").when(outside == 1, "one outside").otherwise("outside")
     return rows.select(key, "winner", "style", status.alias("favourite"), shape.alias("shape"), F.concat_ws("/", status, shape).alias("pattern"))
+
+
+def line_fits() -> dict[str, Column]:
+    """How a ticket (a, b, c) fits the context of its contest: six fits and a penalty for what it ignores."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    on = lambda x: x.cast("double")
+    attack = F.col("attack_slot")
+    inside = on((F.col("escape") > 0.45) & (a != 1)) * F.col("escape")
+    falling = on((F.col("collapse") > 0.45) & (a == 1) & b.isin(2, 3)) * F.col("collapse")
+    missed = on((F.col("attack") > 0.45) & ~((a == attack) | (b == attack) | (c == attack))) * F.col("attack")
+    return {
+        "fit_escape": on(a == 1) * F.col("escape"),
+        "fit_second": on((a == 2) & b.isin(1, 3, 4)) * F.col("second_inside"),
+        "fit_around": on(a.isin(2, 3, 4)) * F.greatest("second_around", "third_pressure", "fourth_pressure"),
+        "fit_through": on(a.isin(3, 4, 5, 6) & (b <= 4)) * F.col("sweep_pressure"),
+        "fit_outer": on((b >= 4) | (c >= 4)) * F.greatest("sweep", "outside_pressure"),
+        "fit_attack": on((a == attack) | ((b == attack) & a.isin(1, 2))) * F.col("attack"),
+        "mismatch": clip01(inside + falling + missed),
+    }
+
+
+def line_score() -> Column:
+    """One number for a ticket's fit, for choosing candidates."""
+    fits = ("fit_escape", "fit_second", "fit_around", "fit_through", "fit_outer", "fit_attack")
+    return sum((F.col(f) for f in fits), F.lit(0.0)) - F.col("mismatch")

@@ -50,10 +50,10 @@ def quality(df: DataFrame) -> DataFrame:
     return contest.groupBy("split").agg(F.count("*").alias("contests"), F.avg("top1").alias("top1"), F.avg("overlap").alias("overlap"))
 
 
-def _rank_model(learner):
+def _rank_model(learner):  # a function: learners can't be made before there is a session
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = training(spark, sf_dir)
-        fitted = Pipeline(stages=[*design(), learner]).fit(df.where("fold <> 0"))
+        fitted = Pipeline(stages=[*design(), learner()]).fit(df.where("fold <> 0"))
         return quality(ranked(fitted.transform(df)))
 
     return run
@@ -65,9 +65,9 @@ def _register(name: str, doc: str, learner) -> None:
     query()(run)
 
 
-_register("ridge_fit", "Ridge regression of the rank, evaluated on held-out contests.", LinearRegression(regParam=1.0, elasticNetParam=0.0))
-_register("boosted_fit", "Boosted trees on the rank.", GBTRegressor(maxIter=10, maxDepth=3, seed=7))
-_register("forest_fit", "A random forest on the rank.", RandomForestRegressor(numTrees=10, maxDepth=5, seed=7))
+_register("ridge_fit", "Ridge regression of the rank, evaluated on held-out contests.", lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0))
+_register("boosted_fit", "Boosted trees on the rank.", lambda: GBTRegressor(maxIter=10, maxDepth=3, seed=7))
+_register("forest_fit", "A random forest on the rank.", lambda: RandomForestRegressor(numTrees=10, maxDepth=5, seed=7))
 
 
 @query()

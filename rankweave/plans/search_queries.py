@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators import confidence
@@ -11,8 +11,8 @@ from rankweave.operators import scenario as sc
 from rankweave.operators import tickets as t
 from rankweave.plans.metric_queries import FACT, fact, returns
 from rankweave.plans.registry import query
-from rankweave.plans.scenario_queries import ADV, CONTEXT, PRESSED, SLOTS, clip, scenarios
-from rankweave.plans.ticket_queries import CONDITIONAL, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, ticket_frame
+from rankweave.plans.scenario_queries import ADV, CONTEXT, CUTS, PRESSED, SCORED, SLOTS, SUBSET, clip, scenarios, subset_labels
+from rankweave.plans.ticket_queries import BANDED, CONDITIONAL, TABLE, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, ticket_frame
 
 KEY = ["contest_id", "a", "b", "c"]
 FIT = f"""
@@ -103,3 +103,43 @@ def second_place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = gathered.withColumn("x", F.explode("all")).withColumn("y", F.explode("all")).where("x.slot <> y.slot")
     actual = (F.col("x.outcome_rank") == 1) & (F.col("y.outcome_rank") == 2)
     return pairs.select("contest_id", F.col("x.slot").alias("first_slot"), F.col("y.slot").alias("second_slot"), F.round(F.col("y.share") / (1 - F.col("x.share")), 9).alias("follow_share"), (F.col("y.slot") - F.col("x.slot")).alias("distance"), actual.cast("int").alias("is_actual"), F.round(F.col("x.lead_time") - F.col("y.lead_time"), 9).alias("lead_gap"))
+
+
+@query(on_tickets("SELECT contest_id, a, b, c, round(share_c / (1 - share_a - share_b), 9) AS follow_share, CAST(is_actual AS INT) AS is_actual, CAST(c > b AS INT) + CAST(c > a AS INT) AS outside_of FROM t"))
+def third_place_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for third place given the first two."""
+    outside = (F.col("c") > F.col("b")).cast("int") + (F.col("c") > F.col("a")).cast("int")
+    return ticket_frame(spark, sf_dir).select(*KEY, F.round(F.col("share_c") / (1 - F.col("share_a") - F.col("share_b")), 9).alias("follow_share"), F.col("is_actual").cast("int").alias("is_actual"), outside.alias("outside_of"))
+
+
+@query(on_tickets("""
+SELECT contest_id, a, b, c, nth, adjusted, label AS top12_label, tickets, nth <= tickets AS recommended
+FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY adjusted DESC, a, b, c) AS nth
+      FROM (SELECT b.contest_id, b.a, b.b, b.c, b.confidence AS label, CASE b.confidence WHEN 'high' THEN 5 WHEN 'middle' THEN 8 ELSE 0 END AS tickets, round(least(1, greatest(0, probability * coalesce(factor, 1))) / sum(least(1, greatest(0, probability * coalesce(factor, 1)))) OVER (PARTITION BY b.contest_id), 9) AS adjusted FROM b LEFT JOIN ad USING (confidence, band)))
+WHERE nth <= 10
+""", q=Q, f=TOP12, b=BANDED, ad=TABLE))
+def full_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best tickets by adjusted probability, with the contest's label and the recommended number."""
+    tickets = ticket_frame(spark, sf_dir)
+    adjusted = confidence.apply_adjustment(tickets, confidence.fit_adjustment(tickets)).withColumn("adjusted", F.round("adjusted", 9))
+    best = t.top_tickets(adjusted, 10, "adjusted").withColumn("tickets", confidence.ticket_count(F.col("confidence"), confidence.TOP12_COUNTS))
+    return best.select(*KEY, "nth", "adjusted", F.col("confidence").alias("top12_label"), "tickets", (F.col("nth") <= F.col("tickets")).alias("recommended"))
+
+
+@query(on_tickets(f"""
+SELECT subset, contests, weight, hit3 FROM (
+    SELECT *, row_number() OVER (PARTITION BY subset ORDER BY hit3 DESC, weight DESC) AS best
+    FROM (SELECT subset, weight, count(*) AS contests, round(avg(CAST(nth <= 3 AS INT)), 9) AS hit3
+          FROM (SELECT *, row_number() OVER (PARTITION BY weight, contest_id ORDER BY x DESC, a, b, c) AS nth
+                FROM (SELECT t.contest_id, t.a, t.b, t.c, t.is_actual, weight, round(weight * t.probability + (1 - weight) * k.p, 12) AS x FROM t JOIN k ON t.contest_id = k.contest_id AND t.a = k.a AND t.b = k.b AND t.c = k.c, {GRID}))
+          JOIN su USING (contest_id) WHERE is_actual GROUP BY subset, weight HAVING count(*) >= 20)) WHERE best = 1
+""", w=WEIGHTS, k=CONDITIONAL, s0=SLOTS, s1=ADV, s2=PRESSED, cx=CONTEXT, sc=SCORED, u=SUBSET, cuts=CUTS, su="SELECT contest_id, CASE WHEN attack >= attack_q70 - 1e-12 OR collapse >= collapse_q70 - 1e-12 THEN 'attack_or_collapse' WHEN upset >= upset_q70 - 1e-12 OR flat >= flat_q70 - 1e-12 THEN 'upset_or_flat' WHEN escape >= escape_q70 - 1e-12 AND collapse <= collapse_q50 + 1e-12 THEN 'stable_escape' ELSE 'neutral' END AS subset FROM u, cuts"))
+def subset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best blend weight for each subset of contests with enough of them; ties keep the larger weight."""
+    both = ticket_frame(spark, sf_dir).select(*KEY, "probability", "is_actual").join(conditional_frame(spark, sf_dir), KEY)
+    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)])))
+    rows = rows.withColumn("x", F.round(F.col("weight") * F.col("probability") + (1 - F.col("weight")) * F.col("p"), 12))
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("weight", "contest_id").orderBy(F.desc("x"), "a", "b", "c"))).where("is_actual").select("contest_id", "weight", "nth")
+    found = ranked.join(subset_labels(spark, sf_dir), "contest_id").groupBy("subset", "weight").agg(F.count("*").alias("contests"), F.round(F.avg((F.col("nth") <= 3).cast("double")), 9).alias("hit3")).where("contests >= 20")
+    best = F.row_number().over(Window.partitionBy("subset").orderBy(F.desc("hit3"), F.desc("weight")))
+    return found.withColumn("best", best).where("best = 1").select("subset", "contests", "weight", "hit3")

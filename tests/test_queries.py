@@ -41,7 +41,9 @@ def test_query_equals_its_twin(spark, duck, name):
     mine, other = rows(df.columns, df.collect()), rows(names, twin.fetchall())
     assert len(mine) == len(other)
     for a, b in zip(mine, other, strict=True):
-        assert a == pytest.approx(b, rel=1e-9, abs=1e-9), name
+        for x, y in zip(a, b, strict=True):
+            near = isinstance(x, float) and y is not None and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
+            assert near or x == y, (name, a, b)
 
 
 def test_entry(spark):

@@ -17,8 +17,11 @@ weighted by their steps, less what chance gives; steps that only one text has
 count as differing.
 
 `similar` finds texts whose fingerprints are alike: bands of sampled bits, drawn
-in the last two octaves that a text has walked through, name buckets; the
-members of a bucket are verified against each other by all their samples.
+from all steps below a level, name buckets; a text has bands of each level
+between 0.8 of its end and its end. The members of a bucket are verified
+against each other by all their samples. A pair at the limit 0.8 shares no
+band with a probability of 0.001 if the edits are spread out, and of about
+0.01 if they all stand at the worst place.
 
 Null counts as the empty text, whose fingerprint has no samples; two of them
 are alike (1), an empty and another text are not (0). Rows that share an id
@@ -28,14 +31,13 @@ the row itself. Other columns are not carried along.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.jaccard import SMALL, block_links, block_units, class_facts
@@ -180,11 +182,15 @@ def likeness(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> float:
     return min(1.0, total / longest)
 
 
-def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+ORDERED = ["part", "borrowed", "id", "text", "print", "class_id", "links"]
+
+
+def _in_order(df: DataFrame, id_col: str, text_col: str, near: DataFrame | None = None) -> DataFrame:
     """Rows dealt by ranges of the id and sorted in them, each range followed by the first row of the next one.
 
     The ranges are cut at quantiles of the id; what the driver sees are the
     cuts and the smallest id of each range, as many as there are partitions.
+    near: rows (id, print, class_id, links), put before the texts of their id.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -201,28 +207,36 @@ def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out[known] = np.searchsorted(edges, ids[known].astype("int64"), side="right")
         return pd.Series(out)
 
-    rows = rows.withColumn("part", part_of("id") if len(edges) else F.lit(0))
+    own_part = part_of("id") if len(edges) else F.lit(0)
+    rows = rows.withColumn("part", own_part)
     firsts = sorted((r["part"], r["nulls"], r["id"]) for r in rows.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("nulls")).collect())
     if not firsts:
-        return rows.withColumn("borrowed", F.lit(0))
+        return rows.withColumn("borrowed", F.lit(0)).selectExpr(*ORDERED[:4], "cast(null as binary) print", "0L class_id", "0L links")
     pairs = [(firsts[k - 1][0], None if nulls else first) for k, (_, nulls, first) in enumerate(firsts)]
     wanted = spark.createDataFrame(pairs, "to int, first long")
     lent = rows.drop("part").join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("first")))
     both = rows.withColumn("borrowed", F.lit(0)).unionByName(lent.select("id", "text", F.col("to").alias("part"), F.lit(1).alias("borrowed")))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.asc_nulls_first("id"), "text")
+    both = both.selectExpr(*ORDERED[:4], "cast(null as binary) print", "0L class_id", "0L links")
+    if near is not None:
+        both = both.unionByName(near.withColumn("part", own_part).selectExpr("part", "0 borrowed", "id", "'' text", "print", "class_id", "links"))
+    return both.repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.asc_nulls_first("id"), F.col("print").isNull(), "text")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None) -> DataFrame:
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of each text.
 
     The edited text has the last half of a text replaced by the beginning of
-    the next one, by rising id.
+    the next one, by rising id. With near, the linked rows of `similar_prints`,
+    class_id and links follow.
     """
     schema = f"`{id_col}` long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [id_col, "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    linking = near is not None
+    if linking:
+        schema, names = schema + ", class_id long, links long", [*names, "class_id", "links"]
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (part, borrowed, id, text); all but the last of a part have their next one behind them."""
+        """rows: (part, borrowed, id, text, linked); all but the last of a part have their next one behind them."""
         texts = [r[3] for r in rows]
         at = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in at]
@@ -237,58 +251,98 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             pa.array([likeness(own[i], c) for i, c in zip(at, changed, strict=True)], pa.float64()),
             pa.array([likeness(own[i], own[i + 1]) for i in at], pa.float64()),
         ]
+        if linking:
+            facts = [rows[i][4].get(packed(own[i]), (rows[i][2], 0)) for i in at]
+            columns += [pa.array([f[k] for f in facts], pa.int64()) for k in (0, 1)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        linked_id, linked = None, {}  # the facts of the id that the rows have come to, by print
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                for row in zip(*(part.column(c).to_pylist() for c in ("part", "borrowed", "id", "text")), strict=True):
-                    held.append(row)
+                for *row, own, class_id, links in zip(*(part.column(c).to_pylist() for c in ORDERED), strict=True):
+                    if linked_id != row[:3]:
+                        linked_id, linked = row[:3], {}
+                    if own is not None:
+                        linked[own] = (class_id, links)
+                        continue
+                    held.append((*row, linked))
                     size += len(row[3])
                     if size > CHUNK_CHARS and len(held) > 1:
                         yield solve(held)
-                        held, size = held[-1:], len(row[3])
+                        held, size = held[-1:], len(held[-1][3])
         if len(held) > 1:
             yield solve(held)
 
-    return _in_order(df, id_col, text_col).select("part", "borrowed", "id", "text").mapInArrow(run, schema)
+    return _in_order(df, id_col, text_col, near).select(*ORDERED).mapInArrow(run, schema)
 
 
-BANDS, WIDTH = 32, 8  # a pair of likeness 0.8 misses all bands with probability 0.003
+BANDS, WIDTH, NARROW = 20, 8, 6  # bands of a level; a band takes WIDTH samples, NARROW where a level has under 128 steps
+LEVEL = 1.118  # two texts of likeness 0.8 share two levels, or one where their ends differ by a tenth or more
 
 
-@lru_cache(maxsize=64)
-def _bands(low: int, high: int) -> np.ndarray:
-    """For each band the samples of an octave that it takes."""
-    n = len(_samples(low, high))
-    rng = np.random.default_rng([7, low, high])
-    return np.stack([rng.choice(n, min(WIDTH, n), replace=False) for _ in range(BANDS)])
+@lru_cache(maxsize=1)
+def _levels() -> np.ndarray:
+    """Numbers of steps that bands are drawn from, rising."""
+    return np.unique((LEVEL ** np.arange(1 + int(np.log(2.0**40) / np.log(LEVEL)))).astype(np.int64))
+
+
+@lru_cache(maxsize=512)
+def _bands(steps: int) -> np.ndarray:
+    """For each band of a level the places of its samples, drawn as the likeness weighs them."""
+    weights = []
+    for low, high in octaves(steps):
+        n = int((_samples(low, high) < steps).sum())
+        weights += [(min(high, steps) - low) / max(n, 1)] * n  # a level that just enters an octave may have no sample of it
+    share = np.array(weights) / sum(weights)
+    rng, width = np.random.default_rng([7, steps]), min(len(share), NARROW if steps < 128 else WIDTH)
+    drawn = np.unique([np.sort(rng.choice(len(share), width, replace=False, p=share)) for _ in range(BANDS)], axis=0)
+    return np.pad(drawn, ((0, 0), (0, WIDTH - width)), mode="edge")
+
+
+@lru_cache(maxsize=512)
+def _places(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of some levels, one behind the other, and the number of each."""
+    levels = [int(t) for t in _levels()[first:last]]
+    numbers = np.concatenate([np.uint64(1000 * t) + np.arange(len(_bands(t)), dtype=np.uint64) for t in levels])
+    return np.concatenate([_bands(t) for t in levels]), numbers
 
 
-def band_keys(found: tuple[int, np.ndarray]) -> list[int]:
-    """Bucket keys of a text from the last two octaves below its end; a short text has one of all it wrote."""
+def band_keys(found: tuple[int, np.ndarray], least: float = 0.8) -> np.ndarray:
+    """Bucket keys of a text, from all levels that it may share with a text whose likeness is `least`; none if it is empty.
+
+    A level's bands are drawn from all steps below it, so it doesn't matter
+    where in the texts the edits are.
+    """
     end, symbols = found
-    full = [(k, o) for k, o in enumerate(octaves(end)) if o[1] <= end][-2:]
-    if not full:
-        return [zlib.crc32(symbols.tobytes(), end)]
-    starts = np.cumsum([0, *(len(_samples(*o)) for o in octaves(end))])
-    keys = []
-    for k, octave in full:
-        own = symbols[starts[k] : starts[k + 1]].astype(np.uint64)[_bands(*octave)]
-        mixed = np.arange(BANDS, dtype=np.uint64) + np.uint64(1000 * (k + 1))
-        for column in own.T:
-            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        keys += mixed.astype(np.int64).tolist()
-    return keys
+    if not end:
+        return np.empty(0, np.int64)
+    first, last = np.searchsorted(_levels(), [max(1, least * end), end], side="right")
+    places, mixed = _places(int(first) - 1, int(last))
+    for column in symbols.astype(np.uint64)[places].T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.astype(np.int64)
+
+
+def packed(found: tuple[int, np.ndarray]) -> bytes:
+    """A fingerprint in bytes: steps, number of samples, two samples a byte."""
+    end, symbols = found
+    even = np.pad(symbols, (0, len(symbols) % 2))
+    return end.to_bytes(8, "little") + len(symbols).to_bytes(2, "little") + (even[::2] << 4 | even[1::2]).tobytes()
+
+
+def unpacked(data: bytes) -> tuple[int, np.ndarray]:
+    pairs = np.frombuffer(data, np.uint8, offset=10)
+    return int.from_bytes(data[:8], "little"), np.stack([pairs >> 4, pairs & 15], 1).ravel()[: int.from_bytes(data[8:10], "little")]
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
     """Which of the fingerprints, as bytes, are alike."""
-    a, b = ([read_back(x.tobytes().decode()) for x in side] for side in (left, right))
+    a, b = ([unpacked(x.tobytes()) for x in side] for side in (left, right))
     ends_a, ends_b = np.array([e for e, _ in a]), np.array([e for e, _ in b])
     longest = np.maximum(ends_a[:, None], ends_b)
     width = max(len(s) for _, s in (*a, *b))
@@ -308,35 +362,58 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.n
     return np.where(longest > 0, total / np.maximum(longest, 1), 1) >= least
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, small: int = SMALL) -> DataFrame:
-    """(id, class_id, links): texts joined by chains of fingerprints whose likeness is `least` or more.
+def similar_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(id, print, class_id, links) of each row: the packed fingerprint and what `similar` gives.
 
-    Equal fingerprints form a class; classes that share a bucket are compared
-    in blocks, a pair in the first bucket that both are in. Empty texts are
-    alike.
+    Keys are dealt once; of buckets with the same members one is compared.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = embed(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([written_out(f).encode() for f in found], pa.binary()), pa.array([band_keys(f) for f in found], pa.list_(pa.int64()))], names=["id", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(f) for f in embed(part.column(1).to_pylist())], pa.binary())], names=["id", "print"])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys = [np.unique(band_keys(unpacked(p), least)) for p in part.column(1).to_pylist()]
+                nodes = np.repeat(part.column(0).to_numpy(zero_copy_only=False), list(map(len, keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["node", "bucket"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    prints = written(rows.mapInArrow(run, "id long, set_key binary, bands array<long>"), "fingerprint-bands")
-    classes = written(prints.groupBy("set_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "fingerprint-classes")
-    members = written(classes.select("set_key", F.explode(F.array_distinct("bands")).alias("leaf")), "fingerprint-members")
-    mix = F.xxhash64("set_key")
-    buckets = members.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.shiftright(mix, 30)).alias("x"), F.sum(F.shiftright(F.xxhash64(mix), 30)).alias("y")).where("n > 1")
-    once = buckets.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
-    leaves = written(members.join(once, "leaf").select("set_key", "leaf", "n"), "fingerprint-leaves")
+    prints = written(rows.mapInArrow(prints_of, "id long, print binary"), "fingerprint-prints")
+    classes = prints.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    key = F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")).alias("set_key")
+    classes = written(classes, "fingerprint-classes").select("print", "least", "copies", "node", key)
+    mix, same = F.xxhash64("node"), Window.partitionBy("bucket")
+    counted = [F.count("*").over(same).alias("n"), F.sum(F.shiftright(mix, 30)).over(same).alias("x"), F.sum(F.shiftright(F.xxhash64(mix), 30)).over(same).alias("y")]
+    shared = classes.select("node", "print").mapInArrow(keys_of, "node long, bucket long").select("node", *counted).where("n > 1")
+    leaves = written(shared.select(key, F.xxhash64("n", "x", "y").alias("leaf"), "n").distinct(), "fingerprint-leaves")
     lists = leaves.groupBy("set_key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    ready = lists.join(classes.select("set_key", "copies"), "set_key").withColumn("shingles", F.col("set_key"))
+    ready = lists.join(classes.select("set_key", "copies", F.col("print").alias("shingles")), "set_key")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = block_units(leaves, small).join(ready, "set_key").repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set_key")
     partial = written(block_links(placed, lambda a, b: alike(a, b, least), np.uint8), "fingerprint-links")
     facts, joined = class_facts(classes, partial, "fingerprint")
-    for used in (members, leaves, partial, joined):
+    for used in (leaves, partial, joined):
         discard(used)
-    return prints.select("id", "set_key").join(facts, "set_key").select(F.col("id").alias(id_col), "class_id", "links")
+    known = classes.select("set_key", "print").join(facts, "set_key").select("print", "class_id", "links")
+    return prints.join(known, "print").select("id", "print", "class_id", "links")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(id, class_id, links): texts joined by chains of fingerprints whose likeness is `least` or more.
+
+    Equal fingerprints form a class; classes that share a bucket are compared
+    in blocks, a pair in the first bucket that both are in. Empty texts are
+    alike.
+    """
+    return similar_prints(df, id_col, text_col, least, small).select(F.col("id").alias(id_col), "class_id", "links")
+
+
+def linked_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`fingerprints` with the class_id and links of `similar` behind."""
+    near = similar_prints(df, id_col, text_col).where("links > 0").distinct()
+    return fingerprints(df, id_col, text_col, near=written(near, "fingerprint-near"))

@@ -77,8 +77,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint.fingerprints(documents(spark, sf_dir))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = fingerprint.linked_fingerprints(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "links")
 
 
 @query

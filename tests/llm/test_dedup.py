@@ -159,3 +159,38 @@ def test_similar_texts_are_those_of_all_pairs(spark):
         least[root(i)] = min((x for x in (least.get(root(i)), d) if x is not None), default=None)
     assert Counter(tuple(r) for r in found) == Counter((d, least[root(i)], links[i]) for i, (d, _) in enumerate(rows))
     assert max(links) > 20
+
+
+def test_banding_finds_short_texts_local_edits_and_ends_across_a_power_of_two():
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcdefghij klmno") for _ in range(n))
+    pairs = []
+    for _ in range(200):
+        t = make(rnd.randrange(12, 31))
+        pairs.append((t, t[:-1] + "#"))
+    for n in (480, 500, 515, 2030, 6000):
+        for _ in range(60):
+            t, k = make(n), int(n * rnd.uniform(0.05, 0.22))
+            at = rnd.randrange(n - k)
+            pairs += [(t, t[:at] + make(k) + t[at + k :]), (t, t[:at] + make(k) + t[at:]), (t, t[:at] + t[at + k :])]
+    found = missed = across = 0
+    for one, two in pairs:
+        a, b = fingerprint.embed([one, two])
+        if fingerprint.likeness(a, b) >= 0.8:
+            across += a[0].bit_length() != b[0].bit_length()
+            if set(fingerprint.band_keys(a)) & set(fingerprint.band_keys(b)):
+                found += 1
+            else:
+                missed += 1
+    assert found > 300 and across > 5
+    assert missed <= 0.01 * (found + missed), (found, missed)
+    assert all(len(fingerprint._bands(int(t))) for t in fingerprint._levels())
+
+
+def test_fingerprint_query_rows_have_their_links(spark):
+    text = "the quick brown fox jumps over"
+    rows = [(1, text), (2, text[:-1] + "#"), (7, "something else altogether, and longer"), (7, text), (None, text), (None, None), (3, "")]
+    found = fingerprint.linked_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r["doc_id"], r["n_chars"], r["class_id"], r["links"]) for r in found)
+    n = len(text)
+    assert got == Counter([(1, n, 1, 3), (2, n, 1, 3), (7, 37, 7, 0), (7, n, 1, 3), (None, n, 1, 3), (None, 0, 3, 1), (3, 0, 3, 1)])

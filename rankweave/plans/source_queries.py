@@ -73,6 +73,21 @@ def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.gap_report(tables.calendar(spark, *SPAN), present(spark, sf_dir))
 
 
+# the calendar above is fixed to two years; these take it from the table
+WANTED_ALL = "SELECT CAST(d AS DATE) AS day, kind FROM (SELECT unnest(generate_series(min(race_date), max(race_date), INTERVAL 1 DAY)) AS d FROM v), (VALUES ('a'), ('b')) AS k(kind)"
+
+
+@query(on_view("SELECT day, kind FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.day = w.day AND p.kind = w.kind)", six=SIX, p=PRESENT, w=WANTED_ALL))
+def date_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and kinds without a contest, from the first to the last day of the table."""
+    return tables.gaps(tables.calendar_over(contest_view(spark, sf_dir), SPAN[2]), present(spark, sf_dir))
+
+
+@query(on_view("SELECT CASE WHEN p.there IS NULL THEN 'missing' ELSE 'present' END AS status, count(*) AS n FROM w LEFT JOIN p USING (day, kind) GROUP BY 1", six=SIX, p=PRESENT.replace("DISTINCT", "DISTINCT 1 AS there,"), w=WANTED_ALL))
+def gap_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.gap_report(tables.calendar_over(contest_view(spark, sf_dir), SPAN[2]), present(spark, sf_dir))
+
+
 @query(on_view("SELECT max(day) AS day FROM (SELECT day FROM p WHERE kind = 'a' INTERSECT SELECT day FROM p WHERE kind = 'b')", six=SIX, p=PRESENT))
 def latest_common_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest_common_day(present(spark, sf_dir), "a", "b")

@@ -53,6 +53,12 @@ def calendar(spark: SparkSession, start: date, end: date, kinds: Sequence[str])
     return days.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
 
 
+def calendar_over(df: DataFrame, kinds: Sequence[str], day: str = "race_date") -> DataFrame:
+    """(day, kind) from the first to the last day of df; nothing if df has no day."""
+    days = df.agg(F.min(day).alias("first"), F.max(day).alias("last")).select(F.explode(F.sequence("first", "last")).alias("day"))
+    return days.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+
+
 def gaps(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """What of the calendar isn't there."""
     return wanted.join(present.select("day", "kind").distinct(), ["day", "kind"], "left_anti")

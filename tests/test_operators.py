@@ -161,3 +161,14 @@ def test_nulls_and_zero_denominators(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 3.0), (2, 3.0), (3, 0.0), (3, 0.0)], "contest_id int, x double")
     out = df.select("contest_id", relative.rank_min("x").alias("r"), relative.zscore("x").alias("z"), relative.minmax("x").alias("m"), relative.normalise("x").alias("n")).distinct().orderBy("contest_id").collect()
     assert [tuple(r) for r in out] == [(1, None, None, 0.0, 0.5), (2, 1, None, 0.0, 0.5), (3, 1, None, 0.0, 0.5)]
+
+
+def test_gaps_reach_from_the_first_to_the_last_day(spark):
+    days = [date(1996, 12, 30), date(1997, 1, 2)]
+    df = spark.createDataFrame([(d,) for d in days], "race_date date")
+    wanted = tables.calendar_over(df, ("a", "b"))
+    present = spark.createDataFrame([(days[0], "a"), (days[1], "a"), (days[1], "b")], "day date, kind string")
+    missing = {(r["day"].isoformat(), r["kind"]) for r in tables.gaps(wanted, present).collect()}
+    assert missing == {("1996-12-30", "b"), ("1996-12-31", "a"), ("1996-12-31", "b"), ("1997-01-01", "a"), ("1997-01-01", "b")}
+    assert {r["status"]: r["n"] for r in tables.gap_report(wanted, present).collect()} == {"missing": 5, "present": 3}
+    assert tables.calendar_over(df.limit(0), ("a",)).collect() == []

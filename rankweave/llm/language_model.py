@@ -10,7 +10,7 @@ added up, what each word needs: as the second of a pair its different
 predecessors and its occurrences, as the first its occurrences and how many
 followers it has once, twice and more often. No key travels more than once a
 task, so a word that is a third of all tokens is like any other. The number of
-ranges grows with the number of input partitions.
+ranges follows the bytes of the texts, `RANGE_BYTES` for each.
 
 Scoring looks the pairs of a block of texts up in the memory-mapped ranges.
 With discounts D from the counts of counts, c pairs, and w, v words,
@@ -24,14 +24,20 @@ word never seen has t = 0; behind a word never seen P(w) alone counts. The
 probabilities of the V tokens and of one unknown token add up to 1.
 
 The model folder must be a path that all workers see as a file path, as the
-shared checkpoint folder is. Null texts are empty: their only token is the
-end. Without training rows every token has probability 1. Equal rows count as
-often as they occur.
+shared checkpoint folder is. Every range has its files, empty ones too, and a
+worker that doesn't find one raises an error. Null texts are empty: their only
+token is the end. Without training rows every token has probability 1. Equal
+rows count as often as they occur. Columns of df that are named like the new
+ones are replaced; others pass through.
+
+Words are known by 56 bits of a hash: two of V words share one with a
+probability of about V * V / 2**57, one in 10**5 for a million words.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,6 +56,7 @@ WORD_BITS = 56  # hashes of words travel in seven bytes
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0) >> 8)
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"", 1) >> 8)
 CHUNK = 1 << 21
+RANGE_BYTES = 16 << 20  # of text; a range's pairs take about twice as much in a shuffle
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -104,7 +111,7 @@ def _ranges(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, slic
 def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Arrays as name.0.npy and so on; a task that runs again writes the same."""
     for i, array in enumerate(arrays):
-        part = f"{folder}/{name}.{i}.{os.getpid()}.part"
+        part = f"{folder}/{name}.{i}.{uuid.uuid4().hex}.part"
         with open(part, "wb") as file:
             np.save(file, array)
         os.replace(part, f"{folder}/{name}.{i}.npy")
@@ -141,12 +148,13 @@ def _folder(spark, model_dir: str | None) -> str:
     return parsed.path
 
 
-def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) -> Model:
-    """Count all texts of df."""
+def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, range_bytes: int = RANGE_BYTES) -> Model:
+    """Count all texts of df, which are read twice: for their bytes and for their pairs."""
     folder = _folder(df.sparkSession, model_dir)
     texts = df.select(text_of(text_col).alias("text"))
-    bits = max(3, (max(1, texts.rdd.getNumPartitions()) - 1).bit_length())
-    word_bits = max(3, bits - 3)
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = max(3, (n_bytes // range_bytes).bit_length())
+    word_bits = max(3, bits - 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -180,8 +188,8 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) ->
         keys = pair_keys(first, second)
         order = np.argsort(keys)
         keys = keys[order]
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        n, first, second, keys = np.add.reduceat(n[order], at), first[order[at]], second[order[at]], keys[at]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        n, first, second, keys = np.add.reduceat(n[order], at) if len(at) else n, first[order[at]], second[order[at]], keys[at]
         large = np.flatnonzero(n >= 255)
         _save(folder, f"pair-{part}", keys, np.minimum(n, 255).astype(np.uint8), large, n[large])
         once, twice = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
@@ -190,7 +198,7 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) ->
             for k, s in _ranges(words, word_bits, WORD_BITS):
                 rows.append((side, k, _seven(words[s]), np.stack([v[s] for v in sums]).astype("<u8").tobytes()))
         of_counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<u8")
-        rows.append((2, 0, b"", of_counts.tobytes()))
+        rows.append((2, part >> 8, b"", of_counts.tobytes()))
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["side", "part", "words", "sums"])
 
     def store(table: pa.Table) -> pa.Table:
@@ -200,7 +208,7 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) ->
             facts[:4] = sum(np.frombuffer(b.as_py(), "<u8").astype(np.int64) for b in table.column("sums"))
         else:
             words = [_eight(b.as_py()) for b in table.column("words")]
-            wide = [np.frombuffer(b.as_py(), "<u8").astype(np.int64).reshape(-1, len(w)) for b, w in zip(table.column("sums"), words, strict=True)]
+            wide = [np.frombuffer(b.as_py(), "<u8").astype(np.int64).reshape(2 if side == 0 else 4, len(w)) for b, w in zip(table.column("sums"), words, strict=True)]
             keys, *sums = _sum_by(np.concatenate(words), *np.concatenate(wide, axis=1))
             _save(folder, f"{'second' if side == 0 else 'first'}-{part}", keys, np.stack(sums))
             if side == 0:
@@ -208,9 +216,13 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) ->
                 facts[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), len(keys), types.sum(), occurrences.sum()]
         return pa.Table.from_arrays([pa.array([side], pa.int32()), *(pa.array([int(f)], pa.int64()) for f in facts)], names=["side", *(f"f{i}" for i in range(7))])
 
-    counted = texts.mapInArrow(count, "part int, first binary, second binary, n binary")
-    sums = counted.groupBy("part").applyInArrow(merge, "side int, part int, words binary, sums binary")
-    facts = sums.groupBy("side", "part").applyInArrow(store, "side int, " + ", ".join(f"f{i} long" for i in range(7)))
+    # an empty block for every range, so that each one writes its files
+    spark, nothing = df.sparkSession, F.lit(b"")
+    no_pairs = spark.range(1 << bits).select(F.col("id").cast("int").alias("part"), *(nothing.alias(c) for c in ("first", "second", "n")))
+    no_words = spark.range(2 << word_bits).select((F.col("id") % 2).cast("int").alias("side"), F.floor(F.col("id") / 2).cast("int").alias("part"), nothing.alias("words"), nothing.alias("sums"))
+    counted = texts.mapInArrow(count, "part int, first binary, second binary, n binary").unionByName(no_pairs)
+    sums = counted.repartition(1 << bits, "part").groupBy("part").applyInArrow(merge, "side int, part int, words binary, sums binary").unionByName(no_words)
+    facts = sums.repartition(2 << word_bits, "side", "part").groupBy("side", "part").applyInArrow(store, "side int, " + ", ".join(f"f{i} long" for i in range(7)))
     total = {r["side"]: [r[f"f{i}"] for i in range(7)] for r in facts.groupBy("side").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(7))).collect()}
     pairs, words = total.get(2, [0] * 7), total.get(0, [0] * 7)
     d = discounts(*words[:4])
@@ -220,14 +232,22 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None) ->
 
 
 @lru_cache(maxsize=4096)
-def _mapped(folder: str, name: str, parts: int) -> list[np.ndarray] | None:
-    if not os.path.exists(f"{folder}/{name}.0.npy"):
-        return None
-    return [np.load(f"{folder}/{name}.{i}.npy", mmap_mode="r") for i in range(parts)]
+def _mapped(folder: str, name: str, parts: int) -> list[np.ndarray]:
+    try:
+        return [_open(f"{folder}/{name}.{i}.npy") for i in range(parts)]
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"{e.filename} of the language model is not here: every worker must see the model folder as {folder}") from e
+
+
+def _open(path: str) -> np.ndarray:
+    array = np.load(path, mmap_mode="r")
+    return array if array.size else np.array(array)
 
 
 def _find(stored: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(stored, keys)
+    if not len(stored):
+        return at, np.zeros(len(keys), bool)
     at[at == len(stored)] = 0
     return at, stored[at] == keys
 
@@ -242,22 +262,23 @@ class Scorer:
         """Sums of rising word hashes, 0 for words not seen."""
         out = np.zeros((columns, len(keys)), np.int64)
         for part, s in _ranges(keys, self.model.word_bits, WORD_BITS):
-            if stored := _mapped(self.model.folder, f"{kind}-{part}", 2):
-                at, hit = _find(stored[0], keys[s])
-                out[:, s] = np.where(hit, stored[1][:, at], 0)
+            stored = _mapped(self.model.folder, f"{kind}-{part}", 2)
+            at, hit = _find(stored[0], keys[s])
+            out[:, s][:, hit] = stored[1][:, at[hit]]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """Counts of rising pair keys."""
         out = np.zeros(len(keys), np.int64)
         for part, s in _ranges(keys, self.model.pair_bits, 64):
-            if stored := _mapped(self.model.folder, f"pair-{part}", 4):
-                at, hit = _find(stored[0], keys[s])
-                n = np.where(hit, stored[1][at], 0).astype(np.int64)
-                over = np.flatnonzero(n == 255)
-                if len(over):
-                    n[over] = stored[3][np.searchsorted(stored[2], at[over])]
-                out[s] = n
+            stored = _mapped(self.model.folder, f"pair-{part}", 4)
+            at, hit = _find(stored[0], keys[s])
+            n = np.zeros(len(at), np.int64)
+            n[hit] = stored[1][at[hit]]
+            over = np.flatnonzero(n == 255)
+            if len(over):
+                n[over] = stored[3][np.searchsorted(stored[2], at[over])]
+            out[s] = n
         return out
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +296,7 @@ class Scorer:
         context, once, twice, often = self.words("first", befores, 4)
         keys, of_pair = np.unique(pair_keys(first, second), return_inverse=True)
         n = self.pairs(keys)
-        base = np.log10((seen + 1.0) / ((m.train_tokens + 1.0) * (m.vocabulary + 1.0)))[of_second]
+        base = np.log10((seen + 1.0) / (m.train_tokens + m.vocabulary + 1.0))[of_second]
         lower = (types - self._discount(types, m.word_discounts)) / max(m.pair_types, 1) + m.left_over / (m.vocabulary + 1.0)
         d = m.pair_discounts
         back = np.where(context > 0, (d[0] * once + d[1] * twice + d[2] * often) / np.maximum(context, 1), 1.0)

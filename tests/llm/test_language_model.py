@@ -1,8 +1,10 @@
 """The Kneser-Ney model against a version with dictionaries."""
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 
@@ -55,7 +57,7 @@ def test_scores_are_those_of_the_dictionaries(spark):
         assert found[i]["n_tokens"] == len(w)
         assert found[i]["n_known"] == sum(counts[x] > 0 for x in w)
         assert found[i]["score"] == pytest.approx(sum(math.log10(p(b, a)) for a, b in zip(["\0begin", *w], w)), rel=1e-12)
-        assert found[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / ((n + 1) * (v + 1))) for x in w), rel=1e-12)
+        assert found[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w), rel=1e-12)
     for a in ("the", "\0begin", "never seen"):
         assert sum(p(b, a) for b in [*counts, "\0unknown"]) == pytest.approx(1)
 
@@ -77,3 +79,34 @@ def test_counts_over_255_are_whole(spark):
 def test_a_folder_that_cannot_be_mapped_is_refused(spark):
     with pytest.raises(ValueError, match="mounted path"):
         lm.fit(spark.createDataFrame([("a",)], "text string"), model_dir="hdfs://somewhere/model")
+
+
+def test_the_base_of_a_literal_table(spark):
+    # N = 100 tokens, V = 20 types: an unknown token has 1 / (100 + 21)
+    texts = [" ".join(f"w{k}" for k in range(19))] * 5
+    model = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert (model.train_tokens, model.vocabulary) == (100, 20)
+    row = lm.score(spark.createDataFrame([(1, "x y w0")], "doc_id long, text string"), model).collect()[0]
+    assert row["base_score"] == pytest.approx(2 * math.log10(1 / 121) + 2 * math.log10(6 / 121))
+
+
+def test_an_absent_range_is_an_error(spark):
+    model = lm.fit(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    df = spark.createDataFrame([(1, "the cat sat")], "doc_id long, text string")
+    assert lm.score(df, model).count() == 1
+    lm._mapped.cache_clear()
+    with pytest.raises(Exception, match="is not here"):
+        lm.Scorer(replace(model, folder="/nonexistent")).score([lm.word_hashes("a")])
+    for k in range(1 << model.pair_bits):
+        os.rename(f"{model.folder}/pair-{k}.0.npy", f"{model.folder}/pair-{k}.gone")
+    with pytest.raises(Exception, match="is not here"):
+        lm.Scorer(model).score([lm.word_hashes("the cat")])
+
+
+def test_the_number_of_ranges_changes_nothing(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    few, many = (lm.fit(df, range_bytes=b) for b in (1 << 20, 40))
+    assert many.pair_bits > few.pair_bits
+    rows = [sorted(map(tuple, lm.score(df, m).collect())) for m in (few, many)]
+    assert [r[0] for r in rows[0]] == [r[0] for r in rows[1]]
+    assert all(a[1:] == pytest.approx(b[1:]) for a, b in zip(*rows, strict=True))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, chat, exact_dedup, fingerprint, jaccard, language_model, packing, pii, token_count, toxicity
-from rankweave.llm.scratch import documents, fold, text_of
+from rankweave.llm.scratch import documents, fold, text_of, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -69,8 +69,8 @@ def _joined(spans: str):
 
 @query
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = pii.find(docs, pii.fit(docs)).drop("text")
+    marked = written(pii.mark(documents(spark, sf_dir).select("doc_id", "text")), "personal-data-marked")
+    found = pii.find(marked, pii.fit(marked))
     of = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *of, F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
@@ -91,7 +91,6 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))

@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(lower)
         labels = after.select("node", "label")
         if not moved:
+            discard(both)
             return labels.withColumnRenamed("label", "component")

@@ -2,8 +2,8 @@
 
 Every stage reads all that the one before it kept, and all but the last give
 the columns of documents. Null texts count as empty ones throughout: no stage
-drops them but as copies of each other. A null doc_id is never dropped by the
-near-copy stage, as its row can't be named.
+drops them but as copies of each other. A null doc_id is an id like others;
+of rows that share an id each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -27,17 +27,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that chains of links join (word 5-grams, Jaccard 0.8) the smallest doc_id stays."""
-    classes = jaccard.jaccard_join(docs)
-    gone = written(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-gone")
-    if gone.count() <= jaccard.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of texts that chains of links join (word 5-grams, Jaccard 0.8) the row of the smallest doc_id stays."""
+    return jaccard.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become [KIND]; n_chars follows."""
-    clean = pii.find(docs, pii.fit(docs), redact=True)
+    marked = written(pii.mark(docs, keep_text=True), "pipeline-marked")
+    clean = pii.redact(marked, pii.fit(marked))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

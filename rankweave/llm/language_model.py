@@ -56,7 +56,7 @@ WORD_BITS = 56  # hashes of words travel in seven bytes
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0) >> 8)
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"", 1) >> 8)
 CHUNK = 1 << 21
-RANGE_BYTES = 16 << 20  # of text; a range's pairs take about twice as much in a shuffle
+RANGE_BYTES = 32 << 20  # of text; a range's pairs take about twice as much in a shuffle
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -196,13 +196,14 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, ran
         rows = []
         for side, (words, *sums) in enumerate((_sum_by(second, np.ones_like(n), n), _sum_by(first, n, once, twice, 1 - once - twice))):
             for k, s in _ranges(words, word_bits, WORD_BITS):
-                rows.append((side, k, _seven(words[s]), np.stack([v[s] for v in sums]).astype("<u8").tobytes()))
+                rows.append((2 * k + side, _seven(words[s]), np.stack([v[s] for v in sums]).astype("<u8").tobytes()))
         of_counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<u8")
-        rows.append((2, part >> 8, b"", of_counts.tobytes()))
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["side", "part", "words", "sums"])
+        rows.append(((2 << word_bits) + (part >> 8), b"", of_counts.tobytes()))
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["place", "words", "sums"])
 
     def store(table: pa.Table) -> pa.Table:
-        side, part = table.column("side")[0].as_py(), table.column("part")[0].as_py()
+        place = table.column("place")[0].as_py()
+        part, side = divmod(place, 2) if place < 2 << word_bits else (0, 2)
         facts = np.zeros(7, np.int64)
         if side == 2:
             facts[:4] = sum(np.frombuffer(b.as_py(), "<u8").astype(np.int64) for b in table.column("sums"))
@@ -216,13 +217,13 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, ran
                 facts[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), len(keys), types.sum(), occurrences.sum()]
         return pa.Table.from_arrays([pa.array([side], pa.int32()), *(pa.array([int(f)], pa.int64()) for f in facts)], names=["side", *(f"f{i}" for i in range(7))])
 
-    # an empty block for every range, so that each one writes its files
+    # an empty block for every range, so that each one writes its files; a range is a partition
     spark, nothing = df.sparkSession, F.lit(b"")
     no_pairs = spark.range(1 << bits).select(F.col("id").cast("int").alias("part"), *(nothing.alias(c) for c in ("first", "second", "n")))
-    no_words = spark.range(2 << word_bits).select((F.col("id") % 2).cast("int").alias("side"), F.floor(F.col("id") / 2).cast("int").alias("part"), nothing.alias("words"), nothing.alias("sums"))
+    no_words = spark.range(2 << word_bits).select(F.col("id").cast("int").alias("place"), nothing.alias("words"), nothing.alias("sums"))
     counted = texts.mapInArrow(count, "part int, first binary, second binary, n binary").unionByName(no_pairs)
-    sums = counted.repartition(1 << bits, "part").groupBy("part").applyInArrow(merge, "side int, part int, words binary, sums binary").unionByName(no_words)
-    facts = sums.repartition(2 << word_bits, "side", "part").groupBy("side", "part").applyInArrow(store, "side int, " + ", ".join(f"f{i} long" for i in range(7)))
+    sums = counted.repartitionById(1 << bits, F.col("part")).groupBy("part").applyInArrow(merge, "place int, words binary, sums binary").unionByName(no_words)
+    facts = sums.repartitionById(2 << word_bits, F.col("place")).groupBy("place").applyInArrow(store, "side int, " + ", ".join(f"f{i} long" for i in range(7)))
     total = {r["side"]: [r[f"f{i}"] for i in range(7)] for r in facts.groupBy("side").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(7))).collect()}
     pairs, words = total.get(2, [0] * 7), total.get(0, [0] * 7)
     d = discounts(*words[:4])

@@ -12,7 +12,7 @@ Results are hash-joined with the calls of their conversation by identifier;
 where an identifier is used twice, the call that comes first has it. An
 argument {"$ref": "c1"} needs the result of that call. Messages are ordered
 topologically: by turn, but never before what they need. A cycle of needs
-leaves its messages where their turns put them. Arguments are checked against
+leaves the messages of its conversation where their turns put them. Arguments are checked against
 the declared schema (required names, undeclared names, types); a call without
 a schema is not valid. All JSON is canonical: keys sorted, no white space.
 
@@ -98,26 +98,30 @@ def _problems() -> Column:
 def _places(needs: DataFrame) -> DataFrame:
     """(conv, turn, role, text, anchor, depth) of messages that need others, from edges (conv, turn.., on: what is needed).
 
-    The longest way through the needs is found by relaxing all edges until
-    nothing changes. A conversation can't change for more rounds than it has
-    edges unless they form a cycle; then its messages keep their turns.
+    A message's place is the largest (turn, steps) of all that it leads to by
+    steps from need to need. Each round doubles the steps that a jump takes, so
+    a chain of n needs takes about log2(n) rounds. Steps beyond the number of
+    edges of a conversation are possible in a cycle only; then its messages
+    keep their turns.
     """
-    own = F.struct(F.col("turn").alias("anchor"), F.lit(0).alias("depth"))
-    edges = written(needs.distinct(), "chat-needs")
-    longest = edges.groupBy("conv").count().agg(F.max("count")).head()[0] or 0
-    nodes = edges.select(*KEY).unionByName(edges.select("on.*")).distinct().withColumn("place", own)
-    nodes = written(nodes.withColumn("moved", F.lit(True)), "chat-places")
-    for _ in range(longest + 1):
-        before = nodes.select(F.struct(*KEY).alias("on"), F.col("place").alias("pushed"))
-        pushed = edges.join(before, edges["on"].eqNullSafe(before["on"])).groupBy(*[edges[c] for c in KEY]).agg(F.max(F.struct(F.col("pushed.anchor"), (F.col("pushed.depth") + 1).alias("depth"))).alias("pushed"))
-        after = nodes.join(pushed, _same(nodes, pushed, KEY), "left").select(*[nodes[c] for c in KEY], F.greatest("place", "pushed").alias("place"), (F.coalesce(F.col("pushed") > F.col("place"), F.lit(False))).alias("moved"))
-        after = written(after, "chat-places")
-        discard(nodes)
-        nodes = after
-        if not nodes.where("moved").head(1):
-            break
-    cyclic = nodes.where("moved").select(F.col("conv").alias("c")).distinct().withColumn("cyclic", F.lit(True))
-    placed = nodes.join(cyclic, F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    own = F.struct(F.col("turn").alias("anchor"), F.lit(0).cast("long").alias("depth"))
+    edges = needs.select(F.struct(*KEY).alias("v"), F.col("on").alias("u")).distinct()
+    jumps = written(edges, "chat-needs")
+    longest = jumps.groupBy("v.conv").count().agg(F.max("count")).head()[0] or 0
+    nodes = jumps.select("v.*").unionByName(jumps.select("u.*")).distinct().select(F.struct(*KEY).alias("v"), own.alias("place"))
+    nodes, steps = written(nodes, "chat-places"), 1
+    while steps <= 2 * longest and jumps.head(1):
+        far = nodes.select(F.col("v").alias("u"), F.col("place").alias("pushed"))
+        pushed = jumps.join(far, jumps["u"].eqNullSafe(far["u"])).groupBy("v").agg(F.max(F.struct(F.col("pushed.anchor").alias("anchor"), (F.col("pushed.depth") + steps).alias("depth"))).alias("pushed"))
+        pushed = pushed.withColumnRenamed("v", "w")
+        after = written(nodes.join(pushed, F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.greatest("place", "pushed").alias("place")), "chat-places")
+        onward = jumps.select(F.col("v").alias("u"), F.col("u").alias("next"))
+        twice = written(jumps.join(onward, jumps["u"].eqNullSafe(onward["u"])).select("v", F.col("next").alias("u")).distinct(), "chat-needs")
+        for used in (nodes, jumps):
+            discard(used)
+        nodes, jumps, steps = after, twice, 2 * steps
+    cyclic = jumps.select(F.col("v.conv").alias("c")).distinct().withColumn("cyclic", F.lit(True))
+    placed = nodes.select("v.*", "place").join(cyclic, F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
     place = F.when(F.col("cyclic"), own).otherwise(F.col("place"))
     return placed.select(*KEY, place["anchor"].alias("anchor"), place["depth"].alias("depth"))
 
@@ -125,11 +129,11 @@ def _places(needs: DataFrame) -> DataFrame:
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
     """(conversation, part, n_messages, n_calls, n_invalid, n_results, n_unlinked, chat): `chat` is a JSON array of messages."""
     messages = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    talk = messages.withColumn("body", _object(F.col("text"))).where("body is not null")
-    if talk.where(_call("body").isNotNull() | F.try_variant_get("body", "$.tool_call_id", "string").isNotNull()).head(1):
-        rows = _with_tools(messages, talk)
-    else:
-        rows = messages.select(*KEY, F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(0).alias("calls"), F.lit(0).alias("invalid"), F.lit(0).alias("results"), F.lit(0).alias("unlinked"), _plain().alias("message"))
+    # only JSON objects can call, answer or declare; nothing else takes part in a join
+    body = _object(F.col("text"))
+    zero = [F.lit(0).alias(c) for c in ("calls", "invalid", "results", "unlinked")]
+    plain = messages.where(body.isNull()).select(*KEY, F.col("turn").alias("anchor"), F.lit(0).cast("long").alias("depth"), *zero, _plain().alias("message"))
+    rows = plain.unionByName(_with_tools(messages.withColumn("body", body).where("body is not null")))
     part = F.floor(F.col("anchor") / part_turns)
     ordered = F.struct("anchor", "depth", "turn", "role", "text", "message")
     numbers = [F.sum(c).cast("long").alias(f"n_{c}") for c in ("calls", "invalid", "results", "unlinked")]
@@ -145,7 +149,8 @@ def _plain() -> Column:
     return F.to_json(F.struct(F.col("text").alias("content"), "role"), KEEP_NULLS)
 
 
-def _with_tools(messages: DataFrame, talk: DataFrame) -> DataFrame:
+def _with_tools(talk: DataFrame) -> DataFrame:
+    """The messages that are JSON objects, linked, placed and checked."""
     calls, schemas = _calls(talk), _schemas(talk)
     results = talk.where("role = 'tool'").select(*KEY, F.try_variant_get("body", "$.tool_call_id", "string").alias("id"), F.to_json(F.try_variant_get("body", "$.content", "variant")).alias("content")).where("id is not null")
     first = calls.groupBy("conv", "id").agg(F.min_by(F.struct(*KEY), F.struct("turn", "nth", "text")).alias("on")).withColumnRenamed("conv", "c").withColumnRenamed("id", "i")
@@ -162,7 +167,7 @@ def _with_tools(messages: DataFrame, talk: DataFrame) -> DataFrame:
     # equal messages have equal calls: each is counted once a message, not once a copy
     of_message = of_message.withColumn("calls", F.array_distinct("calls"))
     unique = linked.select(*KEY, "id", "content", F.col("on").isNotNull().alias("linked")).distinct()
-    rows = messages
+    rows = talk.select(*KEY)
     for side, prefix in ((of_message, "m"), (unique, "r"), (places, "p")):
         renamed = side.select(*[F.col(c).alias(f"{prefix}_{c}") for c in side.columns])
         condition = F.lit(True)
@@ -177,7 +182,7 @@ def _with_tools(messages: DataFrame, talk: DataFrame) -> DataFrame:
     message = F.when(has_calls, with_calls).when(is_result, with_result).otherwise(_plain())
     count = lambda c: F.when(c, 1).otherwise(0)
     return rows.select(
-        *KEY, F.coalesce("p_anchor", "turn").alias("anchor"), F.coalesce("p_depth", F.lit(0)).alias("depth"),
+        *KEY, F.coalesce("p_anchor", "turn").alias("anchor"), F.coalesce("p_depth", F.lit(0).cast("long")).alias("depth"),
         F.coalesce(F.size("m_calls"), F.lit(0)).alias("calls"), F.when(has_calls, F.aggregate("m_calls", F.lit(0), lambda n, c: n + c["bad"])).otherwise(0).alias("invalid"),
         count(is_result).alias("results"), count(is_result & ~F.col("r_linked")).alias("unlinked"), message.alias("message"),
     )

@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences into bins of several permitted capacities.
 
-Rows are dealt into shards by a hash of the row; a shard has about `shard_rows`
-rows whatever the table's size, so that one task never holds more than that.
+Rows are dealt into shards by a hash of the row and its place in the input; a
+shard has about `shard_rows` rows whatever the table's size, so that one task
+never holds more than that, even of rows that are all alike.
 In a shard the pieces are placed by falling length, each into the open bin
 with the least room that still takes it. Where none does, a bin is opened at
 the capacity of least expected cost per token: its cost over what it can be
@@ -90,7 +91,7 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: Sequ
     costs = list(costs) if costs is not None else bin_costs(caps)
     rows = df.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("length"))
     shards = max(1, math.ceil(df.count() / shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "length"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type)] + [T.StructField(c, T.LongType()) for c in ("piece", "piece_start", "piece_length", "bin", "bin_capacity", "bin_start")])
     top = caps[-1]
@@ -109,4 +110,4 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: Sequ
         out = {id_col: group["id"].iloc[row].array, "piece": nth, "piece_start": nth * top, "piece_length": size[order], "bin": first + where, "bin_capacity": final[where], "bin_start": place}
         return pd.DataFrame(out)
 
-    return rows.groupBy("shard").applyInPandas(run, schema)
+    return rows.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(run, schema)

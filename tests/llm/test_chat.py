@@ -40,6 +40,19 @@ def test_cycles_keep_their_turns(spark):
     assert [m["role"] for m in messages] == ["assistant", "tool", "assistant", "tool"]
 
 
+def test_a_deep_chain_and_shared_needs_follow_the_longest_way(spark):
+    # every call needs the result of the one with the next number, and all stand in reverse order
+    n, rows = 40, []
+    for k in range(n):
+        refs = {"x": {"$ref": f"c{k + 1}"}} if k < n - 1 else {}
+        if k % 5 == 0:
+            refs["y"] = {"$ref": f"c{n - 1}"}
+        rows += [(5, 2 * k, "assistant", json.dumps({"tool_calls": [call(f"c{k}", refs)]})), (5, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"c{k}", "content": str(k)}))]
+    messages = json.loads(chats(spark, rows, part_turns=1000)[5, 0]["chat"])
+    order = [(m.get("tool_call_id") or m["tool_calls"][0]["id"], m["role"]) for m in messages]
+    assert order == [(f"c{k}", role) for k in reversed(range(n)) for role in ("assistant", "tool")]
+
+
 def test_nulls_ties_repeats_and_parts(spark):
     rows = [(None, None, None, None), (2, 0, "user", "{broken"), (2, 0, "user", "{broken"), (2, 0, "assistant", ""), (2, 300, "user", "x" * 50_000)]
     found = chats(spark, rows)

@@ -131,9 +131,10 @@ CH2 = f"SELECT *, {clip('top')} AS pressure, {clip(f'max(CASE WHEN position = 1
 def challengers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Challenger scores, the main candidate, the favourite's reliability and the risk of a collapse."""
     df = slot_shares(spark, sf_dir)
-    df = df.withColumn("challenger", F.round(ch.challenger("lead_time", "trial_time", "raw_score", "machine_a", "machine_b", "raw_score"), 12))
-    df = df.withColumn("base", ch.favourite_base("raw_score", "raw_score", "raw_score", "lead_time", "trial_time", "machine_a", "machine_b"))
-    df = df.withColumn("outer", ch.outer_score("challenger", "machine_b", "machine_a", "lead_time", "trial_time")).withColumns(ch.flow()).withColumn("candidate", ch.candidate())
+    form, engine, craft = "raw_score", "machine_a", "machine_b"
+    measures = {"lead": "lead_time", "trial": "trial_time", "machine": engine, "place_top3": craft, "site_win": craft, "site_top3": craft, "challenger": "challenger", **dict.fromkeys(("top3", "attack", "win", "local"), form)}
+    df = df.withColumns(ch.scores(measures)).withColumn("challenger", F.round("challenger", 12))
+    df = df.withColumn("outer", ch.outer(measures)).withColumns(ch.contest_flow()).withColumn("candidate", ch.candidate())
     return df.select(*KEY, "challenger", "candidate", F.round("reliability", 9).alias("reliability"), F.round("collapse", 9).alias("collapse"), F.round(ch.outer_fit(), 9).alias("outer_fit"), ch.support().alias("support"))
 
 

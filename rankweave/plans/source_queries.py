@@ -25,7 +25,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("outcome_rank", row.alias("row")))), lambda x: x["row"]), "\n")
     first = lambda k: F.max(F.when(F.col("outcome_rank") == k, F.col("slot")))
     contest = six.groupBy("race_date", "site", "no").agg(ordered.alias("rows"), F.concat_ws("-", first(1), first(2), first(3)).alias("ticket"), F.first("payout").alias("payout"))
-    head = F.format_string("  %dR       heat           H1800m  晴　  風  北　 %dm  波　 %dcm\n着順 艇 選手名 まくり差し\n-----\n", "no", F.col("no") % 7, F.col("no") % 5)
+    head = F.format_string("  %dR       heat           H1800m  晴　  風  北　 %dm  波　 %dcm\n着順 艇 選手名 ﾚｰｽﾀｲﾑ まくり差し\n-----\n", "no", F.col("no") % 7, F.col("no") % 5)
     block = F.concat(head, "rows", F.format_string("\n\n      ３連単   %s   %d  人気  1\n", "ticket", F.floor("payout").cast("long")))
     blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", block.alias("block")))), lambda x: x["block"]), "\n")
     top = F.format_string("STARTK\n%02dKBGN\nS%s［成績］\n   %s\n\n", F.expr(f"cast({CODE} as int)"), F.expr(CODE), F.date_format("race_date", "yyyy/ M/ d"))

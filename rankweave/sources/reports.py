@@ -16,12 +16,13 @@ from rankweave.functions import dates, text
 
 # The layout of the reports.
 SECTION = r"^\s*(\d{2})[BK]BGN\s*$"
-RESULT_HEADER = r"^\s*(\d{1,2})R\s+(.+?)\s+H(\d+)m\s+(.+?)\s+風\s+(.+?)\s+(\d+)m\s+波\s+(\d+)cm\s*$"
-ENTRY_HEADER = r"^\s*(\d{1,2})R\s+(.+?)\s+H(\d+)m"
-RESULT_ROW = r"^\s*([0-9A-Z]{1,2})\s+([1-6])\s+(\d{4})\s+(.+?)\s+(\d+)\s+(\d+)\s+(.*)$"
-ENTRY_ROW = r"^\s*([1-6])\s+(\d{4})(.+?)(\d{1,2})([^\d]{2,3})(\d{2})([AB]\d)\s+(\d+\.\d{2})\s*(\d+\.\d{2})\s+(\d+\.\d{2})\s*(\d+\.\d{2})\s+(\d+)\s+(\d+\.\d{2})\s*(\d{1,3})\s*(\d+\.\d{2})\s*(.*)$"
+CONTEST_NO = r"^\s*(\d{1,2})R\s"
+DISTANCE = r"H\d+m"
+WIND, WAVE = "風", "波"
+GRADE = r"[AB]\d"
 PAYOUT = r"^\s*(?:３連単|3連単)\s+([1-6]-[1-6]-[1-6])\s+(\d+)\b"
 STYLE = r"決まり手\s+(\S+)"
+CLOCK_LABELS = ("レースタイム", "ﾚｰｽﾀｲﾑ")
 STYLES = ("まくり差し", "まくり", "恵まれ", "逃げ", "差し", "抜き")  # longest first
 SITE = r"^\s*([^\d\s]{1,6})\s*(?:［成績］|\[成績\]|競艇場|競走場|ボートレース)"
 DEADLINE = r"^\s*(\d{1,2})R.*予定(?:時刻)?\s*(\d{1,2}):(\d{2})"
@@ -46,14 +47,81 @@ def _got(pattern: str, group: int = 1, of: str = "plain") -> Column:
     return F.nullif(F.regexp_extract(of, pattern, group), F.lit(""))
 
 
-def carried(rows: DataFrame, header: str) -> DataFrame:
+def is_header() -> Column:
+    """A contest's first line: its number and, further on, a distance."""
+    return F.col("plain").rlike(CONTEST_NO) & F.col("plain").rlike(DISTANCE)
+
+
+def _after(x: Column, mark: str) -> Column:
+    """What follows the first mark; null where it doesn't occur."""
+    at = F.instr(x, F.lit(mark))
+    return F.when(at > 0, F.substr(x, at + len(mark)))
+
+
+def _before(x: Column, mark: str) -> Column:
+    return F.substring_index(x, mark, 1)
+
+
+def conditions() -> Column:
+    """(weather, wind_direction, wind_speed, wave) of a header line, null where it names no wind and wave."""
+    behind = F.regexp_replace("plain", r"^.*?" + DISTANCE, "")
+    wind = F.split(F.trim(_before(_after(behind, WIND), WAVE)), r"\s+")
+    number = lambda x, unit: F.regexp_extract(x, r"(\d+)" + unit, 1).try_cast("long")
+    speed, direction = number(F.element_at(wind, -1), "m"), F.array_join(F.slice(wind, 1, F.greatest(F.size(wind) - 1, F.lit(0))), " ")
+    fields = F.struct(text.collapse(_before(behind, WIND)).alias("weather"), text.collapse(direction).alias("wind_direction"), speed.alias("wind_speed"), number(_after(behind, WAVE), "cm").alias("wave"))
+    return F.when(is_header() & behind.contains(WIND) & behind.contains(WAVE), fields)
+
+
+def result_fields() -> Column:
+    """(token, slot, entity_id, name, machine_a, machine_b, tail) of a result line, null for other lines.
+
+    Three words stand before the name: outcome, slot and a number of four
+    digits. The name ends where two whole numbers follow each other; what is
+    behind them is the tail.
+    """
+    words = F.filter(F.split("plain", r"\s+"), lambda w: w != "")
+    word = lambda k: F.try_element_at(words, k if isinstance(k, Column) else F.lit(k))
+    whole = lambda k: F.coalesce(word(k).rlike(r"^\d+$"), F.lit(False))
+    places = F.filter(F.sequence(F.lit(5), F.greatest(F.size(words), F.lit(5))), lambda k: whole(k) & whole(k + 1))
+    at = F.try_element_at(places, F.lit(1))
+    rest = lambda start, n: F.slice(words, start, F.greatest(n, F.lit(0)))
+    fields = F.struct(
+        word(1).alias("token"), word(2).try_cast("long").alias("slot"), word(3).try_cast("long").alias("entity_id"), F.array_join(rest(4, at - 4), "").alias("name"),
+        word(at).try_cast("long").alias("machine_a"), word(at + 1).try_cast("long").alias("machine_b"), F.array_join(rest(at + 2, F.size(words) - at - 1), " ").alias("tail"),
+    )
+    shaped = word(1).rlike(r"^[0-9A-Z]{1,2}$") & word(2).rlike(r"^[1-6]$") & word(3).rlike(r"^\d{4}$")
+    return F.when(shaped & at.isNotNull(), fields)
+
+
+def entry_fields() -> Column:
+    """(slot, entity_id, name, age, weight, grade, numbers, tail) of a programme line, null for other lines.
+
+    The grade divides the line: who it is before it, eight numbers and the
+    meet's results behind it. Decimals have two digits, which tells numbers
+    apart that stand without a space.
+    """
+    number = r"\d+\.\d\d|\d+"
+    grade = F.regexp_extract("plain", r"\d(" + GRADE + r")\s", 1)
+    head, behind = F.regexp_extract("plain", r"^(.*?\d)" + GRADE + r"\s", 1), F.regexp_extract("plain", r"\d" + GRADE + r"\s(.*)$", 1)
+    who = F.regexp_extract(head, r"^\s*[1-6]\s+\d{4}(.*)$", 1)
+    ages = F.regexp_extract_all(who, F.lit(r"(\d+)"), F.lit(1))
+    numbers = F.regexp_extract_all(behind, F.lit(f"({number})"), F.lit(1))
+    fields = F.struct(
+        F.regexp_extract(head, r"^\s*([1-6])\s", 1).try_cast("long").alias("slot"), F.regexp_extract(head, r"^\s*[1-6]\s+(\d{4})", 1).try_cast("long").alias("entity_id"), F.regexp_extract(who, r"^(\D+)", 1).alias("name"),
+        F.try_element_at(ages, F.lit(1)).try_cast("long").alias("age"), F.try_element_at(ages, F.lit(2)).try_cast("double").alias("weight"), grade.alias("grade"),
+        numbers.alias("numbers"), F.trim(F.regexp_replace(behind, rf"^\s*(?:(?:{number})\s*){{8}}", "")).alias("tail"),
+    )
+    return F.when((grade != "") & (who != "") & (F.size(ages) >= 2) & (F.size(numbers) >= 8), fields)
+
+
+def carried(rows: DataFrame) -> DataFrame:
     """Lines with section, site, day and contest number of the last line before that had one, and dashes since the header."""
     seen = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     day = dates.text_date(F.col("line"))
     site = text.without_spaces(_got(SITE, of="line"))
     # the first site and day of the head count for lines before them
-    facts = {"section": _got(SECTION), "site": site, "race_date": day, "contest_no": _got(header).try_cast("int"), "header_line": F.when(F.col("plain").rlike(header), F.col("line_no"))}
+    facts = {"section": _got(SECTION), "site": site, "race_date": day, "contest_no": F.when(is_header(), _got(CONTEST_NO)).try_cast("int"), "header_line": F.when(is_header(), F.col("line_no"))}
     rows = rows.withColumns({f"_{k}": v for k, v in facts.items()})
     rows = rows.withColumns({k: F.last(f"_{k}", ignorenulls=True).over(seen) for k in facts})
     rows = rows.withColumns({k: F.coalesce(k, F.first(f"_{k}", ignorenulls=True).over(whole)) for k in ("site", "race_date")})
@@ -70,42 +138,48 @@ def _first_six(rows: DataFrame) -> DataFrame:
 
 def payouts(rows: DataFrame) -> DataFrame:
     """(contest_id, race_date, site, contest_no, ticket, payout) of the ordered bet, the first of each contest."""
-    found = carried(rows, ENTRY_HEADER).where(F.col("plain").rlike(PAYOUT) & F.col("contest_id").isNotNull())
+    found = carried(rows).where(F.col("plain").rlike(PAYOUT) & F.col("contest_id").isNotNull())
     first = F.row_number().over(Window.partitionBy("contest_id").orderBy("file", "line_no"))
     return found.withColumn("n", first).where("n = 1").select("contest_id", "race_date", "site", "contest_no", _got(PAYOUT).alias("ticket"), _got(PAYOUT, 2).try_cast("double").alias("payout"))
 
 
 def results(rows: DataFrame) -> DataFrame:
-    """One row for each entrant with outcome, measures, the contest's weather, style and payout."""
-    at = carried(rows, RESULT_HEADER)
+    """One row for each entrant with outcome, measures, the contest's weather, style and payout.
+
+    A line is parsed once, into a struct by its sort. What a contest's other
+    lines say is carried in one struct, and only entrant and payout lines go on.
+    """
     since = Window.partitionBy("file", "header_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    contest = Window.partitionBy("contest_id")
-    head = lambda g: F.last(_got(RESULT_HEADER, g), ignorenulls=True).over(since)
-    table_style = F.when(F.col("plain").contains("レーサー") | F.col("plain").contains("選手名") | F.col("plain").contains("ﾚｰｻｰ"), _got("(" + "|".join(STYLES) + ")"))
-    style = F.last(F.coalesce(_got(STYLE), table_style), ignorenulls=True).over(since)
-    at = at.where("contest_no is not null").withColumns({"weather": text.collapse(head(4)), "wind_direction": text.collapse(head(5)), "wind_speed": head(6).try_cast("long"), "wave": head(7).try_cast("long"), "style": text.collapse(style)})
-    at = at.withColumn("payout", F.first(_got(PAYOUT, 2).try_cast("double"), ignorenulls=True).over(contest.orderBy("file", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    found = _first_six(at.where((F.col("dashes") >= 1) & F.col("plain").rlike(RESULT_ROW) & ~F.col("plain").rlike(PAYOUT)))
-    token, tail = text.rank_token(_got(RESULT_ROW)), text.tail_fields(F.regexp_extract("plain", RESULT_ROW, 7))
-    got = lambda g: _got(RESULT_ROW, g)
+    plain = F.col("plain")
+    # the last column of the table's head is the clock; the contest's style stands behind its label
+    table_head = _got(rf"(?:{'|'.join(CLOCK_LABELS)})\s*({'|'.join(STYLES)})")
+    style = text.collapse(F.coalesce(_got(STYLE), table_head))
+    at = carried(rows).where("contest_no is not null")
+    at = at.withColumns({"row": F.when((F.col("dashes") >= 1) & ~plain.rlike(PAYOUT), result_fields()), "sky": conditions(), "style": style, "paid": _got(PAYOUT, 2).try_cast("double")})
+    at = at.withColumns({c: F.last(c, ignorenulls=True).over(since) for c in ("sky", "style")}).where("row is not null or paid is not null")
+    contest = Window.partitionBy("contest_id").orderBy("file", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = at.withColumn("payout", F.first("paid", ignorenulls=True).over(contest))
+    found = _first_six(at.where("row is not null"))
+    token, tail = text.rank_token(F.col("row.token")), text.tail_fields(F.col("row.tail"))
     return found.select(
-        "contest_id", "race_date", "site", F.col("contest_no").cast("long").alias("contest_no"), got(2).try_cast("long").alias("slot"), token["rank"].cast("long").alias("outcome_rank"), token["status"].alias("outcome_status"),
-        got(3).try_cast("long").alias("entity_id"), text.without_spaces(got(4)).alias("entity_name"), got(5).try_cast("long").alias("machine_a"), got(6).try_cast("long").alias("machine_b"), tail["trial"].alias("trial_time"),
-        tail["position"].cast("long").alias("position"), tail["lead"].alias("lead_time"), tail["clock"].alias("clock"), "weather", "wind_direction", "wind_speed", "wave", "style", "payout",
+        "contest_id", "race_date", "site", F.col("contest_no").cast("long").alias("contest_no"), "row.slot", token["rank"].cast("long").alias("outcome_rank"), token["status"].alias("outcome_status"),
+        "row.entity_id", text.without_spaces(F.col("row.name")).alias("entity_name"), "row.machine_a", "row.machine_b", tail["trial"].alias("trial_time"),
+        tail["position"].cast("long").alias("position"), tail["lead"].alias("lead_time"), tail["clock"].alias("clock"), "sky.weather", "sky.wind_direction", "sky.wind_speed", "sky.wave", "style", "payout",
     )
 
 
+ENTRY_NUMBERS = ("win_rate", "place_rate", "site_win_rate", "site_place_rate", "machine_a", "machine_a_rate", "machine_b", "machine_b_rate")
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """One row for each entrant of a programme."""
-    found = _first_six(carried(rows, ENTRY_HEADER).where((F.col("dashes") >= 2) & F.col("contest_id").isNotNull() & F.col("plain").rlike(ENTRY_ROW)))
-    got = lambda g: text.collapse(_got(ENTRY_ROW, g))
-    split = text.trailing_digit(F.trim(F.regexp_extract("plain", ENTRY_ROW, 16)))
-    number = lambda g: got(g).try_cast("long")
-    real = lambda g: got(g).try_cast("double")
+    at = carried(rows).withColumn("row", entry_fields())
+    found = _first_six(at.where("dashes >= 2 and contest_id is not null and row is not null"))
+    number = lambda k, name: F.element_at("row.numbers", k).try_cast("long" if name in ("machine_a", "machine_b") else "double").alias(name)
+    results_so_far = F.nullif(F.trim(text.trailing_digit(F.col("row.tail"))["head"]), F.lit(""))
     return found.select(
-        "contest_id", "race_date", "site", F.col("contest_no").cast("long").alias("contest_no"), number(1).alias("slot"), number(2).alias("entity_id"), text.without_spaces(got(3)).alias("entity_name"), number(4).alias("age"), real(6).alias("weight"), got(7).alias("grade"),
-        real(8).alias("win_rate"), real(9).alias("place_rate"), real(10).alias("site_win_rate"), real(11).alias("site_place_rate"), number(12).alias("machine_a"), real(13).alias("machine_a_rate"), number(14).alias("machine_b"), real(15).alias("machine_b_rate"),
-        F.nullif(F.trim(split["head"]), F.lit("")).alias("meet_results"),
+        "contest_id", "race_date", "site", F.col("contest_no").cast("long").alias("contest_no"), "row.slot", "row.entity_id", text.without_spaces(F.col("row.name")).alias("entity_name"), "row.age", "row.weight", "row.grade",
+        *[number(k, name) for k, name in enumerate(ENTRY_NUMBERS, 1)], results_so_far.alias("meet_results"),
     )
 
 

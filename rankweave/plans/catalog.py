@@ -1,4 +1,4 @@
 """Every registered query of the library with its SQL twin."""
 
-from rankweave.plans import history_queries, metric_queries, model_queries, relative_queries, sample_queries, scenario_queries, search_queries, source_queries, stream_queries, ticket_queries  # noqa: F401  they register themselves
+from rankweave.plans import history_queries, live_queries, metric_queries, model_queries, relative_queries, sample_queries, scenario_queries, search_queries, source_queries, stream_queries, ticket_queries  # noqa: F401  they register themselves
 from rankweave.plans.registry import ORACLE, QUERIES  # noqa: F401

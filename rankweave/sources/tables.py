@@ -70,6 +70,13 @@ def gap_report(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return marked.groupBy(F.when(F.col("there"), "present").otherwise("missing").alias("status")).agg(F.count("*").alias("n"))
 
 
+def gap_states(wanted: DataFrame, complete: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(status, n): present where a complete one is there, skipped where only something else was seen, else missing."""
+    keys = list(keys)
+    marked = wanted.join(complete.select(*keys).distinct().withColumn("complete", F.lit(True)), keys, "left").join(seen.select(*keys).distinct().withColumn("seen", F.lit(True)), keys, "left")
+    return marked.groupBy(F.when(F.col("complete"), "present").when(F.col("seen"), "skipped").otherwise("missing").alias("status")).agg(F.count("*").alias("n"))
+
+
 def latest_common_day(present: DataFrame, a: str, b: str) -> DataFrame:
     """The last day that has both kinds."""
     of = lambda kind: present.where(F.col("kind") == kind).select("day")

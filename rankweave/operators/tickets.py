@@ -200,3 +200,15 @@ def hint(longshot_score: Column, priority_score: Column, p: Column) -> Column:
 
 def upset_label(score: Column) -> Column:
     return F.when(score >= 0.72, "upset").when(score >= 0.55, "unsettled").when(score >= 0.38, "normal").otherwise("solid")
+
+
+def mean_score(columns: Sequence[str]) -> Column:
+    """The mean of the scores that several models gave a row, those that are there."""
+    given = F.array_compact(F.array(*[F.col(c).cast("double") for c in columns]))
+    return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.size(given))
+
+
+def with_odds(tickets: DataFrame, odds: DataFrame, keys: Sequence[str] = (CONTEST, "a", "b", "c")) -> DataFrame:
+    """Tickets with `odds`, the first column of the other table that is no key; null where it has no row."""
+    value = next(c for c in odds.columns if c not in keys)
+    return tickets.join(odds.select(*keys, F.col(value).cast("double").alias("odds")), list(keys), "left")

@@ -94,3 +94,19 @@ def unique_or_raise(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of two tables that both have each key at most once."""
     return unique_or_raise(left, keys).join(unique_or_raise(right, keys), list(keys))
+
+
+def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a table with one that has each key at most once."""
+    return left.join(unique_or_raise(right, keys), list(keys), "left")
+
+
+def named_by_code(df: DataFrame, dimension: DataFrame, code: str, out: str) -> DataFrame:
+    """df with the name of each code of a dimension (code, name); an unknown code is its own name."""
+    return df.join(dimension.select(F.col("code").alias(code), F.col("name").alias(out)), code, "left").withColumn(out, F.coalesce(out, code))
+
+
+def coded_by_name(df: DataFrame, dimension: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the code of each name; an unknown name is an error where the row is read."""
+    known = df.join(dimension.select(F.col("name").alias(name), F.col("code").alias(out)), name, "left")
+    return known.withColumn(out, F.when(F.col(out).isNull() & F.col(name).isNotNull(), F.raise_error(F.concat(F.lit("unknown name "), F.col(name)))).otherwise(F.col(out)))

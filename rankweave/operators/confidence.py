@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,26 @@ def apply_adjustment(tickets: DataFrame, table: DataFrame, p: str = "probability
     with_factor = banded(tickets, p).join(F.broadcast(table.select("confidence", "band", "factor")), ["confidence", "band"], "left")
     scaled = with_factor.withColumn("factor", F.coalesce("factor", F.lit(1.0))).withColumn("__x", clip01(F.col(p) * F.col("factor")))
     return scaled.withColumn(out, normalise("__x")).drop("__x")
+
+
+def window_search(tickets: DataFrame, windows: Sequence[int], share: float, p: str = "probability", day: str = "race_date", shrink: int = 300) -> DataFrame:
+    """(days, contests, loss_before, loss_after): for each window of recent days, factors by rank band from its first days and the loss on the rest.
+
+    The windows are an array beside each ticket; days are numbered on a
+    calendar, and the factors are five rows for each window.
+    """
+    ranked = tickets.withColumn("band", rank_band(F.row_number().over(order_of(p))))
+    last = tickets.agg(F.max(day).alias("__last"))
+    rows = ranked.join(F.broadcast(last)).withColumn("days", F.explode(F.array(*[F.lit(w) for w in windows]))).where(F.col(day) > F.date_sub(F.col("__last"), F.col("days")))
+    calendar = rows.select("days", day).distinct()
+    of_window = Window.partitionBy("days")
+    calendar = calendar.select("days", day, (F.row_number().over(of_window.orderBy(day)) > F.floor(F.count("*").over(of_window) * share)).alias("held"))
+    rows = rows.join(F.broadcast(calendar), ["days", day])
+    table = rows.where("not held").groupBy("days", "band").agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(F.col("is_actual").cast("double")).alias("observed"))
+    raw = F.when(F.col("predicted") > 0, F.col("observed") / F.col("predicted")).otherwise(1.0)
+    factors = table.select("days", "band", F.greatest(F.lit(0.25), F.least(F.lit(2.0), 1 + (raw - 1) * F.col("n") / (F.col("n") + shrink))).alias("factor"))
+    held = rows.where("held").join(F.broadcast(factors), ["days", "band"], "left").withColumn("x", clip01(F.col(p) * F.coalesce("factor", F.lit(1.0))))
+    mine = lambda c: F.max(F.when(F.col("is_actual"), F.col(c)))
+    per = held.groupBy("days", CONTEST).agg(mine(p).alias("before"), (mine("x") / F.sum("x")).alias("after"))
+    loss = lambda c: F.avg(-F.ln(F.greatest(F.col(c), F.lit(1e-15))))
+    return per.groupBy("days").agg(F.count("*").alias("contests"), loss("before").alias("loss_before"), loss("after").alias("loss_after"))

@@ -6,11 +6,12 @@ returns and cross tables are then aggregates of a table 120 times smaller.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.relative import clip01
 from rankweave.operators.tickets import CONTEST, order_of
 
 
@@ -97,3 +98,23 @@ def binary_quality(truth: Column, p: Column) -> list[Column]:
     q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
     y = truth.cast("double")
     return [F.count("*").alias("n"), F.avg(y).alias("positive_rate"), F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"), F.avg(F.pow(q - y, 2)).alias("brier")]
+
+
+def value_rule(fact: DataFrame, rule: Mapping[str, int], recovery_cap: float, least_purchase: float, penalty: float, label: str = "label", stake: float = 100.0) -> DataFrame:
+    """One row: what buying `rule[label]` tickets returns, scaled down where fewer contests than `least_purchase` are bought."""
+    n = F.lit(0)
+    for name, tickets in rule.items():
+        n = F.when(F.col(label) == name, tickets).otherwise(n)
+    rows = fact.where("covered and payout > 0").withColumn("n", F.least(n, F.col("tickets").cast("int")))
+    bought, hit = F.col("n") > 0, F.col("actual_rank") <= F.col("n")
+    facts = rows.agg(F.count("*").alias("contests"), F.count_if(bought).alias("bought"), F.coalesce(F.avg(F.when(bought, hit.cast("double"))), F.lit(0.0)).alias("raw_hit_rate"), F.sum(F.col("n") * stake).alias("total_stake"), F.sum(F.when(bought & hit, F.col("payout") * stake / 100).otherwise(0.0)).alias("total_return"))
+    facts = facts.withColumns({"purchase_rate": ratio(F.col("bought"), F.col("contests")), "recovery": ratio(F.col("total_return"), F.col("total_stake"))})
+    facts = facts.withColumn("coverage_factor", clip01(F.col("purchase_rate") / least_purchase))
+    return facts.withColumns({"hit_rate": F.col("raw_hit_rate") * F.col("coverage_factor"), "normalized_recovery": clip01(F.col("recovery") / recovery_cap) * F.col("coverage_factor"), "penalty": F.greatest(least_purchase - F.col("purchase_rate"), F.lit(0.0)) * penalty})
+
+
+def payout_capture(fact: DataFrame, k: int, cap: float) -> DataFrame:
+    """One row: the payouts that the k best tickets catch, over all contests with a payout and over the hits."""
+    hit = F.col("actual_rank") <= k
+    got = F.when(hit, F.col("payout")).otherwise(0.0)
+    return fact.where("covered and payout > 0").agg(F.coalesce(F.avg(got), F.lit(0.0)).alias("mean_capture"), F.coalesce(F.avg(F.when(hit, F.col("payout"))), F.lit(0.0)).alias("mean_hit"), F.coalesce(F.sum(got), F.lit(0.0)).alias("total"), F.coalesce(clip01(F.avg(got) / cap), F.lit(0.0)).alias("score"))

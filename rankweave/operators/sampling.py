@@ -100,3 +100,39 @@ def time_weights(day: str, payout: str, recent: str) -> Column:
 def payout_weights(payout: str) -> Column:
     x = F.col(payout)
     return F.when(x < 1_000, 0.7).when(x < 5_000, 1.0).when(x < 10_000, 1.3).when(x < 30_000, 1.8).when(x < 50_000, 1.2).otherwise(0.6)
+
+
+def date_splits(df: DataFrame, train_end: str, valid_end: str, first: str | None = None, last: str | None = None, day: str = "race_date") -> DataFrame:
+    """df inside its bounds, with part: train, valid or test by day."""
+    at = lambda x: F.lit(x).cast("date")
+    kept = df if first is None else df.where(F.col(day) >= at(first))
+    kept = kept if last is None else kept.where(F.col(day) <= at(last))
+    return kept.withColumn("part", F.when(F.col(day) <= at(train_end), "train").when(F.col(day) <= at(valid_end), "valid").otherwise("test"))
+
+
+def contest_sample(ids: DataFrame, n: int, seed: str) -> DataFrame:
+    """n of the contests (one row each), by the order of their hashes."""
+    return ids.withColumn("__h", hash_number(CONTEST, seed)).orderBy("__h", CONTEST).limit(n).drop("__h")
+
+
+def last_contests(ids: DataFrame, n: int, day: str = "race_date") -> DataFrame:
+    """The n latest contests (one row each)."""
+    return ids.orderBy(F.desc(day), F.desc(CONTEST)).limit(n)
+
+
+def date_cut(df: DataFrame, share: float, day: str = "race_date") -> DataFrame:
+    """df with is_valid: days behind the first `share` of all distinct days."""
+    days = df.select(day).distinct()  # a calendar, not the data
+    numbered = days.select(F.col(day).alias("__d"), F.row_number().over(Window.orderBy(day)).alias("__n"), F.count("*").over(Window.partitionBy()).alias("__all"))
+    cut = numbered.where(F.col("__n") <= F.floor(F.col("__all") * share)).agg(F.max("__d").alias("__cut"))
+    return df.join(F.broadcast(cut)).withColumn("is_valid", F.col(day) > F.col("__cut")).drop("__cut")
+
+
+def upset_training_set(ids: DataFrame, recent_months: int, history_months: int, payout: float, ratio: int, seed: str, recent: str, day: str = "race_date") -> DataFrame:
+    """(contest, origin, weight): all recent contests at weight 1, and older ones of large payout with controls of their month and site."""
+    bounds = ids.agg(F.add_months(F.max(day), -recent_months).alias("__recent"), F.add_months(F.max(day), -history_months).alias("__oldest"))
+    at = ids.join(F.broadcast(bounds))  # one row
+    new = at.where(F.col(day) > F.col("__recent")).select(CONTEST, F.lit("recent").alias("origin"), F.lit(1.0).alias("weight"))
+    old = at.where((F.col(day) <= F.col("__recent")) & (F.col(day) > F.col("__oldest"))).withColumn("month", F.trunc(day, "month"))
+    chosen = matched_controls(old, F.col("payout") >= payout, ["month", "site"], ratio, seed)
+    return new.unionByName(chosen.select(CONTEST, F.lit("history").alias("origin"), time_weights(day, "payout", recent).alias("weight")))

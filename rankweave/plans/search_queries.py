@@ -38,7 +38,8 @@ def rerank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("nth <= 10 or by_line <= 5").groupBy("contest_id").agg(F.count("*").alias("chosen"), F.count_if(F.col("nth") > 10).alias("by_fit"))
 
 
-GRID = "(VALUES (0.5), (0.6), (0.7), (0.8), (0.9), (1.0)) AS g(weight)"
+GRID_WEIGHTS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+GRID = f"(VALUES {', '.join(f'({w})' for w in GRID_WEIGHTS)}) AS g(weight)"
 
 
 @query(on_tickets(f"""
@@ -48,9 +49,9 @@ FROM (SELECT weight, avg(CAST(nth <= 1 AS INT)) AS hit1, avg(CAST(nth <= 12 AS I
             FROM (SELECT t.contest_id, t.a, t.b, t.c, t.is_actual, weight, round(weight * t.probability + (1 - weight) * k.p, 12) AS x FROM t JOIN k ON t.contest_id = k.contest_id AND t.a = k.a AND t.b = k.b AND t.c = k.c, {GRID})) WHERE is_actual GROUP BY weight)
 """, w=WEIGHTS, k=CONDITIONAL))
 def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of two ticket probabilities and what each gives; the grid is six rows, expanded in place."""
+    """Weights of two ticket probabilities and what each gives; the grid is eleven rows, expanded in place."""
     both = ticket_frame(spark, sf_dir).select(*KEY, "probability", "is_actual").join(conditional_frame(spark, sf_dir), KEY)
-    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)])))
+    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
     rows = rows.withColumn("x", F.round(F.col("weight") * F.col("probability") + (1 - F.col("weight")) * F.col("p"), 12))
     # of each contest only what the actual ticket's rank needs: its own value, the sum, and how many come before it
     actual = rows.where("is_actual").select("weight", "contest_id", F.struct((-F.col("x")).alias("x"), "a", "b", "c").alias("mine"))
@@ -137,7 +138,7 @@ SELECT subset, contests, weight, hit3 FROM (
 def subset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best blend weight for each subset of contests with enough of them; ties keep the larger weight."""
     both = ticket_frame(spark, sf_dir).select(*KEY, "probability", "is_actual").join(conditional_frame(spark, sf_dir), KEY)
-    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)])))
+    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
     rows = rows.withColumn("x", F.round(F.col("weight") * F.col("probability") + (1 - F.col("weight")) * F.col("p"), 12))
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("weight", "contest_id").orderBy(F.desc("x"), "a", "b", "c"))).where("is_actual").select("contest_id", "weight", "nth")
     found = ranked.join(subset_labels(spark, sf_dir), "contest_id").groupBy("subset", "weight").agg(F.count("*").alias("contests"), F.round(F.avg((F.col("nth") <= 3).cast("double")), 9).alias("hit3")).where("contests >= 20")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators.relative import clip01, normalise
+from rankweave.operators.relative import clip01, group, normalise
 from rankweave.operators.tickets import CONTEST, order_of
 
 HIGH, MIDDLE = 75.0, 60.0
@@ -30,21 +30,25 @@ def _ranked(tickets: DataFrame, p: str) -> DataFrame:
     return shares.withColumn("nth", F.row_number().over(order_of(F.round("q", 12))))
 
 
-def _at(n: int) -> Column:
-    return F.coalesce(F.max(F.when(F.col("nth") == n, F.col("q"))), F.lit(0.0))
+def _plain(x: Column) -> Column:
+    return x
 
 
-def _mass(n: int) -> Column:
-    return F.sum(F.when(F.col("nth") <= n, F.col("q")).otherwise(0.0))
+def _at(n: int, wrap=_plain) -> Column:
+    return F.coalesce(wrap(F.max(F.when(F.col("nth") == n, F.col("q")))), F.lit(0.0))
 
 
-def _entropy() -> Column:
-    n = F.count("*")
-    return F.when(n > 1, -F.sum(F.greatest("q", F.lit(1e-12)) * F.ln(F.greatest("q", F.lit(1e-12)))) / F.ln(n)).otherwise(0.0)
+def _mass(n: int, wrap=_plain) -> Column:
+    return wrap(F.sum(F.when(F.col("nth") <= n, F.col("q")).otherwise(0.0)))
 
 
-def _upset(tickets: DataFrame) -> Column:
-    return F.coalesce(F.first("upset", ignorenulls=True), F.lit(0.0)) if "upset" in tickets.columns else F.lit(0.0)
+def _entropy(wrap=_plain) -> Column:
+    n = wrap(F.count("*"))
+    return F.when(n > 1, -wrap(F.sum(F.greatest("q", F.lit(1e-12)) * F.ln(F.greatest("q", F.lit(1e-12))))) / F.ln(n)).otherwise(0.0)
+
+
+def _upset(tickets: DataFrame, wrap=_plain) -> Column:
+    return F.coalesce(wrap(F.first("upset", ignorenulls=True)), F.lit(0.0)) if "upset" in tickets.columns else F.lit(0.0)
 
 
 def _score(*terms: tuple[float, Column]) -> Column:
@@ -54,10 +58,28 @@ def _score(*terms: tuple[float, Column]) -> Column:
     return F.round(F.round(clip01(total) * 100, 9), 1)
 
 
+def _top12_facts(tickets: DataFrame, wrap=_plain) -> dict[str, Column]:
+    """Masses and gaps of the twelve best tickets: aggregates, or windows where `wrap` makes them such."""
+    return {"m12": _mass(12, wrap), "m5": _mass(5, wrap), **{f"q{n}": _at(n, wrap) for n in (1, 2, 12, 13)}, "conc": 1 - _entropy(wrap), "upset": _upset(tickets, wrap)}
+
+
+def _top12_score() -> Column:
+    return _score((0.45, (F.col("m12") - 0.10) / 0.45), (0.20, (F.col("m5") - 0.04) / 0.25), (0.15, (F.col("q1") - F.col("q2")) / 0.06), (0.10, (F.col("q12") - F.col("q13")) / 0.01), (0.10, F.col("conc") / 0.25), (-0.10, (F.col("upset") - 0.70) / 0.30))
+
+
+def labelled(tickets: DataFrame, p: str = "probability", out: str = "top12_label") -> DataFrame:
+    """Tickets with the confidence label of their contest, by windows over it: no join and no second expansion."""
+    found = {f"__{k}": c for k, c in _top12_facts(tickets, lambda x: x.over(group())).items()}
+    rows = _ranked(tickets, p).withColumns(found)
+    kept = [F.col(c) for c in tickets.columns]
+    facts = rows.select(*kept, *[F.col(f"__{k}").alias(k) for k in _top12_facts(tickets) if k not in tickets.columns])
+    return facts.select(*kept, label(_top12_score()).alias(out))
+
+
 def top12_confidence(tickets: DataFrame, p: str = "probability") -> DataFrame:
     """One row for each contest: how much of the mass the twelve best tickets hold, and how clearly."""
-    facts = _ranked(tickets, p).groupBy(CONTEST).agg(_mass(12).alias("m12"), _mass(5).alias("m5"), _at(1).alias("q1"), _at(2).alias("q2"), _at(12).alias("q12"), _at(13).alias("q13"), (1 - _entropy()).alias("conc"), _upset(tickets).alias("upset"))
-    score = _score((0.45, (F.col("m12") - 0.10) / 0.45), (0.20, (F.col("m5") - 0.04) / 0.25), (0.15, (F.col("q1") - F.col("q2")) / 0.06), (0.10, (F.col("q12") - F.col("q13")) / 0.01), (0.10, F.col("conc") / 0.25), (-0.10, (F.col("upset") - 0.70) / 0.30))
+    facts = _ranked(tickets, p).groupBy(CONTEST).agg(*[c.alias(k) for k, c in _top12_facts(tickets).items()])
+    score = _top12_score()
     out = facts.withColumn("top12_score", score).withColumn("top12_label", label(F.col("top12_score")))
     return out.select(CONTEST, "top12_score", "top12_label", ticket_count(F.col("top12_label"), TOP12_COUNTS).alias("tickets"), F.col("m12").alias("top12_mass"), F.col("m5").alias("top5_mass"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q12") - F.col("q13")).alias("margin12"), F.col("conc").alias("concentration"))
 
@@ -103,9 +125,8 @@ def rank_band(nth: Column) -> Column:
 
 
 def banded(tickets: DataFrame, p: str = "probability") -> DataFrame:
-    """Tickets with rank band and the confidence label of their contest."""
-    labels = top12_confidence(tickets, p).select(CONTEST, F.col("top12_label").alias("confidence"))
-    return tickets.withColumn("band", rank_band(F.row_number().over(order_of(F.round(p, 12))))).join(labels, CONTEST)
+    """Tickets with rank band and the confidence label of their contest; windows over the contest, no join."""
+    return labelled(tickets, p, "confidence").withColumn("band", rank_band(F.row_number().over(order_of(F.round(p, 12)))))
 
 
 def fit_adjustment(tickets: DataFrame, p: str = "probability", actual: str = "is_actual", shrink: int = 300, low: float = 0.25, high: float = 2.0) -> DataFrame:

@@ -22,17 +22,18 @@ class Feature(NamedTuple):
 HOW = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum}
 
 
-def rolling_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], block: int | None = None) -> DataFrame:
+def rolling_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], block: int | None = None, count_on: DataFrame | None = None) -> DataFrame:
     """df with each feature; windows of one key share a sort, whatever their lengths.
 
     The order must be total within a key. With few keys of very many rows give
     `block`: rows are numbered per key by counts over ranges, cut into blocks
     of that many rows, and each block gets the rows before it that its windows
-    reach, so that no task holds a whole key.
+    reach, so that no task holds a whole key. count_on: a frame with the same
+    rows that is cheaper to count, where df is itself the result of windows.
     """
     longest = max(f.window for f in features)
     if block is not None:
-        return _blocked(df, keys, order, features, max(block, longest))
+        return _blocked(df, keys, order, features, max(block, longest), count_on)
     return df.select("*", *_columns(Window.partitionBy(*keys).orderBy(*order), features))
 
 
@@ -45,7 +46,7 @@ def _columns(window, features: Sequence[Feature]) -> list[Column]:
     return out
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column, out: str = "__row") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column, out: str = "__row", count_on: DataFrame | None = None) -> DataFrame:
     """df with the row number of each row in its key, without one task for a whole key.
 
     `coarse` must rise with the order (a month of the date, say): rows are
@@ -53,7 +54,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: C
     """
     rows = df.withColumn("__coarse", coarse)
     inside = Window.partitionBy(*keys, "__coarse").orderBy(*order)
-    counts = rows.groupBy(*keys, "__coarse").agg(F.count("*").alias("__n"))
+    counts = (rows if count_on is None else count_on.withColumn("__coarse", coarse)).groupBy(*keys, "__coarse").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__coarse").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     same = F.col("__coarse").eqNullSafe(F.col("__c"))
@@ -63,9 +64,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: C
     return found.withColumn(out, F.col("__inside") + F.col("__before")).drop("__coarse", "__c", "__inside", "__before", *[f"__k{i}" for i in range(len(keys))])
 
 
-def _blocked(df: DataFrame, keys, order, features, block: int) -> DataFrame:
+def _blocked(df: DataFrame, keys, order, features, block: int, count_on: DataFrame | None = None) -> DataFrame:
     longest = max(f.window for f in features)
-    rows = numbered(df, keys, order, F.date_trunc("month", F.col(order[0])))
+    rows = numbered(df, keys, order, F.date_trunc("month", F.col(order[0])), count_on=count_on)
     own = F.floor((F.col("__row") - 1) / block)
     near_end = (F.col("__row") - 1) % block >= block - longest
     places = F.when(near_end, F.array(F.struct(own.alias("b"), F.lit(False).alias("lent")), F.struct((own + 1).alias("b"), F.lit(True).alias("lent")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("lent"))))

@@ -97,9 +97,9 @@ def history_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_families_sql(CROWDED))
 def history_crowded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 200 rows over a few keys with very many rows each, cut into blocks that lend their ends."""
-    df = flagged(spark, sf_dir)
+    df = view = flagged(spark, sf_dir)
     for key, features in CROWDED.items():
-        df = rolling_history(df, key, ORDER, features, block=50_000)
+        df = rolling_history(df, key, ORDER, features, block=50_000, count_on=view)
     return rounded(df, *[f.out for fs in CROWDED.values() for f in fs])
 
 

@@ -24,6 +24,11 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.contest_fact(ticket_frame(spark, sf_dir), keep=("payout", "site", "race_date"))
 
 
+def labelled_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with the contest's confidence label: tickets are expanded once for both."""
+    return m.contest_fact(confidence.labelled(ticket_frame(spark, sf_dir)), keep=("payout", "site", "race_date", "top12_label"))
+
+
 def shown(df: DataFrame, *keys: str) -> DataFrame:
     """Rates rounded, counts as they are."""
     out = []
@@ -69,8 +74,7 @@ def uniform_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on_tickets(f"SELECT label AS confidence, strategy, CAST(grouping(strategy) AS INT) AS all_strategies, {RECOVERY} FROM (SELECT s.*, x.label FROM s JOIN x USING (contest_id)) GROUP BY GROUPING SETS ((label, strategy), (label))", f=FACT, s=STRATEGIES, q=Q, x=TOP12))
 def return_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return by confidence label and strategy, and by label over all strategies, in one pass."""
-    labels = confidence.top12_confidence(ticket_frame(spark, sf_dir)).select("contest_id", F.col("top12_label").alias("confidence"))
-    rows = m.strategies(fact(spark, sf_dir)).join(labels, "contest_id")
+    rows = m.strategies(labelled_fact(spark, sf_dir).withColumnRenamed("top12_label", "confidence"))
     sets = rows.groupingSets([["confidence", "strategy"], ["confidence"]], "confidence", "strategy")
     out = sets.agg(F.grouping("strategy").cast("int").alias("all_strategies"), *m.recovery())
     return returns(out, "confidence", "strategy", "all_strategies")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import confidence
 from rankweave.operators import metrics as m
+from rankweave.operators import relative
 from rankweave.operators import scenario as sc
 from rankweave.operators import tickets as t
-from rankweave.plans.metric_queries import FACT, fact, returns
+from rankweave.plans.metric_queries import FACT, labelled_fact, returns
 from rankweave.plans.registry import query
 from rankweave.plans.scenario_queries import ADV, CONTEXT, CUTS, PRESSED, SCORED, SLOTS, SUBSET, clip, scenarios, subset_labels
-from rankweave.plans.ticket_queries import BANDED, CONDITIONAL, TABLE, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, ticket_frame
+from rankweave.plans.ticket_queries import BANDED, CONDITIONAL, TABLE, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, slot_shares, ticket_frame
 
 KEY = ["contest_id", "a", "b", "c"]
 FIT = f"""
@@ -42,6 +43,29 @@ GRID_WEIGHTS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 GRID = f"(VALUES {', '.join(f'({w})' for w in GRID_WEIGHTS)}) AS g(weight)"
 
 
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contest: its tickets with both probabilities, from one expansion of the slots."""
+    df = slot_shares(spark, sf_dir).withColumns({"top2": F.col("share") + F.col("trial_time"), "top3": F.least(F.lit(1.0), F.col("share") * 2)})
+    df = df.withColumns(t.place_weights("share", "share", "top2", "top3"))
+    names = ["first_w", "second_w", "third_w"]
+    sums = {"total": F.sum("share").over(relative.group()), **{f"{n}_total": F.sum(n).over(relative.group()) for n in names}}
+    rows = t.permutations(df.withColumns(sums).select("contest_id", "slot", "share", "outcome_rank", *names, *sums), ["share", "outcome_rank", *names], keep=list(sums))
+    actual = (F.col("outcome_rank_a") == 1) & (F.col("outcome_rank_b") == 2) & (F.col("outcome_rank_c") == 3)
+    entry = F.struct("a", "b", "c", F.round(t.draw_probability("share"), 12).alias("probability"), t.conditional_probability().alias("p"), actual.alias("is_actual"))
+    return rows.groupBy("contest_id").agg(F.collect_list(entry).alias("tickets"))
+
+
+def actual_ranks(contests: DataFrame) -> DataFrame:
+    """(contest_id, weight, nth, s, x): of each weight the actual ticket's place and value, and the sum of all; inside the contest's array."""
+    at = contests.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
+    value = lambda c: F.round(F.col("weight") * c["probability"] + (1 - F.col("weight")) * c["p"], 12)
+    at = at.withColumn("x", F.transform("tickets", lambda c: F.struct((-value(c)).alias("x"), c["a"].alias("a"), c["b"].alias("b"), c["c"].alias("c"), c["is_actual"].alias("is_actual"))))
+    at = at.withColumn("mine", F.try_element_at(F.filter("x", lambda c: c["is_actual"]), F.lit(1))).where("mine is not null")
+    key = lambda c: F.struct(c["x"], c["a"], c["b"], c["c"])
+    before = F.size(F.filter("x", lambda c: key(c) < key(F.col("mine"))))
+    return at.select("contest_id", "weight", (before + 1).alias("nth"), F.aggregate("x", F.lit(0.0), lambda s, c: s - c["x"]).alias("s"), (-F.col("mine.x")).alias("x"))
+
+
 @query(on_tickets(f"""
 SELECT weight, round(hit1 + 0.1 * hit12 - 0.05 * loss, 6) AS objective, round(hit1, 9) AS hit1, round(hit12, 9) AS hit12
 FROM (SELECT weight, avg(CAST(nth <= 1 AS INT)) AS hit1, avg(CAST(nth <= 12 AS INT)) AS hit12, avg(-ln(greatest(x / s, 1e-15))) AS loss
@@ -50,12 +74,7 @@ FROM (SELECT weight, avg(CAST(nth <= 1 AS INT)) AS hit1, avg(CAST(nth <= 12 AS I
 """, w=WEIGHTS, k=CONDITIONAL))
 def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of two ticket probabilities and what each gives; the grid is eleven rows, expanded in place."""
-    both = ticket_frame(spark, sf_dir).select(*KEY, "probability", "is_actual").join(conditional_frame(spark, sf_dir), KEY)
-    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
-    rows = rows.withColumn("x", F.round(F.col("weight") * F.col("probability") + (1 - F.col("weight")) * F.col("p"), 12))
-    # of each contest only what the actual ticket's rank needs: its own value, the sum, and how many come before it
-    actual = rows.where("is_actual").select("weight", "contest_id", F.struct((-F.col("x")).alias("x"), "a", "b", "c").alias("mine"))
-    ranked = rows.join(actual, ["weight", "contest_id"]).groupBy("weight", "contest_id").agg((F.count_if(F.struct((-F.col("x")).alias("x"), "a", "b", "c") < F.col("mine")) + 1).alias("nth"), F.sum("x").alias("s"), F.first(-F.col("mine.x")).alias("x"))
+    ranked = actual_ranks(blended(spark, sf_dir))
     out = ranked.groupBy("weight").agg(F.avg((F.col("nth") <= 1).cast("double")).alias("hit1"), F.avg((F.col("nth") <= 12).cast("double")).alias("hit12"), F.avg(-F.ln(F.greatest(F.col("x") / F.col("s"), F.lit(1e-15)))).alias("loss"))
     return out.select("weight", F.round(F.col("hit1") + 0.1 * F.col("hit12") - 0.05 * F.col("loss"), 6).alias("objective"), F.round("hit1", 9).alias("hit1"), F.round("hit12", 9).alias("hit12"))
 
@@ -63,8 +82,7 @@ def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on_tickets("SELECT x.label AS top12_label, CASE WHEN f.p_top < 0.03 THEN '<0.03' WHEN f.p_top < 0.05 THEN '0.03-0.05' ELSE '>=0.05' END AS top_band, count(*) AS contests, round(avg(CAST(actual_rank <= 3 AS INT)), 9) AS hit3, round(avg(p_top), 9) AS mean_top FROM f JOIN x USING (contest_id) GROUP BY GROUPING SETS ((1, 2), (1), (2), ())", f=FACT, q=Q, x=TOP12))
 def label_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rates by confidence label, by band of the best probability, by both and over all."""
-    labels = confidence.top12_confidence(ticket_frame(spark, sf_dir)).select("contest_id", "top12_label")
-    rows = fact(spark, sf_dir).join(labels, "contest_id").withColumn("top_band", m.band(F.col("p_top"), [0.03, 0.05], ["<0.03", "0.03-0.05", ">=0.05"]))
+    rows = labelled_fact(spark, sf_dir).withColumn("top_band", m.band(F.col("p_top"), [0.03, 0.05], ["<0.03", "0.03-0.05", ">=0.05"]))
     sets = rows.groupingSets([["top12_label", "top_band"], ["top12_label"], ["top_band"], []], "top12_label", "top_band")
     return sets.agg(F.count("*").alias("contests"), F.round(m.hit_rate(3), 9).alias("hit3"), F.round(F.avg("p_top"), 9).alias("mean_top"))
 
@@ -76,8 +94,7 @@ FROM (SELECT *, CASE WHEN bought > 0 THEN 'top' || bought ELSE 'skip' END AS dec
 """, f=FACT, q=Q, x=TOP12))
 def variable_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tickets as the confidence label recommends, by decision and over all."""
-    labels = confidence.top12_confidence(ticket_frame(spark, sf_dir)).select("contest_id", F.col("tickets").alias("bought"))
-    rows = fact(spark, sf_dir).where("covered and payout > 0").join(labels, "contest_id")
+    rows = labelled_fact(spark, sf_dir).where("covered and payout > 0").withColumn("bought", confidence.ticket_count(F.col("top12_label"), confidence.TOP12_COUNTS))
     hit = F.col("actual_rank") <= F.col("bought")
     rows = rows.withColumns({"decision": F.when(F.col("bought") > 0, F.concat(F.lit("top"), F.col("bought").cast("string"))).otherwise("skip"), "hit": hit, "stake": F.col("bought") * 100.0, "won": F.when(hit, F.col("payout")).otherwise(0.0)})
     return returns(rows.rollup("decision").agg(*m.recovery()), "decision")
@@ -98,8 +115,6 @@ def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on_tickets("SELECT x.contest_id, x.slot AS first_slot, y.slot AS second_slot, round(y.share / (1 - x.share), 9) AS follow_share, y.slot - x.slot AS distance, CAST(x.outcome_rank = 1 AND y.outcome_rank = 2 AS INT) AS is_actual, round(x.lead_time - y.lead_time, 9) AS lead_gap FROM sh AS x JOIN sh AS y ON x.contest_id = y.contest_id AND x.slot <> y.slot"))
 def second_place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for second place given the first, from one array for each contest."""
-    from rankweave.plans.ticket_queries import slot_shares
-
     gathered = slot_shares(spark, sf_dir).groupBy("contest_id").agg(F.collect_list(F.struct("slot", "share", "lead_time", "outcome_rank")).alias("all"))
     pairs = gathered.withColumn("x", F.explode("all")).withColumn("y", F.explode("all")).where("x.slot <> y.slot")
     actual = (F.col("x.outcome_rank") == 1) & (F.col("y.outcome_rank") == 2)
@@ -137,10 +152,7 @@ SELECT subset, contests, weight, hit3 FROM (
 """, w=WEIGHTS, k=CONDITIONAL, s0=SLOTS, s1=ADV, s2=PRESSED, cx=CONTEXT, sc=SCORED, u=SUBSET, cuts=CUTS, su="SELECT contest_id, CASE WHEN attack >= attack_q70 - 1e-12 OR collapse >= collapse_q70 - 1e-12 THEN 'attack_or_collapse' WHEN upset >= upset_q70 - 1e-12 OR flat >= flat_q70 - 1e-12 THEN 'upset_or_flat' WHEN escape >= escape_q70 - 1e-12 AND collapse <= collapse_q50 + 1e-12 THEN 'stable_escape' ELSE 'neutral' END AS subset FROM u, cuts"))
 def subset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best blend weight for each subset of contests with enough of them; ties keep the larger weight."""
-    both = ticket_frame(spark, sf_dir).select(*KEY, "probability", "is_actual").join(conditional_frame(spark, sf_dir), KEY)
-    rows = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
-    rows = rows.withColumn("x", F.round(F.col("weight") * F.col("probability") + (1 - F.col("weight")) * F.col("p"), 12))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("weight", "contest_id").orderBy(F.desc("x"), "a", "b", "c"))).where("is_actual").select("contest_id", "weight", "nth")
+    ranked = actual_ranks(blended(spark, sf_dir))
     found = ranked.join(subset_labels(spark, sf_dir), "contest_id").groupBy("subset", "weight").agg(F.count("*").alias("contests"), F.round(F.avg((F.col("nth") <= 3).cast("double")), 9).alias("hit3")).where("contests >= 20")
     best = F.row_number().over(Window.partitionBy("subset").orderBy(F.desc("hit3"), F.desc("weight")))
     return found.withColumn("best", best).where("best = 1").select("subset", "contests", "weight", "hit3")

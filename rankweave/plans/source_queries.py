@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
 from rankweave.operators.tickets import complete_groups
-from rankweave.plans.registry import on_view, query
+from rankweave.plans.registry import ORACLE, QUERIES, on_view, query
 from rankweave.plans.ticket_queries import SIX
 from rankweave.sources import reports, tables
 
@@ -58,34 +58,23 @@ def present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRESENT = "SELECT DISTINCT race_date AS day, CASE WHEN site IN ('1-URGENT', '2-HIGH') THEN 'a' ELSE 'b' END AS kind FROM six"
-WANTED = "SELECT CAST(d AS DATE) AS day, kind FROM generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY) AS g(d), (VALUES ('a'), ('b')) AS k(kind)"
-SPAN = (date(1995, 1, 1), date(1996, 12, 31), ("a", "b"))
+KINDS = ("a", "b")
+WANTED = "SELECT CAST(d AS DATE) AS day, kind FROM (SELECT unnest(generate_series(min(race_date), max(race_date), INTERVAL 1 DAY)) AS d FROM v), (VALUES ('a'), ('b')) AS k(kind)"
 
 
 @query(on_view("SELECT day, kind FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.day = w.day AND p.kind = w.kind)", six=SIX, p=PRESENT, w=WANTED))
 def date_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and kinds of a calendar that have no contest."""
-    return tables.gaps(tables.calendar(spark, *SPAN), present(spark, sf_dir))
+    """Days and kinds without a contest, from the first to the last day of the table."""
+    return tables.gaps(tables.calendar_over(contest_view(spark, sf_dir), KINDS), present(spark, sf_dir))
 
 
 @query(on_view("SELECT CASE WHEN p.day IS NULL THEN 'missing' ELSE 'present' END AS status, count(*) AS n FROM w LEFT JOIN p USING (day, kind) GROUP BY 1", six=SIX, p=PRESENT, w=WANTED).replace("p.day IS NULL", "p.there IS NULL").replace("p AS (SELECT DISTINCT", "p AS (SELECT DISTINCT 1 AS there,"))
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.gap_report(tables.calendar(spark, *SPAN), present(spark, sf_dir))
-
-
-# the calendar above is fixed to two years; these take it from the table
-WANTED_ALL = "SELECT CAST(d AS DATE) AS day, kind FROM (SELECT unnest(generate_series(min(race_date), max(race_date), INTERVAL 1 DAY)) AS d FROM v), (VALUES ('a'), ('b')) AS k(kind)"
-
-
-@query(on_view("SELECT day, kind FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.day = w.day AND p.kind = w.kind)", six=SIX, p=PRESENT, w=WANTED_ALL))
-def date_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and kinds without a contest, from the first to the last day of the table."""
-    return tables.gaps(tables.calendar_over(contest_view(spark, sf_dir), SPAN[2]), present(spark, sf_dir))
+    return tables.gap_report(tables.calendar_over(contest_view(spark, sf_dir), KINDS), present(spark, sf_dir))
 
 
-@query(on_view("SELECT CASE WHEN p.there IS NULL THEN 'missing' ELSE 'present' END AS status, count(*) AS n FROM w LEFT JOIN p USING (day, kind) GROUP BY 1", six=SIX, p=PRESENT.replace("DISTINCT", "DISTINCT 1 AS there,"), w=WANTED_ALL))
-def gap_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.gap_report(tables.calendar_over(contest_view(spark, sf_dir), SPAN[2]), present(spark, sf_dir))
+ORACLE |= {"date_gaps_all": ORACLE["date_gaps"], "gap_report_all": ORACLE["gap_report"]}
+QUERIES |= {"date_gaps_all": date_gaps, "gap_report_all": gap_report}  # their names while date_gaps had a fixed calendar
 
 
 @query(on_view("SELECT max(day) AS day FROM (SELECT day FROM p WHERE kind = 'a' INTERSECT SELECT day FROM p WHERE kind = 'b')", six=SIX, p=PRESENT))

@@ -8,7 +8,8 @@ symbol a round, the matrix loses a column.
 
 A null text is encoded as the empty text: no ids. Ids are packed as
 little-endian unsigned 32-bit integers, so that a very long text is one binary
-value. Other columns pass through untouched under any name.
+value. Other columns pass through untouched under any name. Repeated rows are
+encoded each for itself, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Merging all places of the lowest rank at once gives what merging them one by
 one gives if each merge ranks behind the merges that make its two parts; the
 vocabulary is checked for that when it is read.
 
-A null text has no bytes and no tokens. Strings of added tokens inside a text
+A null text has no bytes and no tokens. Repeated rows are counted each for
+itself, an empty table gives an empty result, and columns named like the new
+ones are replaced. Strings of added tokens inside a text
 count as one token each, as the tokenizer file has them.
 """
 

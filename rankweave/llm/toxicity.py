@@ -19,7 +19,11 @@ reads every whole text.
 
 Null and empty texts score what the bias alone says. Null ids and labels take
 no part in learning. Without a positive or without an unlabelled text the
-score is the prior, 0 where there are no labels.
+score is the prior, 0 where there are no labels. Rows that repeat an id are
+scored each by its own text and are learnt from each for itself; of several
+labels of an id the largest counts. Texts may be very long: only their distinct
+words are held. An existing column named like the score is replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,62 @@ def test_fingerprint_query_rows_have_their_links(spark):
     got = Counter((r["doc_id"], r["n_chars"], r["class_id"], r["links"]) for r in found)
     n = len(text)
     assert got == Counter([(1, n, 1, 3), (2, n, 1, 3), (7, 37, 7, 0), (7, n, 1, 3), (None, n, 1, 3), (None, 0, 3, 1), (3, 0, 3, 1)])
+
+
+def plain_walk(text):
+    """Steps and all written symbols of a text, a step at a time."""
+    bits = np.random.default_rng(20240229).integers(0, 2, (256, fingerprint.PERIOD), dtype=np.int8)
+    m = 0xFFFFFFFF
+    mixed = [ord(c) * 2654435761 & m for c in text] + [0, 0]
+    at, step, written = 0, 0, []
+    while at < len(text):
+        h = mixed[at] >> 7
+        for j in (1, 2):
+            h = h * 0x85EBCA6B & m ^ mixed[at + j] >> 5
+        written.append((h * 0xC2B2AE35 & m) >> 28)
+        kind = ord(text[at]) if ord(text[at]) < 256 else mixed[at] >> 24
+        place = step % fingerprint.PERIOD
+        at += bool(bits[kind, place]) or place == fingerprint.PERIOD - 1
+        step += 1
+    return step, written
+
+
+def plain_samples(text):
+    """{octave: [(step, symbol)]} of the sampled steps that the walk reached."""
+    end, written = plain_walk(text)
+    out, low, high = {}, 0, 64
+    while low < end:
+        chosen = range(low, high) if high - low <= 64 else sorted(np.random.default_rng([low, high]).choice(high - low, 64, replace=False) + low)
+        out[low, high] = {int(k): written[k] for k in chosen if k < end}
+        low, high = high, 2 * high
+    return end, out
+
+
+def plain_likeness(x, y):
+    (end_x, a), (end_y, b) = plain_samples(x), plain_samples(y)
+    if not end_x or not end_y:
+        return float(end_x == end_y)
+    longest, total = max(end_x, end_y), 0.0
+    for low, high in a if end_x == longest else b:
+        steps = (a if end_x == longest else b)[low, high]
+        if steps:
+            left, right = a.get((low, high), {}), b.get((low, high), {})
+            same = sum(k in left and k in right and left[k] == right[k] for k in steps)
+            total += (min(high, longest) - low) * max(0.0, (same / len(steps) - 1 / 16) / (15 / 16))
+    return 1.0 if x == y else min(1.0, total / longest)
+
+
+def test_fingerprints_are_those_of_a_plain_walk(spark):
+    rnd = random.Random(12)
+    make = lambda n: "".join(rnd.choice("abcdefg hijkl é漢\n") for _ in range(n))
+    rows = [(i, make(rnd.choice([0, 1, 2, 5, 31, 32, 33, 60, 64, 200, 700, 3000]))) for i in range(60)] + [(100, "a" * 9000), (101, "a" * 9000)]
+    found = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = [t for _, t in rows]
+    for (i, t), after in zip(rows, texts[1:] + texts[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        for text, name in ((t, "fingerprint"), (edited, "edited_fingerprint")):
+            end, samples = plain_samples(text)
+            assert found[i][name] == f"{end:x}:" + "".join(f"{v:x}" for octave in samples.values() for _, v in sorted(octave.items())), (i, name)
+        assert found[i]["near_edited"] == pytest.approx(plain_likeness(t, edited), abs=1e-9)
+        assert found[i]["near_next"] == pytest.approx(plain_likeness(t, after), abs=1e-9)

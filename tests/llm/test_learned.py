@@ -1,5 +1,6 @@
 """Toxicity and personal data."""
 
+import math
 import random
 import re
 import time
@@ -218,3 +219,51 @@ def test_the_risk_never_goes_below_zero_for_long():
     unl = [np.unique(rng.integers(40, 90, 20)).astype(np.uint32) for _ in range(100)]
     model = toxicity.fit_nnpu(pos, unl, 0.4)
     assert np.isfinite(list(model.weights.values())).all() and np.isfinite(model.bias)
+
+
+def test_the_fit_is_that_of_a_plain_descent():
+    """The non-negative risk over dense rows, gradients word by word."""
+    rng = np.random.default_rng(3)
+    made = lambda bad, plain: np.flatnonzero(rng.random(30) < np.r_[np.full(10, bad), np.full(20, plain)]).astype(np.uint32)
+    pos, unl = [made(0.6, 0.2) for _ in range(150)], [made(0.08, 0.3) for _ in range(200)]
+    prior, steps = 0.3, 40
+    model = toxicity.fit_nnpu(pos, unl, prior, steps=steps)
+    rate = lambda rows, w, n: (sum(w in r for r in rows) + 0.5) / (n + 1)
+    odds = {}
+    for w in range(30):
+        n_p, n_u = sum(w in r for r in pos), sum(w in r for r in unl)
+        p, u = rate(pos, w, 150), rate(unl, w, 200)
+        if n_p + n_u >= 8 and abs(math.log(p / u)) > 4 * math.sqrt(1 / (n_p + 0.5) + 1 / (n_u + 0.5)):
+            odds[w] = math.log(p / (max(u - prior * p, 0.5 / 201) / (1 - prior)))
+    assert odds and set(odds) == set(model.weights)
+    words = sorted(odds)
+    w, b = {k: 0.5 for k in words}, math.log(prior / (1 - prior))
+    m, v = {k: 0.0 for k in [*words, "b"]}, {k: 0.0 for k in [*words, "b"]}
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    for step in range(1, steps + 1):
+        out = lambda r: sum(w[k] * odds[k] for k in words if k in r) + b
+        g_p, g_u = [out(r) for r in pos], [out(r) for r in unl]
+        negative = sum(math.log1p(math.exp(x)) for x in g_u) / 200 - prior * sum(math.log1p(math.exp(x)) for x in g_p) / 150
+        grad = {}
+        for k in [*words, "b"]:
+            has = lambda r, k=k: 1.0 if k == "b" else odds[k] * (k in r)
+            down = sum(prior * (squash(x) - 1) / 150 * has(r) for x, r in zip(g_p, pos))
+            other = sum(squash(x) / 200 * has(r) for x, r in zip(g_u, unl)) - sum(prior * squash(x) / 150 * has(r) for x, r in zip(g_p, pos))
+            grad[k] = (down + other if negative >= 0 else -other) + (0 if k == "b" else 1e-3 * w[k])
+            m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.999 * v[k] + 0.001 * grad[k] ** 2
+        for k in [*words, "b"]:
+            move = 0.05 * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            if k == "b":
+                b -= move
+            else:
+                w[k] -= move
+    assert model.bias == pytest.approx(b, abs=1e-6)
+    assert all(model.weights[k] == pytest.approx(w[k] * odds[k], abs=1e-6) for k in words)
+
+
+def test_repeated_ids_and_long_texts_are_scored_each_for_itself(spark):
+    rows, labels = toxic_table(400)
+    df = spark.createDataFrame([*rows, *rows[:3], (1, "w1 " * 200_000, "en")], "doc_id long, text string, lang string").withColumnRenamed("lang", "toxic_score")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = toxicity.score(df, model, out="toxic_score").collect()
+    assert len(found) == 404 and all(0 <= r["toxic_score"] <= 1 for r in found)

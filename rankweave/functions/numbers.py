@@ -37,4 +37,5 @@ def expected_value(p: Column, odds: Column) -> Column:
 
 
 def hash_bucket(x: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(buckets)).cast("double")
+    """A bucket of a text or number from the first 32 bits of its SHA-256, as a number that a learner can read."""
+    return F.pmod(F.conv(F.substring(F.sha2(x.cast("string"), 256), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("double")

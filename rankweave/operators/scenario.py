@@ -35,6 +35,11 @@ def _pressure(kind: str, site: str) -> Column:
     return clip01(0.42 * F.col(kind) + _sum(PRESSURE) + 0.07 * F.col(site))
 
 
+def challenge() -> Column:
+    """How strongly a slot challenges the first one."""
+    return clip01(_sum({k: w for k, w in CHALLENGE.items() if k != "k34"}) + CHALLENGE["k34"] * F.greatest("k3", "k4") + mapped(F.col("slot"), CHALLENGE_BIAS))
+
+
 def context(slots: DataFrame, key: str = "contest_id") -> DataFrame:
     """One row for each contest with its scalars, from one aggregate over the slots.
 
@@ -42,9 +47,8 @@ def context(slots: DataFrame, key: str = "contest_id") -> DataFrame:
     styles), site_win, site2, site3 and the three advantages; missing slots
     count as 0.
     """
-    challenge = clip01(_sum({k: w for k, w in CHALLENGE.items() if k != "k34"}) + CHALLENGE["k34"] * F.greatest("k3", "k4") + mapped(F.col("slot"), CHALLENGE_BIAS))
     df = slots.withColumns({
-        "challenge": challenge, "escape_base": _sum(ESCAPE), "p_k2_2": _pressure("k2", "site2"), "p_k3_2": _pressure("k3", "site2"), "p_k3_3": _pressure("k3", "site3"), "p_k4_3": _pressure("k4", "site3"),
+        "challenge": challenge(), "escape_base": _sum(ESCAPE), "p_k2_2": _pressure("k2", "site2"), "p_k3_2": _pressure("k3", "site2"), "p_k3_3": _pressure("k3", "site3"), "p_k4_3": _pressure("k4", "site3"),
     })
     at = lambda slot, c: F.coalesce(F.max(F.when(F.col("slot") == slot, F.col(c))), F.lit(0.0))
     among = lambda slots_, c: F.coalesce(F.max(F.when(F.col("slot").isin(*slots_), F.col(c))), F.lit(0.0))

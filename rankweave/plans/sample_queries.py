@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
+from rankweave.functions import numbers
 from rankweave.operators import sampling as s
 from rankweave.operators import statistics as st
 from rankweave.operators.history import Feature, rolling_history
@@ -115,6 +116,27 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.agg(F.round(F.corr("rx", "ry"), 9).alias("spearman"), F.count("*").alias("n"))
 
 
+RANKED = ("lead_time", "raw_score", "position", "outcome_rank", "payout")
+RANK_PAIRS = [(x, y) for x in RANKED[:3] for y in RANKED[3:]]
+AVERAGE_RANKS = "SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in RANKED) + " FROM v"
+
+
+@query(on_view(" UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, round(corr({x}, {y}), 9) AS spearman FROM r" for x, y in RANK_PAIRS), r=AVERAGE_RANKS))
+def spearman_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of every input with every target."""
+    df = contest_view(spark, sf_dir).select(*RANKED)
+    for c in RANKED:
+        df = st.average_ranks(df, c, f"r_{c}")
+    out = st.correlations(df.select([F.col(f"r_{c}").alias(c) for c in RANKED]), RANK_PAIRS)
+    return out.select("x", "y", "n", F.round("pearson", 9).alias("spearman"))
+
+
+@query(on_view(f"SELECT contest_id, slot, CAST({hashed('site')} % 16 AS DOUBLE) AS site_bucket, CAST({hashed('entity_id')} % 64 AS DOUBLE) AS entity_bucket FROM v"))
+def hashed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of many values as numbers of a fixed range."""
+    return contest_view(spark, sf_dir).select(*KEY, numbers.hash_bucket(F.col("site"), 16).alias("site_bucket"), numbers.hash_bucket(F.col("entity_id"), 64).alias("entity_bucket"))
+
+
 @query(on_view("SELECT round(quantile_cont(payout, 0.7), 6) AS payout_q70, round(quantile_cont(payout, 0.5), 6) AS payout_q50, round(quantile_cont(raw_score, 0.7), 6) AS raw_score_q70, round(quantile_cont(raw_score, 0.5), 6) AS raw_score_q50 FROM v"))
 def quantile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = st.quantiles(contest_view(spark, sf_dir), ["payout", "raw_score"], [0.7, 0.5])

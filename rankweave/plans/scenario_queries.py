@@ -93,6 +93,25 @@ def scenario_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios(spark, sf_dir).select("contest_id", *[F.round(s, 9).alias(s) for s in sc.SCENARIOS], sc.label().alias("label"))
 
 
+@query(on_scenario("SELECT contest_id, " + ", ".join(f"CAST(label = '{x}' AS INT) AS is_{x.lower()}, round({x}, 9) AS score_{x.lower()}" for x in sc.SCENARIOS) + """, round(best - second, 9) AS margin
+FROM (SELECT *, CASE WHEN chaos >= 0.65 OR (chaos >= 0.55 AND best - second < 0.05) OR best < 0.28 THEN 'S6' ELSE name END AS label
+      FROM (SELECT *, greatest(S0, S1, S2, S3, S4, S5) AS best, list_sort([S0, S1, S2, S3, S4, S5])[5] AS second, CASE greatest(S0, S1, S2, S3, S4, S5) WHEN S0 THEN 'S0' WHEN S1 THEN 'S1' WHEN S2 THEN 'S2' WHEN S3 THEN 'S3' WHEN S4 THEN 'S4' ELSE 'S5' END AS name FROM sc))"""))
+def scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contest's scenario as inputs of a learner: one flag a label, all scores and the margin of the best."""
+    df = scenarios(spark, sf_dir).withColumn("label", sc.label())
+    ordered = F.sort_array(F.array(*sc.SCENARIOS[:6]), asc=False)
+    flags = [c for x in sc.SCENARIOS for c in ((F.col("label") == x).cast("int").alias(f"is_{x.lower()}"), F.round(x, 9).alias(f"score_{x.lower()}"))]
+    return df.select("contest_id", *flags, F.round(ordered[0] - ordered[1], 9).alias("margin"))
+
+
+@query(on_scenario("SELECT contest_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in NINE) + ", " + ", ".join(f"max(CASE WHEN slot = {k} THEN round({c}, 9) END) AS {c}_{k}" for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")) + " FROM cx JOIN (SELECT contest_id, slot, challenge, top2, k2, lead_adv FROM s2) AS p USING (contest_id) GROUP BY contest_id, " + ", ".join(NINE)))
+def pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contest: its context, and the slots' values side by side."""
+    slots = scenario_slots(spark, sf_dir).withColumn("challenge", sc.challenge())
+    wide = slots.groupBy("contest_id").agg(*[F.max(F.when(F.col("slot") == k, F.round(c, 9))).alias(f"{c}_{k}") for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")])
+    return scenarios(spark, sf_dir).select("contest_id", *[F.round(c, 9).alias(c) for c in NINE]).join(wide, "contest_id")
+
+
 SUBSET = f"""
 SELECT *, {clip("0.28 * collapse + 0.24 * attack + 0.2 * sweep + 0.18 * greatest(S3, S4, S5, S6) + 0.1 * flat")} AS upset
 FROM sc JOIN (SELECT contest_id, {clip("0.55 * least(1, greatest(0, -sum(share * ln(greatest(share, 1e-12))) / ln(count(*)))) + 0.25 * (1 - max(share)) + 0.2 * (1 - greatest(max(share) - list_sort(list(share))[5], 0))")} AS flat FROM sh GROUP BY contest_id) USING (contest_id)

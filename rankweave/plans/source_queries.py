@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave.core.contest import contest_view
 from rankweave.operators.tickets import complete_groups
 from rankweave.plans.registry import ORACLE, QUERIES, on_view, query
+from rankweave.plans.stream_queries import shared_folder
 from rankweave.plans.ticket_queries import SIX
 from rankweave.sources import reports, tables
 
@@ -50,6 +52,47 @@ def report_payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.payouts(reports.lines(report_files(spark, sf_dir))).select("contest_id", "ticket", "payout")
 
 
+def programme_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programmes with deadlines of the complete contests, a file for each day and site."""
+    six = complete_groups(contest_view(spark, sf_dir))
+    six = six.withColumn("no", F.dense_rank().over(Window.partitionBy("race_date", "site").orderBy("contest_id")))
+    name = F.translate(F.col("entity_id").cast("string"), "0123456789", "abcdefghij")
+    two = lambda x: F.format_string("%.2f", x)
+    numbers = F.concat_ws(" ", two(F.col("raw_score") * 10), two(F.col("lead_time") * 100), two(F.col("lead_time") * 10), two(F.col("raw_score")), "machine_a", two(F.col("lead_time") + 20), "machine_b", two(F.col("lead_time") + 30))
+    row = F.concat(F.format_string("%d %04d", "slot", "entity_id"), name, F.format_string("%02dXY%02dA%d %s 12 F3  4", (F.col("entity_id") % 40 + 20).cast("int"), F.col("slot") + 45, (F.col("slot") % 2 + 1).cast("int"), numbers))
+    contest = six.groupBy("race_date", "site", "no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    head = F.format_string("  %dR  heat  H1800m  電話投票締切予定時刻%02d:%02d\n-----\n番 号\n-----\n", "no", F.col("no") % 12 + 8, F.col("no") * 7 % 60)
+    blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", F.concat(head, "rows").alias("block")))), lambda x: x["block"]), "\n\n")
+    top = F.format_string("%02dBBGN\n %s\n", F.expr(f"cast({CODE} as int)"), F.date_format("race_date", "yyyy年M月d日"))
+    return contest.groupBy("race_date", "site").agg(blocks.alias("blocks")).select(F.concat_ws("-", "race_date", "site").alias("file"), F.concat(top, "blocks").alias("content"))
+
+
+@query(on_view("SELECT strftime(race_date, '%Y-%m-%d') || '_0' || substr(site, 1, 1) || '_' || lpad(CAST(no AS VARCHAR), 2, '0') AS contest_id, slot, entity_id, translate(CAST(entity_id AS VARCHAR), '0123456789', 'abcdefghij') AS entity_name, entity_id % 40 + 20 AS age, slot + 45 AS weight, 'A' || (slot % 2 + 1) AS grade, round(raw_score * 10, 2) AS win_rate, round(lead_time * 100, 2) AS place_rate, machine_a, round(lead_time + 20, 2) AS machine_a_rate, machine_b, '12 F3' AS meet_results FROM (SELECT *, dense_rank() OVER (PARTITION BY race_date, site ORDER BY contest_id) AS no FROM six)", six=SIX))
+def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programmes written from the tables and read back."""
+    found = reports.entries(reports.lines(programme_files(spark, sf_dir)))
+    return found.select("contest_id", "slot", "entity_id", "entity_name", "age", "weight", "grade", "win_rate", "place_rate", "machine_a", "machine_a_rate", "machine_b", "meet_results")
+
+
+@query(on_view("SELECT race_date, '0' || substr(site, 1, 1) AS section, no AS contest_no, no % 12 + 8 AS hour, no * 7 % 60 AS minute FROM (SELECT DISTINCT race_date, site, dense_rank() OVER (PARTITION BY race_date, site ORDER BY contest_id) AS no FROM six)", six=SIX))
+def report_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of every programme, the last one given for a contest."""
+    found = reports.schedule(reports.lines(programme_files(spark, sf_dir)))
+    return found.select(F.substring("file", 1, 10).cast("date").alias("race_date"), "section", "contest_no", "hour", "minute")
+
+
+@query(on_view("SELECT contest_id, slot, site, lead_time, trial_time, CAST(NULL AS VARCHAR) AS missing FROM v"))
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV and as Parquet and read back by the suffix, with a column that neither has."""
+    folder = shared_folder(spark)
+    df = contest_view(spark, sf_dir).select("contest_id", "slot", "site", "lead_time", "trial_time")
+    tables.write_csv(df.where("slot = 1"), f"{folder}/one.csv")
+    df.where("slot <> 1").write.parquet(f"{folder}/others.parquet")
+    schema = T.StructType([*df.schema.fields, T.StructField("missing", T.StringType())])
+    one = tables.read_any(spark, f"{folder}/one.csv", df.schema)
+    return tables.conform(one, schema).unionByName(tables.read_any(spark, f"{folder}/others.parquet", schema))
+
+
 def present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that have contests of two kinds of sites."""
     v = contest_view(spark, sf_dir)

@@ -36,3 +36,13 @@ def stateful_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = tail.rolling_mean_stream(event_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", 5, 2)
     found = tail.run_to_end(stream, f"{folder}/out", f"{folder}/state")
     return found.select("user_id", "event_id", F.round("prior_mean", 9).alias("prior_mean"), "prior_count")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY CAST(ts AS DATE), event_type")
+def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and sums by day and type, as far as the watermark has closed the days."""
+    folder = shared_folder(spark)
+    # the table's times have no zone: they are read as UTC, whatever the session's zone is
+    events = event_stream(spark, sf_dir).withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"))
+    found = tail.run_to_end(tail.daily_windows(events, "ts", "event_type", "value"), f"{folder}/out", f"{folder}/state")
+    return found.select(F.expr("date_from_unix_date(cast(floor(unix_seconds(day) / 86400) as int))").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))

@@ -184,14 +184,14 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def schedule(rows: DataFrame) -> DataFrame:
-    """(section, contest_no, hour, minute) of the deadlines of a programme."""
+    """(file, section, contest_no, hour, minute) of the deadlines of programmes."""
     seen = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     at = rows.withColumn("section", F.last(_got(SECTION), ignorenulls=True).over(seen))
     found = at.where(F.col("section").isNotNull() & F.col("plain").rlike(DEADLINE))
     number = lambda g: _got(DEADLINE, g).try_cast("int")
     last = F.row_number().over(Window.partitionBy("file", "section", "contest_no").orderBy(F.desc("line_no")))
     out = found.select("file", "line_no", "section", number(1).alias("contest_no"), number(2).alias("hour"), number(3).alias("minute"))
-    return out.withColumn("n", last).where("n = 1").select("section", "contest_no", "hour", "minute")
+    return out.withColumn("n", last).where("n = 1").select("file", "section", "contest_no", "hour", "minute")
 
 
 def batches(found: DataFrame) -> Iterator[DataFrame]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,3 +111,23 @@ def coded_by_name(df: DataFrame, dimension: DataFrame, name: str, out: str) -> D
     """df with the code of each name; an unknown name is an error where the row is read."""
     known = df.join(dimension.select(F.col("name").alias(name), F.col("code").alias(out)), name, "left")
     return known.withColumn(out, F.when(F.col(out).isNull() & F.col(name).isNotNull(), F.raise_error(F.concat(F.lit("unknown name "), F.col(name)))).otherwise(F.col(out)))
+
+
+def write_together(frames: Mapping[str, DataFrame], path: str) -> str:
+    """Write several tables under a new version of the folder and name it in a marker file last.
+
+    Readers follow the marker, so they see all tables of one version or none;
+    a write that fails half-way leaves the version before in place.
+    """
+    version = uuid.uuid4().hex
+    for name, df in frames.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    any_ = next(iter(frames.values())).sparkSession
+    any_.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def read_latest(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the version that was marked last."""
+    marked = spark.read.parquet(f"{path}/versions").select("version", F.col("_metadata.file_modification_time").alias("t"))
+    return spark.read.parquet(f"{path}/{marked.agg(F.max_by('version', 't')).head()[0]}/{name}")

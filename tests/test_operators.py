@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.core import schemas
 from rankweave.functions import dates, text
-from rankweave.operators import confidence, metrics, relative, sampling, statistics, tickets
+from rankweave.operators import confidence, metrics, prediction, relative, sampling, search, statistics, tickets
 from rankweave.operators.history import Feature, Recent, asof_last_n, recent_tail, rolling_history
 from rankweave.sources import reports, tables
 
@@ -158,7 +158,7 @@ def test_programme_lines(spark):
 def test_deadlines(spark):
     content = "15BBGN\n  １Ｒ  予　選　　　          Ｈ１８００ｍ  電話投票締切予定時刻１０：５７ 連複\n24BBGN\n  １Ｒ  朝１戦　　　          Ｈ１８００ｍ  電話投票締切予定０８：３２ "
     rows = reports.lines(spark.createDataFrame([("B", content)], "file string, content string"))
-    assert sorted(map(tuple, reports.schedule(rows).collect())) == [("15", 1, 10, 57), ("24", 1, 8, 32)]
+    assert sorted(map(tuple, reports.schedule(rows).drop("file").collect())) == [("15", 1, 10, 57), ("24", 1, 8, 32)]
 
 
 def test_text_and_dates(spark):
@@ -186,3 +186,36 @@ def test_gaps_reach_from_the_first_to_the_last_day(spark):
     assert missing == {("1996-12-30", "b"), ("1996-12-31", "a"), ("1996-12-31", "b"), ("1997-01-01", "a"), ("1997-01-01", "b")}
     assert {r["status"]: r["n"] for r in tables.gap_report(wanted, present).collect()} == {"missing": 5, "present": 3}
     assert tables.calendar_over(df.limit(0), ("a",)).collect() == []
+
+
+def test_tables_of_one_version_are_read_together(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    make = lambda n: {k: spark.createDataFrame([(n,)], "n int") for k in ("entries", "results", "training")}
+    tables.write_together(make(1), path)
+    tables.write_together(make(2), path)
+    assert [tables.read_latest(spark, path, k).head()["n"] for k in ("entries", "results", "training")] == [2, 2, 2]
+
+
+def test_names_to_codes_and_back(spark):
+    dimension = spark.createDataFrame([("01", "north"), ("02", "south")], "code string, name string")
+    df = spark.createDataFrame([("01",), ("09",), (None,)], "code string")
+    assert {(r["code"], r["name"]) for r in tables.named_by_code(df, dimension, "code", "name").collect()} == {("01", "north"), ("09", "09"), (None, None)}
+    names = spark.createDataFrame([("south",), (None,)], "name string")
+    assert {(r["name"], r["code"]) for r in tables.coded_by_name(names, dimension, "name", "code").collect()} == {("south", "02"), (None, None)}
+    with pytest.raises(Exception, match="unknown name west"):
+        tables.coded_by_name(spark.createDataFrame([("west",)], "name string"), dimension, "name", "code").collect()
+
+
+def test_a_search_goes_on_where_it_stopped(spark):
+    grid = spark.createDataFrame([(w / 10, p) for w in range(5, 11) for p in (0.0, 0.2)], "weight double, penalty double")
+    done = spark.createDataFrame([(0.5, 0.0, 100), (0.6, 0.2, 99)], "weight double, penalty double, contests int")
+    left = {tuple(r) for r in search.open_points(grid, done, 100).collect()}
+    assert len(left) == 11 and (0.5, 0.0) not in left and (0.6, 0.2) in left
+
+
+def test_a_favourite_without_place_1_is_slot_1_else_the_first(spark):
+    rows = [(1, 1, 2, 4, 0.5), (1, 2, 1, 1, 0.7), (2, 1, 3, 3, 0.2), (2, 2, 2, 1, 0.9), (3, 4, 5, 2, 0.4), (3, 5, 6, 1, 0.3)]
+    df = spark.createDataFrame(rows, "contest_id int, slot int, position int, outcome_rank int, x double")
+    got = {r["contest_id"]: (r["own_x"], r["max_outer_x"], r["at2"]) for r in prediction.favourite_row(df, ["x"], ["x"], {"at2": (2, "x")}).collect()}
+    assert got == {1: (0.7, 0.5, 0.5), 2: (0.2, 0.9, 0.9), 3: (0.4, 0.4, 0.0)}
+    assert {tuple(r) for r in prediction.favourite_target(df).collect()} == {(1, 1, 0), (2, 0, 1)}

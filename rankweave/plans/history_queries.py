@@ -75,6 +75,7 @@ FAMILIES = {
     ("machine_a",): [Feature("a_top3", "is_top3", 40, 5), Feature("a_win", "is_win", 40, 5), Feature("a_lead", "lead_time", 40, 5)],
     ("machine_b",): [Feature("b_top3", "is_top3", 40, 5), Feature("b_win", "is_win", 40, 5), Feature("b_lead", "lead_time", 40, 5)],
 }
+BLOCK = 50_000  # rows of a key with very many rows that one task sorts
 CROWDED = {
     ("site", "position"): [Feature("place_win", "is_win", 200, 30), Feature("place_top2", "is_top2", 200, 30), Feature("place_top3", "is_top3", 200, 30), Feature("place_rank", "outcome_rank", 200, 30)],
     ("site", "slot"): [Feature("site_slot_win200", "is_win", 200, 30), Feature("site_slot_top2", "is_top2", 200, 30), Feature("site_slot_top3_200", "is_top3", 200, 30), Feature("site_slot_rank", "outcome_rank", 200, 30)],
@@ -87,10 +88,11 @@ def _families_sql(families: dict) -> str:
 
 @query(_families_sql(FAMILIES))
 def history_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling features by entity and place and by machine: one shuffle for each key, in time order."""
-    df = flagged(spark, sf_dir)
+    """Rolling features by entity and place and by machine, in time order; the few machines are cut into blocks."""
+    df = view = flagged(spark, sf_dir)
     for key, features in FAMILIES.items():
-        df = rolling_history(df, key, ORDER, features)
+        few = key in (("machine_a",), ("machine_b",))
+        df = rolling_history(df, key, ORDER, features, block=BLOCK if few else None, count_on=view if few else None)
     return rounded(df, *[f.out for fs in FAMILIES.values() for f in fs])
 
 
@@ -99,7 +101,7 @@ def history_crowded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 200 rows over a few keys with very many rows each, cut into blocks that lend their ends."""
     df = view = flagged(spark, sf_dir)
     for key, features in CROWDED.items():
-        df = rolling_history(df, key, ORDER, features, block=50_000, count_on=view)
+        df = rolling_history(df, key, ORDER, features, block=BLOCK, count_on=view)
     return rounded(df, *[f.out for fs in CROWDED.values() for f in fs])
 
 

@@ -72,25 +72,27 @@ def conditions() -> Column:
     return F.when(is_header() & behind.contains(WIND) & behind.contains(WAVE), fields)
 
 
-def result_fields() -> Column:
-    """(token, slot, entity_id, name, machine_a, machine_b, tail) of a result line, null for other lines.
+def with_result_fields(rows: DataFrame, where: Column) -> DataFrame:
+    """rows with `row`, (token, slot, entity_id, name, machine_a, machine_b, tail) of a result line, null for other lines.
 
     Three words stand before the name: outcome, slot and a number of four
     digits. The name ends where two whole numbers follow each other; what is
-    behind them is the tail.
+    behind them is the tail. Words and the name's end are columns of their own,
+    so a line is split once.
     """
-    words = F.filter(F.split("plain", r"\s+"), lambda w: w != "")
+    words, at = F.col("__words"), F.col("__end")
     word = lambda k: F.try_element_at(words, k if isinstance(k, Column) else F.lit(k))
-    whole = lambda k: F.coalesce(word(k).rlike(r"^\d+$"), F.lit(False))
-    places = F.filter(F.sequence(F.lit(5), F.greatest(F.size(words), F.lit(5))), lambda k: whole(k) & whole(k + 1))
-    at = F.try_element_at(places, F.lit(1))
+    whole = F.transform(words, lambda w: w.rlike(r"^\d+$"))
+    both = F.zip_with(F.slice(whole, 5, F.greatest(F.size(words), F.lit(1))), F.slice(whole, 6, F.greatest(F.size(words), F.lit(1))), lambda x, y: F.coalesce(x & y, F.lit(False)))
     rest = lambda start, n: F.slice(words, start, F.greatest(n, F.lit(0)))
     fields = F.struct(
         word(1).alias("token"), word(2).try_cast("long").alias("slot"), word(3).try_cast("long").alias("entity_id"), F.array_join(rest(4, at - 4), "").alias("name"),
         word(at).try_cast("long").alias("machine_a"), word(at + 1).try_cast("long").alias("machine_b"), F.array_join(rest(at + 2, F.size(words) - at - 1), " ").alias("tail"),
     )
     shaped = word(1).rlike(r"^[0-9A-Z]{1,2}$") & word(2).rlike(r"^[1-6]$") & word(3).rlike(r"^\d{4}$")
-    return F.when(shaped & at.isNotNull(), fields)
+    split = F.filter(F.split("plain", r"\s+"), lambda w: w != "")
+    rows = rows.withColumn("__words", F.when(where, split)).withColumn("__end", F.when(shaped, F.array_position(both, F.lit(True)) + 4).cast("int"))
+    return rows.withColumn("row", F.when(at > 4, fields)).drop("__words", "__end")
 
 
 def entry_fields() -> Column:
@@ -155,7 +157,8 @@ def results(rows: DataFrame) -> DataFrame:
     table_head = _got(rf"(?:{'|'.join(CLOCK_LABELS)})\s*({'|'.join(STYLES)})")
     style = text.collapse(F.coalesce(_got(STYLE), table_head))
     at = carried(rows).where("contest_no is not null")
-    at = at.withColumns({"row": F.when((F.col("dashes") >= 1) & ~plain.rlike(PAYOUT), result_fields()), "sky": conditions(), "style": style, "paid": _got(PAYOUT, 2).try_cast("double")})
+    at = at.withColumns({"sky": conditions(), "style": style, "paid": _got(PAYOUT, 2).try_cast("double")})
+    at = with_result_fields(at, (F.col("dashes") >= 1) & F.col("paid").isNull())
     at = at.withColumns({c: F.last(c, ignorenulls=True).over(since) for c in ("sky", "style")}).where("row is not null or paid is not null")
     contest = Window.partitionBy("contest_id").orderBy("file", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = at.withColumn("payout", F.first("paid", ignorenulls=True).over(contest))

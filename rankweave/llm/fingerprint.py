@@ -362,10 +362,26 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.n
     return np.where(longest > 0, total / np.maximum(longest, 1), 1) >= least
 
 
+def merge_buckets(members: DataFrame) -> DataFrame:
+    """(node, leaf) of members (node, leaf, n): buckets that mostly lie in a larger one become a part of it.
+
+    A node's home is its largest bucket. A bucket takes the name of the largest
+    home among its members if at least half of them live there. Nodes that
+    share a bucket still share one, and near copies, which share dozens of
+    buckets, are compared once.
+    """
+    by_node, by_leaf = Window.partitionBy("node"), Window.partitionBy("leaf")
+    homes = members.withColumn("home", F.max(F.struct("n", "leaf")).over(by_node)).withColumn("top", F.max("home").over(by_leaf))
+    inside = F.sum((F.col("home") == F.col("top")).cast("long")).over(by_leaf)
+    name = F.when(2 * F.col("inside") >= F.col("n"), F.col("top.leaf")).otherwise(F.col("leaf"))
+    return homes.withColumn("inside", inside).select("node", name.alias("leaf")).distinct()
+
+
 def similar_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, small: int = SMALL) -> DataFrame:
     """(id, print, class_id, links) of each row: the packed fingerprint and what `similar` gives.
 
-    Keys are dealt once; of buckets with the same members one is compared.
+    Keys are dealt once; of buckets with the same members one is compared, and
+    buckets that overlap are merged first.
     """
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,14 +406,17 @@ def similar_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mix, same = F.xxhash64("node"), Window.partitionBy("bucket")
     counted = [F.count("*").over(same).alias("n"), F.sum(F.shiftright(mix, 30)).over(same).alias("x"), F.sum(F.shiftright(F.xxhash64(mix), 30)).over(same).alias("y")]
     shared = classes.select("node", "print").mapInArrow(keys_of, "node long, bucket long").select("node", *counted).where("n > 1")
-    leaves = written(shared.select(key, F.xxhash64("n", "x", "y").alias("leaf"), "n").distinct(), "fingerprint-leaves")
+    own = written(shared.select("node", F.xxhash64("n", "x", "y").alias("leaf"), "n").distinct(), "fingerprint-buckets")
+    merged = written(merge_buckets(own), "fingerprint-merged")
+    sizes = merged.groupBy("leaf").agg(F.count("*").alias("n"))
+    leaves = written(merged.join(sizes, "leaf").select(key, "leaf", "n"), "fingerprint-leaves")
     lists = leaves.groupBy("set_key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     ready = lists.join(classes.select("set_key", "copies", F.col("print").alias("shingles")), "set_key")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = block_units(leaves, small).join(ready, "set_key").repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set_key")
     partial = written(block_links(placed, lambda a, b: alike(a, b, least), np.uint8), "fingerprint-links")
     facts, joined = class_facts(classes, partial, "fingerprint")
-    for used in (leaves, partial, joined):
+    for used in (own, merged, leaves, partial, joined):
         discard(used)
     known = classes.select("set_key", "print").join(facts, "set_key").select("print", "class_id", "links")
     return prints.join(known, "print").select("id", "print", "class_id", "links")

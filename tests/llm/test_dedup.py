@@ -188,6 +188,18 @@ def test_banding_finds_short_texts_local_edits_and_ends_across_a_power_of_two():
     assert all(len(fingerprint._bands(int(t))) for t in fingerprint._levels())
 
 
+def test_merged_buckets_keep_nodes_that_share_one_together(spark):
+    rng = random.Random(3)
+    buckets = [set(rng.sample(range(40), rng.randint(2, 12))) for _ in range(60)] + [set(range(40, 70)) - {40 + k} for k in range(30)]
+    rows = [(node, leaf, len(b)) for leaf, b in enumerate(buckets) for node in b]
+    found = fingerprint.merge_buckets(spark.createDataFrame(rows, "node long, leaf long, n long")).collect()
+    of = {}
+    for r in found:
+        of.setdefault(r["node"], set()).add(r["leaf"])
+    assert all(of[a] & of[b] for bucket in buckets for a in bucket for b in bucket)
+    assert max(len(of[node]) for node in range(40, 70)) == 1 and len(found) < len(rows)
+
+
 def test_fingerprint_query_rows_have_their_links(spark):
     text = "the quick brown fox jumps over"
     rows = [(1, text), (2, text[:-1] + "#"), (7, "something else altogether, and longer"), (7, text), (None, text), (None, None), (3, "")]

@@ -140,6 +140,13 @@ def observed(df: DataFrame, key: str = "contest_id") -> DataFrame:
     return rows.select(key, "winner", "style", status.alias("favourite"), shape.alias("shape"), F.concat_ws("/", status, shape).alias("pattern"))
 
 
+def outcome_scenario(inside_style: str) -> Column:
+    """S0..S6 of `observed` rows: by the winner, for slot 2 by style and whether the favourite stayed in front, else by the shape."""
+    winner = F.col("winner")
+    second = F.when((F.col("style") == inside_style) & F.col("favourite").isin("won", "placed"), "S1").otherwise("S2")
+    return F.when(winner == 2, second).when(winner == 1, "S0").when(winner.isin(3, 4), F.concat(F.lit("S"), winner)).when(winner.isin(5, 6) | (F.col("shape") == "outside"), "S5").otherwise("S6")
+
+
 def line_fits() -> dict[str, Column]:
     """How a ticket (a, b, c) fits the context of its contest: six fits and a penalty for what it ignores."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")

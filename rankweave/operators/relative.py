@@ -85,6 +85,12 @@ def masked_mean(x: str | Column, condition: Column, key: str = GROUP) -> Column:
     return F.avg(F.when(condition, _col(x))).over(group(key))
 
 
+def halves(x: str, place: str, inner: int = 3) -> dict[str, Column]:
+    """Means of the inner and the outer places, how far apart they are, and a row's distance from each."""
+    low, high = masked_mean(x, F.col(place) <= inner), masked_mean(x, F.col(place) > inner)
+    return {"inner_mean": low, "outer_mean": high, "halves_gap": high - low, "from_inner": F.col(x) - low, "from_outer": F.col(x) - high}
+
+
 def arg_max(score: str | Column, place: str | Column, allowed: Column, key: str = GROUP) -> Column:
     """The smallest place that has the largest score of the group, among those allowed with a positive score."""
     score = _col(score)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
 from rankweave.operators import relative as r
-from rankweave.plans.history_queries import KEY, rounded
+from rankweave.operators.history import Feature, rolling_history
+from rankweave.plans.history_queries import KEY, ORDER, guarded, rounded
 from rankweave.plans.registry import on_view, query
 
 G = "PARTITION BY contest_id"
@@ -92,3 +93,21 @@ def entropy_in_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised entropy of the softmax shares."""
     shares = contest_view(spark, sf_dir).withColumn("share", r.softmax("raw_score"))
     return shares.select(*KEY, F.round(r.entropy("share"), 9).alias("entropy"))
+
+
+SPANS = (5, 10, 30)
+
+
+@query(on_view(f"""
+SELECT contest_id, slot, round(low, 9) AS inner_mean, round(high, 9) AS outer_mean, round(high - low, 9) AS halves_gap, round(lead_time - low, 9) AS from_inner, round(lead_time - high, 9) AS from_outer,
+       round(best, 9) AS best_before, round(worst, 9) AS worst_before, round(worst - best, 9) AS range_before, round(lead_time - best, 9) AS from_best_before
+FROM (SELECT *, avg(CASE WHEN position <= 3 THEN lead_time END) OVER ({G}) AS low, avg(CASE WHEN position > 3 THEN lead_time END) OVER ({G}) AS high,
+             least({', '.join(guarded('min', 'lead_time', 'entity_id', n, 3) for n in SPANS)}) AS best, greatest({', '.join(guarded('max', 'lead_time', 'entity_id', n, 3) for n in SPANS)}) AS worst FROM v)
+"""))
+def lead_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of the inner and outer places, and an entity's best and worst lead over several windows before."""
+    bounds = [Feature(f"{how}{n}", "lead_time", n, 3, how) for n in SPANS for how in ("min", "max")]
+    df = rolling_history(contest_view(spark, sf_dir), ["entity_id"], ORDER, bounds).withColumns(r.halves("lead_time", "position"))
+    df = df.withColumns({"best_before": F.least(*[f"min{n}" for n in SPANS]), "worst_before": F.greatest(*[f"max{n}" for n in SPANS])})
+    df = df.withColumns({"range_before": F.col("worst_before") - F.col("best_before"), "from_best_before": F.col("lead_time") - F.col("best_before")})
+    return rounded(df, "inner_mean", "outer_mean", "halves_gap", "from_inner", "from_outer", "best_before", "worst_before", "range_before", "from_best_before")

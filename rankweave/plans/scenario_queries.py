@@ -146,17 +146,33 @@ CH1 = f"SELECT *, 0.32 * challenger + 0.22 * {scaled('machine_b')} + 0.18 * {sca
 CH2 = f"SELECT *, {clip('top')} AS pressure, {clip(f'max(CASE WHEN position = 1 THEN base END) OVER ({G}) * (1 - 0.35 * ' + clip('top') + ')')} AS reliability, {clip(f'coalesce(max(CASE WHEN position >= 4 THEN outer_score END) OVER ({G}), 0)')} AS outer_risk, min(CASE WHEN challenger = top AND challenger > 0 AND position <> 1 THEN position END) OVER ({G}) AS candidate FROM c1"
 
 
-@query(on_view(f"SELECT contest_id, slot, challenger, candidate, round(reliability, 9) AS reliability, round({clip('(1 - reliability) * (0.45 + 0.35 * pressure) + 0.2 * outer_risk')}, 9) AS collapse, round({clip('CASE position WHEN 1 THEN 0.05 WHEN 2 THEN 0.12 WHEN 3 THEN 0.24 WHEN 4 THEN 0.55 WHEN 5 THEN 0.75 ELSE 0.65 END * (1 + 0.15 * CAST(position = candidate AS INT))')}, 9) AS outer_fit, CASE position WHEN 1 THEN 1 WHEN 2 THEN 0.65 WHEN 3 THEN 0.45 WHEN 4 THEN 0.2 WHEN 5 THEN 0.1 ELSE 0.05 END AS support FROM c2", six=SIX, c0=CH0, c1=CH1, c2=CH2))
-def challengers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Challenger scores, the main candidate, the favourite's reliability and the risk of a collapse."""
+def challenged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    """Slots with their challenger score, and the columns that stand for its measures."""
     df = slot_shares(spark, sf_dir)
     form, engine, craft = "raw_score", "machine_a", "machine_b"
     measures = {"lead": "lead_time", "trial": "trial_time", "machine": engine, "place_top3": craft, "site_win": craft, "site_top3": craft, "challenger": "challenger", **dict.fromkeys(("top3", "attack", "win", "local"), form)}
-    df = df.withColumns(ch.scores(measures)).withColumn("challenger", F.round("challenger", 12))
+    return df.withColumns(ch.scores(measures)).withColumn("challenger", F.round("challenger", 12)), measures
+
+
+@query(on_view(f"SELECT contest_id, slot, challenger, candidate, round(reliability, 9) AS reliability, round({clip('(1 - reliability) * (0.45 + 0.35 * pressure) + 0.2 * outer_risk')}, 9) AS collapse, round({clip('CASE position WHEN 1 THEN 0.05 WHEN 2 THEN 0.12 WHEN 3 THEN 0.24 WHEN 4 THEN 0.55 WHEN 5 THEN 0.75 ELSE 0.65 END * (1 + 0.15 * CAST(position = candidate AS INT))')}, 9) AS outer_fit, CASE position WHEN 1 THEN 1 WHEN 2 THEN 0.65 WHEN 3 THEN 0.45 WHEN 4 THEN 0.2 WHEN 5 THEN 0.1 ELSE 0.05 END AS support FROM c2", six=SIX, c0=CH0, c1=CH1, c2=CH2))
+def challengers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Challenger scores, the main candidate, the favourite's reliability and the risk of a collapse."""
+    df, measures = challenged(spark, sf_dir)
     df = df.withColumn("outer", ch.outer(measures)).withColumns(ch.contest_flow()).withColumn("candidate", ch.candidate())
     return df.select(*KEY, "challenger", "candidate", F.round("reliability", 9).alias("reliability"), F.round("collapse", 9).alias("collapse"), F.round(ch.outer_fit(), 9).alias("outer_fit"), ch.support().alias("support"))
 
 
+@query(on_view("""
+SELECT contest_id, slot, round(top, 9) AS candidate_score, round(challenger - top, 9) AS behind_candidate, CASE WHEN candidate > 0 THEN abs(position - candidate) ELSE 0 END AS candidate_distance, CAST(coalesce(position = candidate, false) AS INT) AS is_candidate,
+       CAST(CASE WHEN candidate > 0 THEN sign(position - candidate) ELSE 0 END AS INT) AS candidate_side, CASE WHEN candidate > 0 THEN candidate - 1 ELSE 0 END AS inside_candidate, CASE WHEN candidate > 0 THEN greatest(6 - candidate, 0) ELSE 0 END AS outside_candidate
+FROM c2
+""", six=SIX, c0=CH0, c1=CH1, c2=CH2))
+def candidate_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot against the main challenger of its contest."""
+    df = challenged(spark, sf_dir)[0].withColumn("candidate", ch.candidate()).withColumns(ch.around_candidate())
+    return df.select(*KEY, *[F.round(c, 9).alias(c) for c in ("candidate_score", "behind_candidate")], "candidate_distance", "is_candidate", "candidate_side", "inside_candidate", "outside_candidate")
+
+
 @query(on_view(f"SELECT contest_id, slot, round({clip('(coalesce(trial_time * 0.45, 0) + lead_time * 0.25 + coalesce(CASE WHEN raw_score > 0.5 THEN raw_score END * 0.3, 0)) / (CASE WHEN trial_time IS NOT NULL THEN 0.45 ELSE 0 END + 0.25 + CASE WHEN raw_score > 0.5 THEN 0.3 ELSE 0 END)')}, 9) AS blend, coalesce(trial_time, CASE WHEN raw_score > 0.5 THEN raw_score END, 0) AS first_value FROM v"))
 def blended_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights renormalised over what is there, and the first value that is."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, chat, exact_dedup, fingerprint, jaccard, language_model, packing, pii, token_count, toxicity
+from rankweave.llm import alignment, bpe, centroids, chat, exact_dedup, fingerprint, jaccard, language_model, line_dedup, packing, pii, token_count, toxicity
 from rankweave.llm.scratch import documents, fold, text_of, written
 
 QUERIES: dict = {}
@@ -90,7 +90,6 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
@@ -114,3 +113,49 @@ SELECT conv_id,
 FROM conversations
 GROUP BY conv_id, turn // 256
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    groups = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    found = alignment.link_counts(groups.select("row", "place", "part", "parts", "n_a", "n_b", "n_groups", "pairs", "times", digest))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+),
+keys AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+),
+marked AS (
+    SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped
+    FROM keys
+)
+SELECT doc_id,
+       count(*) AS n_lines,
+       count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked
+GROUP BY doc_id
+"""
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(centroids.as_text(F.col("centroid")), 256).alias("centroid_sha256"))
+
+
+ORACLE["op13_centroids"] = centroids.centroid_sql("embeddings", k=16, rounds=3, dim=64, scale=64, seed=1)

@@ -24,11 +24,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partitions: int | None = None, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,13 +31,16 @@ result. Other columns pass through under any name, in one struct `row`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -45,32 +48,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm import shards
-from rankweave.llm.bpe import _slices
-from rankweave.llm.pretoken import WordCache
+from rankweave.llm.pretoken import Grown, Numbered
 from rankweave.llm.scratch import discard, text_of, written
-from rankweave.llm.token_count import byte_letters
+from rankweave.llm.token_count import Merges, byte_letters
 
-#: A word begins with spaces; it goes on behind a space where the last character is white, a control or unassigned.
+#: A word goes on behind a space that doesn't follow something visible: white, control and unassigned characters aren't.
 WORD = regex.compile(r" +[^ ]*(?:(?<=[\s\p{Z}\p{C}]) +[^ ]*)*")
+#: Where no text has such a place, words are what stands between spaces.
+ODD = re.compile(r"  |[^\w!-/:-@\[-`{-~] |^ ")
+#: Between words of a group: spaces that a word begins with, or that follow something not visible.
+UNSEEN = regex.compile(r"^ |^$|(?<=[\s\p{Z}\p{C}]) | $")
 BAD = -1  # stands for a word whose tokens don't give back its bytes
+CACHE_WORDS = 1 << 18
 BLOCK = 1 << 21  # id pairs that are worked on at once
+SLICE = 1 << 19  # bytes of text that are aligned at once
+TOGETHER = 128  # words that the libraries get as one text
+LONG = 8192  # longer texts of words go to them one by one
 ID_BITS = 21
 SHARD_PAIRS = 1 << 18
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text behind a space, each without the space that it begins with."""
+    if not text:
+        return []
+    if ODD.search(text):
+        return [w[1:] for w in WORD.findall(" " + text)]
+    return text.split(" ")
+
+
 class ByteLevel:
     """A byte-level BPE file of the tokenizers library; special tokens' strings are plain text."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, pattern: str):
         self.tokenizer = tokenizers.Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         byte = {ord(c): b for b, c in enumerate(byte_letters())}
-        self.bytes = {i: bytes(byte[ord(c)] for c in t) if all(ord(c) in byte for c in t) else t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.bytes = {i: bytes(byte[ord(c)] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(ord(c) in byte for c in t)}
+        # the same merges by rank, where ids rise with them: tiktoken is faster on ordinary words
+        merged = Merges(content, pattern).made
+        if (np.diff(merged) <= 0).any():
+            raise ValueError("ids of merged tokens must rise with their rank")
+        used = {*merged.tolist(), *(i for i, b in self.bytes.items() if len(b) == 1)}
+        self.ranks = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: i for i, b in self.bytes.items() if i in used}, special_tokens={})
+
+    def encode(self, words: list[str]) -> list[int]:
+        """Ids of the words one behind the other."""
+        text = " " + " ".join(words)
+        if len(text) > LONG:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
 
 
 class Pieces:
@@ -84,40 +113,93 @@ class Pieces:
             raise ValueError("a piece has a space inside: words can't be tokenized one by one")
         self.bytes = {i: bytes([int(piece[3:5], 16)]) if p.is_byte(i) else piece.replace("▁", " ").encode() for i, piece in pieces}
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Of words that begin with the space that the model adds; it adds none to nothing."""
-        found = self.processor.encode([w[1:] for w in words], num_threads=1)
-        return [ids if len(w) > 1 else [self.processor.piece_to_id("▁")] for w, ids in zip(words, found, strict=True)]
+    def encode(self, words: list[str]) -> list[int]:
+        """Ids of the words one behind the other; the model adds no space to nothing."""
+        text = " ".join(words)
+        return self.processor.encode(text) if text else [self.processor.piece_to_id("▁")]
 
 
 class Side:
-    """Ids of words by one tokenizer, from a cache, and the bytes of its tokens."""
+    """Ids of words by one tokenizer, and the bytes of its tokens."""
 
-    def __init__(self, path: str, content: bytes):
-        self.tokenizer = Pieces(content) if path.endswith(".model") else ByteLevel(content)
+    def __init__(self, path: str, content: bytes, pattern: str):
+        self.tokenizer = Pieces(content) if path.endswith(".model") else ByteLevel(content, pattern)
         self.size = max(self.tokenizer.bytes) + 1
-        self.length = np.zeros(self.size + 1, np.int64)  # one more for BAD
+        self.length = np.zeros(self.size + 1, np.int32)  # one more for BAD
         self.length[list(self.tokenizer.bytes)] = [len(b) for b in self.tokenizer.bytes.values()]
-        self.cache = WordCache(self._solve)
-
-    def _solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        token = self.tokenizer.bytes
-        found = self.tokenizer.encode([w.decode() for w in words])
-        found = [ids if b"".join(map(token.__getitem__, ids)) == w else [BAD] for w, ids in zip(words, found, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
-
-    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of texts given as words, and the number of ids of each text."""
-        found = self.cache.look_up(words)
-        numbers = np.concatenate([*found, np.empty(0, np.int64)])
-        owner = np.repeat(np.arange(len(words)), [len(f) for f in found])
-        return self.cache.values(numbers).astype(np.int64), np.bincount(owner, self.cache.sizes.data[numbers], len(words)).astype(np.int64)
-
 
-@lru_cache(maxsize=4)
-def side_of(path: str, content: bytes) -> Side:
-    return Side(path, content)
+    def solve(self, groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words and the number of ids of each; a group goes to the library as one text and is cut by its bytes."""
+        token, flat, sizes = self.tokenizer.bytes, [], []
+        for words in groups:
+            ids = self.tokenizer.encode(words)
+            whole = " ".join(["", *words]).encode("utf-8", "surrogatepass")
+            if b"".join(map(token.__getitem__, ids)) == whole:
+                ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+                got = np.cumsum(self.length[ids])
+                at = np.searchsorted(got, ends)
+                if (got[at] == ends).all():
+                    flat.extend(ids)
+                    sizes.append(np.diff(at, prepend=-1))
+                    continue
+            for word in words:  # some word isn't given back: which one?
+                ids = self.tokenizer.encode([word])
+                ids = ids if b"".join(map(token.__getitem__, ids)) == b" " + word.encode("utf-8", "surrogatepass") else [BAD]
+                flat.extend(ids)
+                sizes.append([len(ids)])
+        return np.array(flat, np.int32), np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
+
+
+class Ragged:
+    """Lists of numbers, one behind the other."""
+
+    def __init__(self):
+        self.flat, self.sizes, self.starts = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts.extend(self.flat.n + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.flat.extend(flat)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        n = self.sizes.data[at]
+        return self.flat.data[np.repeat(self.starts.data[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+
+
+class Words:
+    """Distinct words with their ids of both sides, emptied when there are more than `limit`."""
+
+    def __init__(self, *sides: Side, limit: int = CACHE_WORDS):
+        self.sides, self.limit = sides, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.ids = Numbered(), [Ragged() for _ in self.sides]
+
+    def look_up(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side flat ids of texts given as words, and the number of ids of each text."""
+        if len(self.numbers) > self.limit:
+            self._clear()
+        get = self.numbers.__getitem__
+        found = np.fromiter((get(w) for t in texts for w in t), np.int64, sum(map(len, texts)))
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        groups = []
+        for i in range(0, len(fresh), TOGETHER):
+            group = fresh[i : i + TOGETHER]
+            text = " ".join(group)
+            apart = len(text) > LONG or UNSEEN.search(text) is not None
+            groups += [[w] for w in group] if apart else [group]
+        out, owner = [], np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        for side, ids in zip(self.sides, self.ids, strict=True):
+            ids.extend(*side.solve(groups))
+            out.append((ids.take(found), np.bincount(owner, ids.sizes.data[found], len(texts)).astype(np.int64)))
+        return out
+
+
+@lru_cache(maxsize=2)
+def words_by(a_path: str, a_content: bytes, b_path: str, b_content: bytes, pattern: str) -> Words:
+    """One cache for the tasks of a worker."""
+    return Words(Side(a_path, a_content, pattern), Side(b_path, b_content, pattern))
 
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray, a_edges: np.ndarray, b_edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +259,8 @@ class Aligned:
     def __init__(self, a: np.ndarray, b: np.ndarray, a_edges: np.ndarray, b_edges: np.ndarray, a_length: np.ndarray, b_length: np.ndarray):
         """Of ids, edges of texts among them and byte lengths of the ids' tokens."""
         self.a, self.b, self.texts = a, b, len(a_edges) - 1
-        self.cut_a, self.cut_b = common_ends(np.cumsum(a_length[a]), np.cumsum(b_length[b]), a_edges, b_edges)
+        # a slice's bytes fit 32 bits, as no text of Spark's is longer
+        self.cut_a, self.cut_b = common_ends(np.cumsum(a_length[a], dtype=np.int32), np.cumsum(b_length[b], dtype=np.int32), a_edges, b_edges)
         self.text_of_group = np.searchsorted(a_edges, self.cut_a, side="right") - 1
         self.first_a, self.first_b = np.r_[0, self.cut_a[:-1] + 1], np.r_[0, self.cut_b[:-1] + 1]
         self.n_groups = np.bincount(self.text_of_group, minlength=self.texts)
@@ -231,11 +314,17 @@ class Aligned:
             start = end
 
 
-def _words(text: str) -> list[str]:
-    return WORD.findall(" " + text) if text else []
+def _slices(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Slices of about so many bytes of text."""
+    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64))
+    start = 0
+    while start < len(size):
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + most, side="right"))
+        yield slice(start, max(end, start + 1))
+        start = max(end, start + 1)
 
 
-def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", pattern: str = public_tokenizers.PATTERN, block: int = BLOCK) -> DataFrame:
     """(row, place, part, parts, n_a, n_b, n_groups, groups, pairs, times) of the groups of every text.
 
     A path ends in .json (byte-level, tokenizers) or .model (sentencepiece, for
@@ -254,22 +343,23 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", block
     schema = T.StructType([read.schema["row"], T.StructField("place", T.LongType()), T.StructField("part", T.LongType()), T.StructField("parts", T.LongType()), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("groups", T.StringType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_side, b_side = (side_of(p, c.value) for p, c in zip((a_path, b_path), contents, strict=True))
+        cache = words_by(a_path, contents[0].value, b_path, contents[1].value, pattern)
+        a_side, b_side = cache.sides
         table = pa.array([f"{i}{sign}" for side, signs in ((a_side, ",|"), (b_side, ",;")) for i in range(side.size) for sign in signs], pa.large_string())
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in _slices(texts):
-                words = [_words(t) for t in texts[low:high]]
-                (a, n_a), (b, n_b) = a_side.ids(words), b_side.ids(words)
-                sound = np.ones(high - low, bool)
-                for ids, n in ((a, n_a), (b, n_b)):
-                    sound[np.repeat(np.arange(len(n)), n)[ids == BAD]] = False
+            for part in _slices(batch.column("text"), SLICE):
+                n = part.stop - part.start
+                words = [words_of(t) for t in batch.column("text").slice(part.start, n).to_pylist()]
+                (a, n_a), (b, n_b) = cache.look_up(words)
+                sound = np.ones(n, bool)
+                for ids, size in ((a, n_a), (b, n_b)):
+                    sound[np.repeat(np.arange(n), size)[ids == BAD]] = False
                 a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
                 n_a, n_b = n_a * sound, n_b * sound
                 found = Aligned(a, b, np.cumsum(np.r_[0, n_a]), np.cumsum(np.r_[0, n_b]), a_side.length, b_side.length)
-                yield from _batches(batch.column("row").slice(low, high - low), n_a, n_b, found, found.strings(table, a_side.size), block, place, schema.names)
-                place += high - low
+                yield from _batches(batch.column("row").slice(part.start, n), n_a, n_b, found, found.strings(table, a_side.size), block, place, schema.names)
+                place += n
 
     return read.mapInArrow(run, schema)
 

@@ -84,12 +84,12 @@ def top12_confidence(tickets: DataFrame, p: str = "probability") -> DataFrame:
     return out.select(CONTEST, "top12_score", "top12_label", ticket_count(F.col("top12_label"), TOP12_COUNTS).alias("tickets"), F.col("m12").alias("top12_mass"), F.col("m5").alias("top5_mass"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q12") - F.col("q13")).alias("margin12"), F.col("conc").alias("concentration"))
 
 
-def top3_confidence(tickets: DataFrame, p: str = "probability") -> DataFrame:
-    """One row for each contest: mass and structure of the three best tickets."""
+def top3_confidence(tickets: DataFrame, p: str = "probability", also: Sequence[Column] = ()) -> DataFrame:
+    """One row for each contest: mass and structure of the three best tickets; also: aggregates of the ranked tickets, with nth."""
     ranked = _ranked(tickets, p)
     best = {c: [F.max(F.when(F.col("nth") == k, F.col(c))) for k in (1, 2, 3)] for c in "abc"}
     facts = ranked.groupBy(CONTEST).agg(
-        _mass(3).alias("m3"), _at(1).alias("q1"), _at(2).alias("q2"), _at(3).alias("q3"), _at(4).alias("q4"), _entropy().alias("entropy"), _upset(tickets).alias("upset"),
+        _mass(3).alias("m3"), _at(1).alias("q1"), _at(2).alias("q2"), _at(3).alias("q3"), _at(4).alias("q4"), _entropy().alias("entropy"), _upset(tickets).alias("upset"), *also,
         *[best[c][k].alias(f"{c}{k + 1}") for c in "abc" for k in range(3)],
     )
     score = _score((0.35, (F.col("m3") - 0.03) / 0.16), (0.20, (F.col("q1") - 0.01) / 0.08), (0.15, (F.col("q1") - F.col("q2")) / 0.035), (0.15, (F.col("q3") - F.col("q4")) / 0.012), (0.15, (1 - F.col("entropy")) / 0.25), (-0.08, (F.col("upset") - 0.75) / 0.25))
@@ -101,7 +101,7 @@ def top3_confidence(tickets: DataFrame, p: str = "probability") -> DataFrame:
     slots = F.size(F.array_distinct(F.concat(three("a"), three("b"), three("c"))))
     out = facts.withColumns({"top3_score": score, "first_share": shared(three("a")), "pair_share": shared(pairs), "slots": slots, "seconds": distinct(three("b")), "firsts": distinct(three("a"))})
     tight = clip01(0.35 * F.col("first_share") + 0.35 * F.col("pair_share") + 0.15 * (1 - clip01((F.col("slots") - 3) / 3)) + 0.15 * (1 - clip01((F.col("seconds") - 1) / 2)))
-    return out.select(CONTEST, "top3_score", label(F.col("top3_score")).alias("top3_label"), F.col("m3").alias("top3_mass"), F.col("q1").alias("top1"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q3") - F.col("q4")).alias("margin3"), "firsts", "seconds", "slots", "first_share", "pair_share", tight.alias("tightness"), "entropy")
+    return out.select(CONTEST, "top3_score", label(F.col("top3_score")).alias("top3_label"), F.col("m3").alias("top3_mass"), F.col("q1").alias("top1"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q3") - F.col("q4")).alias("margin3"), "firsts", "seconds", "slots", "first_share", "pair_share", tight.alias("tightness"), "entropy", *facts.columns[8 : 8 + len(also)])
 
 
 def first_slot_confidence(tickets: DataFrame, p: str = "probability", slots: int = 6) -> DataFrame:

@@ -126,3 +126,51 @@ def asof_last_n(queries: DataFrame, history: DataFrame, key: str, day: str, orde
     hit = wanted.join(blocks, ["__k", "__b"]).where((F.col("__n") <= F.col("__before")) & (F.col("__n") > F.col("__before") - n))
     means = hit.groupBy("__k", "__d").agg(F.avg("__x").alias(out))
     return queries.join(means, (queries[key] == means["__k"]) & (queries[day] == means["__d"]), "left").drop("__k", "__d")
+
+
+def asof_recent(queries: DataFrame, history: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], features: Sequence[Recent], asked: DataFrame | None = None) -> DataFrame:
+    """Each query row with aggregates of its key's last values on strictly earlier days, nulls left out before counting.
+
+    Values of a key and day are trimmed to the longest window and put in one
+    row. A day's frame then are the days with values before it, as many as the
+    window at most, found by a range over the number of such days: a key's
+    history is never gathered, and rows of the same day see none of each other.
+    The order decides inside a day. Keys and days must not be null. asked: a
+    frame with the same keys and days that is cheaper to read, where queries is
+    itself the result of joins.
+    """
+    longest = {s: max(f.window for f in features if f.source == s) for s in dict.fromkeys(f.source for f in features)}
+    inside = Window.partitionBy(*keys, day).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    values = history.select(*dict.fromkeys([*keys, day, *order, *longest])).withColumns({f"__n_{s}": F.count(s).over(inside) for s in longest})
+    last = {s: F.collect_list(F.when(F.col(s).isNotNull() & (F.col(f"__n_{s}") <= n), F.struct(*[F.col(c) for c in order], F.col(s).cast("double").alias("__x")))) for s, n in longest.items()}
+    per_day = values.groupBy(*keys, day).agg(*(F.transform(F.sort_array(c), lambda v: v["__x"]).alias(f"__v_{s}") for s, c in last.items()))
+    wanted = (queries if asked is None else asked).select(*keys, day).distinct().withColumn("__asked", F.lit(True))
+    days = per_day.join(wanted, [*keys, day], "full")
+    has = {s: F.coalesce(F.size(f"__v_{s}") > 0, F.lit(False)) for s in longest}
+    upto = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    # days with values have even numbers, others the odd one behind the last of these
+    days = days.withColumns({f"__at_{s}": 2 * F.sum(h.cast("long")).over(upto) + F.when(h, 0).otherwise(1) for s, h in has.items()})
+    found = {}
+    for s, n in longest.items():
+        before = Window.partitionBy(*keys).orderBy(f"__at_{s}").rangeBetween(-2 * n, -1)
+        lists = F.flatten(F.collect_list(F.when(has[s], F.col(f"__v_{s}"))).over(before))
+        found[f"__l_{s}"] = lists
+    days = days.withColumns(found).where("__asked")
+    out = [_of_last(F.col(f"__l_{f.source}"), f.window, f.how).alias(f.out) for f in features]
+    known = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(day).alias("__d"), *out)
+    same = F.col(day) == F.col("__d")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"__k{i}"))
+    return queries.join(known, same, "left").drop("__d", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _of_last(values: Column, n: int, how: str) -> Column:
+    """An aggregate of the last n elements, null where there is none."""
+    x = F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    size = F.size(x)
+    mean = total(x) / F.when(size > 0, size)
+    if how == "std":
+        apart = F.transform(x, lambda v: (v - mean) * (v - mean))
+        return F.when(size > 1, F.sqrt(total(apart) / (size - 1)))
+    return {"mean": mean, "sum": F.when(size > 0, total(x)), "min": F.array_min(x), "max": F.array_max(x)}[how]

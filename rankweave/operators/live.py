@@ -42,8 +42,9 @@ def with_recent(entries: DataFrame, history: DataFrame, order: Sequence[str], fa
     A family reads the history of the entries' keys only, and its aggregates
     have one row a key, so the chain of left joins never adds rows.
     """
+    bare = entries
     for keys, features in families:
-        wanted = entries.select(*keys).distinct()
+        wanted = bare.select(*keys).distinct()
         known = recent_tail(history.join(wanted, list(keys), "left_semi"), keys, order, features)
         entries = entries.join(known, list(keys), "left")
     return entries

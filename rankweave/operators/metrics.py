@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.relative import clip01
@@ -73,6 +73,11 @@ def band(x: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def share_of(count: str, *keys: str) -> Column:
+    """A row's share of the count of all rows with its keys; for tables of a few bands."""
+    return F.col(count) / F.sum(count).over(Window.partitionBy(*keys))
+
+
 def long_metrics(df: DataFrame, family: str, levels: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(family, level1, level2, level3, metric, value): any metric table in one shape."""
     named = [F.lit(family).alias("family"), *[(F.col(levels[k]).cast("string") if k < len(levels) else F.lit(None).cast("string")).alias(f"level{k + 1}") for k in range(3)]]

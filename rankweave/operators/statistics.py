@@ -47,10 +47,78 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], q: Sequence[float], exact: bool = True) -> DataFrame:
-    """One row with column_q70 and so on; exact by linear interpolation, or within a bounded error at scale."""
-    f = F.percentile if exact else F.percentile_approx
-    return df.agg(*[f(F.col(c), F.lit(x)).alias(f"{c}_q{round(x * 100)}") for c in columns for x in q])
+BINS = 4096
+FEW = 1 << 16  # distinct values of a bracket that are put in order on one row
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], q: Sequence[float], exact: bool = True, few: int = FEW) -> DataFrame:
+    """One row with column_q70 and so on; exact by linear interpolation, or within a bounded error at scale.
+
+    Exact ones are found by selection: the two values around each quantile lie
+    in a bracket, which a histogram of BINS equal parts narrows in each pass
+    until at most `few` distinct values are left in it; these are counted and
+    put in order. No task and no aggregate holds a column, and a pass shuffles
+    at most BINS counts for a task and quantile. Nulls are left out; a column
+    without values has null quantiles. NaN isn't allowed.
+    """
+    if not exact:
+        return df.agg(*[F.percentile_approx(F.col(c), F.lit(x)).alias(_quantile_name(c, x)) for c in columns for x in q])
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))).where("x is not null")
+    facts = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    # each target is a bracket [low, high] with the number of values before it
+    targets = {(i, x): (f["low"], f["high"], 0) for i, f in facts.items() for x in q}
+    found: dict[tuple[int, float], float] = {}
+    while targets:
+        brackets = [(n, i, low, high, before) for n, ((i, _), (low, high, before)) in enumerate(targets.items())]
+        inside = values.join(F.broadcast(df.sparkSession.createDataFrame(brackets, "t int, c int, low double, high double, before long")), "c").where("x >= low and x <= high")  # a row for each quantile
+        sizes = {r["t"]: r["d"] for r in inside.groupBy("t").agg(F.approx_count_distinct("x", 0.01).alias("d")).collect()}
+        keys, more = list(targets), {}
+        small = [n for n in sizes if sizes[n] <= 0.9 * few or targets[keys[n]][0] == targets[keys[n]][1]]
+        for r in inside.where(F.col("t").isin(small)).groupBy("t", "x").agg(F.count("*").alias("n")).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("all")).collect() if small else []:
+            key = keys[r["t"]]
+            found[key] = _interpolated(r["all"], targets[key][2], (facts[key[0]]["n"] - 1) * key[1])
+        large = [n for n in sizes if n not in small]
+        if large:
+            part = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+            counted = inside.where(F.col("t").isin(large)).groupBy("t", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+            per: dict[int, list] = {}
+            for r in counted.orderBy("t", "part").collect():
+                per.setdefault(r["t"], []).append(r)
+            for n, parts in per.items():
+                key = keys[n]
+                more[key] = _narrowed(parts, targets[key][2], (facts[key[0]]["n"] - 1) * key[1])
+        targets = more
+    kept = [F.lit(found.get((i, x))).cast("double").alias(_quantile_name(c, x)) for i, c in enumerate(columns) for x in q]
+    return df.sparkSession.range(1).select(*kept)
+
+
+def _quantile_name(column: str, q: float) -> str:
+    return f"{column}_q{round(q * 100)}"
+
+
+def _interpolated(pairs: Sequence, before: int, rank: float) -> float:
+    """The value at a rank (from 0, maybe between two) of rising (x, n) that follow `before` others."""
+    low, share = int(rank), rank - int(rank)
+    at = {}
+    for x, n in pairs:
+        for k in (low, low + 1):
+            if before <= k < before + n:
+                at[k] = x
+        before += n
+    return at[low] if not share else at[low] + (at[low + 1] - at[low]) * share
+
+
+def _narrowed(parts: Sequence, before: int, rank: float) -> tuple[float, float, int]:
+    """The parts that hold the values on both sides of a rank, as one bracket."""
+    low, high, first = None, None, before
+    for r in parts:
+        if before <= int(rank) < before + r["n"]:
+            low, first = r["low"], before
+        if low is not None and before <= int(rank) + (rank > int(rank)) < before + r["n"]:
+            high = r["high"]
+            break
+        before += r["n"]
+    return low, high, first
 
 
 def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float) -> DataFrame:

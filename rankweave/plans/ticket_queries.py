@@ -205,11 +205,16 @@ def confidence_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("contest_id", "top12_score", "top12_label", "tickets", *[F.round(c, 6).alias(c) for c in ("top12_mass", "top5_mass", "gap12", "margin12", "concentration")])
 
 
-@query(on_tickets(f"""
-SELECT contest_id, score AS top3_score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 60 THEN 'middle' ELSE 'low' END AS top3_label, firsts, seconds, slots, round((4 - firsts) / 3.0, 6) AS first_share, round((4 - pairs) / 3.0, 6) AS pair_share,
-       round({_clip(f"0.35 * (4 - firsts) / 3.0 + 0.35 * (4 - pairs) / 3.0 + 0.15 * (1 - {_clip('(slots - 3) / 3.0')}) + 0.15 * (1 - {_clip('(seconds - 1) / 2.0')})")}, 6) AS tightness, round(m3, 6) AS top3_mass
+#: Of the three best tickets of each contest masses and gaps (T3F), how alike they are (T3G), and the score and tightness from both (T3).
+T3F = "SELECT contest_id, sum(CASE WHEN nth <= 3 THEN q ELSE 0 END) AS m3, max(CASE WHEN nth = 1 THEN q END) AS q1, max(CASE WHEN nth = 2 THEN q END) AS q2, max(CASE WHEN nth = 3 THEN q END) AS q3, max(CASE WHEN nth = 4 THEN q END) AS q4, -sum(greatest(q, 1e-12) * ln(greatest(q, 1e-12))) / ln(count(*)) AS ent FROM q GROUP BY contest_id"
+T3G = "SELECT contest_id, count(DISTINCT a) AS firsts, count(DISTINCT b) AS seconds, count(DISTINCT (a, b)) AS pairs, max(slots) AS slots FROM (SELECT * FROM q WHERE nth <= 3) JOIN (SELECT contest_id, count(DISTINCT s) AS slots FROM (SELECT contest_id, a AS s FROM q WHERE nth <= 3 UNION ALL SELECT contest_id, b FROM q WHERE nth <= 3 UNION ALL SELECT contest_id, c FROM q WHERE nth <= 3) GROUP BY contest_id) USING (contest_id) GROUP BY contest_id"
+T3 = f"""
+SELECT *, (4 - firsts) / 3.0 AS first_share, (4 - pairs) / 3.0 AS pair_share, {_clip(f"0.35 * (4 - firsts) / 3.0 + 0.35 * (4 - pairs) / 3.0 + 0.15 * (1 - {_clip('(slots - 3) / 3.0')}) + 0.15 * (1 - {_clip('(seconds - 1) / 2.0')})")} AS tightness
 FROM (SELECT f.*, g.firsts, g.seconds, g.pairs, g.slots, round(round({_clip(f"0.35 * {_clip('(m3 - 0.03) / 0.16')} + 0.2 * {_clip('(q1 - 0.01) / 0.08')} + 0.15 * {_clip('(q1 - q2) / 0.035')} + 0.15 * {_clip('(q3 - q4) / 0.012')} + 0.15 * {_clip('(1 - ent) / 0.25')}")} * 100, 9), 1) AS score FROM f JOIN g USING (contest_id))
-""", q=Q, f="SELECT contest_id, sum(CASE WHEN nth <= 3 THEN q ELSE 0 END) AS m3, max(CASE WHEN nth = 1 THEN q END) AS q1, max(CASE WHEN nth = 2 THEN q END) AS q2, max(CASE WHEN nth = 3 THEN q END) AS q3, max(CASE WHEN nth = 4 THEN q END) AS q4, -sum(greatest(q, 1e-12) * ln(greatest(q, 1e-12))) / ln(count(*)) AS ent FROM q GROUP BY contest_id", g="SELECT contest_id, count(DISTINCT a) AS firsts, count(DISTINCT b) AS seconds, count(DISTINCT (a, b)) AS pairs, max(slots) AS slots FROM (SELECT * FROM q WHERE nth <= 3) JOIN (SELECT contest_id, count(DISTINCT s) AS slots FROM (SELECT contest_id, a AS s FROM q WHERE nth <= 3 UNION ALL SELECT contest_id, b FROM q WHERE nth <= 3 UNION ALL SELECT contest_id, c FROM q WHERE nth <= 3) GROUP BY contest_id) USING (contest_id) GROUP BY contest_id"))
+"""
+
+
+@query(on_tickets("SELECT contest_id, score AS top3_score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 60 THEN 'middle' ELSE 'low' END AS top3_label, firsts, seconds, slots, round(first_share, 6) AS first_share, round(pair_share, 6) AS pair_share, round(tightness, 6) AS tightness, round(m3, 6) AS top3_mass FROM t3", q=Q, f=T3F, g=T3G, t3=T3))
 def confidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = confidence.top3_confidence(ticket_frame(spark, sf_dir))
     return out.select("contest_id", "top3_score", "top3_label", "firsts", "seconds", "slots", *[F.round(c, 6).alias(c) for c in ("first_share", "pair_share", "tightness", "top3_mass")])

@@ -6,7 +6,6 @@ however many files there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -195,10 +194,3 @@ def schedule(rows: DataFrame) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("file", "section", "contest_no").orderBy(F.desc("line_no")))
     out = found.select("file", "line_no", "section", number(1).alias("contest_no"), number(2).alias("hour"), number(3).alias("minute"))
     return out.withColumn("n", last).where("n = 1").select("file", "section", "contest_no", "hour", "minute")
-
-
-def batches(found: DataFrame) -> Iterator[DataFrame]:
-    """The months of a table one after the other, for a build that carries state on."""
-    months = [r["month"] for r in found.select(F.trunc("race_date", "month").alias("month")).distinct().orderBy("month").collect()]  # a calendar
-    for month in months:
-        yield found.where(F.trunc("race_date", "month") == F.lit(month))

@@ -201,13 +201,10 @@ def _in_order(df: DataFrame, id_col: str, text_col: str, near: DataFrame | None
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), np.int32)
-        # a missing value would make the column float; ids beyond 2**53 would lose digits
-        out[known] = np.searchsorted(edges, ids[known].astype("int64"), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
-    own_part = part_of("id") if len(edges) else F.lit(0)
+    # a missing value would make the column float, and ids beyond 2**53 would lose digits: none gets there
+    own_part = F.when(F.col("id").isNull(), 0).otherwise(part_of(F.coalesce("id", F.lit(0)))) if len(edges) else F.lit(0)
     rows = rows.withColumn("part", own_part)
     firsts = sorted((r["part"], r["nulls"], r["id"]) for r in rows.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("nulls")).collect())
     if not firsts:

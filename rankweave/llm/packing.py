@@ -14,7 +14,9 @@ A text longer than the largest capacity is cut into pieces of that capacity
 and a remainder. Null, zero and negative lengths are pieces of length 0, which
 take no room but stay in the result. Equal rows are packed each for itself. An
 empty table gives an empty result. Columns of df other than the id may have
-any name; they are not carried along.
+any name; they are not carried along. Ids of any type and size stay as they
+are, null ones too. A row's shard depends on its place in the input, so other
+partitions of the same rows give other bins, with the same rules.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,18 +98,18 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: Sequ
     schema = T.StructType([T.StructField(id_col, id_type)] + [T.StructField(c, T.LongType()) for c in ("piece", "piece_start", "piece_length", "bin", "bin_capacity", "bin_start")])
     top = caps[-1]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "id"], ascending=[False, True], kind="stable")
-        total = group["length"].to_numpy(np.int64)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.compute.sort_indices(group, [("length", "descending"), ("id", "ascending")]))  # ids stay as they are, null ones last
+        total = np.asarray(group.column("length"), np.int64)
         pieces = np.maximum(1, -(-total // top))
         row = np.repeat(np.arange(len(total)), pieces)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(top, total[row] - nth * top)
         order = np.lexsort((nth, row, -size))
         where, place, final = best_fit(size[order], caps, costs)
-        first = int(group["shard"].iloc[0]) << 32
+        first = group.column("shard")[0].as_py() << 32
         row, nth = row[order], nth[order]
-        out = {id_col: group["id"].iloc[row].array, "piece": nth, "piece_start": nth * top, "piece_length": size[order], "bin": first + where, "bin_capacity": final[where], "bin_start": place}
-        return pd.DataFrame(out)
+        columns = {"piece": nth, "piece_start": nth * top, "piece_length": size[order], "bin": first + where, "bin_capacity": final[where], "bin_start": place}
+        return pa.Table.from_arrays([group.column("id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns.values())], names=schema.names)
 
-    return rows.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(run, schema)
+    return rows.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(run, schema)

@@ -36,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,19 +150,30 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.select("positive", "text").mapInArrow(run, "positive boolean, places binary")
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, positives: int = 5000, unlabelled: int = 15000) -> Model:
-    """Learn from rows whose fold is not 0."""
-    marks = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (fold(id_col, folds) != 0)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, positives: int = 5000, unlabelled: int = 15000, most_bytes: int = 128 << 20) -> Model:
+    """Learn from rows that have a label and whose fold is not 0.
+
+    The sample that is learnt from goes to the driver: at most `positives`
+    different toxic rows and `unlabelled` different rows of any label, which is
+    not looked at, and of either at most `most_bytes` of text. They are those of
+    smallest id hash; rows that repeat id and text count once.
+    """
+    marks = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (fold(id_col, folds) != 0)).groupBy(F.col(id_col).alias("own_id")).agg(F.max("toxic").alias("toxic"))
     counted = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).head()
     prior = (counted["p"] or 0) / counted["n"] if counted["n"] else 0.0
     if not 0 < prior < 1:
         return Model({}, 50.0 if prior else -50.0, prior)
-    ids = df.where(F.col(id_col).isNotNull() & (fold(id_col, folds) != 0)).select(F.col(id_col).alias("__id"))
-    toxic = ids.join(marks.where("toxic = 1").select(F.col(id_col).alias("__id")), "__id", "left_semi")
-    first = F.xxhash64("__id")
-    chosen = toxic.orderBy(first, "__id").limit(positives).withColumn("positive", F.lit(True)).unionByName(ids.orderBy(first, "__id").limit(unlabelled).withColumn("positive", F.lit(False)))
-    texts = df.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
-    rows = _hashed(texts.join(F.broadcast(chosen.distinct()), "__id")).collect()  # at most positives + unlabelled rows
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("own_id"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
+    rows = texts.select("own_id", "mark", F.octet_length("text").alias("size")).join(marks, "own_id").groupBy("own_id", "mark").agg(F.max("size").alias("size"), F.max("toxic").alias("toxic"))
+
+    def first(some: DataFrame, most: int, positive: bool) -> DataFrame:
+        order = (F.xxhash64("own_id"), F.col("own_id"), F.col("mark"))
+        so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        return some.orderBy(*order).limit(most).withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("own_id", "mark", F.lit(positive).alias("positive"))
+
+    chosen = first(rows.where("toxic = 1"), positives, True).unionByName(first(rows, unlabelled, False))  # so many rows, one task
+    wanted = texts.join(F.broadcast(chosen), ["own_id", "mark"]).groupBy("own_id", "mark", "positive").agg(F.first("text").alias("text"))
+    rows = _hashed(wanted).collect()
     pos = [np.frombuffer(r["places"], np.uint32) for r in rows if r["positive"]]
     unl = [np.frombuffer(r["places"], np.uint32) for r in rows if not r["positive"]]
     order_key = lambda r: r.tobytes()  # noqa: E731  the sums must not depend on the order in which tasks end

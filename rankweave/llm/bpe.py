@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rankweave.llm.pretoken import WordCache, blocks
+from rankweave.llm.scratch import free_name
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that no merge joins
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -218,7 +219,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         cache = WordCache(vocabulary.encode_words)
         match = vocabulary.pattern.findall
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 texts = [t or "" for t in part.column(at).to_pylist()]
@@ -234,7 +235,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 columns += [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -247,11 +248,11 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, content.value.splitlines())}
         for batch in batches:
-            at = batch.schema.get_field_index("__ids")
+            at = batch.num_columns - 1
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 texts = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
                 columns = [part.column(i) for i in range(part.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{ids_col}`"].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{ids_col}`"].alias(free_name(df, "__ids"))).mapInArrow(run, schema)

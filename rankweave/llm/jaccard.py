@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
@@ -382,12 +382,11 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own = facts.select("set_key", "stays", "least", F.col("mark").alias("first"))
     stays = F.col("stays") & F.col("id").eqNullSafe(F.col("least")) & (F.col("mark") == F.col("first"))
     judged = written(every.join(own, "set_key").select("id", "mark", stays.alias("stays"), "rows").where("not stays or rows > 1"), "jaccard-judged")
-    named = df.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(text_of(text_col))})
-    same = lambda right: named["__id"].eqNullSafe(right["id"]) & (named["__mark"] == right["mark"])
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_mark"))
+    same = lambda right: named["own_id"].eqNullSafe(right["id"]) & (named["own_mark"] == right["mark"])
     rest = named.join(judged.hint("shuffle_hash"), same(judged), "left_anti")
     twice = judged.where("stays")
-    if twice.head(1):  # rows that repeat id and text: the first of each
+    if twice.head(1):  # rows that repeat id and text: the one of smallest hash stays, whatever the partitioning
         repeated = named.join(twice.hint("shuffle_hash"), same(twice), "left_semi")
-        order = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(0)))
-        rest = rest.unionByName(repeated.withColumn("__nth", order).where("__nth = 1").drop("__nth"))
-    return rest.select(df.columns)
+        rest = rest.unionByName(repeated.groupBy("own_id", "own_mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row", "own_id", "own_mark"))
+    return rest.select([F.col("row").getField(c).alias(c) for c in df.columns])

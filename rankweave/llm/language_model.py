@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.scratch import new_path, text_of
+from rankweave.llm.scratch import free_name, new_path, text_of
 
 WORD_BITS = 56  # hashes of words travel in seven bytes
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0) >> 8)
@@ -320,7 +320,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             start, size, held = 0, 0, []
             for row in range(batch.num_rows):
                 held.append(word_hashes(batch.column(at)[row].as_py()))
@@ -333,7 +333,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                     start, size, held = row + 1, 0, []
 
-    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
 def perplexity(score_col: Column, tokens_col: Column) -> Column:

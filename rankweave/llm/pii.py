@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankweave.llm.scratch import free_name
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "identity", "name")
 ABSTAIN, NO, YES = 0, 1, 2
@@ -279,7 +281,7 @@ def mark(df: DataFrame, text_col: str = "text", keep_text: bool = False) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(base, base_type), pa.array(more, more_type)], names=schema.names)
 
     at = [f.name for f in others].index(text_col) if keep_text else len(others)
-    text = [] if keep_text else [df[f"`{text_col}`"].alias("__text")]
+    text = [] if keep_text else [df[f"`{text_col}`"].alias(free_name(df, "__text"))]
     return df.select(*[df[f"`{f.name}`"] for f in others], *text).mapInArrow(run, schema)
 
 
@@ -318,7 +320,7 @@ def redact(marked: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame
             columns[at] = pa.array([t and redacted(t, [(s["kind"], s["start"], s["end"]) for s in found]) for t, found in zip(columns[at].to_pylist(), spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return marked.select(*[marked[f"`{f.name}`"] for f in others], _all_spans(rules).alias("__spans")).mapInArrow(run, T.StructType(others))
+    return marked.select(*[marked[f"`{f.name}`"] for f in others], _all_spans(rules).alias(free_name(marked, "__spans"))).mapInArrow(run, T.StructType(others))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -46,6 +46,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, longer by as many marks as it takes to differ from df's columns in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

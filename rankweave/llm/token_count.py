@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from rankweave.llm.bpe import NONE, PairTable, _slices
 from rankweave.llm.pretoken import WordCache, blocks
+from rankweave.llm.scratch import free_name
 
 
 def byte_letters() -> list[str]:
@@ -135,7 +136,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
         cache = WordCache(vocabulary.count_words)
         match = vocabulary.pattern.findall
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 texts = [t or "" for t in part.column(at).to_pylist()]
@@ -149,4 +150,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
                 n_bytes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
 
-    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{f.name}`"] for f in others], df[f"`{text_col}`"].alias(free_name(df, "__text"))).mapInArrow(run, schema)

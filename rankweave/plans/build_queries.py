@@ -35,8 +35,8 @@ def incremental_build(spark: SparkSession, sf_dir: str, size: int) -> Build:
 
 @query(on_view("SELECT contest_id, slot, row_number() OVER (PARTITION BY entity_id ORDER BY race_date, contest_no, slot) - 1 AS starts_before, " + ", ".join(_feature_sql(list(f.features), ", ".join(f.keys)) for f in NINE) + " FROM t", t=F_SQL))
 def incremental_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine families of rolling history and a counter of starts, built from groups of 30 months that carry their ends on."""
-    return rounded(incremental_build(spark, sf_dir, 30).rows(), *BUILT, keep=[*KEY, "starts_before"])
+    """Nine families of rolling history and a counter of starts, built from groups of 45 months that carry their ends on."""
+    return rounded(incremental_build(spark, sf_dir, 45).rows(), *BUILT, keep=[*KEY, "starts_before"])
 
 
 DAYS = 60

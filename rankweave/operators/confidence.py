@@ -120,6 +120,24 @@ def first_slot_confidence(tickets: DataFrame, p: str = "probability", slots: int
     return out.select(CONTEST, "first_score", label(F.col("first_score")).alias("first_label"), "first_slot", F.col("p").alias("first_probability"), (F.col("p") - F.col("p2")).alias("first_gap"), "share3", (1 - F.col("entropy")).alias("first_concentration"))
 
 
+def first_slot_from_shares(slots: DataFrame, share: str = "share") -> DataFrame:
+    """The same columns from the slots' own probabilities, with weights of their own; where both are there this one counts.
+
+    Shares are cut at 0 and made to add up to 1. A column `upset` of the slots takes off what an unsettled contest does.
+    """
+    shares = slots.withColumn("m", normalise(F.greatest(F.coalesce(F.col(share), F.lit(0.0)), F.lit(0.0))))
+    ranked = shares.withColumn("n", F.row_number().over(Window.partitionBy(CONTEST).orderBy(F.round("m", 12).desc(), "slot")))
+    count = F.count("*")
+    entropy = F.when(count > 1, -F.sum(F.col("m") * F.ln(F.greatest("m", F.lit(1e-12)))) / F.ln(count)).otherwise(0.0)
+    facts = ranked.groupBy(CONTEST).agg(
+        F.max(F.when(F.col("n") == 1, F.col("slot"))).alias("first_slot"), F.max(F.when(F.col("n") == 1, F.col("m"))).alias("p"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("m"))), F.lit(0.0)).alias("p2"),
+        (1 / F.least(count, F.lit(3)).cast("double")).alias("share3"), entropy.alias("entropy"), _upset(slots).alias("upset"),
+    )
+    score = _score((0.50, (F.col("p") - 1 / 6) / 0.35), (0.35, (F.col("p") - F.col("p2")) / 0.20), (0.15, (1 - F.col("entropy")) / 0.45), (-0.08, (F.col("upset") - 0.75) / 0.25))
+    out = facts.withColumn("first_score", score)
+    return out.select(CONTEST, "first_score", label(F.col("first_score")).alias("first_label"), "first_slot", F.col("p").alias("first_probability"), (F.col("p") - F.col("p2")).alias("first_gap"), "share3", (1 - F.col("entropy")).alias("first_concentration"))
+
+
 def rank_band(nth: Column) -> Column:
     return F.when(nth <= 1, "top1").when(nth <= 3, "top2_3").when(nth <= 6, "top4_6").when(nth <= 12, "top7_12").otherwise("outside")
 

@@ -118,7 +118,7 @@ def ticket_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*TRIPLE, *[F.round(c, 9).alias(c) for c in values], *[v.alias(k) for k, v in shape.items()])
 
 
-@query(on_tickets("SELECT t.contest_id, t.a, t.b, t.c, o.odds, round(t.probability * o.odds, 12) AS expected_value, o.odds IS NULL AS no_odds FROM t LEFT JOIN (SELECT * FROM p WHERE (a + b + c) % 7 <> 0) AS o ON t.contest_id = o.contest_id AND t.a = o.a AND t.b = o.b AND t.c = o.c", p=PRICED))
+@query(on_tickets("SELECT contest_id, a, b, c, o AS odds, round(probability * o, 12) AS expected_value, o IS NULL AS no_odds FROM (SELECT *, CASE WHEN (a + b + c) % 7 <> 0 THEN odds END AS o FROM p)", p=PRICED))
 def odds_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets with the odds of a table that lacks some of them."""
     odds = priced(spark, sf_dir).where("(a + b + c) % 7 <> 0").select(*TRIPLE, "odds")

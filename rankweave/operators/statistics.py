@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,51 +49,78 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
-BINS = 4096
+PARTS = 256  # edges of a bracket that approximate quantiles suggest
 FEW = 1 << 16  # distinct values of a bracket that are put in order on one row
 
 
+class _Bracket(NamedTuple):
+    """Where the values of a rank lie: between low and high, behind `before` smaller ones, among n."""
+
+    low: float
+    high: float
+    before: int
+    n: int
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], q: Sequence[float], exact: bool = True, few: int = FEW) -> DataFrame:
     """One row with column_q70 and so on; exact by linear interpolation, or within a bounded error at scale.
 
     Exact ones are found by selection: the two values around each quantile lie
-    in a bracket, which a histogram of BINS equal parts narrows in each pass
-    until at most `few` distinct values are left in it; these are counted and
-    put in order. No task and no aggregate holds a column, and a pass shuffles
-    at most BINS counts for a task and quantile. Nulls are left out; a column
-    without values has null quantiles. NaN isn't allowed.
+    in a bracket. Approximate quantiles suggest a narrower one, whose values
+    and those before it are counted, until at most `few` distinct values are
+    left; these are counted one by one and put in order. No task and no
+    aggregate holds a column, and a pass shuffles a sketch for each task and
+    quantile. Nulls are left out; a column without values has null quantiles.
+    NaN isn't allowed.
     """
     if not exact:
         return df.agg(*[F.percentile_approx(F.col(c), F.lit(x)).alias(_quantile_name(c, x)) for c in columns for x in q])
     values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))).where("x is not null")
-    facts = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
-    # each target is a bracket [low, high] with the number of values before it
-    targets = {(i, x): (f["low"], f["high"], 0) for i, f in facts.items() for x in q}
+    facts = {r["c"]: _Bracket(r["low"], r["high"], 0, r["n"]) for r in values.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    rank = {(i, x): (f.n - 1) * x for i, f in facts.items() for x in q}
+    targets = {key: facts[key[0]] for key in rank}
     found: dict[tuple[int, float], float] = {}
     while targets:
-        brackets = [(n, i, low, high, before) for n, ((i, _), (low, high, before)) in enumerate(targets.items())]
-        inside = values.join(F.broadcast(df.sparkSession.createDataFrame(brackets, "t int, c int, low double, high double, before long")), "c").where("x >= low and x <= high")  # a row for each quantile
-        sizes = {r["t"]: r["d"] for r in inside.groupBy("t").agg(F.approx_count_distinct("x", 0.01).alias("d")).collect()}
-        keys, more = list(targets), {}
-        small = [n for n in sizes if sizes[n] <= 0.9 * few or targets[keys[n]][0] == targets[keys[n]][1]]
-        for r in inside.where(F.col("t").isin(small)).groupBy("t", "x").agg(F.count("*").alias("n")).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("all")).collect() if small else []:
-            key = keys[r["t"]]
-            found[key] = _interpolated(r["all"], targets[key][2], (facts[key[0]]["n"] - 1) * key[1])
-        large = [n for n in sizes if n not in small]
-        if large:
-            part = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
-            counted = inside.where(F.col("t").isin(large)).groupBy("t", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-            per: dict[int, list] = {}
-            for r in counted.orderBy("t", "part").collect():
-                per.setdefault(r["t"], []).append(r)
-            for n, parts in per.items():
-                key = keys[n]
-                more[key] = _narrowed(parts, targets[key][2], (facts[key[0]]["n"] - 1) * key[1])
+        keys, inside = list(targets), _inside(values, targets)
+        facts_of = {r["t"]: r for r in inside.groupBy("t").agg(F.approx_count_distinct("x", 0.01).alias("d"), F.percentile_approx("x", [i / PARTS for i in range(PARTS + 1)], 10 * PARTS).alias("edges")).collect()}
+        wanted = {key: _narrower(targets[key], facts_of[n]["edges"], rank[key]) for n, key in enumerate(keys) if facts_of[n]["d"] > 0.9 * few}
+        more: dict[tuple[int, float], _Bracket] = {}
+        if wanted:
+            for key, counted in _counted(values, {k: targets[k] for k in wanted}, wanted).items():
+                holds = counted.before <= int(rank[key]) and math.ceil(rank[key]) < counted.before + counted.n
+                if holds and counted.n < targets[key].n:
+                    more[key] = counted
+        last = [n for n, key in enumerate(keys) if key not in more]
+        if last:
+            for r in inside.where(F.col("t").isin(last)).groupBy("t", "x").agg(F.count("*").alias("n")).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("all")).collect():
+                key = keys[r["t"]]
+                found[key] = _interpolated(r["all"], targets[key].before, rank[key])
         targets = more
     kept = [F.lit(found.get((i, x))).cast("double").alias(_quantile_name(c, x)) for i, c in enumerate(columns) for x in q]
     return df.sparkSession.range(1).select(*kept)
 
 
+def _inside(values: DataFrame, targets: Mapping[tuple[int, float], _Bracket]) -> DataFrame:
+    """(t, x): the values of each target's bracket; the table of targets has a row for each quantile."""
+    rows = [(n, i, b.low, b.high) for n, ((i, _), b) in enumerate(targets.items())]
+    return values.join(F.broadcast(values.sparkSession.createDataFrame(rows, "t int, c int, low double, high double")), "c").where("x >= low and x <= high").select("t", "x")
+
+
+def _narrower(b: _Bracket, edges: Sequence[float], rank: float) -> tuple[float, float]:
+    """The edges one part further out than those around the rank."""
+    at = (rank - b.before) / max(b.n - 1, 1) * PARTS
+    return edges[max(int(at) - 1, 0)], edges[min(math.ceil(at) + 1, PARTS)]
+
+
+def _counted(values: DataFrame, targets: Mapping[tuple[int, float], _Bracket], wanted: Mapping[tuple[int, float], tuple[float, float]]) -> dict[tuple[int, float], _Bracket]:
+    """The wanted brackets with what lies before and in them."""
+    keys = list(wanted)
+    bounds = values.sparkSession.createDataFrame([(n, *map(float, wanted[k])) for n, k in enumerate(keys)], "t int, from double, to double")
+    rows = _inside(values, targets).join(F.broadcast(bounds), "t")
+    counts = {r["t"]: r for r in rows.groupBy("t").agg(F.count_if(F.col("x") < F.col("from")).alias("before"), F.count_if(F.col("x").between(F.col("from"), F.col("to"))).alias("n")).collect()}
+    return {k: _Bracket(*wanted[k], targets[k].before + counts[n]["before"], counts[n]["n"]) for n, k in enumerate(keys)}
+
+
 def _quantile_name(column: str, q: float) -> str:
     return f"{column}_q{round(q * 100)}"
 
@@ -108,19 +137,6 @@ def _interpolated(pairs: Sequence, before: int, rank: float) -> float:
     return at[low] if not share else at[low] + (at[low + 1] - at[low]) * share
 
 
-def _narrowed(parts: Sequence, before: int, rank: float) -> tuple[float, float, int]:
-    """The parts that hold the values on both sides of a rank, as one bracket."""
-    low, high, first = None, None, before
-    for r in parts:
-        if before <= int(rank) < before + r["n"]:
-            low, first = r["low"], before
-        if low is not None and before <= int(rank) + (rank > int(rank)) < before + r["n"]:
-            high = r["high"]
-            break
-        before += r["n"]
-    return low, high, first
-
-
 def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float) -> DataFrame:
     """(column, only_left, only_right, different) of two tables; numbers within the tolerance are equal, nulls equal each other."""
     a = left.select(*keys, *[F.col(c).alias(f"l_{c}") for c in columns], F.lit(1).alias("__l"))

@@ -26,17 +26,24 @@ def rolling_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], fe
     """df with each feature; windows of one key share a sort, whatever their lengths.
 
     The order must be total within a key. With few keys of very many rows give
-    `block`: rows are numbered per key by counts over ranges, cut into blocks
-    of that many rows, and each block gets the rows before it that its windows
-    reach, so that no task holds a whole key. count_on: a frame with the same
-    rows that is cheaper to count, where df is itself the result of windows.
+    `block`: where a key has more rows than that (one aggregate tells), rows are
+    numbered per key by counts over ranges, cut into blocks of that many rows,
+    and each block gets the rows before it that its windows reach, so that no
+    task holds a whole key. count_on: a frame with the same rows that is cheaper
+    to count, where df is itself the result of windows. The result is the same
+    either way.
     """
     longest = max(f.window for f in features)
-    if block is not None:
+    if block is not None and _largest(df if count_on is None else count_on, keys) > block:
         return _blocked(df, keys, order, features, max(block, longest), count_on)
     return df.select("*", *_columns(Window.partitionBy(*keys).orderBy(*order), features))
 
 
+def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+    """How many rows the key of the most rows has."""
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).head()[0] or 0
+
+
 def _columns(window, features: Sequence[Feature]) -> list[Column]:
     out = []
     for f in features:

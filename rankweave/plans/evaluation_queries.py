@@ -15,7 +15,7 @@ from rankweave.operators import tickets as t
 from rankweave.plans.metric_queries import FACT, fact
 from rankweave.plans.registry import on_view, query
 from rankweave.plans.sample_queries import IDS, contests, hashed
-from rankweave.plans.ticket_queries import CONDITIONAL, WEIGHTS, Q, _clip, conditional_frame, on_tickets, slot_shares, ticket_frame
+from rankweave.plans.ticket_queries import CONDITIONAL, WEIGHTS, Q, _clip, both_frame, on_tickets, slot_shares, ticket_frame
 
 G = "PARTITION BY contest_id"
 LABELLED = "CASE WHEN {s} >= 75 THEN 'high' WHEN {s} >= 60 THEN 'middle' ELSE 'low' END"
@@ -83,8 +83,7 @@ BOTH = "SELECT t.*, round(k.p, 12) AS u FROM t JOIN k ON t.contest_id = k.contes
 
 def both_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets with two probabilities: drawn and conditional (u)."""
-    key = ["contest_id", "a", "b", "c"]
-    return ticket_frame(spark, sf_dir).join(conditional_frame(spark, sf_dir).select(*key, F.round("p", 12).alias("u")), key)
+    return both_frame(spark, sf_dir).withColumn("u", F.round("p", 12)).drop("p")
 
 
 @query(on_tickets(f"SELECT pls.site, count(*) AS contests, count(*) FILTER (r < b) AS improved, count(*) FILTER (r > b) AS worsened, count(*) FILTER (r = b) AS unchanged, round(avg(b - r), 9) AS mean_gain FROM (SELECT contest_id, max(CASE WHEN is_actual THEN nth END) AS b, max(CASE WHEN is_actual THEN again END) AS r FROM (SELECT *, row_number() OVER ({G} ORDER BY probability DESC, a, b, c) AS nth, row_number() OVER ({G} ORDER BY u DESC, a, b, c) AS again FROM bo) GROUP BY contest_id) JOIN pls USING (contest_id) GROUP BY pls.site", w=WEIGHTS, k=CONDITIONAL, bo=BOTH, pls=PLACES))

@@ -9,7 +9,7 @@ from rankweave.operators import confidence
 from rankweave.operators import metrics as m
 from rankweave.operators import tickets as t
 from rankweave.plans.registry import query
-from rankweave.plans.ticket_queries import CONDITIONAL, PRICED, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, priced, ticket_frame
+from rankweave.plans.ticket_queries import CONDITIONAL, PRICED, TOP12, WEIGHTS, Q, both_frame, on_tickets, priced, ticket_frame
 
 FACT = """
 SELECT contest_id, any_value(payout) AS payout, any_value(site) AS site, any_value(race_date) AS race_date, count(*) AS tickets, max(CASE WHEN is_actual THEN nth END) AS actual_rank, max(CASE WHEN is_actual THEN probability END) AS p_actual,
@@ -95,8 +95,7 @@ FROM (SELECT contest_id, max(CASE WHEN is_actual THEN nth END) AS b, max(CASE WH
 """, w=WEIGHTS, k=CONDITIONAL))
 def rerank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional tickets as a new order of the drawn ones."""
-    key = ["contest_id", "a", "b", "c"]
-    both = ticket_frame(spark, sf_dir).join(conditional_frame(spark, sf_dir).select(*key, F.round("p", 12).alias("u")), key)
+    both = both_frame(spark, sf_dir).withColumn("u", F.round("p", 12))
     ranked = both.withColumns({"base": F.row_number().over(t.order_of("probability")), "again": F.row_number().over(t.order_of("u"))}).where("is_actual")
     return shown(ranked.select(F.col("again").alias("actual_rank"), F.col("base").alias("base_rank")).agg(*m.rerank_quality(ranked)))
 

@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankweave.core.shared import stored
 from rankweave.operators import metrics as m
 from rankweave.operators import relative, sampling
 from rankweave.operators.history import Feature, rolling_history
@@ -32,10 +33,10 @@ def design(inputs: list[str] = INPUTS, category: str | None = "site") -> list:
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete contests with history features and a hash fold; fold 0 is held out."""
+    """Complete contests with history features and a hash fold, written once: fits and the frames they give read them. Fold 0 is held out."""
     six = complete_groups(flagged(spark, sf_dir))
     df = rolling_history(six, ["entity_id"], ORDER, [Feature("form", "outcome_rank", 30, 3), Feature("lead", "lead_time", 10, 3), Feature("win", "is_win", 30, 3)])
-    return df.withColumn("fold", sampling.fold("contest_id", 5)).withColumn("label", F.col("outcome_rank").cast("double")).persist()
+    return stored(df.withColumn("fold", sampling.fold("contest_id", 5)).withColumn("label", F.col("outcome_rank").cast("double")), "training")
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket probabilities calibrated to observed rates, normalised per contest; losses before and after."""
-    tickets = ticket_frame(spark, sf_dir).withColumn("fold", sampling.fold("contest_id", 5)).withColumn("label", F.col("is_actual").cast("double")).persist()
+    tickets = stored(ticket_frame(spark, sf_dir).withColumn("fold", sampling.fold("contest_id", 5)).withColumn("label", F.col("is_actual").cast("double")), "tickets")
     fitted = IsotonicRegression(featuresCol="probability", labelCol="label").fit(tickets.where("fold <> 0"))
     calibrated = fitted.transform(tickets).withColumn("calibrated", relative.normalise(F.greatest("prediction", F.lit(1e-9))))
     held = F.col("fold") == 0
@@ -144,7 +145,6 @@ def lead_time_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = out.withColumns({"gap": F.col("lead_time") - F.lag("lead_time").over(near), "predicted_gap": F.col("predicted_lead") - F.lag("predicted_lead").over(near)})
     same = F.when(F.col("gap") != 0, (F.signum("gap") == F.signum("predicted_gap")).cast("double"))
     error = F.col("predicted_lead") - F.col("lead_time")
-    df.unpersist()
     return gaps.groupBy("block").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(same).alias("sign_accuracy"))
 
 
@@ -166,7 +166,6 @@ def paired_lead_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         fitted = Pipeline(stages=[*design(inputs), LinearRegression(regParam=1.0)]).fit(rows.where("fold <> 0"))
         found = quality(ranked(fitted.transform(rows))).withColumn("variant", F.lit(variant))
         out = found if out is None else out.unionByName(found)
-    df.unpersist()
     return out
 
 
@@ -181,7 +180,6 @@ def place_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = scored.withColumn("n", relative.rank_first("p", "slot"))
         found = scored.where("at_place = 1").groupBy((F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("contests"), F.avg(-F.ln(F.greatest("p", F.lit(1e-15)))).alias("log_loss"), F.avg((F.col("n") == 1).cast("double")).alias("first_found")).withColumn("place", F.lit(place))
         out = found if out is None else out.unionByName(found)
-    df.unpersist()
     return out
 
 
@@ -197,7 +195,6 @@ def shape_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = [f"{c}_{k}" for k in range(1, 7) for c in ("raw_score", "win")]
     fitted = Pipeline(stages=[*design(inputs, None), RandomForestClassifier(labelCol="shape", numTrees=20, maxDepth=4, seed=7)]).fit(rows.where("fold <> 0"))
     scored = fitted.transform(rows)
-    df.unpersist()
     return scored.groupBy((F.col("fold") == 0).alias("held_out"), "shape").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("shape")).cast("double")).alias("recall"))
 
 

@@ -11,7 +11,7 @@ from rankweave.operators import sampling as s
 from rankweave.operators import statistics as st
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.tickets import complete_groups
-from rankweave.plans.history_queries import KEY, ORDER
+from rankweave.plans.history_queries import KEY, ORDER, guarded
 from rankweave.plans.registry import on_view, query
 
 
@@ -143,9 +143,23 @@ def quantile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select([F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query(on_view("SELECT 'form' AS \"column\", CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(0 AS BIGINT) AS different"))
+FORM = "SELECT contest_id, slot, " + guarded("avg", "lead_time", "site", 20, 3) + " AS form FROM v"
+
+
+def blocked_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over a few sites, cut into blocks of 200 rows that lend their ends."""
+    return rolling_history(contest_view(spark, sf_dir), ["site"], ORDER, [Feature("form", "lead_time", 20, 3)], block=200).select(*KEY, "form")
+
+
+@query(on_view("SELECT contest_id, slot, round(form, 9) AS form FROM fo", fo=FORM))
+def blocked_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling windows over few keys by blocks, against windows over whole keys."""
+    return blocked_form(spark, sf_dir).select(*KEY, F.round("form", 9).alias("form"))
+
+
+@query(on_view("SELECT 'form' AS \"column\", count(*) FILTER (contest_id % 7 = 0) AS only_left, CAST(0 AS BIGINT) AS only_right, count(*) FILTER (contest_id % 7 <> 0 AND slot = 2 AND form IS NOT NULL) AS different FROM fo", fo=FORM))
 def blocked_history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling windows over few keys, cut into blocks of two sizes and compared row by row: no difference is the right answer."""
-    v, form = contest_view(spark, sf_dir), [Feature("form", "lead_time", 20, 3)]
-    small, large = (rolling_history(v, ["site"], ORDER, form, block=b).select(*KEY, "form") for b in (2_000, 7_001))
-    return st.table_diff(small, large, KEY, ["form"], 1e-12)
+    """Windows by blocks compared row by row with plain ones, of which every seventh contest is left out and slot 2 is changed."""
+    plain = rolling_history(contest_view(spark, sf_dir), ["site"], ORDER, [Feature("form", "lead_time", 20, 3)]).where("contest_id % 7 <> 0")
+    changed = plain.select(*KEY, F.when(F.col("slot") == 2, F.col("form") + 1).otherwise(F.col("form")).alias("form"))
+    return st.table_diff(blocked_form(spark, sf_dir), changed, KEY, ["form"], 1e-9)

@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.core.shared import shared_folder, stored
 from rankweave.operators import relative, sampling, search
 from rankweave.operators import scenario as sc
 from rankweave.plans.evaluation_queries import BOTH, GRID, PAYLOAD, SHOWN, TOP, both_orders, grid, judged_sql, points_sql, shown
@@ -16,7 +17,6 @@ from rankweave.plans.history_queries import KEY
 from rankweave.plans.model_queries import INPUTS, PREDICTED, design, out_of_fold_leads, predicted_lead_features, ranked, training
 from rankweave.plans.registry import on_view, query
 from rankweave.plans.scenario_queries import NINE, scenario_slots
-from rankweave.plans.stream_queries import shared_folder
 from rankweave.plans.ticket_queries import CONDITIONAL, SIX, WEIGHTS, on_tickets, slot_shares
 
 LEARNT = ("prediction", "rawPrediction", "probability")
@@ -45,7 +45,6 @@ def slot_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     styled = RandomForestClassifier(labelCol="target", numTrees=10, maxDepth=4, seed=7).fit(train.withColumn("target", (F.col("style") != "O").cast("double")))
     p = vector_to_array("probability")
     frame = styled.transform(frame).withColumns({"p_style_o": p[0], "p_style_f": F.coalesce(F.get(p, F.lit(1)), F.lit(0.0))})
-    df.unpersist()
     return frame.select(*KEY, "share", *[f"p_{c}" for c in ("win", "top2", "top3", "place1", "place2", "place3", "style_o", "style_f")], relative.rank_first("share", "slot").alias("predicted_rank"))
 
 
@@ -67,7 +66,6 @@ def saved_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     order.write().save(f"{folder}/order")
     lead, order = PipelineModel.load(f"{folder}/lead"), PipelineModel.load(f"{folder}/order")
     new = lead.transform(rows.where("block = 4")).withColumnRenamed("prediction", "predicted_lead").drop("raw", "features", "site_index", *[f"{c}_filled" for c in INPUTS])
-    df.unpersist()
     return ranked(order.transform(new.withColumns(predicted_lead_features()))).select(*KEY, "predicted_lead", "share", "predicted_rank")
 
 
@@ -91,7 +89,7 @@ def scenario_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = slots.groupBy("contest_id").agg(*[F.max(F.when(F.col("slot") == k, F.col(c))).alias(f"slot{k}_{c}") for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")])
     inputs = [*NINE, *[c for c in wide.columns if c != "contest_id"]]
     rows = sc.context(slots).join(wide, "contest_id").join(outcome_scenarios(spark, sf_dir), "contest_id")
-    rows = rows.withColumn("fold", sampling.fold("contest_id", 5)).withColumn("target", F.substring("scenario", 2, 1).cast("double")).persist()
+    rows = stored(rows.withColumn("fold", sampling.fold("contest_id", 5)).withColumn("target", F.substring("scenario", 2, 1).cast("double")), "scenario-rows")
     learnable = rows.where("fold <> 0").agg(F.count("*").alias("n"), F.count_distinct("target").alias("kinds")).head()
     scored = rows
     if fitted := learnable["n"] >= 20 and learnable["kinds"] >= 2:
@@ -102,7 +100,6 @@ def scenario_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda label: F.avg((F.col(label) == F.col("scenario")).cast("double"))
     ruled = scored.withColumns(sc.scores()).withColumn("by_rules", sc.label())
     both = ruled.withColumns(sc.scores([f"model_{s}" for s in sc.SCENARIOS] if fitted else None)).withColumn("by_model", sc.label())
-    rows.unpersist()
     return both.groupBy((F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("contests"), right("by_rules").alias("rules_right"), right("by_model").alias("model_right"))
 
 

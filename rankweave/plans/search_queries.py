@@ -13,7 +13,7 @@ from rankweave.operators import tickets as t
 from rankweave.plans.metric_queries import FACT, labelled_fact, returns
 from rankweave.plans.registry import query
 from rankweave.plans.scenario_queries import ADV, CONTEXT, CUTS, PRESSED, SCORED, SLOTS, SUBSET, clip, scenarios, subset_labels
-from rankweave.plans.ticket_queries import BANDED, CONDITIONAL, TABLE, TOP12, WEIGHTS, Q, conditional_frame, on_tickets, slot_shares, ticket_frame
+from rankweave.plans.ticket_queries import BANDED, CONDITIONAL, TABLE, TOP12, WEIGHTS, Q, both_frame, on_tickets, slot_shares, ticket_frame
 
 KEY = ["contest_id", "a", "b", "c"]
 FIT = f"""
@@ -45,14 +45,8 @@ GRID = f"(VALUES {', '.join(f'({w})' for w in GRID_WEIGHTS)}) AS g(weight)"
 
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each contest: its tickets with both probabilities, from one expansion of the slots."""
-    df = slot_shares(spark, sf_dir).withColumns({"top2": F.col("share") + F.col("trial_time"), "top3": F.least(F.lit(1.0), F.col("share") * 2)})
-    df = df.withColumns(t.place_weights("share", "share", "top2", "top3"))
-    names = ["first_w", "second_w", "third_w"]
-    sums = {"total": F.sum("share").over(relative.group()), **{f"{n}_total": F.sum(n).over(relative.group()) for n in names}}
-    rows = t.permutations(df.withColumns(sums).select("contest_id", "slot", "share", "outcome_rank", *names, *sums), ["share", "outcome_rank", *names], keep=list(sums))
-    actual = (F.col("outcome_rank_a") == 1) & (F.col("outcome_rank_b") == 2) & (F.col("outcome_rank_c") == 3)
-    entry = F.struct("a", "b", "c", F.round(t.draw_probability("share"), 12).alias("probability"), t.conditional_probability().alias("p"), actual.alias("is_actual"))
-    return rows.groupBy("contest_id").agg(F.collect_list(entry).alias("tickets"))
+    entry = F.struct("a", "b", "c", "probability", "p", "is_actual")
+    return both_frame(spark, sf_dir).groupBy("contest_id").agg(F.collect_list(entry).alias("tickets"))
 
 
 def actual_ranks(contests: DataFrame) -> DataFrame:
@@ -106,7 +100,7 @@ FROM (SELECT contest_id, max(CASE WHEN is_actual THEN nth END) AS b, max(CASE WH
 """, w=WEIGHTS, k=CONDITIONAL))
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests gained and lost at top 3 by the second order, with the standard error of the difference."""
-    both = ticket_frame(spark, sf_dir).join(conditional_frame(spark, sf_dir).select(*KEY, F.round("p", 12).alias("u")), KEY)
+    both = both_frame(spark, sf_dir).withColumn("u", F.round("p", 12))
     ranked = both.withColumns({"b": F.row_number().over(t.order_of("probability")), "r": F.row_number().over(t.order_of("u"))}).where("is_actual").select("b", "r")
     difference = (F.col("r") <= 3).cast("int") - (F.col("b") <= 3).cast("int")
     return ranked.agg(F.count("*").alias("contests"), F.count_if((F.col("r") <= 3) & (F.col("b") > 3)).alias("gained"), F.count_if((F.col("r") > 3) & (F.col("b") <= 3)).alias("lost"), F.round(F.avg(difference), 9).alias("delta"), F.round(F.stddev_samp(difference) / F.sqrt(F.count("*")), 9).alias("standard_error"))

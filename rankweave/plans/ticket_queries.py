@@ -68,6 +68,19 @@ def conditional_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("contest_id", "a", "b", "c", t.conditional_probability().alias("p"))
 
 
+def both_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets with the probability of drawing them and that from exact-place weights (p), from one expansion of the slots."""
+    names = ["first_w", "second_w", "third_w"]
+    df = slot_shares(spark, sf_dir).withColumns({"top2": F.col("share") + F.col("trial_time"), "top3": F.least(F.lit(1.0), F.col("share") * 2)})
+    df = df.withColumns(t.place_weights("share", "share", "top2", "top3"))
+    sums = {"total": F.sum("share").over(relative.group()), **{f"{n}_total": F.sum(n).over(relative.group()) for n in names}}
+    kept = ["race_date", "site", "payout", *sums]
+    found = t.permutations(df.withColumns(sums).select("contest_id", "slot", "share", "outcome_rank", *names, *kept), ["share", "outcome_rank", *names], keep=kept)
+    actual = (F.col("outcome_rank_a") == 1) & (F.col("outcome_rank_b") == 2) & (F.col("outcome_rank_c") == 3)
+    out = found.withColumns({"probability": F.round(t.draw_probability("share"), 12), "p": t.conditional_probability(), "is_actual": actual})
+    return out.select("contest_id", "race_date", "site", "payout", "a", "b", "c", "share_a", "share_b", "share_c", "probability", "p", "is_actual")
+
+
 @query(on_tickets("SELECT contest_id, a, b, c, round(p, 9) AS probability FROM k", w=WEIGHTS, k=CONDITIONAL))
 def conditional_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets from exact-place weights, where the shares of the first two and three are known."""
@@ -118,7 +131,7 @@ WINDOW g AS (PARTITION BY contest_id)
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ticket probabilities joined and blended by rank, with a penalty for late ranks."""
     key = ["contest_id", "a", "b", "c"]
-    both = ticket_frame(spark, sf_dir).select(*key, "probability").join(conditional_frame(spark, sf_dir).select(*key, F.round("p", 12).alias("u")), key)
+    both = both_frame(spark, sf_dir).withColumn("u", F.round("p", 12))
     return both.select(*key, F.round(t.blend_ranks("probability", "u", 0.95, 0.2, 5), 9).alias("score"))
 
 

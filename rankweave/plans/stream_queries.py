@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.core.shared import shared_folder
+from rankweave.operators.history import Feature
 from rankweave.plans.registry import query
 from rankweave.streaming import tail
+from rankweave.streaming.incremental import Build, Family
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
 
 
 @query("""
@@ -20,11 +22,11 @@ SELECT user_id, event_id, round(CASE WHEN count(value) OVER w >= 2 THEN avg(valu
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
 """)
 def stateful_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of a user's five events before, from state carried through a stream."""
+    """The mean of a user's five events before and their number, from tails that are carried from one trigger to the next."""
     folder = shared_folder(spark)
-    stream = tail.rolling_mean_stream(event_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", 5, 2)
-    found = tail.run_to_end(stream, f"{folder}/out", f"{folder}/state")
-    return found.select("user_id", "event_id", F.round("prior_mean", 9).alias("prior_mean"), "prior_count")
+    build = Build(spark, f"{folder}/build", [Family(("user_id",), (Feature("prior_mean", "value", 5, 2),))], ["ts", "event_id"], counted="prior_count")
+    build.follow(event_stream(spark, sf_dir), f"{folder}/checkpoint").awaitTermination()
+    return build.rows().select("user_id", "event_id", F.round("prior_mean", 9).alias("prior_mean"), "prior_count")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY CAST(ts AS DATE), event_type")

@@ -1,44 +1,9 @@
-"""The last values of each key as streaming state, and rolling features from them.
-
-State is a list of at most `window` values and a counter for each key, so it
-doesn't grow with the stream. Rows of a micro-batch are put in time order
-before they meet the state; the stream must bring a key's batches in time
-order, as a source of dated files does. The batch window in
-`operators.history` defines what is right. One micro-batch of a key is held in
-memory: bound it by the number of files that a trigger reads.
-"""
+"""Streams run to the end of what is there, and windows that a watermark closes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-CHUNK = 1 << 16  # rows of a key whose windows are laid out at once
-
-def rolling_mean_stream(events: DataFrame, key: str, time: str, tie: str, value: str, window: int, least: int) -> DataFrame:
-    """(key, tie, prior_mean, prior_count) for every row of a stream: the mean of the `window` rows of its key before it."""
-    schema = f"{key} long, {tie} long, prior_mean double, prior_count long"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, seen = state.get if state.exists else ([], 0)
-        tail = list(tail)
-        rows = pd.concat(list(frames)).sort_values([time, tie], kind="stable")
-        own = rows[value].to_numpy("float64", na_value=np.nan)
-        held = np.concatenate([np.full(window - len(tail), np.nan), tail, own])
-        for start in range(0, len(own), CHUNK):
-            part = slice(start, min(start + CHUNK, len(own)))
-            before = np.lib.stride_tricks.sliding_window_view(held, window)[part]
-            known = (~np.isnan(before)).sum(1)
-            means = np.where(known >= least, np.nansum(before, 1) / np.maximum(known, 1), np.nan)
-            yield pd.DataFrame({key: k[0], tie: rows[tie].to_numpy()[part], "prior_mean": means, "prior_count": seen + np.arange(part.start, part.stop)})
-        state.update((held[len(held) - min(window, len(tail) + len(own)) :].tolist(), seen + len(own)))
-
-    return events.groupBy(key).applyInPandasWithState(step, schema, "tail array<double>, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankweave.core.shared import stored
 from rankweave.operators import metrics as m
-from rankweave.operators import relative, sampling
+from rankweave.operators import relative, sampling, styles
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.tickets import complete_groups
 from rankweave.plans.history_queries import KEY, ORDER, flagged, guarded
@@ -20,6 +20,7 @@ from rankweave.plans.registry import on_view, query
 from rankweave.plans.ticket_queries import SIX, ticket_frame
 
 INPUTS = ["form", "lead", "win", "raw_score"]
+LEAST = 100  # winners that a model of styles needs
 
 
 def design(inputs: list[str] = INPUTS, category: str | None = "site") -> list:
@@ -102,13 +103,21 @@ def win_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest on the style of the win: accuracy and Brier score by split."""
-    df = training(spark, sf_dir).withColumn("kind", F.when(F.col("style") == "O", 0.0).otherwise(1.0))
-    fitted = Pipeline(stages=[*design(), RandomForestClassifier(labelCol="kind", numTrees=10, maxDepth=4, seed=7)]).fit(df.where("fold <> 0"))
-    p = vector_to_array("probability")
-    scored = fitted.transform(df).withColumn("p", p)
+    """A forest on the style of the win, from winners of contests with a known style: accuracy, log loss and Brier score by split.
+
+    Styles are told from the contest. With fewer than LEAST winners to learn from there is no model and no row.
+    """
+    style = F.element_at(F.array(*[F.lit(k) for k in styles.KINDS]), (F.col("contest_id") % len(styles.KINDS) + 1).cast("int"))
+    number = F.array_position(F.array(*[F.lit(k) for k in styles.KINDS]), F.col("style")) - 1
+    df = training(spark, sf_dir).withColumn("style", style).where("is_win = 1 and style is not null").withColumn("kind", number.cast("double"))
+    seen = df.where("fold <> 0")
+    if seen.count() < LEAST:
+        return spark.createDataFrame([], "held_out boolean, n long, accuracy double, log_loss double, brier double")
+    fitted = Pipeline(stages=[*design(), RandomForestClassifier(labelCol="kind", numTrees=10, maxDepth=4, seed=7)]).fit(seen)
+    scored = fitted.transform(df).withColumn("p", vector_to_array("probability"))
+    own = F.coalesce(F.try_element_at("p", F.col("kind").cast("int") + 1), F.lit(0.0))
     brier = F.aggregate(F.transform("p", lambda x, i: F.pow(x - (F.col("kind") == i).cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
-    return scored.groupBy((F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("kind")).cast("double")).alias("accuracy"), F.avg(brier).alias("brier"))
+    return scored.groupBy((F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("kind")).cast("double")).alias("accuracy"), F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias("log_loss"), F.avg(brier).alias("brier"))
 
 
 @query()

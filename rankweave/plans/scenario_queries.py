@@ -104,11 +104,14 @@ def scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("contest_id", *flags, F.round(ordered[0] - ordered[1], 9).alias("margin"))
 
 
-@query(on_scenario("SELECT contest_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in NINE) + ", " + ", ".join(f"max(CASE WHEN slot = {k} THEN round({c}, 9) END) AS {c}_{k}" for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")) + " FROM cx JOIN (SELECT contest_id, slot, challenge, top2, k2, lead_adv FROM s2) AS p USING (contest_id) GROUP BY contest_id, " + ", ".join(NINE)))
+BY_SLOT = ("challenge", "share", "top2", "top3", "k1", "k2", "k3", "k4", "lead_adv", "trial_adv")
+
+
+@query(on_scenario("SELECT contest_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in NINE) + ", " + ", ".join(f"max(CASE WHEN slot = {k} THEN round({c}, 9) END) AS {c}_{k}" for k in range(1, 7) for c in BY_SLOT) + " FROM cx JOIN (SELECT contest_id, slot, " + ", ".join(BY_SLOT) + " FROM s2) AS p USING (contest_id) GROUP BY contest_id, " + ", ".join(NINE)))
 def pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each contest: its context, and the slots' values side by side."""
     slots = scenario_slots(spark, sf_dir).withColumn("challenge", sc.challenge())
-    wide = slots.groupBy("contest_id").agg(*[F.max(F.when(F.col("slot") == k, F.round(c, 9))).alias(f"{c}_{k}") for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")])
+    wide = slots.groupBy("contest_id").agg(*[F.max(F.when(F.col("slot") == k, F.round(c, 9))).alias(f"{c}_{k}") for k in range(1, 7) for c in BY_SLOT])
     return scenarios(spark, sf_dir).select("contest_id", *[F.round(c, 9).alias(c) for c in NINE]).join(wide, "contest_id")
 
 
@@ -192,15 +195,16 @@ def what_if_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_partkey, upper(trim(p_name)) AS name, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'warm' WHEN p_type LIKE '%STEEL%' THEN 'cold' ELSE 'other' END AS class,
        len(regexp_extract_all(CAST(p_partkey AS VARCHAR), '[0-9]')) AS meet_starts, CAST(right(CAST(p_partkey AS VARCHAR), 1) AS INT) AS meet_last, round(list_avg(list_transform(regexp_extract_all(CAST(p_partkey AS VARCHAR), '[0-9]'), lambda d: CAST(d AS INT))), 9) AS meet_mean,
-       CAST(list_max(list_transform(regexp_extract_all(CAST(p_partkey AS VARCHAR), '[0-9]'), lambda d: CAST(d AS INT))) AS INT) AS meet_worst, printf('%.1f%%', p_size * 1.0) AS size_percent
-FROM part
+       CAST(list_max(list_transform(regexp_extract_all(CAST(p_partkey AS VARCHAR), '[0-9]'), lambda d: CAST(d AS INT))) AS INT) AS meet_worst, printf('%.1f%%', p_size * 1.0) AS size_percent,
+       round(list_avg(d) - list_avg(list_slice(d, -3, -1)), 9) AS meet_form_gap, round(len(list_filter(d, lambda x: x <= 3)) / len(d), 9) AS meet_top3_share
+FROM (SELECT *, list_transform(regexp_extract_all(CAST(p_partkey AS VARCHAR), '[0-9]'), lambda x: CAST(x AS INT)) AS d FROM part)
 """)
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text functions over a column: cleaning, classes by keyword, digit strings, percentages."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     meet = text.meet_features(F.col("p_partkey").cast("string"))
     kinds = text.keyword_class(F.col("p_type"), [(("BRASS", "COPPER"), "warm"), (("STEEL",), "cold")], "other")
-    return part.select("p_partkey", F.upper(text.collapse(F.col("p_name"))).alias("name"), kinds.alias("class"), meet["meet_starts"].alias("meet_starts"), meet["meet_last"].alias("meet_last"), F.round(meet["meet_mean"], 9).alias("meet_mean"), meet["meet_worst"].alias("meet_worst"), text.percent(F.col("p_size") / 100).alias("size_percent"))
+    return part.select("p_partkey", F.upper(text.collapse(F.col("p_name"))).alias("name"), kinds.alias("class"), meet["meet_starts"].alias("meet_starts"), meet["meet_last"].alias("meet_last"), F.round(meet["meet_mean"], 9).alias("meet_mean"), meet["meet_worst"].alias("meet_worst"), text.percent(F.col("p_size") / 100).alias("size_percent"), F.round(meet["meet_form_gap"], 9).alias("meet_form_gap"), F.round(meet["meet_top3_share"], 9).alias("meet_top3_share"))
 
 
 @query(on_view(f"SELECT contest_id, count(*) FILTER (predicted = 1 AND outcome_rank = 1) AS top1, round(count(*) FILTER (predicted <= 3 AND outcome_rank <= 3) / 3.0, 9) AS overlap FROM (SELECT *, row_number() OVER ({G} ORDER BY raw_score DESC, slot) AS predicted FROM six) GROUP BY contest_id", six=SIX))

@@ -23,9 +23,7 @@ def nth_largest(x: str, n: int) -> Column:
 def prediction_confidence(slots: DataFrame, tickets: DataFrame, share: str = "share", p: str = "probability") -> DataFrame:
     """(contest, confidence, label): how far the best slot and the best ticket are ahead."""
     best = slots.groupBy(CONTEST).agg(nth_largest(share, 1).alias("first"), nth_largest(share, 2).alias("second"))
-    # two running maxima instead of a sorted list of all tickets
-    order = Window.partitionBy(CONTEST).orderBy(F.desc(p), "a", "b", "c")
-    top = tickets.withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy(CONTEST).agg(F.max(p).alias("t1"), F.when(F.count("*") > 1, F.min(p)).otherwise(0.0).alias("t2"))
+    top = tickets.groupBy(CONTEST).agg(F.max(p).alias("t1"), nth_largest(p, 2).alias("t2"))  # a contest's tickets are few
     ahead = lambda x, y: F.greatest(F.col(x) - F.col(y), F.lit(0.0))
     score = clip01(TOP * F.col("first") + LEAD * ahead("first", "second") + TICKET_LEAD * ahead("t1", "t2"))
     out = best.join(top, CONTEST).select(CONTEST, score.alias("confidence"))

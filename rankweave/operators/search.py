@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +75,30 @@ def two_stage(rows: DataFrame, grid: DataFrame, days: DataFrame, sample: int, ke
 def open_points(grid: DataFrame, done: DataFrame, contests: int) -> DataFrame:
     """Grid points that no saved result of the same number of contests covers: where a search goes on."""
     return grid.join(done.where(F.col("contests") == contests).select("weight", "penalty"), ["weight", "penalty"], "left_anti")
+
+
+def sampled_trials(n: int) -> list[tuple[float, float, float]]:
+    """Weights of three parts that add up to 1, spread evenly: a low-discrepancy sequence of points, cut at their two coordinates.
+
+    The steps are those of the plane's additive recurrence: powers of the root of x**3 = x + 1.
+    """
+    root = 1.32471795724474602596
+    points = [((0.5 + k / root) % 1, (0.5 + k / root**2) % 1) for k in range(1, n + 1)]
+    return [(round(min(u, v), 6), round(abs(u - v), 6), round(1 - round(min(u, v), 6) - round(abs(u - v), 6), 6)) for u, v in points]
+
+
+def halving(evaluate: Callable[[Sequence[int], int], Mapping[int, tuple[int, float]]], trials: int, folds: int, least: int = 1) -> list[tuple[int, int, float, int]]:
+    """(trial, contests, value, folds seen) of every trial: after each fold the better half of those left goes on.
+
+    evaluate(trials, fold) gives each trial's number of contests and mean
+    value there; values are averaged by contests, ties go to the smaller trial.
+    What the driver holds is a row for each trial.
+    """
+    left, seen = list(range(trials)), {k: (0, 0.0, 0) for k in range(trials)}
+    for fold in range(folds):
+        for k, (n, value) in evaluate(left, fold).items():
+            count, total, rounds = seen[k]
+            seen[k] = (count + n, total + n * value, rounds + 1)
+        mean = {k: seen[k][1] / seen[k][0] if seen[k][0] else float("-inf") for k in left}
+        left = sorted(left, key=lambda k, mean=mean: (-round(mean[k], 9), k))[: max(least, len(left) // 2)]
+    return [(k, n, total / n if n else 0.0, rounds) for k, (n, total, rounds) in seen.items()]

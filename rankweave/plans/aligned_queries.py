@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
 from rankweave.core.shared import stored
-from rankweave.operators import confidence, overrides, relative, sampling
+from rankweave.operators import confidence, overrides, relative, sampling, search
 from rankweave.operators import metrics as m
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.tickets import complete_groups
@@ -100,6 +100,22 @@ def live_aligned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
+def scored_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each complete contest: its slots with three scores as shares, and a fold."""
+    six = complete_groups(flagged(spark, sf_dir))
+    df = rolling_history(six, ["entity_id"], ORDER, [Feature("form", "outcome_rank", 30, 3), Feature("win", "is_win", 30, 3)])
+    scores = ("raw_score", F.coalesce(-F.col("form"), F.lit(0.0)), F.coalesce("win", F.lit(0.0)))
+    df = df.withColumns({f"s{i}": relative.softmax(c) for i, c in enumerate(scores)})
+    return df.groupBy("contest_id").agg(F.collect_list(F.struct("slot", "outcome_rank", "s0", "s1", "s2")).alias("slots")).withColumn("fold", sampling.fold("contest_id", FOLDS))
+
+
+def in_order(at: DataFrame, *keep: str) -> DataFrame:
+    """Contests beside weights w: their slots by falling blended score (o), and the winner's place (won)."""
+    score = lambda c: F.round(F.col("w.w0") * c["s0"] + F.col("w.w1") * c["s1"] + F.col("w.w2") * c["s2"], 12)
+    order = F.sort_array(F.transform("slots", lambda c: F.struct((-score(c)).alias("s"), c["slot"].alias("slot"), c["outcome_rank"].alias("rank"))))
+    return at.select(*keep, order.alias("o")).withColumn("won", F.array_position(F.transform("o", lambda c: c["rank"] == 1), F.lit(True)))
+
+
 FOLDS = 4
 PARTS = ("hit1", "overlap", "mrr", "log_loss", "mean_rank")
 BY_FOLD = f"""
@@ -118,16 +134,10 @@ def fold_objective_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     Candidates and folds come from one pass: a contest's slots are one array
     beside the grid, and only metrics of a candidate and fold are shuffled.
     """
-    six = complete_groups(flagged(spark, sf_dir))
-    df = rolling_history(six, ["entity_id"], ORDER, [Feature("form", "outcome_rank", 30, 3), Feature("win", "is_win", 30, 3)])
-    scores = ("raw_score", F.coalesce(-F.col("form"), F.lit(0.0)), F.coalesce("win", F.lit(0.0)))
-    df = df.withColumns({f"s{i}": relative.softmax(c) for i, c in enumerate(scores)})
-    contests = df.groupBy("contest_id").agg(F.collect_list(F.struct("slot", "outcome_rank", "s0", "s1", "s2")).alias("slots")).withColumn("fold", sampling.fold("contest_id", FOLDS))
+    contests = scored_contests(spark, sf_dir)
     points = simplex_grid(spark, 3, STEPS).agg(F.collect_list(F.struct("w0", "w1", "w2")).alias("points"))
     at = contests.join(F.broadcast(points)).withColumn("w", F.explode("points"))  # one row
-    score = lambda c: F.round(F.col("w.w0") * c["s0"] + F.col("w.w1") * c["s1"] + F.col("w.w2") * c["s2"], 12)
-    order = F.sort_array(F.transform("slots", lambda c: F.struct((-score(c)).alias("s"), c["slot"].alias("slot"), c["outcome_rank"].alias("rank"))))
-    at = at.select("w", "fold", order.alias("o")).withColumn("won", F.array_position(F.transform("o", lambda c: c["rank"] == 1), F.lit(True)))
+    at = in_order(at, "w", "fold")
     three = F.size(F.filter(F.slice("o", 1, 3), lambda c: c["rank"] <= 3)) / 3
     loss = -F.ln(F.greatest(-F.element_at("o", F.col("won").cast("int"))["s"], F.lit(1e-15)))
     by_fold = at.groupBy("w.w0", "w.w1", "w.w2", "fold").agg(F.count("*").alias("n"), F.avg((F.col("won") == 1).cast("double")).alias("hit1"), F.avg(three).alias("overlap"), F.avg(1 / F.col("won")).alias("mrr"), F.avg(loss).alias("log_loss"), F.avg(F.element_at("o", 1)["rank"]).alias("mean_rank"))
@@ -137,3 +147,38 @@ def fold_objective_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.struct(F.col("value").alias("v"), -F.col("w0"), -F.col("w1"), -F.col("w2"))
     out = over.groupBy("objective").agg(F.max_by(F.struct("w0", "w1", "w2", "value", "worst_fold", "folds"), best).alias("b"))
     return out.select("objective", "b.w0", "b.w1", "b.w2", F.round("b.value", 6).alias("value"), "b.worst_fold", "b.folds")
+
+
+TRIALS = 64
+BALANCED = OBJECTIVES["balanced"]
+_TRIALS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate(search.sampled_trials(TRIALS))) + ") AS x(trial, w0, w1, w2)"
+
+
+def _round_sql(fold: int) -> str:
+    score = f"SELECT mx.*, trial, round(w0 * s0 + w1 * s1 + w2 * s2, 12) AS score FROM mx, {'tr' if fold == 0 else f'l{fold}'} WHERE {FOLD.replace('% 5', f'% {FOLDS}')} = {fold}"
+    per = f"SELECT trial, contest_id, max(CASE WHEN outcome_rank = 1 THEN n END) AS won, count(*) FILTER (n <= 3 AND outcome_rank <= 3) AS three FROM (SELECT *, row_number() OVER (PARTITION BY trial, contest_id ORDER BY score DESC, slot) AS n FROM ({score})) GROUP BY trial, contest_id"
+    means = {"hit1": "avg(CAST(won = 1 AS INT))", "overlap": "avg(three / 3.0)", "mrr": "avg(1.0 / won)"}
+    return f"SELECT trial, count(*) AS n, {' + '.join(f'{w} * {means[c]}' for c, w in BALANCED.items())} AS value FROM ({per}) GROUP BY trial"
+
+
+HALVED = {"six": SIX, "mx": MIXED, "tr": _TRIALS_SQL}
+for _f in range(FOLDS):
+    HALVED[f"r{_f}"] = _round_sql(_f)
+    HALVED[f"a{_f}"] = "SELECT trial, CAST(sum(n) AS BIGINT) AS n, sum(n * value) / sum(n) AS value, count(*) AS folds FROM (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(_f + 1)) + ") GROUP BY trial"
+    HALVED[f"l{_f + 1}"] = f"SELECT tr.* FROM tr JOIN (SELECT trial FROM a{_f} WHERE folds = {_f + 1} ORDER BY round(value, 9) DESC, trial LIMIT {max(1, TRIALS >> (_f + 1))}) USING (trial)"
+
+
+@query(on_view(f"SELECT trial, w0, w1, w2, n AS contests, round(value, 9) AS value, folds, row_number() OVER (ORDER BY folds DESC, round(value, 9) DESC, trial) AS place FROM a{FOLDS - 1} JOIN tr USING (trial)", **HALVED))
+def sampled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of an even sample of weight vectors, halved after each fold by the balanced objective: 120 evaluations of 256."""
+    contests, trials = stored(scored_contests(spark, sf_dir), "contests"), search.sampled_trials(TRIALS)
+
+    def evaluate(left, fold):
+        points = F.array(*[F.struct(F.lit(k).alias("trial"), *[F.lit(w).alias(f"w{i}") for i, w in enumerate(trials[k])]) for k in left])
+        at = in_order(contests.where(F.col("fold") == fold).withColumn("w", F.explode(points)), "w")
+        means = at.groupBy("w.trial").agg(F.count("*").alias("n"), F.avg((F.col("won") == 1).cast("double")).alias("hit1"), F.avg(F.size(F.filter(F.slice("o", 1, 3), lambda c: c["rank"] <= 3)) / 3).alias("overlap"), F.avg(1 / F.col("won")).alias("mrr"))
+        return {r["trial"]: (r["n"], sum(w * r[c] for c, w in BALANCED.items())) for r in means.collect()}
+
+    found = sorted(search.halving(evaluate, TRIALS, FOLDS), key=lambda r: (-r[3], -round(r[2], 9), r[0]))
+    rows = [(k, *trials[k], n, round(value, 9), folds, place) for place, (k, n, value, folds) in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "trial int, w0 double, w1 double, w2 double, contests long, value double, folds long, place long")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.operators import fitting, overrides, statistics, styles
+from rankweave.operators import fitting, overrides, search, statistics, styles
 from rankweave.operators.history import Feature, Recent, asof_recent, rolling_history
 from rankweave.sources import months
 from rankweave.streaming.incremental import Build, Family
@@ -209,3 +209,13 @@ def test_style_rates_leave_the_row_itself_out(spark):
     last = rows.orderBy(F.desc("nth")).first()
     assert [last[f"entity_{k}"] for k in styles.KINDS] == pytest.approx([0.4, 0.2, 0.2, 0.0, 0.0])
     assert (last["flow_inside"], last["attack_style"]) == pytest.approx((0.4, 0.2))
+
+
+def test_halving_goes_on_with_the_better_half():
+    asked = []
+    found = search.halving(lambda left, fold: asked.append(list(left)) or {k: (10, float(k % 4)) for k in left}, 8, 3)
+    assert asked == [[*range(8)], [3, 7, 2, 6], [3, 7]]
+    assert {k: (n, v, f) for k, n, v, f in found}[7] == (30, 3.0, 3) and {k: f for k, _, _, f in found}[0] == 1
+    trials = search.sampled_trials(64)
+    assert len({*trials}) == 64 and all(min(t) >= 0 and abs(sum(t) - 1) < 1e-9 for t in trials)
+    assert all(any(t[i] > 0.6 for t in trials) for i in range(3))

@@ -1,47 +1,51 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
+"""An interpolated modified Kneser-Ney model of any order, counted in Spark and memory-mapped by the workers.
 
 Tokens are words between ASCII white space with A to Z lower-cased, and one
-end after the last. A text starts behind a begin mark that is never scored.
-
-Counting has two shuffles. A task hashes its words, sorts and counts its pairs
-and sends them on in one block for each hash range; a range merges its blocks,
-writes its sorted pair hashes and counts to the model folder and sends on,
-added up, what each word needs: as the second of a pair its different
-predecessors and its occurrences, as the first its occurrences and how many
-followers it has once, twice and more often. No key travels more than once a
-task, so a word that is a third of all tokens is like any other. The number of
-ranges follows the bytes of the texts, `RANGE_BYTES` for each.
-
-Scoring looks the pairs of a block of texts up in the memory-mapped ranges.
-With discounts D from the counts of counts, c pairs, and w, v words,
-
-    P(w | v) = (c(vw) - D(c)) / c(v.) + g(v) P(w)
-    P(w)     = (t(w) - D'(t)) / T + g' / (V + 1)
-
-where t is the number of different predecessors, T the number of different
-pairs, V that of different tokens, and g, g' give back what was discounted. A
-word never seen has t = 0; behind a word never seen P(w) alone counts. The
-probabilities of the V tokens and of one unknown token add up to 1.
-
-The model folder must be a path that all workers see as a file path, as the
-shared checkpoint folder is. Every range has its files, empty ones too, and a
-worker that doesn't find one raises an error. Null texts are empty: their only
-token is the end. Without training rows every token has probability 1. Equal
-rows count as often as they occur. Columns of df that are named like the new
-ones are replaced; others pass through.
+end after the last. A text starts behind order - 1 begin marks that are never
+scored.
+
+The words are counted first: sorted hashes and counts in shards. A word's
+number is its place in its shard, so n-grams travel as numbers, sorted, as
+differences, compressed. One shuffle for each length follows, from the order
+down to one. A range of n-grams adds up what tasks have counted, writes its
+sorted n-gram hashes and counts to the model folder and sends on, added up,
+what the n-grams one word shorter need: without its first word an n-gram
+counts one for each different word that precedes it (or all occurrences, where
+it starts with a begin mark, which nothing precedes), and without its last
+word it needs the sum of the counts and how many followers have one, two and
+more. No n-gram travels more than once a block of a task, so a word that is a
+third of all tokens is like any other. The number of ranges follows the bytes
+of the texts, `RANGE_BYTES` for each.
+
+Scoring looks the n-grams of a block of texts up in the memory-mapped ranges.
+For a context h, h' without its first word, a(hw) the count above, D the
+discounts from the counts of counts of this length, V different tokens,
+
+    P(w | h) = (a(hw) - D(a)) / a(h.) + g(h) P(w | h')
+    P(w)     = (a(w) - D(a)) / a(.) + g / (V + 1)
+
+and g gives back what was discounted. A word never seen has a = 0; behind a
+context never seen P(w | h') alone counts. The probabilities of the V tokens
+and of one unknown token add up to 1.
+
+The model folder is one that all workers reach (see `shards`). Every range has
+its files, empty ones too, and a worker that doesn't find one raises an error.
+Null texts are empty: their only token is the end. Without training rows every
+token has probability 1. Equal rows count as often as they occur. Columns of
+df that are named like the new ones are replaced; others pass through.
 
 Words are known by 56 bits of a hash: two of V words share one with a
-probability of about V * V / 2**57, one in 10**5 for a million words.
+probability of about V * V / 2**57, one in 10**5 for a million words. Of an
+n-gram's 64 bits a range keeps 32 behind those that its directory tells; with
+some 32 entries a place of the directory one absent n-gram in 10**8 is taken
+for another.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +54,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.scratch import free_name, new_path, text_of
+from rankweave.llm import shards
+from rankweave.llm.scratch import free_name, text_of
 
+ORDER = 3
 WORD_BITS = 56  # hashes of words travel in seven bytes
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0) >> 8)
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"", 1) >> 8)
+UNKNOWN = np.uint64(1 << 63)  # the number of a word that no training text has
 CHUNK = 1 << 21
-RANGE_BYTES = 32 << 20  # of text; a range's pairs take about twice as much in a shuffle
+RANGE_BYTES = 16 << 20  # of text
+CODEC = pa.Codec("zstd", 3)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,10 +82,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = first * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    mixed = (mixed + second) * np.uint64(0xD6E8FEB86659FD93)
+def gram_keys(columns: list[np.ndarray], word_bits: int) -> np.ndarray:
+    """64-bit hashes of n-grams of word numbers; a single word's shard comes first, then its place."""
+    if len(columns) == 1:
+        return (columns[0] << np.uint64(64 - word_bits)) | (columns[0] >> np.uint64(word_bits))
+    mixed = np.full(len(columns[0]), len(columns), np.uint64)
+    for column in columns:
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + column
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
     return mixed ^ (mixed >> np.uint64(32))
 
 
@@ -91,43 +103,114 @@ def _eight(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, rising, with the sums of the values."""
+def _packed(columns: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
+    """Rows sorted by their last words, these as differences; bytes of one weight together, without leading zeros."""
+    near = np.zeros(len(sums[0]), np.uint64)
+    for column in columns:
+        near = (near >> np.uint64(21)) | (column << np.uint64(42))
+    order = np.argsort(near)
+    parts = [np.array([len(order)], "<u8").tobytes()]
+    for j, values in enumerate([*reversed(columns), *sums]):
+        values = values[order].astype(np.int64)
+        if j < min(2, len(columns)):
+            values = np.diff(values, prepend=np.int64(0))
+            values = (values << 1) ^ (values >> 63)
+        planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+        width = max(i + 1 for i in range(8) if i == 0 or planes[i].any())
+        parts += [bytes([width]), planes[:width].tobytes()]
+    plain = b"".join(parts)
+    return len(plain).to_bytes(8, "little") + CODEC.compress(plain, asbytes=True)
+
+
+def _unpacked(data: bytes, length: int, n_sums: int) -> list[np.ndarray]:
+    """Columns and sums that _packed had."""
+    plain = CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n, at, found = int.from_bytes(plain[:8], "little"), 8, []
+    for j in range(length + n_sums):
+        width = plain[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(plain, np.uint8, width * n, at + 1).reshape(width, n).T
+        values = wide.view("<i8").ravel()
+        if j < min(2, length):
+            values = np.cumsum((values >> 1) ^ -(values & 1))
+        found.append(values)
+        at += 1 + width * n
+    return [c.view(np.uint64) for c in reversed(found[:length])] + found[length:]
+
+
+def _added(keys: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys, rising, with their columns and the sums of the values."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return (keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v[order] for v in values))
+    return keys[first], [c[order[first]] for c in columns], [np.add.reduceat(v[order], first) if len(keys) else v[order] for v in sums]
 
 
 def _ranges(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, slice]]:
     """Of rising keys of so many bits the slices by their leading bits."""
-    edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64)[:-1] << np.uint64(width - bits)) if bits else np.array([0])
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits))
     edges = np.r_[edges, len(keys)]
-    for k in range(1 << bits):
-        if edges[k + 1] > edges[k]:
-            yield k, slice(edges[k], edges[k + 1])
-
-
-def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Arrays as name.0.npy and so on; a task that runs again writes the same."""
-    for i, array in enumerate(arrays):
-        part = f"{folder}/{name}.{i}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as file:
-            np.save(file, array)
-        os.replace(part, f"{folder}/{name}.{i}.npy")
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), slice(edges[k], edges[k + 1])
+
+
+def _directory(keys: np.ndarray, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of rising keys of one range: bits of the directory, its edges, and the 32 bits behind them."""
+    wide = max(0, min(len(keys).bit_length() - 5, 32 - bits))
+    places = (keys << np.uint64(bits)) >> np.uint64(32)
+    edges = np.searchsorted(places, np.arange((1 << wide) + 1, dtype=np.uint64) << np.uint64(32 - wide))
+    return wide, edges, ((keys << np.uint64(bits + wide)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _save(folder: str, name: str, keys: np.ndarray, bits: int, numbers: list[np.ndarray]) -> None:
+    """A range: head (directory, and numbers of 255 or more with their places), hashes, numbers in a byte each."""
+    wide, edges, rest = _directory(keys, bits)
+    flat = np.concatenate(numbers)
+    large = np.flatnonzero(flat >= 255)
+    head = np.concatenate([[wide, len(large)], edges, large, flat[large]]).astype(np.int64)
+    shards.save(folder, name, head, rest, np.minimum(flat, 255).astype(np.uint8))
+
+
+def _numbers(folder: str, name: str, keys: np.ndarray, bits: int, columns: int) -> np.ndarray:
+    """Numbers of n-gram hashes that lie in one range; 0 for those that it hasn't."""
+    head, rest, flat = shards.load(folder, name, 3)
+    wide, n_large = int(head[0]), int(head[1])
+    edges = head[2 : 3 + (1 << wide)]
+    large = head[3 + (1 << wide) :][:n_large]
+    values = head[3 + (1 << wide) + n_large :]
+    place = ((keys << np.uint64(bits)) >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(keys), np.int64)
+    want = ((keys << np.uint64(bits + wide)) >> np.uint64(32)).astype(np.uint32)
+    low, end = edges[place], edges[place + 1]
+    high = end.copy()
+    out = np.zeros((columns, len(keys)), np.int64)
+    if not len(rest):
+        return out
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (rest[np.minimum(middle, len(rest) - 1)] < want)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    hit = np.flatnonzero((low < end) & (rest[np.minimum(low, len(rest) - 1)] == want))
+    for c in range(columns):
+        at = low[hit] + c * len(rest)
+        n = flat[at].astype(np.int64)
+        over = np.flatnonzero(n == 255)
+        if len(over):
+            n[over] = values[np.searchsorted(large, at[over])]
+        out[c, hit] = n
+    return out
 
 
 @dataclass
 class Model:
     folder: str
-    pair_bits: int
+    order: int
+    bits: int  # leading ones that tell the range of an n-gram
     word_bits: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]  # by length
     pair_types: int
     train_tokens: int
     vocabulary: int
-    left_over: float  # the share that the unigram level gives to the uniform one
+    left_over: float  # the share that single words give to the uniform level
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -139,172 +222,222 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def _folder(spark, model_dir: str | None) -> str:
-    path = model_dir or new_path(spark, "language-model")
-    parsed = urlparse(path)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError(f"workers map the model into memory: give model_dir as a mounted path that all of them share, not {path}")
-    os.makedirs(parsed.path, exist_ok=True)
-    return parsed.path
+def word_numbers(folder: str, word_bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and occurrences of words: UNKNOWN and 0 where no training text has them."""
+    words, back = np.unique(hashes, return_inverse=True)
+    numbers, seen = np.full(len(words), UNKNOWN), np.zeros(len(words), np.int64)
+    for part, s in _ranges(words, word_bits, WORD_BITS):
+        stored, n = shards.load(folder, f"words-{part}", 2)
+        if len(stored):
+            at = np.minimum(np.searchsorted(stored, words[s]), len(stored) - 1)
+            hit = stored[at] == words[s]
+            numbers[s][hit] = (at[hit].astype(np.uint64) << np.uint64(word_bits)) | np.uint64(part)
+            seen[s][hit] = n[at[hit]]
+    return numbers[back], seen[back]
+
+
+def _gram_columns(numbers: np.ndarray, sizes: np.ndarray, begin: np.uint64, order: int) -> list[np.ndarray]:
+    """For every token of texts of these sizes the words before it, farthest first, and its own."""
+    padded = np.full(len(numbers) + (order - 1) * len(sizes), begin)
+    at = np.arange(len(numbers)) + (order - 1) * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = numbers
+    return [padded[at - back] for back in range(order - 1, -1, -1)]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Word hashes of texts in lists of about so many tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(word_hashes(text.as_py()))
+            size += len(held[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _count_words(texts: DataFrame, folder: str, word_bits: int) -> tuple[int, int]:
+    """Write the words; number of tokens and of different ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) >> np.uint64(8)
+            hashes, n = np.r_[hashes, END], np.r_[np.fromiter(found.values(), np.int64, len(found)), ends]
+            hashes, _, (n,) = _added(hashes, [], [n])
+            rows = [(k, _seven(hashes[s]), n[s].astype("<u8").tobytes()) for k, s in _ranges(hashes, word_bits, WORD_BITS)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "words", "n"])
+
+        found, ends, size = Counter(), 0, 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                found.update(words)
+                ends += 1
+                size += len(words)
+                if size >= CHUNK:
+                    yield block()
+                    found, ends, size = Counter(), 0, 0
+        if ends:
+            yield block()
+
+    def store(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        hashes = np.concatenate([_eight(b.as_py()) for b in table.column("words")])
+        n = np.concatenate([np.frombuffer(b.as_py(), "<u8").astype(np.int64) for b in table.column("n")])
+        hashes, _, (n,) = _added(hashes, [], [n])
+        shards.save(folder, f"words-{part}", hashes, n)
+        return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "types": pa.array([int((n > 0).sum())], pa.int64())})
+
+    # an empty block for every shard, so that each one writes its file; the begin mark is a word that never occurs
+    spark = texts.sparkSession
+    own = F.col("id") == (int(BEGIN) >> (WORD_BITS - word_bits))
+    empty = spark.range(1 << word_bits).select(F.col("id").cast("int").alias("part"), F.when(own, F.lit(_seven(np.array([BEGIN])))).otherwise(F.lit(b"")).alias("words"), F.when(own, F.lit(bytes(8))).otherwise(F.lit(b"")).alias("n"))
+    counted = texts.mapInArrow(count, "part int, words binary, n binary").unionByName(empty)
+    facts = counted.repartitionById(1 << word_bits, F.col("part")).groupBy("part").applyInArrow(store, "tokens long, types long")
+    return facts.agg(F.sum("tokens"), F.sum("types")).head()
+
+
+#: kind 0: n-grams with their counts; 1: contexts with four sums; 2: counts of counts by length, on their way to the driver
+BLOCKS = "part int, kind int, data binary"
+SUMS = {0: 1, 1: 4}
+
 
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
-def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, range_bytes: int = RANGE_BYTES) -> Model:
-    """Count all texts of df, which are read twice: for their bytes and for their pairs."""
-    folder = _folder(df.sparkSession, model_dir)
+
+def _blocks(kind: int, keys: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], bits: int) -> list[tuple[int, int, bytes]]:
+    return [(k, kind, _packed([c[s] for c in columns], [v[s] for v in sums])) for k, s in _ranges(keys, bits, 64)]
+
+
+def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, range_bytes: int = RANGE_BYTES, order: int = ORDER) -> Model:
+    """Count all texts of df, which are read three times: for their bytes, their words and their n-grams of this order, 2 at least."""
+    if order < 2:
+        raise ValueError(f"order must be 2 at least, not {order}")
+    spark = df.sparkSession
+    folder = shards.new_folder(spark, "language-model", model_dir)
     texts = df.select(text_of(text_col).alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = max(3, (n_bytes // range_bytes).bit_length())
-    word_bits = max(3, bits - 2)
+    word_bits = max(3, bits - 3)
+    train_tokens, vocabulary = _count_words(texts, folder, word_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def blocks() -> pa.RecordBatch:
-            second = np.concatenate(held)
-            first = np.empty_like(second)
-            first[1:] = second[:-1]
-            ends = np.cumsum([len(h) for h in held])
-            first[np.r_[0, ends[:-1]]] = BEGIN
-            keys, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
-            first, second, n = first[at], second[at], n.astype("<u4")
-            rows = [(k, _seven(first[s]), _seven(second[s]), n[s].tobytes()) for k, s in _ranges(keys, bits, 64)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "first", "second", "n"])
-
+        begin = word_numbers(folder, word_bits, np.array([BEGIN]))[0][0]
+        for held in _texts(batches, CHUNK):
+            columns = _gram_columns(word_numbers(folder, word_bits, np.concatenate(held))[0], np.array([len(h) for h in held]), begin, order)
+            keys, columns, n = _added(gram_keys(columns, word_bits), columns, [np.ones(len(columns[0]), np.int64)])
+            yield from _table(_blocks(0, keys, columns, n, bits)).to_batches()
+
+    def merge(length: int):
+        below = bits if length > 2 else word_bits
+
+        def run(table: pa.Table) -> pa.Table:
+            part = table.column("part")[0].as_py()
+            facts = np.zeros((order + 1, 6), np.int64)
+            read = {0: [], 1: []}
+            for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
+                if kind == 2:
+                    facts += np.frombuffer(data.as_py(), "<i8").reshape(order + 1, 6)
+                elif len(data.as_py()):
+                    read[kind].append(_unpacked(data.as_py(), length, SUMS[kind]))
+            kinds = {}
+            for kind, blocks in read.items():
+                wide = [np.concatenate(c) for c in zip(*blocks, strict=True)] or [np.empty(0, np.uint64)] * length + [np.empty(0, np.int64)] * SUMS[kind]
+                blocks.clear()
+                kinds[kind] = _added(gram_keys(wide[:length], word_bits), wide[:length], wide[length:])
+            keys, columns, (n,) = kinds[0]
+            facts[length] = [*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()]
+            contexts = kinds[1]
+            if length == 1:
+                # a word's numbers lie where its hash lies
+                size = len(shards.load(folder, f"words-{part}", 2)[0])
+                numbers = np.zeros((5, size), np.int64)
+                numbers[0, (columns[0] >> np.uint64(word_bits)).astype(np.int64)] = n
+                numbers[1:, (contexts[1][0] >> np.uint64(word_bits)).astype(np.int64)] = contexts[2]
+                shards.save(folder, f"1-{part}", numbers)
+                return _table([(part, 2, facts.tobytes())])
+            if length == order:
+                _save(folder, f"{length}-{part}", keys, bits, [n])
+            else:
+                every = np.union1d(keys, contexts[0])
+                numbers = np.zeros((5, len(every)), np.int64)
+                numbers[0, np.searchsorted(every, keys)] = n
+                numbers[1:, np.searchsorted(every, contexts[0])] = contexts[2]
+                _save(folder, f"{length}-{part}", every, bits, list(numbers))
+            begin = word_numbers(folder, word_bits, np.array([BEGIN]))[0][0]
+            suffix, prefix = columns[1:], columns[:-1]
+            once, twice = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
+            rows = _blocks(0, *_added(gram_keys(suffix, word_bits), suffix, [np.where(suffix[0] == begin, n, 1)]), below)
+            rows += _blocks(1, *_added(gram_keys(prefix, word_bits), prefix, [n, once, twice, 1 - once - twice]), below)
+            return _table([*rows, (part & ((1 << below) - 1), 2, facts.tobytes())])
+
+        return run
+
+    rows = texts.mapInArrow(count, BLOCKS)
+    for length in range(order, 0, -1):
+        parts = 1 << (bits if length > 1 else word_bits)
+        # an empty block for every range, so that each one writes its files; a range is a partition
+        empty = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(b"").alias("data"))
+        rows = rows.unionByName(empty).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(merge(length), BLOCKS)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                held.append(word_hashes(text.as_py()))
-                size += len(held[-1])
-                if size >= 2 * CHUNK:
-                    yield blocks()
-                    held, size = [], 0
-        if held:
-            yield blocks()
+            facts = sum(np.frombuffer(b.as_py(), "<i8").reshape(order + 1, 6) for b in batch.column("data")) + np.zeros((order + 1, 6), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(order + 1), pa.int32()), *(pa.array(c, pa.int64()) for c in facts.T)], names=["length", *(f"f{i}" for i in range(6))])
 
-    def merge(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        first, second = (np.concatenate([_eight(b.as_py()) for b in table.column(c)]) for c in ("first", "second"))
-        n = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column("n")]).astype(np.int64)
-        keys = pair_keys(first, second)
-        order = np.argsort(keys)
-        keys = keys[order]
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        n, first, second, keys = np.add.reduceat(n[order], at) if len(at) else n, first[order[at]], second[order[at]], keys[at]
-        large = np.flatnonzero(n >= 255)
-        _save(folder, f"pair-{part}", keys, np.minimum(n, 255).astype(np.uint8), large, n[large])
-        once, twice = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
-        rows = []
-        for side, (words, *sums) in enumerate((_sum_by(second, np.ones_like(n), n), _sum_by(first, n, once, twice, 1 - once - twice))):
-            for k, s in _ranges(words, word_bits, WORD_BITS):
-                rows.append((2 * k + side, _seven(words[s]), np.stack([v[s] for v in sums]).astype("<u8").tobytes()))
-        of_counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<u8")
-        rows.append(((2 << word_bits) + (part >> 8), b"", of_counts.tobytes()))
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["place", "words", "sums"])
-
-    def store(table: pa.Table) -> pa.Table:
-        place = table.column("place")[0].as_py()
-        part, side = divmod(place, 2) if place < 2 << word_bits else (0, 2)
-        facts = np.zeros(7, np.int64)
-        if side == 2:
-            facts[:4] = sum(np.frombuffer(b.as_py(), "<u8").astype(np.int64) for b in table.column("sums"))
-        else:
-            words = [_eight(b.as_py()) for b in table.column("words")]
-            wide = [np.frombuffer(b.as_py(), "<u8").astype(np.int64).reshape(2 if side == 0 else 4, len(w)) for b, w in zip(table.column("sums"), words, strict=True)]
-            keys, *sums = _sum_by(np.concatenate(words), *np.concatenate(wide, axis=1))
-            _save(folder, f"{'second' if side == 0 else 'first'}-{part}", keys, np.stack(sums))
-            if side == 0:
-                types, occurrences = sums
-                facts[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), len(keys), types.sum(), occurrences.sum()]
-        return pa.Table.from_arrays([pa.array([side], pa.int32()), *(pa.array([int(f)], pa.int64()) for f in facts)], names=["side", *(f"f{i}" for i in range(7))])
-
-    # an empty block for every range, so that each one writes its files; a range is a partition
-    spark, nothing = df.sparkSession, F.lit(b"")
-    no_pairs = spark.range(1 << bits).select(F.col("id").cast("int").alias("part"), *(nothing.alias(c) for c in ("first", "second", "n")))
-    no_words = spark.range(2 << word_bits).select(F.col("id").cast("int").alias("place"), nothing.alias("words"), nothing.alias("sums"))
-    counted = texts.mapInArrow(count, "part int, first binary, second binary, n binary").unionByName(no_pairs)
-    sums = counted.repartitionById(1 << bits, F.col("part")).groupBy("part").applyInArrow(merge, "place int, words binary, sums binary").unionByName(no_words)
-    facts = sums.repartitionById(2 << word_bits, F.col("place")).groupBy("place").applyInArrow(store, "side int, " + ", ".join(f"f{i} long" for i in range(7)))
-    total = {r["side"]: [r[f"f{i}"] for i in range(7)] for r in facts.groupBy("side").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(7))).collect()}
-    pairs, words = total.get(2, [0] * 7), total.get(0, [0] * 7)
-    d = discounts(*words[:4])
-    rest = words[4] - words[0] - words[1]
-    left_over = (d[0] * words[0] + d[1] * words[1] + d[2] * rest) / words[5] if words[5] else 1.0
-    return Model(folder, bits, word_bits, discounts(*pairs[:4]), d, words[5], words[6], words[4], left_over)
-
-
-@lru_cache(maxsize=4096)
-def _mapped(folder: str, name: str, parts: int) -> list[np.ndarray]:
-    try:
-        return [_open(f"{folder}/{name}.{i}.npy") for i in range(parts)]
-    except FileNotFoundError as e:
-        raise FileNotFoundError(f"{e.filename} of the language model is not here: every worker must see the model folder as {folder}") from e
-
-
-def _open(path: str) -> np.ndarray:
-    array = np.load(path, mmap_mode="r")
-    return array if array.size else np.array(array)
-
-
-def _find(stored: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(stored, keys)
-    if not len(stored):
-        return at, np.zeros(len(keys), bool)
-    at[at == len(stored)] = 0
-    return at, stored[at] == keys
+    facts = rows.mapInArrow(opened, "length int, " + ", ".join(f"f{i} long" for i in range(6)))
+    total = {r["length"]: r[1:] for r in facts.groupBy("length").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(6))).collect()}
+    d = {k: discounts(*total[k][:4]) for k in range(1, order + 1)}
+    n1, n2, _, _, types, pair_types = total[1]
+    left_over = (d[1][0] * n1 + d[1][1] * n2 + d[1][2] * (types - n1 - n2)) / pair_types if pair_types else 1.0
+    return Model(folder, order, bits, word_bits, d, pair_types, train_tokens, vocabulary, left_over)
 
 
 class Scorer:
-    """Looks words and pairs up in the mapped ranges of a model."""
+    """Looks words and n-grams up in the mapped ranges of a model."""
 
     def __init__(self, model: Model):
         self.model = model
-
-    def words(self, kind: str, keys: np.ndarray, columns: int) -> np.ndarray:
-        """Sums of rising word hashes, 0 for words not seen."""
-        out = np.zeros((columns, len(keys)), np.int64)
-        for part, s in _ranges(keys, self.model.word_bits, WORD_BITS):
-            stored = _mapped(self.model.folder, f"{kind}-{part}", 2)
-            at, hit = _find(stored[0], keys[s])
-            out[:, s][:, hit] = stored[1][:, at[hit]]
-        return out
-
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of rising pair keys."""
-        out = np.zeros(len(keys), np.int64)
-        for part, s in _ranges(keys, self.model.pair_bits, 64):
-            stored = _mapped(self.model.folder, f"pair-{part}", 4)
-            at, hit = _find(stored[0], keys[s])
-            n = np.zeros(len(at), np.int64)
-            n[hit] = stored[1][at[hit]]
-            over = np.flatnonzero(n == 255)
-            if len(over):
-                n[over] = stored[3][np.searchsorted(stored[2], at[over])]
-            out[s] = n
-        return out
+        self.begin = word_numbers(model.folder, model.word_bits, np.array([BEGIN]))[0][0]
+
+    def grams(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of n-grams the count and, shorter than the order, what they are as contexts: sum, and followers with one, two and more."""
+        m, length = self.model, len(columns)
+        keys, back = np.unique(gram_keys(columns, m.word_bits), return_inverse=True)
+        out = np.zeros((1 if length == m.order else 5, len(keys)), np.int64)
+        if length == 1:
+            numbers = (keys << np.uint64(m.word_bits)) | (keys >> np.uint64(64 - m.word_bits))
+            for part, s in _ranges(keys, m.word_bits, 64):
+                (stored,) = shards.load(m.folder, f"1-{part}", 1)
+                at = np.flatnonzero(numbers[s] != UNKNOWN)
+                out[:, s][:, at] = stored[:, (numbers[s][at] >> np.uint64(m.word_bits)).astype(np.int64)]
+        else:
+            for part, s in _ranges(keys, m.bits, 64):
+                out[:, s] = _numbers(m.folder, f"{length}-{part}", keys[s], m.bits, len(out))
+        return out[:, back]
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For texts as word hashes: tokens, known tokens, base score and score."""
         m = self.model
-        second = np.concatenate(texts)
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes) - sizes
-        first = np.empty_like(second)
-        first[1:] = second[:-1]
-        first[starts] = BEGIN
-        words, of_second = np.unique(second, return_inverse=True)
-        types, seen = self.words("second", words, 2)
-        befores, of_first = np.unique(first, return_inverse=True)
-        context, once, twice, often = self.words("first", befores, 4)
-        keys, of_pair = np.unique(pair_keys(first, second), return_inverse=True)
-        n = self.pairs(keys)
-        base = np.log10((seen + 1.0) / (m.train_tokens + m.vocabulary + 1.0))[of_second]
-        lower = (types - self._discount(types, m.word_discounts)) / max(m.pair_types, 1) + m.left_over / (m.vocabulary + 1.0)
-        d = m.pair_discounts
-        back = np.where(context > 0, (d[0] * once + d[1] * twice + d[2] * often) / np.maximum(context, 1), 1.0)
-        upper = (n - self._discount(n, d))[of_pair] / np.maximum(context, 1)[of_first]
-        score = np.log10(upper + back[of_first] * lower[of_second])
-        known = (seen > 0)[of_second].astype(np.int64)
-        return sizes, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)
+        numbers, seen = word_numbers(m.folder, m.word_bits, np.concatenate(texts))
+        columns = _gram_columns(numbers, sizes, self.begin, m.order)
+        base = np.log10((seen + 1.0) / (m.train_tokens + m.vocabulary + 1.0))
+        types = self.grams(columns[-1:])[0]
+        p = (types - self._discount(types, m.discounts[1])) / max(m.pair_types, 1) + m.left_over / (m.vocabulary + 1.0)
+        for length in range(2, m.order + 1):
+            d = m.discounts[length]
+            n = self.grams(columns[-length:])[0]
+            _, total, once, twice, often = self.grams(columns[-length:-1])
+            whole = np.maximum(total, 1)
+            back = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * often) / whole, 1.0)
+            p = (n - self._discount(n, d)) / whole + back * p
+        known = (seen > 0).astype(np.int64)
+        return sizes, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
     @staticmethod
     def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -325,7 +458,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for row in range(batch.num_rows):
                 held.append(word_hashes(batch.column(at)[row].as_py()))
                 size += len(held[-1])
-                if size >= CHUNK or row == batch.num_rows - 1:
+                if size >= CHUNK // 2 or row == batch.num_rows - 1:
                     part = batch.slice(start, len(held))
                     n, known, base, own = scorer.score(held)
                     columns = [part.column(i) for i in range(part.num_columns) if i != at]

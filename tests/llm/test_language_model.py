@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from rankweave.llm import language_model as lm
+from rankweave.llm import shards
 
 TEXTS = ["the cat sat on the mat", "The cat\x0bsat", "a b a b a b c", None, "", "the\xa0cat \x1c sat", "É é the"] + [f"w{i % 7} w{i % 5} the cat w{i % 3}" for i in range(60)]
 
@@ -18,48 +20,84 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + [None]
 
 
-def brute(train):
-    pairs, counts = Counter(), Counter()
+def brute(train, order):
+    """The textbook recursion over dictionaries of all n-grams of each length."""
+    counts, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
         w = words(t)
         counts.update(w)
-        pairs.update(zip(["\0begin", *w], w))
-    types, context = Counter(b for _, b in pairs), defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), n in pairs.items():
-        context[a][0] += n
-        context[a][min(n, 3)] += 1
-    of = lambda x: lm.discounts(*(sum(v == k for v in x.values()) for k in (1, 2, 3, 4)))
-    d, e, total, v = of(pairs), of(types), len(pairs), len(counts)
-    cut = lambda n, by: by[min(n, 3) - 1] if n else 0.0
-    left = sum(cut(n, e) for n in types.values()) / total
-
-    def p(b, a):
-        low = (types[b] - cut(types[b], e)) / total + left / (v + 1)
-        if a not in context:
-            return low
-        c, *ns = context[a]
-        return (pairs[a, b] - cut(pairs[a, b], d)) / c + sum(x * n for x, n in zip(d, ns, strict=True)) / c * low
+        line = ["\0begin"] * (order - 1) + w
+        grams[order].update(tuple(line[i : i + order]) for i in range(len(w)))
+    for k in range(order - 1, 0, -1):
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if g[1] == "\0begin" else 1
+    d = {k: lm.discounts(*(sum(n == i for n in grams[k].values()) for i in (1, 2, 3, 4))) for k in grams}
+    sums, given_back = defaultdict(int), defaultdict(float)
+    for k in grams:
+        for g, n in grams[k].items():
+            sums[k, g[:-1]] += n
+            given_back[k, g[:-1]] += d[k][min(n, 3) - 1]
+
+    def p(*gram):
+        k = len(gram)
+        lower = p(*gram[1:]) if k > 1 else 1 / (len(counts) + 1)
+        total = sums.get((k, gram[:-1]), 0)
+        if not total:
+            return lower
+        n = grams[k].get(gram, 0)
+        return (n - (d[k][min(n, 3) - 1] if n else 0)) / total + given_back[k, gram[:-1]] / total * lower
 
     return p, counts
 
 
-def test_scores_are_those_of_the_dictionaries(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_are_those_of_the_dictionaries(spark, order):
     train = spark.createDataFrame([(t,) for t in TEXTS[:50]], "text string").repartition(3)
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(None, "zzz the yyy", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(2)
-    model = lm.fit(train)
-    p, counts = brute(TEXTS[:50])
+    model = lm.fit(train, order=order)
+    p, counts = brute(TEXTS[:50], order)
     n, v = sum(counts.values()), len(counts)
     assert (model.train_tokens, model.vocabulary) == (n, v)
     found = {r["doc_id"]: r for r in lm.score(df, model).collect()}
     for i, t, _ in rows:
         w = words(t)
+        line = ["\0begin"] * (order - 1) + w
         assert found[i]["n_tokens"] == len(w)
         assert found[i]["n_known"] == sum(counts[x] > 0 for x in w)
-        assert found[i]["score"] == pytest.approx(sum(math.log10(p(b, a)) for a, b in zip(["\0begin", *w], w)), rel=1e-12)
+        assert found[i]["score"] == pytest.approx(sum(math.log10(p(*line[j : j + order])) for j in range(len(w))), rel=1e-12)
         assert found[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w), rel=1e-12)
     for a in ("the", "\0begin", "never seen"):
-        assert sum(p(b, a) for b in [*counts, "\0unknown"]) == pytest.approx(1)
+        context = ["\0begin"] * (order - 2) + [a]
+        assert sum(p(*context, b) for b in [*counts, "\0unknown"]) == pytest.approx(1)
+
+
+def test_an_order_below_two_is_refused(spark):
+    with pytest.raises(ValueError, match="order"):
+        lm.fit(spark.createDataFrame([], "text string"), order=1)
+
+
+def test_longer_contexts_fit_training_text_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen = [lm.score(docs, lm.fit(docs, order=order)).agg({"score": "sum"}).head()[0] for order in (2, 3)]
+    assert seen[1] > seen[0]
+
+
+def test_packed_blocks_come_back_whole():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 3, 4):
+        columns = [rng.integers(0, 1 << 62, 500).astype(np.uint64) for _ in range(k)]
+        sums = [rng.integers(0, 1 << 40, 500), np.zeros(500, np.int64)]
+        found = lm._unpacked(lm._packed(columns, sums), k, 2)
+        assert sorted(zip(*(c.tolist() for c in found), strict=True)) == sorted(zip(*(c.tolist() for c in [*columns, *sums]), strict=True))
+
+
+def test_numbers_of_a_range(tmp_path):
+    keys = np.unique(np.random.default_rng(6).integers(0, 1 << 61, 5000).astype(np.uint64)) | np.uint64(5 << 61)
+    numbers = [np.arange(len(keys)), np.full(len(keys), 7)]
+    lm._save(str(tmp_path), "r", keys, 3, numbers)
+    assert (lm._numbers(str(tmp_path), "r", keys, 3, 2) == np.stack(numbers)).all()
+    assert not lm._numbers(str(tmp_path), "r", keys ^ np.uint64(1 << 33), 3, 2).any()
 
 
 def test_nothing_to_learn_from(spark):
@@ -71,14 +109,14 @@ def test_nothing_to_learn_from(spark):
 
 def test_counts_over_255_are_whole(spark):
     model = lm.fit(spark.createDataFrame([("x " * 700,)], "text string"))
-    scorer = lm.Scorer(model)
-    h = lm.word_hashes("x x")
-    assert scorer.pairs(lm.pair_keys(h[:1], h[1:2])).tolist() == [699]
+    numbers, _ = lm.word_numbers(model.folder, model.word_bits, lm.word_hashes("x x x"))
+    assert lm.Scorer(model).grams([numbers[:1], numbers[1:2], numbers[2:3]]).tolist() == [[698]]
 
 
-def test_a_folder_that_cannot_be_mapped_is_refused(spark):
-    with pytest.raises(ValueError, match="mounted path"):
-        lm.fit(spark.createDataFrame([("a",)], "text string"), model_dir="hdfs://somewhere/model")
+def test_the_model_folder_may_be_a_uri(spark, tmp_path):
+    model = lm.fit(spark.createDataFrame([("a",)], "text string"), model_dir=f"file://{tmp_path}/model")
+    assert os.path.exists(f"{tmp_path}/model/1-0.0.npy")
+    assert lm.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).head()["n_known"] == 2
 
 
 def test_the_base_of_a_literal_table(spark):
@@ -94,19 +132,21 @@ def test_an_absent_range_is_an_error(spark):
     model = lm.fit(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
     df = spark.createDataFrame([(1, "the cat sat")], "doc_id long, text string")
     assert lm.score(df, model).count() == 1
-    lm._mapped.cache_clear()
-    with pytest.raises(Exception, match="is not here"):
-        lm.Scorer(replace(model, folder="/nonexistent")).score([lm.word_hashes("a")])
-    for k in range(1 << model.pair_bits):
-        os.rename(f"{model.folder}/pair-{k}.0.npy", f"{model.folder}/pair-{k}.gone")
-    with pytest.raises(Exception, match="is not here"):
+    with pytest.raises(FileNotFoundError, match="is not here"):
+        lm.Scorer(replace(model, folder="/nonexistent"))
+    path = model.folder.removeprefix("file://")
+    for name in os.listdir(path):
+        if name.startswith("3-"):
+            os.rename(f"{path}/{name}", f"{path}/gone-{name}")
+    shards.load.cache_clear()
+    with pytest.raises(FileNotFoundError, match="is not here"):
         lm.Scorer(model).score([lm.word_hashes("the cat")])
 
 
 def test_the_number_of_ranges_changes_nothing(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     few, many = (lm.fit(df, range_bytes=b) for b in (1 << 20, 40))
-    assert many.pair_bits > few.pair_bits
+    assert many.bits > few.bits
     rows = [sorted(map(tuple, lm.score(df, m).collect())) for m in (few, many)]
     assert [r[0] for r in rows[0]] == [r[0] for r in rows[1]]
     assert all(a[1:] == pytest.approx(b[1:]) for a, b in zip(*rows, strict=True))

@@ -1,21 +1,24 @@
-"""An interpolated modified Kneser-Ney model of any order, counted in Spark and memory-mapped by the workers.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by the workers.
 
 Tokens are words between ASCII white space with A to Z lower-cased, and one
 end after the last. A text starts behind order - 1 begin marks that are never
 scored.
 
 The words are counted first: sorted hashes and counts in shards. A word's
-number is its place in its shard, so n-grams travel as numbers, sorted, as
-differences, compressed. One shuffle for each length follows, from the order
-down to one. A range of n-grams adds up what tasks have counted, writes its
-sorted n-gram hashes and counts to the model folder and sends on, added up,
-what the n-grams one word shorter need: without its first word an n-gram
-counts one for each different word that precedes it (or all occurrences, where
-it starts with a begin mark, which nothing precedes), and without its last
-word it needs the sum of the counts and how many followers have one, two and
-more. No n-gram travels more than once a block of a task, so a word that is a
-third of all tokens is like any other. The number of ranges follows the bytes
-of the texts, `RANGE_BYTES` for each.
+number is its rank by count in its shard, so n-grams travel as small numbers,
+sorted, as differences, compressed. Two shuffles follow. The first deals
+n-grams by their last two words: a range adds up what tasks have counted and
+has all that ends in its pairs, so it knows the count of each pair, which is
+the number of different words before it (or all its occurrences behind a begin
+mark, which nothing precedes). It writes sorted hashes and counts of n-grams
+and pairs to the model folder. The second brings each pair and each word what
+it needs as a context, the sum of the counts behind it and how many followers
+have one, two and more, and each word the number of different words before
+it. No n-gram travels more than once a block of a task, so a word or pair that
+is a third of all tokens is like any other, and what ends in one pair is at
+most one n-gram a different word. The number of ranges follows the bytes of
+the texts, `RANGE_BYTES` for each. Longer n-grams would need one more deal a
+length and are refused.
 
 Scoring looks the n-grams of a block of texts up in the memory-mapped ranges.
 For a context h, h' without its first word, a(hw) the count above, D the
@@ -82,15 +85,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def gram_keys(columns: list[np.ndarray], word_bits: int) -> np.ndarray:
-    """64-bit hashes of n-grams of word numbers; a single word's shard comes first, then its place."""
-    if len(columns) == 1:
-        return (columns[0] << np.uint64(64 - word_bits)) | (columns[0] >> np.uint64(word_bits))
+def gram_keys(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """64-bit hashes of n-grams of word numbers, two words at least; so many leading bits are of the last two words."""
     mixed = np.full(len(columns[0]), len(columns), np.uint64)
     for column in columns:
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + column
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ (mixed >> np.uint64(32))
+    mixed ^= mixed >> np.uint64(32)
+    if len(columns) == 2:
+        return mixed
+    below = np.uint64(64 - bits)
+    return (gram_keys(columns[-2:], bits) >> below << below) | (mixed >> np.uint64(bits))
 
 
 def _seven(hashes: np.ndarray) -> bytes:
@@ -154,50 +159,47 @@ def _ranges(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, slic
         yield int(k), slice(edges[k], edges[k + 1])
 
 
-def _directory(keys: np.ndarray, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Of rising keys of one range: bits of the directory, its edges, and the 32 bits behind them."""
+def _save_keys(folder: str, name: str, keys: np.ndarray, bits: int) -> None:
+    """Of rising keys of one range the edges of a directory and the 32 bits behind it."""
     wide = max(0, min(len(keys).bit_length() - 5, 32 - bits))
     places = (keys << np.uint64(bits)) >> np.uint64(32)
     edges = np.searchsorted(places, np.arange((1 << wide) + 1, dtype=np.uint64) << np.uint64(32 - wide))
-    return wide, edges, ((keys << np.uint64(bits + wide)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _save(folder: str, name: str, keys: np.ndarray, bits: int, numbers: list[np.ndarray]) -> None:
-    """A range: head (directory, and numbers of 255 or more with their places), hashes, numbers in a byte each."""
-    wide, edges, rest = _directory(keys, bits)
-    flat = np.concatenate(numbers)
-    large = np.flatnonzero(flat >= 255)
-    head = np.concatenate([[wide, len(large)], edges, large, flat[large]]).astype(np.int64)
-    shards.save(folder, name, head, rest, np.minimum(flat, 255).astype(np.uint8))
+    shards.save(folder, name, edges.astype(np.int64), ((keys << np.uint64(bits + wide)) >> np.uint64(32)).astype(np.uint32))
 
 
-def _numbers(folder: str, name: str, keys: np.ndarray, bits: int, columns: int) -> np.ndarray:
-    """Numbers of n-gram hashes that lie in one range; 0 for those that it hasn't."""
-    head, rest, flat = shards.load(folder, name, 3)
-    wide, n_large = int(head[0]), int(head[1])
-    edges = head[2 : 3 + (1 << wide)]
-    large = head[3 + (1 << wide) :][:n_large]
-    values = head[3 + (1 << wide) + n_large :]
+def _find(folder: str, name: str, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which of the keys the range has, where, and how many it has."""
+    edges, rest = shards.load(folder, name, 2)
+    if not len(rest):
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    wide = (len(edges) - 1).bit_length() - 1
     place = ((keys << np.uint64(bits)) >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(keys), np.int64)
     want = ((keys << np.uint64(bits + wide)) >> np.uint64(32)).astype(np.uint32)
-    low, end = edges[place], edges[place + 1]
-    high = end.copy()
-    out = np.zeros((columns, len(keys)), np.int64)
-    if not len(rest):
-        return out
+    low, end = np.asarray(edges)[place], np.asarray(edges)[place + 1]
+    high = end
     for _ in range(int((high - low).max(initial=0)).bit_length()):
         middle = (low + high) >> 1
         less = (low < high) & (rest[np.minimum(middle, len(rest) - 1)] < want)
         low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
     hit = np.flatnonzero((low < end) & (rest[np.minimum(low, len(rest) - 1)] == want))
-    for c in range(columns):
-        at = low[hit] + c * len(rest)
-        n = flat[at].astype(np.int64)
-        over = np.flatnonzero(n == 255)
-        if len(over):
-            n[over] = values[np.searchsorted(large, at[over])]
-        out[c, hit] = n
-    return out
+    return hit, low[hit], len(rest)
+
+
+def _save_numbers(folder: str, name: str, numbers: np.ndarray) -> None:
+    """Numbers in a byte each; those of 255 or more with their places besides."""
+    flat = numbers.ravel()
+    large = np.flatnonzero(flat >= 255)
+    shards.save(folder, name, np.stack([large, flat[large]]).astype(np.int64), np.minimum(flat, 255).astype(np.uint8))
+
+
+def _numbers(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    """The saved numbers at these places."""
+    large, flat = shards.load(folder, name, 2)
+    n = flat[at].astype(np.int64)
+    over = np.flatnonzero(n == 255)
+    if len(over):
+        n[over] = large[1][np.searchsorted(large[0], at[over])]
+    return n
 
 
 @dataclass
@@ -222,26 +224,31 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def word_numbers(folder: str, word_bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and occurrences of words: UNKNOWN and 0 where no training text has them."""
-    words, back = np.unique(hashes, return_inverse=True)
-    numbers, seen = np.full(len(words), UNKNOWN), np.zeros(len(words), np.int64)
+def _known(folder: str, word_bits: int, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rising word hashes by shards: the shard, which are in it, their occurrences and their ranks."""
     for part, s in _ranges(words, word_bits, WORD_BITS):
-        stored, n = shards.load(folder, f"words-{part}", 2)
+        stored, n, ranks = shards.load(folder, f"words-{part}", 3)
         if len(stored):
             at = np.minimum(np.searchsorted(stored, words[s]), len(stored) - 1)
-            hit = stored[at] == words[s]
-            numbers[s][hit] = (at[hit].astype(np.uint64) << np.uint64(word_bits)) | np.uint64(part)
-            seen[s][hit] = n[at[hit]]
-    return numbers[back], seen[back]
+            hit = np.flatnonzero(stored[at] == words[s])
+            yield part, hit + s.start, n[at[hit]], ranks[at[hit]].astype(np.uint64)
+
+
+def word_numbers(folder: str, word_bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of words, UNKNOWN where no training text has them."""
+    words, back = np.unique(hashes, return_inverse=True)
+    numbers = np.full(len(words), UNKNOWN)
+    for part, hit, _, ranks in _known(folder, word_bits, words):
+        numbers[hit] = (ranks << np.uint64(word_bits)) | np.uint64(part)
+    return numbers[back]
 
 
-def _gram_columns(numbers: np.ndarray, sizes: np.ndarray, begin: np.uint64, order: int) -> list[np.ndarray]:
-    """For every token of texts of these sizes the words before it, farthest first, and its own."""
-    padded = np.full(len(numbers) + (order - 1) * len(sizes), begin)
-    at = np.arange(len(numbers)) + (order - 1) * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    padded[at] = numbers
-    return [padded[at - back] for back in range(order - 1, -1, -1)]
+def _padded(values: np.ndarray, sizes: np.ndarray, begin: int, marks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of these sizes, each behind so many begin marks, and where their tokens are."""
+    at = np.arange(len(values)) + marks * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(values) + marks * len(sizes), begin, values.dtype)
+    padded[at] = values
+    return padded, at
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
@@ -287,7 +294,9 @@ def _count_words(texts: DataFrame, folder: str, word_bits: int) -> tuple[int, in
         hashes = np.concatenate([_eight(b.as_py()) for b in table.column("words")])
         n = np.concatenate([np.frombuffer(b.as_py(), "<u8").astype(np.int64) for b in table.column("n")])
         hashes, _, (n,) = _added(hashes, [], [n])
-        shards.save(folder, f"words-{part}", hashes, n)
+        ranks = np.empty(len(n), np.uint32)
+        ranks[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=np.uint32)
+        shards.save(folder, f"words-{part}", hashes, n, ranks)
         return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "types": pa.array([int((n > 0).sum())], pa.int64())})
 
     # an empty block for every shard, so that each one writes its file; the begin mark is a word that never occurs
@@ -299,23 +308,41 @@ def _count_words(texts: DataFrame, folder: str, word_bits: int) -> tuple[int, in
     return facts.agg(F.sum("tokens"), F.sum("types")).head()
 
 
-#: kind 0: n-grams with their counts; 1: contexts with four sums; 2: counts of counts by length, on their way to the driver
+#: kind: n-grams, pairs as contexts, words as last ones, words as contexts, and counts of counts on their way to the driver
 BLOCKS = "part int, kind int, data binary"
-SUMS = {0: 1, 1: 4}
+GRAM, PAIR_CONTEXT, WORD, WORD_CONTEXT, FACTS = range(5)
 
 
 def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _blocks(kind: int, keys: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], bits: int) -> list[tuple[int, int, bytes]]:
-    return [(k, kind, _packed([c[s] for c in columns], [v[s] for v in sums])) for k, s in _ranges(keys, bits, 64)]
+def _blocks(kind: int, keys: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], bits: int, first: int = 0) -> list[tuple[int, int, bytes]]:
+    return [(first + k, kind, _packed([c[s] for c in columns], [v[s] for v in sums])) for k, s in _ranges(keys, bits, 64)]
+
+
+def _merged(table: pa.Table, kind: int, length: int, n_sums: int, key) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """All blocks of a kind, added up by the key of their columns."""
+    blocks = [_unpacked(d.as_py(), length, n_sums) for k, d in zip(table.column("kind").to_pylist(), table.column("data"), strict=True) if k == kind and len(d.as_py())]
+    wide = [np.concatenate(c) for c in zip(*blocks, strict=True)] or [np.empty(0, np.uint64)] * length + [np.empty(0, np.int64)] * n_sums
+    del blocks
+    return _added(key(wide[:length]), wide[:length], wide[length:])
+
+
+def _followers(n: np.ndarray) -> list[np.ndarray]:
+    """What each n-gram adds to its context: the sum, and followers with one, two and more."""
+    once, twice = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
+    return [n, once, twice, 1 - once - twice]
+
+
+def _of_counts(n: np.ndarray) -> list[int]:
+    return [*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()]
 
 
 def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, range_bytes: int = RANGE_BYTES, order: int = ORDER) -> Model:
-    """Count all texts of df, which are read three times: for their bytes, their words and their n-grams of this order, 2 at least."""
-    if order < 2:
-        raise ValueError(f"order must be 2 at least, not {order}")
+    """Count all texts of df, which are read three times: for their bytes, their words and their n-grams of this order, 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = df.sparkSession
     folder = shards.new_folder(spark, "language-model", model_dir)
     texts = df.select(text_of(text_col).alias("text"))
@@ -324,71 +351,78 @@ def fit(df: DataFrame, text_col: str = "text", model_dir: str | None = None, ran
     word_bits = max(3, bits - 3)
     train_tokens, vocabulary = _count_words(texts, folder, word_bits)
 
+    def begin_mark() -> np.uint64:
+        return word_numbers(folder, word_bits, np.array([BEGIN]))[0]
+
+    def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+        return gram_keys(columns, bits)
+
+    def word_key(columns: list[np.ndarray]) -> np.ndarray:  # the shard comes first, then the rank
+        return (columns[0] << np.uint64(64 - word_bits)) | (columns[0] >> np.uint64(word_bits))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin = word_numbers(folder, word_bits, np.array([BEGIN]))[0][0]
+        begin = begin_mark()
         for held in _texts(batches, CHUNK):
-            columns = _gram_columns(word_numbers(folder, word_bits, np.concatenate(held))[0], np.array([len(h) for h in held]), begin, order)
-            keys, columns, n = _added(gram_keys(columns, word_bits), columns, [np.ones(len(columns[0]), np.int64)])
-            yield from _table(_blocks(0, keys, columns, n, bits)).to_batches()
-
-    def merge(length: int):
-        below = bits if length > 2 else word_bits
-
-        def run(table: pa.Table) -> pa.Table:
-            part = table.column("part")[0].as_py()
-            facts = np.zeros((order + 1, 6), np.int64)
-            read = {0: [], 1: []}
-            for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-                if kind == 2:
-                    facts += np.frombuffer(data.as_py(), "<i8").reshape(order + 1, 6)
-                elif len(data.as_py()):
-                    read[kind].append(_unpacked(data.as_py(), length, SUMS[kind]))
-            kinds = {}
-            for kind, blocks in read.items():
-                wide = [np.concatenate(c) for c in zip(*blocks, strict=True)] or [np.empty(0, np.uint64)] * length + [np.empty(0, np.int64)] * SUMS[kind]
-                blocks.clear()
-                kinds[kind] = _added(gram_keys(wide[:length], word_bits), wide[:length], wide[length:])
-            keys, columns, (n,) = kinds[0]
-            facts[length] = [*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()]
-            contexts = kinds[1]
-            if length == 1:
-                # a word's numbers lie where its hash lies
-                size = len(shards.load(folder, f"words-{part}", 2)[0])
-                numbers = np.zeros((5, size), np.int64)
-                numbers[0, (columns[0] >> np.uint64(word_bits)).astype(np.int64)] = n
-                numbers[1:, (contexts[1][0] >> np.uint64(word_bits)).astype(np.int64)] = contexts[2]
-                shards.save(folder, f"1-{part}", numbers)
-                return _table([(part, 2, facts.tobytes())])
-            if length == order:
-                _save(folder, f"{length}-{part}", keys, bits, [n])
-            else:
-                every = np.union1d(keys, contexts[0])
-                numbers = np.zeros((5, len(every)), np.int64)
-                numbers[0, np.searchsorted(every, keys)] = n
-                numbers[1:, np.searchsorted(every, contexts[0])] = contexts[2]
-                _save(folder, f"{length}-{part}", every, bits, list(numbers))
-            begin = word_numbers(folder, word_bits, np.array([BEGIN]))[0][0]
-            suffix, prefix = columns[1:], columns[:-1]
-            once, twice = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
-            rows = _blocks(0, *_added(gram_keys(suffix, word_bits), suffix, [np.where(suffix[0] == begin, n, 1)]), below)
-            rows += _blocks(1, *_added(gram_keys(prefix, word_bits), prefix, [n, once, twice, 1 - once - twice]), below)
-            return _table([*rows, (part & ((1 << below) - 1), 2, facts.tobytes())])
-
-        return run
-
-    rows = texts.mapInArrow(count, BLOCKS)
-    for length in range(order, 0, -1):
-        parts = 1 << (bits if length > 1 else word_bits)
-        # an empty block for every range, so that each one writes its files; a range is a partition
-        empty = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(b"").alias("data"))
-        rows = rows.unionByName(empty).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(merge(length), BLOCKS)
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            facts = sum(np.frombuffer(b.as_py(), "<i8").reshape(order + 1, 6) for b in batch.column("data")) + np.zeros((order + 1, 6), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(order + 1), pa.int32()), *(pa.array(c, pa.int64()) for c in facts.T)], names=["length", *(f"f{i}" for i in range(6))])
+            padded, at = _padded(word_numbers(folder, word_bits, np.concatenate(held)), np.array([len(h) for h in held]), begin, order - 1)
+            columns = [padded[at - back] for back in range(order - 1, -1, -1)]
+            keys, columns, n = _added(gram_key(columns), columns, [np.ones(len(at), np.int64)])
+            yield from _table(_blocks(GRAM, keys, columns, n, bits)).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        part, facts, rows = table.column("part")[0].as_py(), np.zeros((4, 6), np.int64), []
+        keys, columns, (n,) = _merged(table, GRAM, order, 1, gram_key)
+        begin = begin_mark()
+        if order == 3:
+            facts[3] = _of_counts(n)
+            _save_keys(folder, f"3-{part}", keys, bits)
+            _save_numbers(folder, f"3-{part}-n", n)
+            contexts = _added(gram_key(columns[:2]), columns[:2], _followers(n))
+            rows += _blocks(PAIR_CONTEXT, *contexts, bits)
+            keys, columns, (n,) = _added(gram_key(columns[1:]), columns[1:], [np.where(columns[1] == begin, n, 1)])
+        facts[2] = _of_counts(n)
+        # two begin marks are a context that is no pair of the texts
+        marks = gram_key([np.array([begin])] * 2)
+        own = marks if order == 3 and int(marks[0]) >> (64 - bits) == part else marks[:0]
+        every = np.insert(keys, np.searchsorted(keys, own), own)
+        numbers = np.zeros(len(every), np.int64)
+        numbers[np.searchsorted(every, keys)] = n
+        _save_keys(folder, f"2-{part}", every, bits)
+        _save_numbers(folder, f"2-{part}-n", numbers)
+        rows += _blocks(WORD, *_added(word_key(columns[1:]), columns[1:], [np.ones_like(n)]), word_bits, 1 << bits)
+        rows += _blocks(WORD_CONTEXT, *_added(word_key(columns[:1]), columns[:1], _followers(n)), word_bits, 1 << bits)
+        return _table([*rows, (part, FACTS, facts.tobytes())])
 
-    facts = rows.mapInArrow(opened, "length int, " + ", ".join(f"f{i} long" for i in range(6)))
+    def store(table: pa.Table) -> pa.Table:
+        place, facts = table.column("part")[0].as_py(), np.zeros((4, 6), np.int64)
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
+            if kind == FACTS and len(data.as_py()):
+                facts += np.frombuffer(data.as_py(), "<i8").reshape(4, 6)
+        if place < 1 << bits:
+            keys, _, sums = _merged(table, PAIR_CONTEXT, 2, 4, gram_key)
+            hit, at, size = _find(folder, f"2-{place}", keys, bits)
+            numbers = np.zeros((4, size), np.int64)
+            numbers[:, at] = np.stack(sums)[:, hit]
+            _save_numbers(folder, f"2-{place}-context", numbers)
+        else:
+            part = place - (1 << bits)
+            # a word's numbers lie by its rank
+            numbers = np.zeros((5, len(shards.load(folder, f"words-{part}", 3)[0])), np.int64)
+            _, (words,), (n,) = _merged(table, WORD, 1, 1, word_key)
+            numbers[0, (words >> np.uint64(word_bits)).astype(np.int64)] = n
+            _, (words,), sums = _merged(table, WORD_CONTEXT, 1, 4, word_key)
+            numbers[1:, (words >> np.uint64(word_bits)).astype(np.int64)] = sums
+            facts[1] = _of_counts(n)
+            shards.save(folder, f"1-{part}", numbers)
+        return pa.table({"length": pa.array(range(4), pa.int32()), **{f"f{i}": pa.array(facts[:, i], pa.int64()) for i in range(6)}})
+
+    # an empty block for every range, so that each one writes its files; a range is a partition
+    def empty(parts: int) -> DataFrame:
+        return spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(FACTS).alias("kind"), F.lit(b"").alias("data"))
+
+    places = (1 << bits) + (1 << word_bits)
+    counted = texts.mapInArrow(count, BLOCKS).unionByName(empty(1 << bits))
+    sums = counted.repartitionById(1 << bits, F.col("part")).groupBy("part").applyInArrow(merge, BLOCKS).unionByName(empty(places))
+    facts = sums.repartitionById(places, F.col("part")).groupBy("part").applyInArrow(store, "length int, " + ", ".join(f"f{i} long" for i in range(6)))
     total = {r["length"]: r[1:] for r in facts.groupBy("length").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(6))).collect()}
     d = {k: discounts(*total[k][:4]) for k in range(1, order + 1)}
     n1, n2, _, _, types, pair_types = total[1]
@@ -401,43 +435,51 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.begin = word_numbers(model.folder, model.word_bits, np.array([BEGIN]))[0][0]
 
-    def grams(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of n-grams the count and, shorter than the order, what they are as contexts: sum, and followers with one, two and more."""
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rising word hashes the numbers, and occurrences, count as last word and four sums as a context."""
+        m = self.model
+        numbers, out = np.full(len(hashes), UNKNOWN), np.zeros((6, len(hashes)), np.int64)
+        for part, hit, n, ranks in _known(m.folder, m.word_bits, hashes):
+            numbers[hit] = (ranks << np.uint64(m.word_bits)) | np.uint64(part)
+            (stored,) = shards.load(m.folder, f"1-{part}", 1)
+            out[0, hit], out[1:, hit] = n, stored[:, ranks.astype(np.int64)]
+        return numbers, out
+
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams the count and, if shorter than the order, four sums as a context: one column a different one, and whose it is."""
         m, length = self.model, len(columns)
-        keys, back = np.unique(gram_keys(columns, m.word_bits), return_inverse=True)
+        keys, back = np.unique(gram_keys(columns, m.bits), return_inverse=True)
         out = np.zeros((1 if length == m.order else 5, len(keys)), np.int64)
-        if length == 1:
-            numbers = (keys << np.uint64(m.word_bits)) | (keys >> np.uint64(64 - m.word_bits))
-            for part, s in _ranges(keys, m.word_bits, 64):
-                (stored,) = shards.load(m.folder, f"1-{part}", 1)
-                at = np.flatnonzero(numbers[s] != UNKNOWN)
-                out[:, s][:, at] = stored[:, (numbers[s][at] >> np.uint64(m.word_bits)).astype(np.int64)]
-        else:
-            for part, s in _ranges(keys, m.bits, 64):
-                out[:, s] = _numbers(m.folder, f"{length}-{part}", keys[s], m.bits, len(out))
-        return out[:, back]
+        for part, s in _ranges(keys, m.bits, 64):
+            hit, at, size = _find(m.folder, f"{length}-{part}", keys[s], m.bits)
+            out[0, hit + s.start] = _numbers(m.folder, f"{length}-{part}-n", at)
+            for c in range(len(out) - 1):
+                out[1 + c, hit + s.start] = _numbers(m.folder, f"{length}-{part}-context", at + c * size)
+        return out, back
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For texts as word hashes: tokens, known tokens, base score and score."""
         m = self.model
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes) - sizes
-        numbers, seen = word_numbers(m.folder, m.word_bits, np.concatenate(texts))
-        columns = _gram_columns(numbers, sizes, self.begin, m.order)
-        base = np.log10((seen + 1.0) / (m.train_tokens + m.vocabulary + 1.0))
-        types = self.grams(columns[-1:])[0]
-        p = (types - self._discount(types, m.discounts[1])) / max(m.pair_types, 1) + m.left_over / (m.vocabulary + 1.0)
+        padded, at = _padded(np.concatenate(texts), sizes, BEGIN, m.order - 1)
+        words, back = np.unique(padded, return_inverse=True)
+        numbers, found = self.words(words)
+        numbers, known, last = numbers[back], found[0] > 0, back[at]
+        base = np.log10((found[0] + 1.0) / (m.train_tokens + m.vocabulary + 1.0))
+        p = ((found[1] - self._discount(found[1], m.discounts[1])) / max(m.pair_types, 1) + m.left_over / (m.vocabulary + 1.0))[last]
+        contexts, context = found[2:], back
         for length in range(2, m.order + 1):
-            d = m.discounts[length]
-            n = self.grams(columns[-length:])[0]
-            _, total, once, twice, often = self.grams(columns[-length:-1])
-            whole = np.maximum(total, 1)
-            back = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * often) / whole, 1.0)
-            p = (n - self._discount(n, d)) / whole + back * p
-        known = (seen > 0).astype(np.int64)
-        return sizes, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
+            # n-grams end at all places that have so many words; the one that ends a place earlier is the context
+            grams, of_gram = self.grams([numbers[i : len(numbers) - length + 1 + i] for i in range(length)])
+            d, total = m.discounts[length], np.maximum(contexts[0], 1)
+            rest = np.where(contexts[0] > 0, (d[0] * contexts[1] + d[1] * contexts[2] + d[2] * contexts[3]) / total, 1.0)
+            before = context[at - 1 - (length - 2)]
+            own = of_gram[at - (length - 1)]
+            p = (grams[0] - self._discount(grams[0], d))[own] / total[before] + rest[before] * p
+            contexts, context = grams[1:], of_gram
+        return sizes, np.add.reduceat(known[last].astype(np.int64), starts), np.add.reduceat(base[last], starts), np.add.reduceat(np.log10(p), starts)
 
     @staticmethod
     def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -458,7 +500,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for row in range(batch.num_rows):
                 held.append(word_hashes(batch.column(at)[row].as_py()))
                 size += len(held[-1])
-                if size >= CHUNK // 2 or row == batch.num_rows - 1:
+                if size >= CHUNK or row == batch.num_rows - 1:
                     part = batch.slice(start, len(held))
                     n, known, base, own = scorer.score(held)
                     columns = [part.column(i) for i in range(part.num_columns) if i != at]

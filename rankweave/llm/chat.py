@@ -13,8 +13,10 @@ where an identifier is used twice, the call that comes first has it. An
 argument {"$ref": "c1"} needs the result of that call. Messages are ordered
 topologically: by turn, but never before what they need. A cycle of needs
 leaves the messages of its conversation where their turns put them. Arguments are checked against
-the declared schema (required names, undeclared names, types); a call without
-a schema is not valid. All JSON is canonical: keys sorted, no white space.
+the declared schema (required names, undeclared names, types; a number with a
+fraction is no integer); a call without a schema is not valid. Of declarations
+of one name the one of the smallest turn counts, then of the smallest JSON.
+All JSON is canonical: keys sorted, no white space.
 
 A text that isn't such an object is plain content. A null text stays null, a
 null role or turn too; null turns come first, and null conversations form one
@@ -85,7 +87,7 @@ def _problems() -> Column:
         for name, kind in PRIMITIVES.items():
             right = right | ((wanted == name) & found.startswith(kind))
         numeric = found.startswith("BIGINT") | found.startswith("DOUBLE") | found.startswith("DECIMAL")
-        whole = found.startswith("BIGINT") | found.startswith("DECIMAL")
+        whole = found.startswith("BIGINT") | found.rlike(r"^DECIMAL\(\d+,0\)")  # 1.5 is none
         right = right | ((wanted == "number") & numeric) | ((wanted == "integer") & whole)
         reference = found.startswith("OBJECT<`$ref`") | found.startswith("OBJECT<$ref")
         return F.map_contains_key("properties", n) & wanted.isNotNull() & ~right & ~reference

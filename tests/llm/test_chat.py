@@ -1,4 +1,8 @@
 import json
+import random
+from collections import defaultdict
+
+import pytest
 
 from rankweave.llm.chat import format_chats
 
@@ -63,3 +67,98 @@ def test_nulls_ties_repeats_and_parts(spark):
 
 def test_empty_table(spark):
     assert chats(spark, []) == {}
+
+
+def plain_chat(rows):
+    """One conversation of (turn, role, text), message by message: {part: (counts, messages)}."""
+    body = {r: json.loads(r[2]) if r[2].startswith("{") else {} for r in rows}
+    calls = [(r, nth, c) for r in set(rows) if r[1] == "assistant" for nth, c in enumerate(body[r].get("tool_calls", []))]
+    results = [r for r in set(rows) if r[1] == "tool" and "tool_call_id" in body[r]]
+    schemas, first, answer = {}, {}, {}
+    canonical = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    declared = [(r[0], canonical(t["parameters"]), t) for r in rows if r[1] == "system" for t in body[r].get("tools", [])]
+    for _, _, t in sorted(declared, key=lambda x: x[:2], reverse=True):
+        schemas[t["name"]] = t["parameters"]
+    for r, _, c in sorted(calls, key=lambda x: (x[0][0], x[1], x[0][2]), reverse=True):
+        first[c["id"]] = r
+    for r in sorted(results, key=lambda r: (r[0], r[2]), reverse=True):
+        if body[r]["tool_call_id"] in first:
+            answer[body[r]["tool_call_id"]] = r
+    needs = defaultdict(set)
+    for r in results:
+        needs[r] |= {first[i] for i in [body[r]["tool_call_id"]] if i in first}
+    for r, _, c in calls:
+        needs[r] |= {answer[v["$ref"]] for v in c["arguments"].values() if isinstance(v, dict) and v.get("$ref") in answer}
+
+    def place(r, above=()):
+        if r in above:
+            raise RecursionError
+        return max([(r[0], 0), *((t, d + 1) for t, d in (place(u, (*above, r)) for u in needs[r]))])
+
+    try:
+        places = {r: place(r) for r in set(rows)}
+    except RecursionError:
+        places = {r: (r[0], 0) for r in rows}
+
+    def errors(c):
+        if c["name"] not in schemas:
+            return ["no schema"]
+        wanted, found = schemas[c["name"]], []
+        for n, v in c["arguments"].items():
+            if n not in wanted["properties"]:
+                found.append(f"undeclared {n}")
+                continue
+            kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict}[wanted["properties"][n]["type"]]
+            if not (isinstance(v, dict) and "$ref" in v) and (not isinstance(v, kinds) or (isinstance(v, bool) and kinds is not bool)):
+                found.append(f"type of {n}")
+        return sorted(found + [f"missing {n}" for n in wanted["required"] if n not in c["arguments"]])
+
+    parts = defaultdict(lambda: ([0, 0, 0, 0, 0], []))
+    for r in sorted(rows, key=lambda r: (*places[r], *r)):
+        counts, messages = parts[places[r][0] // 4]
+        counts[0] += 1
+        own = body[r].get("tool_calls") if r[1] == "assistant" else None
+        if own:
+            made = [{**c, "errors": errors(c)} for c in own]
+            counts[1] += len(made)
+            counts[2] += sum(bool(c["errors"]) for c in made)
+            messages.append({"content": body[r].get("content"), "role": "assistant", "tool_calls": made})
+        elif r in results:
+            linked = body[r]["tool_call_id"] in first
+            counts[3] += 1
+            counts[4] += not linked
+            messages.append({"content": body[r]["content"], "linked": linked, "role": "tool", "tool_call_id": body[r]["tool_call_id"]})
+        else:
+            messages.append({"content": r[2], "role": r[1]})
+    return parts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_linking_ordering_and_checks_are_those_of_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    values = [1, 10**25, 1.5, "1", True, {"a": 1}, None]
+    rows = []
+    for conv in range(80):
+        ids = [f"c{k}" for k in range(rng.choice([2, 4, 9]))]
+        for _ in range(rng.randint(1, 14)):
+            turn, kind = rng.randrange(12), rng.random()
+            if kind < 0.15:
+                properties = {n: {"type": rng.choice(["string", "integer", "number", "boolean", "object"])} for n in rng.sample("xyz", 2)}
+                made = "system", {"tools": [{"name": rng.choice("fg"), "parameters": {"properties": properties, "required": rng.sample("xyz", 1)}}]}
+            elif kind < 0.55:
+                refs = lambda: {n: rng.choice([*values, *({"$ref": i} for i in ids)]) for n in rng.sample("xyzw", rng.randrange(4))}
+                made = "assistant", {"tool_calls": [call(rng.choice(ids), refs(), rng.choice("fgh")) for _ in range(rng.randint(1, 2))]} | ({"content": "say"} if rng.random() < 0.5 else {})
+            elif kind < 0.9:
+                made = "tool", {"tool_call_id": rng.choice([*ids, "none"]), "content": rng.choice(["r", {"b": [1], "a": "\u00e9"}])}
+            else:
+                made = "user", f"text {rng.randrange(5)}"
+            rows += [(conv, turn, made[0], made[1] if made[0] == "user" else json.dumps(made[1]))] * rng.choice([1, 1, 1, 2])
+    found = chats(spark, rows, part_turns=4)
+    seen = 0
+    for conv in range(80):
+        for part, (counts, messages) in plain_chat([r[1:] for r in rows if r[0] == conv]).items():
+            row = found[conv, part]
+            assert [row[c] for c in ("n_messages", "n_calls", "n_invalid", "n_results", "n_unlinked")] == counts
+            assert json.loads(row["chat"]) == messages
+            seen += 1
+    assert seen == len(found)

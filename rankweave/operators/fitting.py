@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +190,25 @@ def interpolated(x: Column, steps: DataFrame) -> Column:
     return F.when(n == 0, x).when(at == 0, F.get(ys, F.lit(0))).when(at == n, F.get(ys, n - 1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
 
 
+def looked_up(x: Column, steps: Steps) -> Column:
+    """The values of `interpolated` for a whole column: tasks hold the places once, rows don't carry them."""
+    if not steps.x:
+        return x
+    xs, ys = np.array(steps.x), np.array(steps.y)
+
+    @F.pandas_udf("double")
+    def at(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(float)
+        k = np.searchsorted(xs, v, side="right")  # how many places are not beyond v
+        low, high = np.clip(k - 1, 0, None), np.clip(k, None, len(xs) - 1)
+        gap = np.where(high > low, xs[high] - xs[low], 1.0)
+        inside = ys[low] + (ys[high] - ys[low]) * (v - xs[low]) / gap
+        return pd.Series(np.where(k == 0, ys[0], np.where(k == len(xs), ys[-1], inside)))
+
+    return F.when(x.isNull(), ys[0].item()).otherwise(at(x))
+
+
 def calibrated(df: DataFrame, steps: Steps, x: str, out: str, key: str = "contest_id", floor: float = 1e-9) -> DataFrame:
     """df with x put through the steps, at least `floor`, adding up to 1 in each group again."""
-    one = df.sparkSession.createDataFrame([(list(steps.x), list(steps.y))], "__xs array<double>, __ys array<double>")
-    found = df.join(F.broadcast(one)).withColumn("__p", F.greatest(interpolated(F.col(x).cast("double"), one), F.lit(floor)))
-    return found.withColumn(out, normalise("__p", key=key)).drop("__xs", "__ys", "__p")
+    found = df.withColumn("__p", F.greatest(looked_up(F.col(x).cast("double"), steps), F.lit(floor)))
+    return found.withColumn(out, normalise("__p", key=key)).drop("__p")

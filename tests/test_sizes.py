@@ -18,3 +18,11 @@ def test_calibrated_rows_do_not_carry_the_steps(spark):
     got = df.crossJoin(one).select("x", fitting.interpolated(F.col("x"), one).alias("old"), fitting.looked_up(F.col("x"), steps).alias("new")).collect()
     assert [r["new"] for r in got] == [r["old"] for r in got]
     assert [r["y"] for r in df.select(fitting.looked_up(F.col("x"), fitting.Steps((), ())).alias("y")).collect()][:2] == [0.0, 0.1]
+
+
+def test_complete_contests_take_one_pass(spark):
+    rows = [(1, s, s) for s in range(1, 7)] + [(2, s, min(s, 5)) for s in range(1, 7)] + [(3, s, s) for s in range(1, 8)] + [(4, s, s if s > 1 else None) for s in range(1, 7)] + [(None, s, s) for s in range(1, 7)]
+    found = tickets.complete_groups(spark.createDataFrame(rows, "contest_id long, slot int, position int"), columns=("slot", "position"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan
+    assert sorted((r["contest_id"], r["slot"]) for r in found.collect()) == [(1, s) for s in range(1, 7)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.relative import clip01, group, rank_average
@@ -57,15 +57,17 @@ def point_metrics(found: DataFrame) -> DataFrame:
 
 def judged(points: DataFrame, weight: float = 1.0, penalty: float = 0.0, objective: Mapping[str, float] = OBJECTIVE, guard: float = GUARD) -> DataFrame:
     """Grid points with the objective, the differences from the baseline point and whether they stay inside the guard."""
-    base = points.where((F.col("weight") == weight) & (F.col("penalty") == penalty)).select(F.col("log_loss").alias("base_loss"), F.col("hit12").alias("base_hit12"))
-    rows = points.join(F.broadcast(base))  # one row
+    every = Window.partitionBy(F.lit(1))  # as many rows as grid points; a join with the baseline's row would compute them all again
+    is_base = (F.col("weight") == weight) & (F.col("penalty") == penalty)
+    of_base = lambda c: F.max(F.when(is_base, F.col(c))).over(every)
+    rows = points.withColumns({"base_loss": of_base("log_loss"), "base_hit12": of_base("hit12"), "__base": F.max(is_base).over(every)}).where("__base")
     excess = F.greatest(F.col("log_loss") - F.col("base_loss") - guard, F.lit(0.0))
     total = sum((w * F.col(c) for c, w in objective.items()), F.lit(0.0)) - excess
     return rows.select(*points.columns, F.round(total, 9).alias("objective"), (F.col("hit12") - F.col("base_hit12")).alias("hit12_delta"), (F.col("log_loss") - F.col("base_loss")).alias("log_loss_delta"), (excess <= 0).alias("inside_guard"))
 
 
 def two_stage(rows: DataFrame, grid: DataFrame, days: DataFrame, sample: int, keep: int) -> DataFrame:
-    """Every grid point on an even sample of contests, then the `keep` best ones and the baseline on all."""
+    """Every grid point on an even sample of contests, then the `keep` best ones and the baseline on all; rows are read twice and should be stored."""
     some = rows.join(even_sample(days, sample).select(CONTEST), CONTEST, "left_semi")
     best = judged(point_metrics(outcomes(some, grid))).orderBy(F.desc("objective"), F.desc("weight"), "penalty").limit(keep).select("weight", "penalty")
     baseline = grid.where("weight = 1 and penalty = 0").select("weight", "penalty")

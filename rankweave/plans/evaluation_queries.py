@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
+from rankweave.core.shared import stored
 from rankweave.operators import confidence, relative
 from rankweave.operators import metrics as m
 from rankweave.operators import prediction as pr
@@ -220,7 +221,7 @@ SAMPLED = "SELECT contest_id FROM (SELECT contest_id, row_number() OVER (ORDER B
 @query(on_tickets(f"SELECT {SHOWN} FROM ({judged_sql('p2')})", f=FACT, w=WEIGHTS, k=CONDITIONAL, bo=BOTH, pl=PAYLOAD, sm=SAMPLED, ps="SELECT * FROM pl WHERE contest_id IN (SELECT contest_id FROM sm)", p1=points_sql("ps", GRID), best=f"SELECT weight, penalty FROM ({judged_sql('p1')}) ORDER BY objective DESC, weight DESC, penalty LIMIT 4", p2=points_sql("pl", "(SELECT weight, penalty FROM best UNION SELECT 1.0, 0.0)")))
 def rerank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole grid on an even sample of contests, the four best points and the base on all."""
-    rows = search.payloads(both_orders(spark, sf_dir), "probability", "u", "is_actual", TOP)
+    rows = stored(search.payloads(both_orders(spark, sf_dir), "probability", "u", "is_actual", TOP), "payloads")
     return shown(search.two_stage(rows, grid(spark), slot_shares(spark, sf_dir).select("contest_id", "race_date"), 150, 4))
 
 

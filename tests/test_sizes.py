@@ -26,3 +26,11 @@ def test_complete_contests_take_one_pass(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "Join" not in plan
     assert sorted((r["contest_id"], r["slot"]) for r in found.collect()) == [(1, s) for s in range(1, 7)]
+
+
+def test_a_baseline_does_not_compute_the_points_again(spark):
+    points = spark.createDataFrame([(w, 0.0, 4, 4, *[0.5] * 5, loss) for w, loss in ((0.5, 1.5), (1.0, 1.0))], "weight double, penalty double, contests long, covered long, hit1 double, hit3 double, hit5 double, hit12 double, mrr double, log_loss double")
+    out = search.judged(points)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["weight"]: round(r["log_loss_delta"], 9) for r in out.collect()} == {0.5: 0.5, 1.0: 0.0}
+    assert search.judged(points.where("weight < 1")).count() == 0

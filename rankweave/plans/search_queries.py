@@ -44,20 +44,26 @@ GRID = f"(VALUES {', '.join(f'({w})' for w in GRID_WEIGHTS)}) AS g(weight)"
 
 
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each contest: its tickets with both probabilities, from one expansion of the slots."""
-    entry = F.struct("a", "b", "c", "probability", "p", "is_actual")
-    return both_frame(spark, sf_dir).groupBy("contest_id").agg(F.collect_list(entry).alias("tickets"))
-
-
-def actual_ranks(contests: DataFrame) -> DataFrame:
-    """(contest_id, weight, nth, s, x): of each weight the actual ticket's place and value, and the sum of all; inside the contest's array."""
-    at = contests.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in GRID_WEIGHTS])))
-    value = lambda c: F.round(F.col("weight") * c["probability"] + (1 - F.col("weight")) * c["p"], 12)
-    at = at.withColumn("x", F.transform("tickets", lambda c: F.struct((-value(c)).alias("x"), c["a"].alias("a"), c["b"].alias("b"), c["c"].alias("c"), c["is_actual"].alias("is_actual"))))
-    at = at.withColumn("mine", F.try_element_at(F.filter("x", lambda c: c["is_actual"]), F.lit(1))).where("mine is not null")
-    key = lambda c: F.struct(c["x"], c["a"], c["b"], c["c"])
-    before = F.size(F.filter("x", lambda c: key(c) < key(F.col("mine"))))
-    return at.select("contest_id", "weight", (before + 1).alias("nth"), F.aggregate("x", F.lit(0.0), lambda s, c: s - c["x"]).alias("s"), (-F.col("mine.x")).alias("x"))
+    """Tickets with both probabilities and those of the contest's actual ticket (won_..), from one expansion of the slots."""
+    return both_frame(spark, sf_dir, won=True)
+
+
+def actual_ranks(tickets: DataFrame) -> DataFrame:
+    """(contest_id, weight, nth, s, x): of each weight the actual ticket's place and value, and the sum of all.
+
+    Weights are columns of one aggregate by contest, so rows aren't repeated for
+    them. Values are compared and added in whole units of the twelfth place.
+    """
+    c, unit = F.col, 1e12
+    value = lambda w, p, q: F.floor((w * c(p) + (1 - w) * c(q)) * unit + 0.5)
+    earlier = (c("a") < c("won_a")) | ((c("a") == c("won_a")) & ((c("b") < c("won_b")) | ((c("b") == c("won_b")) & (c("c") < c("won_c")))))
+    sums = []
+    for k, w in enumerate(GRID_WEIGHTS):
+        x, mine = value(w, "probability", "p"), value(w, "won_probability", "won_p")
+        sums += [F.count_if((x > mine) | ((x == mine) & earlier)).alias(f"before{k}"), F.sum(x).alias(f"s{k}")]
+    found = tickets.where("won_a is not null and won_b is not null and won_c is not null").groupBy("contest_id").agg(*sums, F.first("won_probability").alias("won_probability"), F.first("won_p").alias("won_p"))
+    points = [F.struct(F.lit(w).alias("weight"), (c(f"before{k}") + 1).alias("nth"), (c(f"s{k}") / unit).alias("s"), (value(w, "won_probability", "won_p") / unit).alias("x")) for k, w in enumerate(GRID_WEIGHTS)]
+    return found.select("contest_id", F.inline(F.array(*points)))
 
 
 @query(on_tickets(f"""

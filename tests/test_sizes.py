@@ -34,3 +34,12 @@ def test_a_baseline_does_not_compute_the_points_again(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["weight"]: round(r["log_loss_delta"], 9) for r in out.collect()} == {0.5: 0.5, 1.0: 0.0}
     assert search.judged(points.where("weight < 1")).count() == 0
+
+
+def test_blend_ranks_are_sums(spark):
+    rows = [(1, a, b, c, p, q, 2, 1, 3, 0.3, 0.1) for a, b, c, p, q in ((1, 2, 3, 0.4, 0.2), (2, 1, 3, 0.3, 0.1), (1, 3, 2, 0.3, 0.1), (3, 2, 1, 0.1, 0.9))]
+    df = spark.createDataFrame(rows, "contest_id long, a int, b int, c int, probability double, p double, won_a int, won_b int, won_c int, won_probability double, won_p double")
+    out = search_queries.actual_ranks(df)
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["weight"]: (r["nth"], r["s"], r["x"]) for r in out.collect()}
+    assert got[1.0] == (3, pytest.approx(1.1), pytest.approx(0.3)) and got[0.5] == (4, pytest.approx(1.2), pytest.approx(0.2))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.core.contest import contest_view
+from rankweave.core.shared import stored
 from rankweave.functions import numbers, text
 from rankweave.operators import challenge as ch
 from rankweave.operators import scenario as sc
@@ -127,6 +128,7 @@ def subset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests by quantiles of their risks; the thresholds are one row."""
     flat = slot_shares(spark, sf_dir).groupBy("contest_id").agg(sc.flatness("share").alias("flat"))
     rows = scenarios(spark, sf_dir).join(flat, "contest_id").withColumn("upset", sc.subset_score())
+    rows = stored(rows.select("contest_id", "attack", "collapse", "upset", "flat", "escape"), "risks")  # each step to the quantiles reads it
     high = st.quantiles(rows, ["attack", "collapse", "upset", "flat", "escape"], [0.7, 0.5])
     return rows.join(F.broadcast(high)).select("contest_id", sc.subset_label().alias("subset"))
 

@@ -19,10 +19,11 @@ SCENARIOS = ("S0", "S1", "S2", "S3", "S4", "S5", "S6")
 NAMES = {"S0": "escape", "S1": "second slot inside", "S2": "second slot around", "S3": "third slot", "S4": "fourth slot", "S5": "outside", "S6": "mixed"}
 
 
-def _sum(weights: dict[str, float]) -> Column:
-    total = F.lit(0.0)
+def _sum(weights: dict[str, float], start: Column | None = None) -> Column:
+    """Added up in the order of the table, k34 in its place: ties depend on the order."""
+    total = F.lit(0.0) if start is None else start
     for name, w in weights.items():
-        total = total + w * F.col(name)
+        total = total + w * (F.greatest("k3", "k4") if name == "k34" else F.col(name))
     return total
 
 
@@ -32,12 +33,12 @@ def advantages(df: DataFrame) -> DataFrame:
 
 
 def _pressure(kind: str, site: str) -> Column:
-    return clip01(0.42 * F.col(kind) + _sum(PRESSURE) + 0.07 * F.col(site))
+    return clip01(_sum(PRESSURE, 0.42 * F.col(kind)) + 0.07 * F.col(site))
 
 
 def challenge() -> Column:
     """How strongly a slot challenges the first one."""
-    return clip01(_sum({k: w for k, w in CHALLENGE.items() if k != "k34"}) + CHALLENGE["k34"] * F.greatest("k3", "k4") + mapped(F.col("slot"), CHALLENGE_BIAS))
+    return clip01(_sum(CHALLENGE) + mapped(F.col("slot"), CHALLENGE_BIAS))
 
 
 def context(slots: DataFrame, key: str = "contest_id") -> DataFrame:

@@ -63,3 +63,12 @@ def test_long_numbers_of_entrants_and_contests_in_programmes(spark):
     lines = reports.lines(spark.createDataFrame([("f", PROGRAMME)], "file string, content string"))
     assert [(r["contest_no"], r["entity_id"], r["entity_name"], r["age"]) for r in reports.entries(lines).collect()] == [(100, 12345, "abc", 30)]
     assert [(r["contest_no"], r["hour"], r["minute"]) for r in reports.schedule(lines).collect()] == [(100, 9, 40)]
+
+
+def test_challenges_add_up_in_the_order_of_the_table(spark):
+    names = ["rank", "top2", "k2", "k3", "k4", "lead_adv", "trial_adv", "machine_adv", "site2", "site3"]
+    rows = [(int(k % 6 + 1), *map(float, r)) for k, r in enumerate(np.random.default_rng(3).random((200, 10)) / 2)]
+    got = spark.createDataFrame(rows, "slot int, " + ", ".join(f"{n} double" for n in names)).select("*", scenario.challenge().alias("x")).collect()
+    for r in got:
+        x = 0.2 * r["rank"] + 0.16 * r["top2"] + 0.14 * r["k2"] + 0.22 * max(r["k3"], r["k4"]) + 0.08 * r["lead_adv"] + 0.05 * r["trial_adv"] + 0.04 * r["machine_adv"] + 0.07 * r["site2"] + 0.04 * r["site3"] + {2: 0.07, 3: 0.1, 4: 0.12, 5: 0.06, 6: 0.04}.get(r["slot"], 0)
+        assert r["x"] == min(1.0, max(0.0, x))

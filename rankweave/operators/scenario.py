@@ -120,12 +120,16 @@ def subset_score() -> Column:
     return clip01(0.28 * F.col("collapse") + 0.24 * F.col("attack") + 0.20 * F.col("sweep") + 0.18 * outer + 0.10 * F.col("flat"))
 
 
-def subset_label() -> Column:
-    """Attack, upset, stable or neutral by quantile columns named like attack_q70."""
-    c = F.col
-    attack = (c("attack") >= c("attack_q70")) | (c("collapse") >= c("collapse_q70"))
-    upset = (c("upset") >= c("upset_q70")) | (c("flat") >= c("flat_q70"))
-    stable = (c("escape") >= c("escape_q70")) & (c("collapse") <= c("collapse_q50"))
+def subset_label(tolerance: float = 1e-12) -> Column:
+    """Attack, upset, stable or neutral by quantile columns named like attack_q70.
+
+    Values that equal a quantile but for rounding reach it: of contests alike
+    one may be the quantile itself.
+    """
+    reaches = lambda name, q: F.col(name) >= F.col(f"{name}_{q}") - tolerance
+    attack = reaches("attack", "q70") | reaches("collapse", "q70")
+    upset = reaches("upset", "q70") | reaches("flat", "q70")
+    stable = reaches("escape", "q70") & (F.col("collapse") <= F.col("collapse_q50") + tolerance)
     return F.when(attack, "attack_or_collapse").when(upset, "upset_or_flat").when(stable, "stable_escape").otherwise("neutral")
 
 

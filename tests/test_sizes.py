@@ -72,3 +72,9 @@ def test_challenges_add_up_in_the_order_of_the_table(spark):
     for r in got:
         x = 0.2 * r["rank"] + 0.16 * r["top2"] + 0.14 * r["k2"] + 0.22 * max(r["k3"], r["k4"]) + 0.08 * r["lead_adv"] + 0.05 * r["trial_adv"] + 0.04 * r["machine_adv"] + 0.07 * r["site2"] + 0.04 * r["site3"] + {2: 0.07, 3: 0.1, 4: 0.12, 5: 0.06, 6: 0.04}.get(r["slot"], 0)
         assert r["x"] == min(1.0, max(0.0, x))
+
+
+def test_a_value_that_is_the_quantile_but_for_rounding_reaches_it(spark):
+    names = ["attack", "collapse", "upset", "flat", "escape"]
+    df = spark.createDataFrame([(0.5 - 1e-16, 0.0, 0.0, 0.0, 0.0)], ", ".join(f"{n} double" for n in names)).withColumns({f"{n}_q70": F.lit(0.5) for n in names}).withColumn("collapse_q50", F.lit(0.5))
+    assert df.select(scenario.subset_label().alias("s")).head()["s"] == "attack_or_collapse"

@@ -6,13 +6,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.core.shared import stored
+from rankweave.operators import fitting, relative, sampling, styles
 from rankweave.operators import metrics as m
-from rankweave.operators import relative, sampling, styles
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.tickets import complete_groups
 from rankweave.plans.history_queries import KEY, ORDER, flagged, guarded
@@ -123,15 +123,15 @@ def style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket probabilities calibrated to observed rates, normalised per contest; losses before and after."""
-    tickets = stored(ticket_frame(spark, sf_dir).withColumn("fold", sampling.fold("contest_id", 5)).withColumn("label", F.col("is_actual").cast("double")), "tickets")
-    fitted = IsotonicRegression(featuresCol="probability", labelCol="label").fit(tickets.where("fold <> 0"))
-    calibrated = fitted.transform(tickets).withColumn("calibrated", relative.normalise(F.greatest("prediction", F.lit(1e-9))))
-    held = F.col("fold") == 0
-    out = None
-    for name in ("probability", "calibrated"):
-        rows = calibrated.groupBy(held.alias("held_out")).agg(*m.binary_quality(F.col("label"), F.col(name))).withColumn("variant", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    tickets = ticket_frame(spark, sf_dir).select("contest_id", "probability", F.col("is_actual").cast("double").alias("label"), sampling.fold("contest_id", 5).alias("fold"))
+    tickets = stored(tickets, "tickets")
+    steps = fitting.fit_monotone(tickets.where("fold <> 0"), "probability", "label")
+    calibrated = fitting.calibrated(tickets, steps, "probability", "calibrated")
+    both = F.array(*[F.struct(F.lit(name).alias("variant"), F.col(name).alias("p")) for name in ("probability", "calibrated")])
+    rows = calibrated.select((F.col("fold") == 0).alias("held_out"), "label", F.inline(both))
+    quality = m.binary_quality(F.col("label"), F.col("p"))
+    found = rows.groupBy("held_out", "variant").agg(*quality)
+    return found.select("held_out", *[c for c in found.columns if c not in ("held_out", "variant")], "variant")
 
 
 def out_of_fold_leads(df: DataFrame, blocks: int = 4) -> DataFrame:

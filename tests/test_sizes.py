@@ -78,3 +78,17 @@ def test_a_value_that_is_the_quantile_but_for_rounding_reaches_it(spark):
     names = ["attack", "collapse", "upset", "flat", "escape"]
     df = spark.createDataFrame([(0.5 - 1e-16, 0.0, 0.0, 0.0, 0.0)], ", ".join(f"{n} double" for n in names)).withColumns({f"{n}_q70": F.lit(0.5) for n in names}).withColumn("collapse_q50", F.lit(0.5))
     assert df.select(scenario.subset_label().alias("s")).head()["s"] == "attack_or_collapse"
+
+
+def test_isotonic_losses_come_from_steps_in_ranges(spark, monkeypatch):
+    from rankweave.plans import model_queries
+
+    slots = [(k, s, s, (k * 7 + s * 3) % 11 / 11) for k in range(40) for s in range(1, 7)]
+    df = spark.createDataFrame(slots, "contest_id long, slot int, outcome_rank int, share double")
+    rows = df.select("contest_id", F.col("share").alias("probability"), (F.col("outcome_rank") == 1).alias("is_actual"))
+    monkeypatch.setattr(model_queries, "ticket_frame", lambda *_: rows)
+    fits = []
+    monkeypatch.setattr(fitting, "fit_monotone", lambda *a, fit=fitting.fit_monotone, **k: fits.append(fit(*a, **k)) or fits[-1])
+    got = model_queries.isotonic_fit(spark, "").collect()
+    assert len(fits) == 1 and list(fits[0].y) == sorted(fits[0].y)
+    assert {(r["held_out"], r["variant"]) for r in got} == {(h, v) for h in (True, False) for v in ("probability", "calibrated")}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.functions import numbers, text
 from rankweave.operators import fitting, scenario, search, tickets
 from rankweave.plans import search_queries
 from rankweave.sources import reports
@@ -92,3 +93,10 @@ def test_isotonic_losses_come_from_steps_in_ranges(spark, monkeypatch):
     got = model_queries.isotonic_fit(spark, "").collect()
     assert len(fits) == 1 and list(fits[0].y) == sorted(fits[0].y)
     assert {(r["held_out"], r["variant"]) for r in got} == {(h, v) for h in (True, False) for v in ("probability", "calibrated")}
+
+
+def test_percentages_of_halves_are_those_of_the_sql(spark):
+    won = [130232.5, 288027.5, 287092.5, 312837.5, 100.0]  # over 500; printf('%.1f%%', 100.0 * round(won / stake, 2)) in DuckDB
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(won)], "k int, won double")
+    got = df.select("k", text.percent(numbers.round_scaled(F.col("won") / 500.0, 2)).alias("p")).orderBy("k").collect()
+    assert [r["p"] for r in got] == ["26046.0%", "57605.0%", "57418.0%", "62567.0%", "20.0%"]

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.core.shared import stored
+
 
 class Feature(NamedTuple):
     """out = how(source) over the `window` rows before, null where fewer than `least` of them have a value."""
@@ -26,22 +28,21 @@ def rolling_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], fe
     """df with each feature; windows of one key share a sort, whatever their lengths.
 
     The order must be total within a key. With few keys of very many rows give
-    `block`: where a key has more rows than that (one aggregate tells), rows are
-    numbered per key by counts over ranges, cut into blocks of that many rows,
-    and each block gets the rows before it that its windows reach, so that no
-    task holds a whole key. count_on: a frame with the same rows that is cheaper
-    to count, where df is itself the result of windows. The result is the same
-    either way.
+    `block`: where a key has more rows than that (counts by key and day tell,
+    written once), a key's days are cut into blocks of about that many rows, and
+    each block gets the last days before it that its windows reach, so that no
+    task holds a whole key and rows are shuffled once. The order's first column
+    must be a date or a timestamp then. count_on: a frame with the same rows
+    that is cheaper to count, where df is itself the result of windows. The
+    result is the same either way.
     """
     longest = max(f.window for f in features)
-    if block is not None and _largest(df if count_on is None else count_on, keys) > block:
-        return _blocked(df, keys, order, features, max(block, longest), count_on)
-    return df.select("*", *_columns(Window.partitionBy(*keys).orderBy(*order), features))
-
-
-def _largest(df: DataFrame, keys: Sequence[str]) -> int:
-    """How many rows the key of the most rows has."""
-    return df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).head()[0] or 0
+    if block is not None:
+        day = F.to_date(order[0])
+        counts = stored((df if count_on is None else count_on).groupBy(*keys, day.alias("__c")).agg(F.count("*").alias("__n")), "days")
+        if (counts.groupBy(*keys).agg(F.sum("__n").alias("n")).agg(F.max("n")).head()[0] or 0) > block:
+            return _blocked(df, keys, order, features, day, _blocks(counts, keys, max(block, longest), longest))
+    return _with_features(df, Window.partitionBy(*keys).orderBy(*order), features)
 
 
 def _columns(window, features: Sequence[Feature]) -> list[Column]:
@@ -53,33 +54,50 @@ def _columns(window, features: Sequence[Feature]) -> list[Column]:
     return out
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Column, out: str = "__row", count_on: DataFrame | None = None) -> DataFrame:
-    """df with the row number of each row in its key, without one task for a whole key.
+def _with_features(df: DataFrame, window, features: Sequence[Feature]) -> DataFrame:
+    """df with each feature over the window.
 
-    `coarse` must rise with the order (a month of the date, say): rows are
-    numbered inside (key, coarse) and shifted by the counts of what lies before.
+    A sliding frame is read again for each row. Means and sums of whole
+    numbers don't need that: they are differences of sums and counts that run
+    on over the key, which whole numbers keep exact. Others keep the frame.
     """
-    rows = df.withColumn("__coarse", coarse)
-    inside = Window.partitionBy(*keys, "__coarse").orderBy(*order)
-    counts = (rows if count_on is None else count_on.withColumn("__coarse", coarse)).groupBy(*keys, "__coarse").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__coarse").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    same = F.col("__coarse").eqNullSafe(F.col("__c"))
+    whole = {n for n, kind in df.dtypes if kind in ("tinyint", "smallint", "int")}
+    runs = [f for f in features if f.source in whole and f.how in ("mean", "sum")]
+    if runs:
+        upto = window.rowsBetween(Window.unboundedPreceding, -1)
+        sources = dict.fromkeys(f.source for f in runs)
+        df = df.withColumns({n: F.coalesce(c, F.lit(0)) for s in sources for n, c in ((f"__sum_{s}", F.sum(F.col(s).cast("long")).over(upto)), (f"__count_{s}", F.count(s).over(upto)))})
+    found = dict(zip([f.out for f in features], _columns(window, features), strict=True))
+    for f in runs:
+        total, n = (F.col(c) - F.lag(c, f.window, 0).over(window) for c in (f"__sum_{f.source}", f"__count_{f.source}"))
+        found[f.out] = F.when(n >= f.least, F.when(n > 0, total / n if f.how == "mean" else total)).alias(f.out)
+    return df.select("*", *found.values()).drop(*[f"__{k}_{f.source}" for f in runs for k in ("sum", "count")])
+
+
+def _blocks(counts: DataFrame, keys: Sequence[str], block: int, longest: int) -> DataFrame:
+    """For each key and day the block (b) of its rows, and the later ones they are lent to: those that begin less than `longest` rows behind the day's end."""
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(key.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = counts.withColumn("__before", before).withColumn("__own", F.floor(F.col("__before") / block))
+    days = days.withColumn("__near", F.collect_set("__own").over(key.orderBy("__before").rangeBetween(0, longest - 1)))
+    later = F.coalesce(F.lead("__near").over(key.orderBy("__c")), F.array().cast("array<bigint>"))  # the next day begins where this one ends
+    place = lambda b, lent: F.struct(b.alias("b"), F.lit(lent).alias("lent"))
+    lent = F.transform(F.array_except(later, F.array("__own")), lambda b: place(b, True))
+    return days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__c", F.concat(F.array(place(F.col("__own"), False)), lent).alias("__places"))
+
+
+MOST_BROADCAST = 1 << 18  # keys and days that every task may hold
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], day: Column, blocks: DataFrame) -> DataFrame:
+    if blocks.count() <= MOST_BROADCAST:
+        blocks = F.broadcast(blocks)
+    same = day.eqNullSafe(F.col("__c"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    found = rows.withColumn("__inside", F.row_number().over(inside)).join(offsets, same, "left")
-    return found.withColumn(out, F.col("__inside") + F.col("__before")).drop("__coarse", "__c", "__inside", "__before", *[f"__k{i}" for i in range(len(keys))])
-
-
-def _blocked(df: DataFrame, keys, order, features, block: int, count_on: DataFrame | None = None) -> DataFrame:
-    longest = max(f.window for f in features)
-    rows = numbered(df, keys, order, F.date_trunc("month", F.col(order[0])), count_on=count_on)
-    own = F.floor((F.col("__row") - 1) / block)
-    near_end = (F.col("__row") - 1) % block >= block - longest
-    places = F.when(near_end, F.array(F.struct(own.alias("b"), F.lit(False).alias("lent")), F.struct((own + 1).alias("b"), F.lit(True).alias("lent")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("lent"))))
-    placed = rows.withColumn("__at", F.explode(places)).withColumn("__block", F.col("__at.b"))
-    window = Window.partitionBy(*keys, "__block").orderBy("__row")
-    return placed.select("*", *_columns(window, features)).where(~F.col("__at.lent")).drop("__at", "__block", "__row")
+    placed = df.join(blocks, same).withColumn("__at", F.explode("__places")).withColumn("__block", F.col("__at.b")).withColumn("__lent", F.col("__at.lent"))
+    placed = placed.drop("__at", "__places", "__c", *[f"__k{i}" for i in range(len(keys))])
+    return _with_features(placed, Window.partitionBy(*keys, "__block").orderBy(*order), features).where(~F.col("__lent")).drop("__block", "__lent")
 
 
 def prior_count(keys: Sequence[str], order: Sequence[str]) -> Column:

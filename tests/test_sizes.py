@@ -1,11 +1,13 @@
 """Cases that show at larger tables only: long numbers, equal values, columns of many rows."""
 
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import numbers, text
-from rankweave.operators import fitting, scenario, search, tickets
+from rankweave.operators import fitting, history, scenario, search, tickets
 from rankweave.plans import search_queries
 from rankweave.sources import reports
 
@@ -100,3 +102,24 @@ def test_percentages_of_halves_are_those_of_the_sql(spark):
     df = spark.createDataFrame([(k, w) for k, w in enumerate(won)], "k int, won double")
     got = df.select("k", text.percent(numbers.round_scaled(F.col("won") / 500.0, 2)).alias("p")).orderBy("k").collect()
     assert [r["p"] for r in got] == ["26046.0%", "57605.0%", "57418.0%", "62567.0%", "20.0%"]
+
+
+def test_windows_of_whole_numbers_run_on(spark):
+    """Means of whole numbers come from running sums: a frame of 200 rows isn't read again for each row; blocks take one shuffle, also behind a day of many rows."""
+    days = [1] * 3 + [2] * 150 + [3] + [4] * 2 + [5] * 90 + [6, 7, 8] * 20
+    rows = [(i % 2, date(2024, 1, d), i, i * 7 % 5 if i % 11 else None) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "k int, race_date date, id int, x int")
+    features = [history.Feature("m", "x", 20, 3), history.Feature("s", "x", 7, 1, "sum"), history.Feature("hi", "x", 5, 2, "max")]
+    plain = history.rolling_history(df, ["k"], ["race_date", "id"], features[:2])
+    assert "specifiedwindowframe(RowFrame, -20, -1)" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for k in (0, 1):
+        xs = []
+        for _, d, i, x in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            last = lambda n: [v for v in xs[-n:] if v is not None]  # noqa: E731, B023
+            want[i] = (sum(last(20)) / len(last(20)) if len(last(20)) >= 3 else None, sum(last(7)) if last(7) else None, max(last(5)) if len(last(5)) >= 2 else None)
+            xs.append(x)
+    for block in (None, 10, 40):
+        out = history.rolling_history(df, ["k"], ["race_date", "id"], features, block=block)
+        assert {r["id"]: (r["m"], r["s"], r["hi"]) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 0

@@ -89,7 +89,8 @@ def _families_sql(families: dict) -> str:
 @query(_families_sql(FAMILIES))
 def history_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling features by entity and place and by machine, in time order; the few machines are cut into blocks."""
-    df = view = flagged(spark, sf_dir)
+    view = flagged(spark, sf_dir)
+    df = view.repartition("entity_id")  # one shuffle for all families of an entity
     for key, features in FAMILIES.items():
         few = key in (("machine_a",), ("machine_b",))
         df = rolling_history(df, key, ORDER, features, block=BLOCK if few else None, count_on=view if few else None)

@@ -38,10 +38,10 @@ def buy_list(tickets: DataFrame, amount: str, by: Sequence[str], n: int) -> Data
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("__any")
 
 
-def favourite_row(slots: DataFrame, own: Sequence[str], outside: Sequence[str], at_places: dict[str, tuple[int, str]]) -> DataFrame:
+def favourite_row(slots: DataFrame, own: Sequence[str], outside: Sequence[str], at_places: dict[str, tuple[int, str]], also: Sequence[Column] = ()) -> DataFrame:
     """One row for each contest: the favourite's values as own_x, the best outside as max_outer_x, and values at named places.
 
-    The favourite is the entrant at place 1, else the one of slot 1, else the first slot.
+    The favourite is the entrant at place 1, else the one of slot 1, else the first slot. also: more aggregates of the contest.
     """
     rank = F.when(F.col("position") == 1, 0).when(F.col("slot") == 1, 1).otherwise(2)
     first = F.struct(rank.alias("rank"), "slot")
@@ -49,14 +49,23 @@ def favourite_row(slots: DataFrame, own: Sequence[str], outside: Sequence[str],
     found = [F.min_by(c, first).alias(f"own_{c}") for c in own]
     found += [F.coalesce(F.max(F.when(place >= 2, F.col(c))), F.lit(0.0)).alias(f"max_outer_{c}") for c in outside]
     found += [F.coalesce(F.max(F.when(F.col("position") == k, F.col(c))), F.lit(0.0)).alias(name) for name, (k, c) in at_places.items()]
-    return slots.groupBy(CONTEST).agg(*found)
+    return slots.groupBy(CONTEST).agg(*found, *also)
+
+
+def favourite_rank() -> Column:
+    """The favourite's outcome, for use in agg; null where there is no favourite or no outcome."""
+    favourite = F.coalesce(F.max(F.when(F.col("position") == 1, F.struct((-F.col("slot")).alias("s"), "outcome_rank"))), F.max(F.when(F.col("slot") == 1, F.struct((-F.col("slot")).alias("s"), "outcome_rank"))))
+    return favourite["outcome_rank"]
+
+
+def favourite_outcome(rank: str) -> dict[str, Column]:
+    return {"won": (F.col(rank) == 1).cast("int"), "collapsed": (F.col(rank) >= 3).cast("int")}
 
 
 def favourite_target(slots: DataFrame) -> DataFrame:
     """(contest, won, collapsed) of the favourite; a contest without one, or without its outcome, has no row."""
-    favourite = F.coalesce(F.max(F.when(F.col("position") == 1, F.struct((-F.col("slot")).alias("s"), "outcome_rank"))), F.max(F.when(F.col("slot") == 1, F.struct((-F.col("slot")).alias("s"), "outcome_rank"))))
-    rows = slots.groupBy(CONTEST).agg(favourite["outcome_rank"].alias("rank")).where("rank is not null")
-    return rows.select(CONTEST, (F.col("rank") == 1).cast("int").alias("won"), (F.col("rank") >= 3).cast("int").alias("collapsed"))
+    rows = slots.groupBy(CONTEST).agg(favourite_rank().alias("rank")).where("rank is not null")
+    return rows.select(CONTEST, *[c.alias(k) for k, c in favourite_outcome("rank").items()])
 
 
 def rescored(score: Column, second: Column, third: Column, floor: float = 1e-9) -> Column:

@@ -12,6 +12,7 @@ from rankweave.operators import metrics as m
 from rankweave.operators import prediction as pr
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.relative import normalise
+from rankweave.operators.tickets import with_completeness
 from rankweave.plans.history_queries import BLOCK, F_SQL, KEY, ORDER, _feature_sql, flagged, rounded
 from rankweave.plans.registry import on_view, query
 from rankweave.plans.sample_queries import hashed
@@ -31,11 +32,16 @@ RATED = "SELECT *, " + ", ".join(_feature_sql(fs, ", ".join(key)) for key, fs in
 
 def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view with win flags by style and their three families of rates."""
-    df = bare = flagged(spark, sf_dir).withColumn("style", style())
-    df = df.withColumns(styles.win_flags())
-    for key, features in RATES.items():
-        few = key == ("site", "position")
-        df = rolling_history(df, key, ORDER, features, block=BLOCK if few else None, count_on=bare if few else None)
+    view = flagged(spark, sf_dir).withColumn("style", style())
+    return with_families(view.withColumns(styles.win_flags()), view, RATES)
+
+
+def with_families(df: DataFrame, bare: DataFrame, families: dict) -> DataFrame:
+    """df with families of rolling features: one shuffle for those of an entity, then the few places at a site in blocks that are counted on `bare`."""
+    few = ("site", "position")
+    df = df.repartition("entity_id")
+    for key in sorted(families, key=lambda k: k == few):
+        df = rolling_history(df, key, ORDER, families[key], block=BLOCK if key == few else None, count_on=bare if key == few else None)
     return df
 
 
@@ -143,12 +149,9 @@ SLOT_HISTORY = {("entity_id",): [Feature("win", "is_win", 30, 3), Feature("top3"
 
 def favourite_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each complete contest: 31 inputs of the favourite's models, what became of it, and a fold. Missing inputs are 0."""
-    history = bare = flagged(spark, sf_dir).withColumn("style", style())
-    history = history.withColumns(styles.win_flags())
+    view = flagged(spark, sf_dir).withColumn("style", style())
     families = {key: [*SLOT_HISTORY.get(key, []), *fs] for key, fs in RATES.items()}
-    for key, features in families.items():
-        few = key == ("site", "position")
-        history = rolling_history(history, key, ORDER, features, block=BLOCK if few else None, count_on=bare if few else None)
+    history = with_families(with_completeness(view, "whole").withColumns(styles.win_flags()), view, families).where("whole")
     known = [f.out for fs in families.values() for f in fs]
     history = history.withColumns({c: F.round(c, 9) for c in known}).withColumns(styles.blended())
     slots, measures = challenged(spark, sf_dir)
@@ -156,9 +159,9 @@ def favourite_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = slots.join(history.select(*KEY, *known, *FLOW_NAMES), KEY)
     mean_lead = lambda inside: F.avg(F.when(inside, F.col("lead_time")))
     place = F.col("position")
-    flat = slots.groupBy("contest_id").agg(*[F.first(c).alias(c) for c in FLAT if c != "lead_gap"], (mean_lead(place >= 4) - mean_lead(place <= 3)).alias("lead_gap"))
-    rows = pr.favourite_row(slots, OWN, OUTSIDE, AT).join(flat, "contest_id").join(pr.favourite_target(slots), "contest_id")
-    return rows.select("contest_id", "won", "collapsed", sampling.fold("contest_id", 5).alias("fold"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FAVOURITE_INPUTS])
+    flat = [*[F.first(c).alias(c) for c in FLAT if c != "lead_gap"], (mean_lead(place >= 4) - mean_lead(place <= 3)).alias("lead_gap")]
+    rows = pr.favourite_row(slots, OWN, OUTSIDE, AT, also=[*flat, pr.favourite_rank().alias("rank")]).where("rank is not null")
+    return rows.withColumns(pr.favourite_outcome("rank")).select("contest_id", "won", "collapsed", sampling.fold("contest_id", 5).alias("fold"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FAVOURITE_INPUTS])
 
 
 _FIRST = "(CASE WHEN position = 1 THEN 0 WHEN slot = 1 THEN 1 ELSE 2 END) * 1000 + slot"

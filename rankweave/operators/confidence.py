@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.metrics import contest_fact
 from rankweave.operators.relative import clip01, group, normalise
 from rankweave.operators.tickets import CONTEST, order_of
 
@@ -84,15 +85,23 @@ def top12_confidence(tickets: DataFrame, p: str = "probability") -> DataFrame:
     return out.select(CONTEST, "top12_score", "top12_label", ticket_count(F.col("top12_label"), TOP12_COUNTS).alias("tickets"), F.col("m12").alias("top12_mass"), F.col("m5").alias("top5_mass"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q12") - F.col("q13")).alias("margin12"), F.col("conc").alias("concentration"))
 
 
+def _top3_facts(tickets: DataFrame) -> list[Column]:
+    return [_mass(3).alias("m3"), _at(1).alias("q1"), _at(2).alias("q2"), _at(3).alias("q3"), _at(4).alias("q4"), _entropy().alias("entropy"), _upset(tickets).alias("upset")]
+
+
+def _top3_score() -> Column:
+    return _score((0.35, (F.col("m3") - 0.03) / 0.16), (0.20, (F.col("q1") - 0.01) / 0.08), (0.15, (F.col("q1") - F.col("q2")) / 0.035), (0.15, (F.col("q3") - F.col("q4")) / 0.012), (0.15, (1 - F.col("entropy")) / 0.25), (-0.08, (F.col("upset") - 0.75) / 0.25))
+
+
 def top3_confidence(tickets: DataFrame, p: str = "probability", also: Sequence[Column] = ()) -> DataFrame:
     """One row for each contest: mass and structure of the three best tickets; also: aggregates of the ranked tickets, with nth."""
     ranked = _ranked(tickets, p)
     best = {c: [F.max(F.when(F.col("nth") == k, F.col(c))) for k in (1, 2, 3)] for c in "abc"}
     facts = ranked.groupBy(CONTEST).agg(
-        _mass(3).alias("m3"), _at(1).alias("q1"), _at(2).alias("q2"), _at(3).alias("q3"), _at(4).alias("q4"), _entropy().alias("entropy"), _upset(tickets).alias("upset"), *also,
+        *_top3_facts(tickets), *also,
         *[best[c][k].alias(f"{c}{k + 1}") for c in "abc" for k in range(3)],
     )
-    score = _score((0.35, (F.col("m3") - 0.03) / 0.16), (0.20, (F.col("q1") - 0.01) / 0.08), (0.15, (F.col("q1") - F.col("q2")) / 0.035), (0.15, (F.col("q3") - F.col("q4")) / 0.012), (0.15, (1 - F.col("entropy")) / 0.25), (-0.08, (F.col("upset") - 0.75) / 0.25))
+    score = _top3_score()
     three = lambda c: F.array(*[F.col(f"{c}{k}") for k in (1, 2, 3)])
     pairs = F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in (1, 2, 3)])
     distinct = lambda x: F.size(F.array_distinct(x))
@@ -104,20 +113,44 @@ def top3_confidence(tickets: DataFrame, p: str = "probability", also: Sequence[C
     return out.select(CONTEST, "top3_score", label(F.col("top3_score")).alias("top3_label"), F.col("m3").alias("top3_mass"), F.col("q1").alias("top1"), (F.col("q1") - F.col("q2")).alias("gap12"), (F.col("q3") - F.col("q4")).alias("margin3"), "firsts", "seconds", "slots", "first_share", "pair_share", tight.alias("tightness"), "entropy", *facts.columns[8 : 8 + len(also)])
 
 
+def _with_marginals(ranked: DataFrame) -> DataFrame:
+    """Ranked tickets with the mass m of their first slot, that slot's place n by it, and whether they are the first ticket of their slot; windows over the contest only."""
+    slot = Window.partitionBy(CONTEST, "a")
+    rows = ranked.withColumns({"__m": F.sum("q").over(slot), "__one": F.row_number().over(slot.orderBy("nth")) == 1})
+    return rows.withColumn("__place", F.dense_rank().over(Window.partitionBy(CONTEST).orderBy(F.round("__m", 12).desc(), "a")))
+
+
+def _first_facts(tickets: DataFrame, slots: int) -> list[Column]:
+    at = lambda k, c: F.max(F.when(F.col("__place") == k, F.col(c)))
+    entropy = -F.sum(F.when(F.col("__one"), F.col("__m") * F.ln(F.greatest("__m", F.lit(1e-12))))) / F.ln(F.lit(float(slots)))
+    tops = F.array(*[F.max(F.when(F.col("nth") == k, F.col("a"))) for k in (1, 2, 3)])
+    return [at(1, "a").alias("first_slot"), at(1, "__m").alias("first_p"), F.coalesce(at(2, "__m"), F.lit(0.0)).alias("first_p2"), entropy.alias("first_entropy"), tops.alias("tops"), _upset(tickets).alias("first_upset")]
+
+
+def _first_score(share3: Column) -> Column:
+    return _score((0.45, (F.col("first_p") - 1 / 6) / 0.45), (0.25, (F.col("first_p") - F.col("first_p2")) / 0.25), (0.15, share3), (0.15, (1 - F.col("first_entropy")) / 0.45), (-0.08, (F.col("first_upset") - 0.75) / 0.25))
+
+
+def _share3() -> Column:
+    return F.size(F.filter("tops", lambda t: t == F.col("first_slot"))) / 3.0
+
+
 def first_slot_confidence(tickets: DataFrame, p: str = "probability", slots: int = 6) -> DataFrame:
-    """One row for each contest: which slot comes first by the ticket marginals, and how surely."""
-    ranked = _ranked(tickets, p)
-    top = ranked.groupBy(CONTEST).agg(F.array(*[F.max(F.when(F.col("nth") == k, F.col("a"))) for k in (1, 2, 3)]).alias("tops"), _upset(tickets).alias("upset"))
-    marginals = ranked.groupBy(CONTEST, "a").agg(F.sum("q").alias("m"))
-    order = Window.partitionBy(CONTEST).orderBy(F.round("m", 12).desc(), "a")
-    firsts = marginals.withColumn("n", F.row_number().over(order)).groupBy(CONTEST).agg(
-        F.max(F.when(F.col("n") == 1, F.col("a"))).alias("first_slot"), F.max(F.when(F.col("n") == 1, F.col("m"))).alias("p"),
-        F.coalesce(F.max(F.when(F.col("n") == 2, F.col("m"))), F.lit(0.0)).alias("p2"), (-F.sum(F.col("m") * F.ln(F.greatest("m", F.lit(1e-12)))) / F.ln(F.lit(float(slots)))).alias("entropy"),
-    )
-    both = firsts.join(top, CONTEST).withColumn("share3", F.size(F.filter("tops", lambda t: t == F.col("first_slot"))) / 3.0)
-    score = _score((0.45, (F.col("p") - 1 / 6) / 0.45), (0.25, (F.col("p") - F.col("p2")) / 0.25), (0.15, F.col("share3")), (0.15, (1 - F.col("entropy")) / 0.45), (-0.08, (F.col("upset") - 0.75) / 0.25))
-    out = both.withColumn("first_score", score)
-    return out.select(CONTEST, "first_score", label(F.col("first_score")).alias("first_label"), "first_slot", F.col("p").alias("first_probability"), (F.col("p") - F.col("p2")).alias("first_gap"), "share3", (1 - F.col("entropy")).alias("first_concentration"))
+    """One row for each contest: which slot comes first by the ticket marginals, and how surely. Tickets are read once: marginals are windows."""
+    both = _with_marginals(_ranked(tickets, p)).groupBy(CONTEST).agg(*_first_facts(tickets, slots)).withColumn("share3", _share3())
+    out = both.withColumn("first_score", _first_score(F.col("share3")))
+    return out.select(CONTEST, "first_score", label(F.col("first_score")).alias("first_label"), "first_slot", F.col("first_p").alias("first_probability"), (F.col("first_p") - F.col("first_p2")).alias("first_gap"), "share3", (1 - F.col("first_entropy")).alias("first_concentration"))
+
+
+def labelled_fact(tickets: DataFrame, keep: Sequence[str], first: bool = False, p: str = "probability", slots: int = 6) -> DataFrame:
+    """contest_fact with the best three's score and label, and the first slot's label on request: one aggregate of the tickets, no join."""
+    rows = _ranked(tickets, p)
+    if first:
+        rows = _with_marginals(rows)
+    fact = contest_fact(rows, p, keep, also=[*_top3_facts(tickets), *(_first_facts(tickets, slots) if first else ())])
+    more = {"score": _top3_score(), **({"first_label": label(_first_score(_share3()))} if first else {})}
+    kept = [c for c in fact.columns if c in (CONTEST, "tickets", "actuals", "actual_rank", "p_actual", "p_top", "brier", "first_hit", "covered", *keep)]
+    return fact.withColumns(more).withColumn("label", label(F.col("score"))).select(*kept, *more, "label")
 
 
 def first_slot_from_shares(slots: DataFrame, share: str = "share") -> DataFrame:

@@ -15,15 +15,15 @@ from rankweave.operators.relative import clip01
 from rankweave.operators.tickets import CONTEST, order_of
 
 
-def contest_fact(tickets: DataFrame, p: str = "probability", keep: Sequence[str] = ("payout",)) -> DataFrame:
-    """(contest, tickets, actuals, actual_rank, p_actual, p_top, brier, first_hit, kept columns)."""
-    ranked = tickets.withColumn("nth", F.row_number().over(order_of(p)))
+def contest_fact(tickets: DataFrame, p: str = "probability", keep: Sequence[str] = ("payout",), also: Sequence[Column] = ()) -> DataFrame:
+    """(contest, tickets, actuals, actual_rank, p_actual, p_top, brier, first_hit, kept columns); also: more aggregates of the contest's tickets."""
+    ranked = tickets.withColumn("__nth", F.row_number().over(order_of(p)))
     actual = lambda c: F.max(F.when(F.col("is_actual"), F.col(c)))
-    top = lambda c: F.max(F.when(F.col("nth") == 1, F.col(c)))
+    top = lambda c: F.max(F.when(F.col("__nth") == 1, F.col(c)))
     fact = ranked.groupBy(CONTEST).agg(
-        F.count("*").alias("tickets"), F.count_if("is_actual").alias("actuals"), actual("nth").alias("actual_rank"), F.greatest(actual(p), F.lit(1e-15)).alias("p_actual"), top(p).alias("p_top"),
+        F.count("*").alias("tickets"), F.count_if("is_actual").alias("actuals"), actual("__nth").alias("actual_rank"), F.greatest(actual(p), F.lit(1e-15)).alias("p_actual"), top(p).alias("p_top"),
         F.avg(F.pow(F.col(p) - F.col("is_actual").cast("double"), 2)).alias("brier"), (top("a") == actual("a")).alias("first_hit"),
-        *[F.first(k, ignorenulls=True).alias(k) for k in keep],
+        *[F.first(k, ignorenulls=True).alias(k) for k in keep], *also,
     )
     one = F.col("actuals") == 1
     return fact.withColumns({"covered": one, "actual_rank": F.when(one, F.col("actual_rank")), "p_actual": F.when(one, F.col("p_actual")), "brier": F.when(one, F.col("brier")), "first_hit": one & F.coalesce("first_hit", F.lit(False)), "p_top": F.when(one, F.col("p_top"))})

@@ -42,10 +42,9 @@ def band_quality() -> list:
     return [F.count("*").alias("contests"), *hits, F.round(F.avg(F.col("first_hit").cast("double")), 9).alias("first_hit_rate"), F.round(F.avg(-F.ln("p_actual")), 6).alias("log_loss"), F.round(F.avg("p_top"), 9).alias("mean_p_top"), F.round(F.avg("payout"), 4).alias("mean_payout"), F.round(won, 6).alias("recovery3")]
 
 
-def scored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contest fact with the best three's label and band."""
-    score = confidence.top3_confidence(ticket_frame(spark, sf_dir)).select("contest_id", F.col("top3_score").alias("score"), F.col("top3_label").alias("label"))
-    return fact(spark, sf_dir).join(score, "contest_id").withColumn("score_band", m.band(F.col("score"), BANDS, BAND_NAMES))
+def scored_fact(spark: SparkSession, sf_dir: str, first: bool = False) -> DataFrame:
+    """The contest fact with the best three's label and band, and the first slot's label on request; tickets are expanded once."""
+    return confidence.labelled_fact(ticket_frame(spark, sf_dir), ("payout", "site", "race_date"), first).withColumn("score_band", m.band(F.col("score"), BANDS, BAND_NAMES))
 
 
 @query(on_tickets(f"SELECT label, score_band, {BAND_QUALITY} FROM f JOIN x USING (contest_id) GROUP BY GROUPING SETS ((label), (score_band), ())", f=FACT, q=Q, x=SCORE3))
@@ -57,8 +56,7 @@ def top3_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on_tickets(f"SELECT label, first_label, score_band, {BAND_QUALITY} FROM f JOIN x USING (contest_id) JOIN y USING (contest_id) GROUP BY GROUPING SETS ((label, first_label), (label, first_label, score_band), (first_label))", f=FACT, q=Q, x=SCORE3, fm=FIRST_M, y=SCORE1))
 def top3_first_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three's label against the first slot's, with and without the score band."""
-    first = confidence.first_slot_confidence(ticket_frame(spark, sf_dir)).select("contest_id", "first_label")
-    rows = scored_fact(spark, sf_dir).join(first, "contest_id")
+    rows = scored_fact(spark, sf_dir, first=True)
     return rows.groupingSets([["label", "first_label"], ["label", "first_label", "score_band"], ["first_label"]], "label", "first_label", "score_band").agg(*band_quality())
 
 

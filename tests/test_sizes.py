@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import numbers, text
-from rankweave.operators import fitting, history, scenario, search, tickets
+from rankweave.operators import confidence, fitting, history, metrics, relative, scenario, search, tickets
 from rankweave.plans import search_queries
 from rankweave.sources import reports
 
@@ -123,3 +123,27 @@ def test_windows_of_whole_numbers_run_on(spark):
         out = history.rolling_history(df, ["k"], ["race_date", "id"], features, block=block)
         assert {r["id"]: (r["m"], r["s"], r["hi"]) for r in out.collect()} == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 0
+
+
+def test_labels_and_fact_of_tickets_take_one_aggregate(spark):
+    slots = [(k, s, (s + k) % 6 + 1, (k * 5 + s * 3) % 11 + 1.0) for k in range(12) for s in range(1, 7)]
+    df = spark.createDataFrame(slots, "contest_id long, slot int, outcome_rank int, share double").withColumn("total", F.sum("share").over(relative.group()))
+    found = tickets.permutations(df, ["share", "outcome_rank"], keep=["total"])
+    actual = (F.col("outcome_rank_a") == 1) & (F.col("outcome_rank_b") == 2) & (F.col("outcome_rank_c") == 3)
+    rows = found.withColumns({"probability": F.round(tickets.draw_probability("share"), 12), "is_actual": actual, "payout": F.lit(1500.0)}).drop("total")
+    out = confidence.labelled_fact(rows, ("payout",), first=True)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    first = confidence.first_slot_confidence(rows)
+    assert "Join" not in plan(out) and plan(out).count("Generate explode") == 3 and "Join" not in plan(first)
+    three = confidence.top3_confidence(rows).select("contest_id", F.col("top3_score").alias("score"), F.col("top3_label").alias("label"))
+    want = metrics.contest_fact(rows).join(three, "contest_id").join(first.select("contest_id", "first_label"), "contest_id")
+    columns = sorted(want.columns)
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    # the marginals of a contest, added up slot by slot
+    mass = {}
+    for r in rows.where("contest_id = 3").collect():
+        mass[r["a"]] = mass.get(r["a"], 0.0) + r["probability"]
+    total = sum(mass.values())
+    best = sorted(((-round(m / total, 12), a) for a, m in mass.items()))[:2]
+    got = first.where("contest_id = 3").head()
+    assert got["first_slot"] == best[0][1] and got["first_probability"] == pytest.approx(-best[0][0]) and got["first_gap"] == pytest.approx(best[1][0] - best[0][0])

@@ -74,24 +74,51 @@ class Build:
         if last >= 0 and self.strict:
             self._check_order(chunk, last)
         rows, old = chunk, "__old"
+        for key, members in self._shared():
+            # of families that share a key rows and carried ones meet in one shuffle; a family's windows see its own carried rows only
+            both = rows.withColumns({old: F.lit(None).cast("int"), "__seen": F.lit(None).cast("long")})
+            for i in members if last >= 0 else ():
+                both = both.unionByName(self._state(last, i).withColumn(old, F.lit(i)), allowMissingColumns=True)
+            both = both.repartition(key)
+            for i in members:
+                family = self.families[i]
+                both = both.withColumn("__mine", F.col(old).isNull() | (F.col(old) == i))
+                both = self._counted(both, [*family.keys, "__mine"], old, i)
+                both = rolling_history(both, [*family.keys, "__mine"], self.order, family.features)
+            rows = both.where(F.col(old).isNull()).drop(old, "__seen", "__mine")
         for i, family in enumerate(self.families):
-            both = rows.withColumn(old, F.lit(False))
+            if family.block is None:
+                continue
+            both = rows.withColumns({old: F.lit(None).cast("int"), "__seen": F.lit(None).cast("long")})
+            bare = chunk.select(*dict.fromkeys([*family.keys, *self.order]))  # what blocks are counted on
             if last >= 0:
-                both = both.unionByName(self._state(last, i).withColumn(old, F.lit(True)), allowMissingColumns=True)
-            elif i == 0:
-                both = both.withColumn("__seen", F.lit(None).cast("long"))
-            if i == 0 and self.counted:
-                key = Window.partitionBy(*family.keys)
-                new = F.sum((~F.col(old)).cast("long")).over(key.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
-                both = both.withColumn(self.counted, F.coalesce(F.max("__seen").over(key), F.lit(0)) + new - 1)
-            bare = chunk.select(*dict.fromkeys([*family.keys, *self.order])) if family.block else None  # what blocks are counted on
-            if bare is not None and last >= 0:
+                both = both.unionByName(self._state(last, i).withColumn(old, F.lit(i)), allowMissingColumns=True)
                 bare = bare.unionByName(self._state(last, i).select(*bare.columns))
+            both = self._counted(both, family.keys, old, i)
             both = rolling_history(both, family.keys, self.order, family.features, block=family.block, count_on=bare)
-            rows = both.where(~F.col(old)).drop(old, "__seen")
+            rows = both.where(F.col(old).isNull()).drop(old, "__seen")
         rows.write.mode("overwrite").parquet(f"{self.folder}/rows/version={version}")
         self._write_state(chunk, last, version)
 
+    def _shared(self) -> list[tuple[str, list[int]]]:
+        """Families without blocks, by a key that they share."""
+        out: list[tuple[str, list[int]]] = []
+        for i, family in enumerate(self.families):
+            if family.block is not None:
+                continue
+            mine = next((members for key, members in out if key in family.keys), None)
+            if mine is None:
+                out.append((family.keys[0], mine := []))
+            mine.append(i)
+        return out
+
+    def _counted(self, both: DataFrame, keys: Sequence[str], old: str, i: int) -> DataFrame:
+        if i or not self.counted:
+            return both
+        key = Window.partitionBy(*keys)
+        new = F.sum(F.col(old).isNull().cast("long")).over(key.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn(self.counted, F.coalesce(F.max("__seen").over(key), F.lit(0)) + new - 1)
+
     def _check_order(self, chunk: DataFrame, last: int) -> None:
         day = self.order[0]
         first, carried = chunk.agg(F.min(day)).head()[0], self._state(last, 0).agg(F.max(day)).head()[0]
@@ -100,16 +127,32 @@ class Build:
 
     def _write_state(self, chunk: DataFrame, last: int, version: int) -> None:
         parts = []
+        new = chunk.select(*self.carried, F.lit(None).cast("long").alias("__seen"))
+        back = [F.desc(c) for c in self.order]
+        # of the rows carried before the last one knows how many there were
+        seen = lambda key: F.coalesce(F.max("__seen").over(key), F.lit(0)) + F.count(F.when(F.col("__seen").isNull(), 1)).over(key)
+        for shared, members in self._shared():
+            both = new.withColumn("family", F.lit(None).cast("int"))
+            for i in members if last >= 0 else ():
+                both = both.unionByName(self._state(last, i).select(*self.carried, "__seen", F.lit(i).alias("family")))
+            both, found = both.repartition(shared), []
+            for i in members:
+                mine = F.col("family").isNull() | (F.col("family") == i)
+                key = Window.partitionBy(*self.families[i].keys, mine)
+                both = both.withColumns({f"__all{i}": seen(key), f"__place{i}": F.row_number().over(key.orderBy(*back))})
+                found.append(F.when(mine & (F.col(f"__place{i}") <= self.families[i].longest), F.struct(F.col(f"__all{i}").alias("__seen"), F.lit(i).alias("family"))))
+            parts.append(both.select(*self.carried, F.inline(F.array_compact(F.array(*found)))))
         for i, family in enumerate(self.families):
-            both = chunk.select(*self.carried, F.lit(None).cast("long").alias("__seen"))
+            if family.block is None:
+                continue
+            both = new
             if last >= 0:
                 both = both.unionByName(self._state(last, i).select(*self.carried, "__seen"))
-            key = Window.partitionBy(*family.keys)
-            # of the rows carried before the last one knows how many there were
-            seen = F.coalesce(F.max("__seen").over(key), F.lit(0)) + F.count(F.when(F.col("__seen").isNull(), 1)).over(key)
-            place = F.row_number().over(key.orderBy(*[F.desc(c) for c in self.order]))
-            tail = both.withColumns({"__all": seen, "__place": place}).where(F.col("__place") <= family.longest)
-            parts.append(tail.select(*self.carried, F.col("__all").alias("__seen"), F.lit(i).alias("family")))
+            # tails of few keys are cut before they are shuffled: only the number of rows in front of the filter
+            tail = both.withColumn("__place", F.row_number().over(Window.partitionBy(*family.keys).orderBy(*back))).where(F.col("__place") <= family.longest)
+            counts = both.groupBy(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(family.keys)]).agg((F.coalesce(F.max("__seen"), F.lit(0)) + F.count_if(F.col("__seen").isNull())).alias("__all"))
+            same = [F.col(k).eqNullSafe(F.col(f"__k{j}")) for j, k in enumerate(family.keys)]
+            parts.append(tail.join(counts, same).select(*self.carried, F.col("__all").alias("__seen"), F.lit(i).alias("family")))
         state = parts[0]
         for part in parts[1:]:
             state = state.unionByName(part)

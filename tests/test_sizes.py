@@ -10,6 +10,7 @@ from rankweave.functions import numbers, text
 from rankweave.operators import confidence, fitting, history, metrics, relative, scenario, search, tickets
 from rankweave.plans import search_queries
 from rankweave.sources import reports
+from rankweave.streaming import incremental
 
 
 def test_calibrated_rows_do_not_carry_the_steps(spark):
@@ -147,3 +148,9 @@ def test_labels_and_fact_of_tickets_take_one_aggregate(spark):
     best = sorted(((-round(m / total, 12), a) for a, m in mass.items()))[:2]
     got = first.where("contest_id = 3").head()
     assert got["first_slot"] == best[0][1] and got["first_probability"] == pytest.approx(-best[0][0]) and got["first_gap"] == pytest.approx(best[1][0] - best[0][0])
+
+
+def test_families_of_a_build_share_a_shuffle():
+    few = incremental.Family(("place",), (), 8)
+    families = [incremental.Family(k, ()) for k in (("who",), ("place", "who"), ("other",))]
+    assert incremental.Build(None, "f", [*families, few], ["day"])._shared() == [("who", [0, 1]), ("other", [2])]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.core.shared import stored
+from rankweave.core.shared import spread, stored
 
 
 class Feature(NamedTuple):
@@ -153,33 +155,41 @@ def asof_last_n(queries: DataFrame, history: DataFrame, key: str, day: str, orde
     return queries.join(means, (queries[key] == means["__k"]) & (queries[day] == means["__d"]), "left").drop("__k", "__d")
 
 
-def asof_recent(queries: DataFrame, history: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], features: Sequence[Recent], asked: DataFrame | None = None) -> DataFrame:
+def asof_recent(queries: DataFrame, history: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], features: Sequence[Recent], asked: DataFrame | None = None, shared: Sequence[str] = (), rows: int = 0) -> DataFrame:
     """Each query row with aggregates of its key's last values on strictly earlier days, nulls left out before counting.
 
     Values of a key and day are trimmed to the longest window and put in one
-    row. A day's frame then are the days with values before it, as many as the
-    window at most, found by a range over the number of such days: a key's
-    history is never gathered, and rows of the same day see none of each other.
-    The order decides inside a day. Keys and days must not be null. asked: a
-    frame with the same keys and days that is cheaper to read, where queries is
-    itself the result of joins.
+    row. A day's frame then are the days that hold the last values before it,
+    found by a range over the running number of values, so that it holds three
+    windows of values at most, however many a day has; days too early for any
+    day asked for are dropped before that. A key's history is never gathered,
+    and rows of the same day see none of each other. The order decides inside
+    a day. Keys and days must not be null. asked: a frame with the same keys
+    and days that is cheaper to read, where queries is itself the result of
+    joins. shared: some of the keys, with very many values, that all rows are
+    shuffled by once (rows: how many there are); else rows are shuffled by key
+    and day.
     """
     longest = {s: max(f.window for f in features if f.source == s) for s in dict.fromkeys(f.source for f in features)}
+    wanted = (queries if asked is None else asked).select(*keys, day).distinct().withColumn("__asked", F.lit(True))
+    both = history.select(*dict.fromkeys([*keys, day, *order, *longest]), F.lit(False).alias("__asked")).unionByName(wanted, allowMissingColumns=True)
+    if shared:
+        both = spread(both, rows, *shared) if rows else both
     inside = Window.partitionBy(*keys, day).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    values = history.select(*dict.fromkeys([*keys, day, *order, *longest])).withColumns({f"__n_{s}": F.count(s).over(inside) for s in longest})
+    values = both.withColumns({f"__n_{s}": F.count(s).over(inside) for s in longest})
     last = {s: F.collect_list(F.when(F.col(s).isNotNull() & (F.col(f"__n_{s}") <= n), F.struct(*[F.col(c) for c in order], F.col(s).cast("double").alias("__x")))) for s, n in longest.items()}
-    per_day = values.groupBy(*keys, day).agg(*(F.transform(F.sort_array(c), lambda v: v["__x"]).alias(f"__v_{s}") for s, c in last.items()))
-    wanted = (queries if asked is None else asked).select(*keys, day).distinct().withColumn("__asked", F.lit(True))
-    days = per_day.join(wanted, [*keys, day], "full")
-    has = {s: F.coalesce(F.size(f"__v_{s}") > 0, F.lit(False)) for s in longest}
-    upto = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    # days with values have even numbers, others the odd one behind the last of these
-    days = days.withColumns({f"__at_{s}": 2 * F.sum(h.cast("long")).over(upto) + F.when(h, 0).otherwise(1) for s, h in has.items()})
+    days = values.groupBy(*keys, day).agg(*(F.transform(F.sort_array(c), lambda v: v["__x"]).alias(f"__v_{s}") for s, c in last.items()), F.max("__asked").alias("__asked"))
+    key = Window.partitionBy(*keys)
+    upto = key.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    # twice the number of values up to the day; a day without values stands behind the one that it shares the number with
+    days = days.withColumns({f"__at_{s}": 2 * F.sum(F.size(f"__v_{s}").cast("long")).over(upto) + F.when(F.size(f"__v_{s}") > 0, 0).otherwise(1) for s in longest})
+    # a day's own values are n at most, those wanted end before them: 2n values back from the day's number
+    near = [F.col(f"__at_{s}") >= F.min(F.when(F.col("__asked"), F.col(f"__at_{s}"))).over(key) - 4 * n for s, n in longest.items()]
+    days = days.withColumn("__near", functools.reduce(operator.or_, near)).where("__near").drop("__near")
     found = {}
     for s, n in longest.items():
-        before = Window.partitionBy(*keys).orderBy(f"__at_{s}").rangeBetween(-2 * n, -1)
-        lists = F.flatten(F.collect_list(F.when(has[s], F.col(f"__v_{s}"))).over(before))
-        found[f"__l_{s}"] = lists
+        before = key.orderBy(f"__at_{s}").rangeBetween(-4 * n, -1)
+        found[f"__l_{s}"] = F.flatten(F.collect_list(F.when(F.size(f"__v_{s}") > 0, F.col(f"__v_{s}"))).over(before))
     days = days.withColumns(found).where("__asked")
     out = [_of_last(F.col(f"__l_{f.source}"), f.window, f.how).alias(f.out) for f in features]
     known = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(day).alias("__d"), *out)
@@ -189,6 +199,20 @@ def asof_recent(queries: DataFrame, history: DataFrame, keys: Sequence[str], day
     return queries.join(known, same, "left").drop("__d", *[f"__k{i}" for i in range(len(keys))])
 
 
+def reachable(history: DataFrame, first, keys: Sequence[str], day: str, features: Sequence[Recent]) -> DataFrame:
+    """Rows of the day `first` and later, and of the days before it that hold the last values of a key which the windows reach back to from there.
+
+    For keys that are few: they are counted by day, and a day for each key is
+    looked up in every task.
+    """
+    longest = {s: max(f.window for f in features if f.source == s) for s in dict.fromkeys(f.source for f in features)}
+    counts = history.where(F.col(day) < F.lit(first)).groupBy(*keys, day).agg(*[F.count(s).alias(f"__c_{s}") for s in longest])
+    later = Window.partitionBy(*keys).orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = [F.coalesce(F.sum(f"__c_{s}").over(later), F.lit(0)) < n for s, n in longest.items()]
+    starts = counts.withColumn("__near", functools.reduce(operator.or_, wanted)).where("__near").groupBy(*keys).agg(F.min(day).alias("__from"))
+    return history.join(F.broadcast(starts), list(keys), "left").where((F.col(day) >= F.col("__from")) | (F.col(day) >= F.lit(first))).drop("__from")
+
+
 def _of_last(values: Column, n: int, how: str) -> Column:
     """An aggregate of the last n elements, null where there is none."""
     x = F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)

@@ -10,7 +10,7 @@ from rankweave.core.shared import shared_folder, stored
 from rankweave.operators import live, relative
 from rankweave.operators import metrics as m
 from rankweave.operators import tickets as t
-from rankweave.operators.history import asof_recent
+from rankweave.operators.history import asof_recent, reachable
 from rankweave.plans.history_queries import BLOCK, CROWDED, ENTITY, F_SQL, FAMILIES, KEY, ORDER, SQL_HOW, _feature_sql, flagged, rounded, with_targets
 from rankweave.plans.live_queries import FAMILIES as RECENT_FAMILIES
 from rankweave.plans.live_queries import MONTHS
@@ -48,18 +48,27 @@ def _period(df: DataFrame) -> tuple:
     return row["first"], row["last"]
 
 
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the period with nine families of history from before each one's own day; earlier days of the period count."""
-    v = contest_view(spark, sf_dir)
+def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries with their history, the period's rows with their results): the view is computed once and written from the first day that a window reaches."""
     first, last = _period(spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select(F.col("o_orderdate").cast("date").alias("race_date")))
-    entries = live.entry_columns(v.where(F.col("race_date").between(F.lit(first), F.lit(last))))
-    history = with_targets(v.where((F.col("race_date") >= F.add_months(F.lit(first), -MONTHS)) & (F.col("race_date") < F.lit(last))))
-    entries, history = stored(entries, "entries"), stored(history, "history")
+    day = F.col("race_date")
+    v = stored(contest_view(spark, sf_dir).where((day >= F.add_months(F.lit(first), -MONTHS)) & (day <= F.lit(last))), "period")
+    results = v.where(day >= F.lit(first))
+    entries = live.entry_columns(results)
+    history = with_targets(v.where(day < F.lit(last)))
+    count = history.count()
     rows = entries
     for keys, features in RECENT_FAMILIES:
-        known = history.join(entries.select(*keys).distinct(), list(keys), "left_semi")
-        rows = asof_recent(rows, known, keys, "race_date", ORDER, features, asked=entries)
-    return rows
+        if "entity_id" in keys:
+            rows = asof_recent(rows, history, keys, "race_date", ORDER, features, entries, ["entity_id"], count)
+        else:
+            rows = asof_recent(rows, reachable(history, first, keys, "race_date", features), keys, "race_date", ORDER, features, entries)
+    return rows, results
+
+
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the period with nine families of history from before each one's own day; earlier days of the period count."""
+    return _walked(spark, sf_dir)[0]
 
 
 def _asof_sql(family: live.Family, name: str) -> str:
@@ -102,9 +111,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY probability
 
 def walk_forward_backtest_rows(spark: SparkSession, sf_dir: str, n: int = 5, stake: float = 100.0) -> DataFrame:
     """One row for each complete contest of the period: the n best tickets by what was known before its day, stake and return."""
-    rows = walk_forward(spark, sf_dir)
-    results = contest_view(spark, sf_dir).select(*KEY, "position", "outcome_rank", "payout")
-    six = t.complete_groups(rows.join(results, KEY))
+    rows, results = _walked(spark, sf_dir)
+    six = t.complete_groups(rows.join(results.select(*KEY, "position", "outcome_rank", "payout"), KEY))
     score = F.round(sum((w * F.coalesce(c, F.lit(0.0)) for c, w in SCORE.items()), F.lit(0.0)), 9)
     shares = six.withColumn("share", relative.softmax(score)).withColumn("total", F.lit(1.0))
     found = t.permutations(shares.select("contest_id", "slot", "race_date", "site", "payout", "share", "outcome_rank", "total"), ["share", "outcome_rank"], keep=["race_date", "site", "payout", "total"])

@@ -1,14 +1,15 @@
 """Cases that show at larger tables only: long numbers, equal values, columns of many rows."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.core import contest, shared
 from rankweave.functions import numbers, text
 from rankweave.operators import confidence, fitting, history, metrics, relative, scenario, search, tickets
-from rankweave.plans import search_queries
+from rankweave.plans import aligned_queries, catalog, evaluation_queries, search_queries, ticket_queries
 from rankweave.sources import reports
 from rankweave.streaming import incremental
 
@@ -154,3 +155,25 @@ def test_families_of_a_build_share_a_shuffle():
     few = incremental.Family(("place",), (), 8)
     families = [incremental.Family(k, ()) for k in (("who",), ("place", "who"), ("other",))]
     assert incremental.Build(None, "f", [*families, few], ["day"])._shared() == [("who", [0, 1]), ("other", [2])]
+
+
+def test_large_tables_get_parts_by_their_rows(spark, monkeypatch):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    assert shared.spread(df, 40, "k") is df  # the session has four partitions
+    assert shared.spread(df, 100, "k").rdd.getNumPartitions() == 10
+
+
+def test_the_frame_of_a_day_holds_values_and_not_days(spark):
+    """With many values a day a frame of as many days as the window would gather the window's square."""
+    rows = [(1, date(2024, 1, 1) + timedelta(days=d), i, float(d * 20 + i)) for d in range(40) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, day date, id int, x double")
+    features = [history.Recent("m", "x", 15)]
+    asked = spark.createDataFrame([(1, date(2024, 2, 5))], "k int, day date")
+    found = history.asof_recent(asked, df, ["k"], "day", ["day", "id"], features)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" not in plan
+    assert found.head()["m"] == sum(range(35 * 20 - 15, 35 * 20)) / 15
+    near = history.reachable(df, date(2024, 2, 5), ["k"], "day", features)
+    assert near.where("day < date'2024-02-05'").agg(F.min("day"), F.count("*")).head() == (date(2024, 2, 4), 20)
+    assert history.asof_recent(asked, near, ["k"], "day", ["day", "id"], features, shared=["k"], rows=800).head()["m"] == found.head()["m"]

@@ -177,3 +177,10 @@ def test_the_frame_of_a_day_holds_values_and_not_days(spark):
     near = history.reachable(df, date(2024, 2, 5), ["k"], "day", features)
     assert near.where("day < date'2024-02-05'").agg(F.min("day"), F.count("*")).head() == (date(2024, 2, 4), 20)
     assert history.asof_recent(asked, near, ["k"], "day", ["day", "id"], features, shared=["k"], rows=800).head()["m"] == found.head()["m"]
+
+
+def test_a_ticket_text_is_parsed_without_functions_over_arrays(spark):
+    texts = spark.createDataFrame([("1-2-3",), ("t1-2-3",), ("1-2",), ("1-2-3-4",), ("1--3",), (None,)], "x string")
+    found = texts.select("x", tickets.parse_ticket("x").alias("t"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r["t"]) if r["t"] else None for r in found.collect()] == [(1, 2, 3), None, None, None, None, None]

@@ -27,7 +27,8 @@ AT_SLOT = "CASE contest_id % 9 " + " ".join(f"WHEN {k} THEN " + "CASE slot " + "
 @query(on_view(f"SELECT contest_id, slot, CAST(coalesce({AT_SLOT}, slot) AS INT) AS position, row_number() OVER ({G} ORDER BY coalesce({AT_SLOT}, slot)) = 1 AS is_favourite FROM six", six=SIX))
 def position_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries without positions, some contests with positions set by a text in one of three forms."""
-    entries = complete_groups(contest_view(spark, sf_dir)).select(*KEY, F.lit(None).cast("int").alias("position"))
+    six = stored(complete_groups(contest_view(spark, sf_dir)).select(*KEY), "slots")  # every check reads them
+    entries = six.select(*KEY, F.lit(None).cast("int").alias("position"))
     text = F.create_map(*[F.lit(x) for pair in TEXTS.items() for x in pair])[(F.col("contest_id") % 9).cast("int")]
     table = overrides.position_table(entries.where("slot = 1").select("contest_id", text.alias("overrides")))
     return overrides.with_positions(entries, table).select(*KEY, "position", (relative.rank_min("position", ascending=True) == 1).alias("is_favourite"))

@@ -184,3 +184,13 @@ def test_a_ticket_text_is_parsed_without_functions_over_arrays(spark):
     found = texts.select("x", tickets.parse_ticket("x").alias("t"))
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r["t"]) if r["t"] else None for r in found.collect()] == [(1, 2, 3), None, None, None, None, None]
+
+
+@pytest.mark.parametrize("name", ["position_overrides"])
+def test_the_view_is_computed_once(spark, monkeypatch, name):
+    calls = []
+    view = contest.contest_view
+    for module in (aligned_queries, evaluation_queries, ticket_queries):
+        monkeypatch.setattr(module, "contest_view", lambda *a: calls.append(a) or view(*a))
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and ("lineitem" not in plan if name != "evaluation_context" else "Join LeftSemi" not in plan)

@@ -41,8 +41,9 @@ DELTA = "CASE WHEN slot = contest_id % 6 + 1 THEN (contest_id % 5) / 100.0 END"
 def lead_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks before and after lead times are changed by a checked table of deltas."""
     six = complete_groups(contest_view(spark, sf_dir)).withColumn("before", relative.rank_min(F.round("lead_time", 9), ascending=True))
+    six = stored(six.select(*KEY, "lead_time", "before"), "leads")  # every check reads them
     table = six.select(*KEY, F.expr(DELTA).alias("delta")).where("delta is not null")
-    changed = overrides.with_lead_deltas(six.select(*KEY, "lead_time", "before"), table)
+    changed = overrides.with_lead_deltas(six, table)
     return changed.select(*KEY, F.round("lead_time", 9).alias("lead_time"), "before", relative.rank_min(F.round("lead_time", 9), ascending=True).alias("after"))
 
 

@@ -126,9 +126,9 @@ def slot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(on_tickets("SELECT f.contest_id, actual_rank - 1 AS actual_index, payout, round(upset, 9) AS upset FROM f JOIN (SELECT contest_id, 1 - max(share) AS upset FROM sh GROUP BY contest_id) USING (contest_id)", f=FACT))
 def evaluation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an evaluation needs of each complete contest: where its actual ticket stands, the payout and how open it was."""
-    upset = slot_shares(spark, sf_dir).groupBy("contest_id").agg(F.round(1 - F.max("share"), 9).alias("upset"))
-    return fact(spark, sf_dir).where("covered").join(upset, "contest_id").select("contest_id", (F.col("actual_rank") - 1).alias("actual_index"), "payout", "upset")
+    """What an evaluation needs of each complete contest: where its actual ticket stands, the payout and how open it was. Every slot comes first in some ticket."""
+    rows = m.contest_fact(ticket_frame(spark, sf_dir), also=[F.round(1 - F.max("share_a"), 9).alias("upset")])
+    return rows.where("covered").select("contest_id", (F.col("actual_rank") - 1).alias("actual_index"), "payout", "upset")
 
 
 @query(on_view("SELECT contest_id, CASE WHEN day <= DATE '1998-12-31' THEN 'train' WHEN day <= DATE '1999-12-31' THEN 'valid' ELSE 'test' END AS part FROM i WHERE day >= DATE '1995-06-01'", i=IDS))

@@ -186,7 +186,7 @@ def test_a_ticket_text_is_parsed_without_functions_over_arrays(spark):
     assert [tuple(r["t"]) if r["t"] else None for r in found.collect()] == [(1, 2, 3), None, None, None, None, None]
 
 
-@pytest.mark.parametrize("name", ["position_overrides", "lead_deltas"])
+@pytest.mark.parametrize("name", ["position_overrides", "lead_deltas", "evaluation_context"])
 def test_the_view_is_computed_once(spark, monkeypatch, name):
     calls = []
     view = contest.contest_view

@@ -186,6 +186,13 @@ def test_a_ticket_text_is_parsed_without_functions_over_arrays(spark):
     assert [tuple(r["t"]) if r["t"] else None for r in found.collect()] == [(1, 2, 3), None, None, None, None, None]
 
 
+def test_average_ranks_sort_once(spark):
+    df = spark.createDataFrame([(1, x) for x in (0.3, 0.1, 0.3, None, 0.2)] + [(2, 0.0), (2, -0.0)], "contest_id long, x double")
+    found = df.withColumn("r", relative.rank_average("x", ascending=False))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r["contest_id"], r["x"], r["r"]) for r in found.where("x is not null").collect()) == [(1, 0.1, 4.0), (1, 0.2, 3.0), (1, 0.3, 1.5), (1, 0.3, 1.5), (2, 0.0, 1.5), (2, 0.0, 1.5)]
+
+
 @pytest.mark.parametrize("name", ["position_overrides", "lead_deltas", "evaluation_context"])
 def test_the_view_is_computed_once(spark, monkeypatch, name):
     calls = []

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.core.shared import stored
 from rankweave.operators.metrics import contest_fact
 from rankweave.operators.relative import clip01, group, normalise
 from rankweave.operators.tickets import CONTEST, order_of
@@ -198,13 +199,16 @@ def apply_adjustment(tickets: DataFrame, table: DataFrame, p: str = "probability
 def window_search(tickets: DataFrame, windows: Sequence[int], share: float, p: str = "probability", day: str = "race_date", shrink: int = 300) -> DataFrame:
     """(days, contests, loss_before, loss_after): for each window of recent days, factors by rank band from its first days and the loss on the rest.
 
-    The windows are an array beside each ticket; days are numbered on a
+    Ranked tickets are written once for the calendar, the factors and the
+    losses. The windows are an array beside each ticket; days are numbered on a
     calendar, and the factors are five rows for each window.
     """
     ranked = tickets.withColumn("band", rank_band(F.row_number().over(order_of(p))))
-    last = tickets.agg(F.max(day).alias("__last"))
+    ranked = stored(ranked.select(CONTEST, day, p, "is_actual", "band"), "ranked")
+    last = ranked.agg(F.max(day).alias("__last"))
     rows = ranked.join(F.broadcast(last)).withColumn("days", F.explode(F.array(*[F.lit(w) for w in windows]))).where(F.col(day) > F.date_sub(F.col("__last"), F.col("days")))
-    calendar = rows.select("days", day).distinct()
+    dates = ranked.select(day).distinct().join(F.broadcast(last)).withColumn("days", F.explode(F.array(*[F.lit(w) for w in windows])))
+    calendar = dates.where(F.col(day) > F.date_sub(F.col("__last"), F.col("days"))).select("days", day)
     of_window = Window.partitionBy("days")
     calendar = calendar.select("days", day, (F.row_number().over(of_window.orderBy(day)) > F.floor(F.count("*").over(of_window) * share)).alias("held"))
     rows = rows.join(F.broadcast(calendar), ["days", day])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankweave.core import contest, shared
 from rankweave.functions import numbers, text
 from rankweave.operators import confidence, fitting, history, metrics, relative, scenario, search, tickets
-from rankweave.plans import aligned_queries, catalog, evaluation_queries, search_queries, ticket_queries
+from rankweave.plans import aligned_queries, catalog, evaluation_queries, scoring_queries, search_queries, ticket_queries
 from rankweave.sources import reports
 from rankweave.streaming import incremental
 
@@ -201,3 +201,12 @@ def test_the_view_is_computed_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "contest_view", lambda *a: calls.append(a) or view(*a))
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(calls) == 1 and ("lineitem" not in plan if name != "evaluation_context" else "Join LeftSemi" not in plan)
+
+
+def test_ranked_tickets_are_written_once_for_all_windows(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(confidence, "stored", lambda df, name: calls.append(name) or shared.stored(df, name))
+    rows = [(k, date(2024, 1, 1 + k), a, 1, 1, 0.1 * a, a == 4) for k in range(10) for a in range(1, 5)]
+    df = spark.createDataFrame(rows, "contest_id long, race_date date, a int, b int, c int, probability double, is_actual boolean")
+    got = {r["days"]: r["contests"] for r in confidence.window_search(df, (5, 10), 0.6).collect()}
+    assert calls == ["ranked"] and got == {5: 2, 10: 4}

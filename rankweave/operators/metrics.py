@@ -18,13 +18,27 @@ from rankweave.operators.tickets import CONTEST, order_of
 def contest_fact(tickets: DataFrame, p: str = "probability", keep: Sequence[str] = ("payout",), also: Sequence[Column] = ()) -> DataFrame:
     """(contest, tickets, actuals, actual_rank, p_actual, p_top, brier, first_hit, kept columns); also: more aggregates of the contest's tickets."""
     ranked = tickets.withColumn("__nth", F.row_number().over(order_of(p)))
+    fact = ranked.groupBy(CONTEST).agg(*_fact_columns(p, "__nth"), *[F.first(k, ignorenulls=True).alias(k) for k in keep], *also)
+    return _covered(fact)
+
+
+def contest_facts(tickets: DataFrame, variants: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """A contest's fact for each variant, by the column of its probability: tickets are ranked side by side, neither doubled nor shuffled."""
+    ranked = tickets.withColumns({f"__nth_{v}": F.row_number().over(order_of(p)) for v, p in variants.items()})
+    wide = ranked.groupBy(CONTEST).agg(*[F.struct(F.lit(v).alias("variant"), *_fact_columns(p, f"__nth_{v}")).alias(f"__{v}") for v, p in variants.items()], *[F.first(k, ignorenulls=True).alias(k) for k in keep])
+    return _covered(wide.select(CONTEST, *keep, F.inline(F.array(*[f"__{v}" for v in variants]))))
+
+
+def _fact_columns(p: str, nth: str) -> list[Column]:
     actual = lambda c: F.max(F.when(F.col("is_actual"), F.col(c)))
-    top = lambda c: F.max(F.when(F.col("__nth") == 1, F.col(c)))
-    fact = ranked.groupBy(CONTEST).agg(
-        F.count("*").alias("tickets"), F.count_if("is_actual").alias("actuals"), actual("__nth").alias("actual_rank"), F.greatest(actual(p), F.lit(1e-15)).alias("p_actual"), top(p).alias("p_top"),
+    top = lambda c: F.max(F.when(F.col(nth) == 1, F.col(c)))
+    return [
+        F.count("*").alias("tickets"), F.count_if("is_actual").alias("actuals"), actual(nth).alias("actual_rank"), F.greatest(actual(p), F.lit(1e-15)).alias("p_actual"), top(p).alias("p_top"),
         F.avg(F.pow(F.col(p) - F.col("is_actual").cast("double"), 2)).alias("brier"), (top("a") == actual("a")).alias("first_hit"),
-        *[F.first(k, ignorenulls=True).alias(k) for k in keep], *also,
-    )
+    ]
+
+
+def _covered(fact: DataFrame) -> DataFrame:
     one = F.col("actuals") == 1
     return fact.withColumns({"covered": one, "actual_rank": F.when(one, F.col("actual_rank")), "p_actual": F.when(one, F.col("p_actual")), "brier": F.when(one, F.col("brier")), "first_hit": one & F.coalesce("first_hit", F.lit(False)), "p_top": F.when(one, F.col("p_top"))})
 

@@ -89,15 +89,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY variant, contest_id ORDER BY p D
 
 @query(on_tickets("SELECT 'evaluation' AS family, variant AS level1, CAST(held_out AS VARCHAR) AS level2, CAST(NULL AS VARCHAR) AS level3, metric, round(value, 6) AS value FROM (UNPIVOT me ON " + ", ".join(MEASURES) + " INTO NAME metric VALUE value)", **ALIGNED))
 def live_aligned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metrics of tickets as they come and as a live day shows them, pulled to rates that other folds had; one ticket array for both."""
+    """The metrics of tickets as they come and as a live day shows them, pulled to rates that other folds had; both ranked side by side."""
     tickets = ticket_frame(spark, sf_dir)
-    table = stored(confidence.fit_adjustment(tickets.where(sampling.fold("contest_id", 5) != 0)), "factors")
-    both = confidence.apply_adjustment(tickets, table).withColumn("aligned", F.round("adjusted", 12))
-    two = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(c).alias("p")) for v, c in zip(VARIANTS, ("probability", "aligned"), strict=True)])
-    long = both.select((sampling.fold("contest_id", 5) == 0).alias("held_out"), "contest_id", "a", "b", "c", "is_actual", F.inline(two))
-    # a contest and variant is a contest of its own for the fact
-    rows = long.withColumn("contest_id", F.struct("variant", "contest_id"))
-    fact = m.contest_fact(rows, p="p", keep=("variant", "held_out"))
+    table = stored(confidence.fit_adjustment(tickets.where(sampling.fold("contest_id", 5) != 0)).select("confidence", "band", "factor"), "factors")
+    both = confidence.apply_adjustment(tickets, table).withColumns({"aligned": F.round("adjusted", 12), "held_out": sampling.fold("contest_id", 5) == 0})
+    fact = m.contest_facts(both, dict(zip(VARIANTS, ("probability", "aligned"), strict=True)), keep=("held_out",))
     out = m.long_metrics(fact.groupBy("variant", "held_out").agg(*m.quality(KS)), "evaluation", ["variant", "held_out"], MEASURES)
     return out.withColumn("value", F.round("value", 6))
 

@@ -210,3 +210,15 @@ def test_ranked_tickets_are_written_once_for_all_windows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "contest_id long, race_date date, a int, b int, c int, probability double, is_actual boolean")
     got = {r["days"]: r["contests"] for r in confidence.window_search(df, (5, 10), 0.6).collect()}
     assert calls == ["ranked"] and got == {5: 2, 10: 4}
+
+
+def test_facts_of_two_probabilities_stand_side_by_side(spark):
+    rows = [(k, a, 1, 1, 0.1 * a, 0.5 - 0.1 * a + 0.01 * k, a == k % 5, k % 2 == 0) for k in range(9) for a in range(1, 5)]
+    df = spark.createDataFrame(rows, "contest_id long, a int, b int, c int, p double, q double, is_actual boolean, even boolean")
+    both = metrics.contest_facts(df, {"x": "p", "y": "q"}, ["even"])
+    columns = ["variant", *metrics.contest_fact(df, "p", ["even"]).columns]
+    columns[columns.index("brier")] = F.round("brier", 12)
+    one = lambda v, p: metrics.contest_fact(df, p, ["even"]).withColumn("variant", F.lit(v)).select(columns)
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, both.select(columns).collect()), key=key) == sorted(map(tuple, one("x", "p").unionByName(one("y", "q")).collect()), key=key)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

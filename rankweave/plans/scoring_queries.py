@@ -75,7 +75,11 @@ FROM (SELECT contest_id, max(CASE WHEN outcome_rank = 1 THEN slot END) AS w, max
 """, six=SIX))
 def outcome_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenario that a contest's result belongs to."""
-    return sc.observed(slot_shares(spark, sf_dir)).select("contest_id", sc.outcome_scenario("O").alias("scenario"))
+    return _outcomes(slot_shares(spark, sf_dir))
+
+
+def _outcomes(slots: DataFrame) -> DataFrame:
+    return sc.observed(slots).select("contest_id", sc.outcome_scenario("O").alias("scenario"))
 
 
 @query()
@@ -86,9 +90,10 @@ def scenario_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     or with one scenario only, the rules stay.
     """
     slots = scenario_slots(spark, sf_dir).withColumn("challenge", sc.challenge())
+    slots = stored(slots.drop("race_date", "contest_no", "site", "payout", "entity_id", "machine_a", "machine_b"), "scenario-slots")  # three aggregates read them
     wide = slots.groupBy("contest_id").agg(*[F.max(F.when(F.col("slot") == k, F.col(c))).alias(f"slot{k}_{c}") for k in range(1, 7) for c in ("challenge", "top2", "k2", "lead_adv")])
     inputs = [*NINE, *[c for c in wide.columns if c != "contest_id"]]
-    rows = sc.context(slots).join(wide, "contest_id").join(outcome_scenarios(spark, sf_dir), "contest_id")
+    rows = sc.context(slots).join(wide, "contest_id").join(_outcomes(slots), "contest_id")
     rows = stored(rows.withColumn("fold", sampling.fold("contest_id", 5)).withColumn("target", F.substring("scenario", 2, 1).cast("double")), "scenario-rows")
     learnable = rows.where("fold <> 0").agg(F.count("*").alias("n"), F.count_distinct("target").alias("kinds")).head()
     scored = rows

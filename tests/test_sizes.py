@@ -222,3 +222,10 @@ def test_facts_of_two_probabilities_stand_side_by_side(spark):
     key = lambda r: (r[0], r[1])
     assert sorted(map(tuple, both.select(columns).collect()), key=key) == sorted(map(tuple, one("x", "p").unionByName(one("y", "q")).collect()), key=key)
     assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_scenario_slots_are_computed_once(spark, monkeypatch):
+    calls, view = [], contest.contest_view
+    monkeypatch.setattr(ticket_queries, "contest_view", lambda *a: calls.append(a) or view(*a))
+    catalog.QUERIES["scenario_model"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

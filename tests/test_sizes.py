@@ -229,3 +229,8 @@ def test_scenario_slots_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(ticket_queries, "contest_view", lambda *a: calls.append(a) or view(*a))
     catalog.QUERIES["scenario_model"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_values_of_slots_and_pairs_are_rounded_before_the_expansion(spark):
+    plan = catalog.QUERIES["ticket_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.expressions().toString().count("round(") <= 4  # the means

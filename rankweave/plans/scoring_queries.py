@@ -26,9 +26,9 @@ LEARNT = ("prediction", "rawPrediction", "probability")
 def slot_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slot's share by two blended rank models, with probabilities of a win, of the first two and three, of each style and of the exact places appended."""
     df = training(spark, sf_dir)
-    train = df.where("fold <> 0")
-    prepared = Pipeline(stages=design()).fit(train)
-    train, frame = prepared.transform(train), prepared.transform(df)
+    prepared = Pipeline(stages=design()).fit(df.where("fold <> 0"))
+    frame = stored(prepared.transform(df).select(*KEY, "fold", "label", "outcome_rank", "is_top2", "is_top3", "style", "features"), "prepared")  # every fit reads it
+    train = frame.where("fold <> 0")
 
     def binary(frame: DataFrame, target, name: str, normalised: bool) -> DataFrame:
         fitted = LogisticRegression(labelCol="target", maxIter=20).fit(train.withColumn("target", target.cast("double")))
@@ -38,10 +38,10 @@ def slot_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, learner in (("ridge", LinearRegression(regParam=1.0)), ("boosted", GBTRegressor(maxIter=5, maxDepth=3, seed=7))):
         frame = ranked(learner.fit(train).transform(frame)).withColumnRenamed("share", name).drop("predicted_rank", *LEARNT)
     frame = frame.withColumn("share", relative.normalise(0.6 * F.col("ridge") + 0.4 * F.col("boosted")))
-    for target in ("is_win", "is_top2", "is_top3"):
-        frame = binary(frame, F.col(target), f"p_{target[3:]}", False)
-    for place in (1, 2, 3):
-        frame = binary(frame, F.col("outcome_rank") == place, f"p_place{place}", True)
+    place = F.col("outcome_rank")
+    for name, target, normalised in (("win", place == 1, False), ("top2", F.col("is_top2"), False), ("top3", F.col("is_top3"), False), ("place2", place == 2, True), ("place3", place == 3, True)):
+        frame = binary(frame, target, f"p_{name}", normalised)
+    frame = frame.withColumn("p_place1", relative.normalise("p_win"))  # the same target has the same model
     styled = RandomForestClassifier(labelCol="target", numTrees=10, maxDepth=4, seed=7).fit(train.withColumn("target", (F.col("style") != "O").cast("double")))
     p = vector_to_array("probability")
     frame = styled.transform(frame).withColumns({"p_style_o": p[0], "p_style_f": F.coalesce(F.get(p, F.lit(1)), F.lit(0.0))})

@@ -234,3 +234,11 @@ def test_scenario_slots_are_computed_once(spark, monkeypatch):
 def test_values_of_slots_and_pairs_are_rounded_before_the_expansion(spark):
     plan = catalog.QUERIES["ticket_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert plan.expressions().toString().count("round(") <= 4  # the means
+
+
+def test_places_with_one_target_share_a_fit(spark, monkeypatch):
+    fits, learner = [], scoring_queries.LogisticRegression
+    monkeypatch.setattr(scoring_queries, "LogisticRegression", lambda **k: fits.append(k) or learner(**k))
+    df = catalog.QUERIES["slot_probabilities"](spark, "/root/testdata/sf0.001")
+    assert len(fits) == 5
+    assert {"p_win", "p_place1"} <= set(df.columns)

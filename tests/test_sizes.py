@@ -242,3 +242,14 @@ def test_places_with_one_target_share_a_fit(spark, monkeypatch):
     df = catalog.QUERIES["slot_probabilities"](spark, "/root/testdata/sf0.001")
     assert len(fits) == 5
     assert {"p_win", "p_place1"} <= set(df.columns)
+
+
+def test_odds_are_joined_by_contest(spark):
+    rows = [(k, a, b, 3) for k in (1, 2) for a in (1, 2) for b in (4, 5)]
+    df = spark.createDataFrame(rows, "contest_id long, a int, b int, c int")
+    odds = spark.createDataFrame([(1, 1, 4, 3, 2.5), (1, 2, 5, 3, None), (2, 1, 5, 3, 7.0), (3, 1, 4, 3, 9.0), (2, 2, None, 3, 1.0)], "contest_id long, a int, b int, c int, paid double")
+    found = tickets.with_odds(df, odds)
+    assert "Join LeftOuter, (contest_id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r)[:4]: r["odds"] for r in found.collect()} == {**dict.fromkeys(rows), (1, 1, 4, 3): 2.5, (2, 1, 5, 3): 7.0}
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        tickets.with_odds(df, odds.unionAll(odds)).collect()

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.core.shared import spread, stored
+from rankweave.core.shared import dealt, spread, stored
 
 
 class Feature(NamedTuple):
@@ -77,31 +77,81 @@ def _with_features(df: DataFrame, window, features: Sequence[Feature]) -> DataFr
 
 
 def _blocks(counts: DataFrame, keys: Sequence[str], block: int, longest: int) -> DataFrame:
-    """For each key and day the block (b) of its rows, and the later ones they are lent to: those that begin less than `longest` rows behind the day's end."""
+    """For each key and day the block (b) of its rows, and the later ones they are lent to."""
     key = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("__n").over(key.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = counts.withColumn("__before", before).withColumn("__own", F.floor(F.col("__before") / block))
+    days = _lent(counts.withColumn("__before", before).withColumn("__own", F.floor(F.col("__before") / block)), keys, longest)
+    place = lambda b, lent: F.struct(b.alias("b"), F.lit(lent).alias("lent"))
+    return days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__c", F.concat(F.array(place(F.col("__own"), False)), F.transform("__lent", lambda b: place(b, True))).alias("__places"))
+
+
+def _lent(days: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
+    """days with the later blocks that a day's rows are lent to: those where the key goes on less than `longest` rows behind the day's end."""
+    key = Window.partitionBy(*keys)
     days = days.withColumn("__near", F.collect_set("__own").over(key.orderBy("__before").rangeBetween(0, longest - 1)))
     later = F.coalesce(F.lead("__near").over(key.orderBy("__c")), F.array().cast("array<bigint>"))  # the next day begins where this one ends
-    place = lambda b, lent: F.struct(b.alias("b"), F.lit(lent).alias("lent"))
-    lent = F.transform(F.array_except(later, F.array("__own")), lambda b: place(b, True))
-    return days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__c", F.concat(F.array(place(F.col("__own"), False)), lent).alias("__places"))
+    return days.withColumn("__lent", F.array_except(later, F.array("__own")))
 
 
 MOST_BROADCAST = 1 << 18  # keys and days that every task may hold
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], day: Column, blocks: DataFrame) -> DataFrame:
-    if blocks.count() <= MOST_BROADCAST:
-        blocks = F.broadcast(blocks)
+def _looked_up(df: DataFrame, found: DataFrame, keys: Sequence[str], day: Column, how: str = "inner") -> DataFrame:
+    """df joined with what was found by key (__k0..) and day (__c), without these."""
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
     same = day.eqNullSafe(F.col("__c"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    placed = df.join(blocks, same).withColumn("__at", F.explode("__places")).withColumn("__block", F.col("__at.b")).withColumn("__lent", F.col("__at.lent"))
-    placed = placed.drop("__at", "__places", "__c", *[f"__k{i}" for i in range(len(keys))])
+    return df.join(found, same, how).drop("__c", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], day: Column, blocks: DataFrame) -> DataFrame:
+    placed = _placed(_looked_up(df, blocks, keys, day))
     return _with_features(placed, Window.partitionBy(*keys, "__block").orderBy(*order), features).where(~F.col("__lent")).drop("__block", "__lent")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """A row for each of its places."""
+    return df.withColumn("__at", F.explode("__places")).withColumn("__block", F.col("__at.b")).withColumn("__lent", F.col("__at.lent")).drop("__at", "__places")
+
+
+def rolling_together(df: DataFrame, families: Sequence[tuple[Sequence[str], Sequence[Feature]]], order: Sequence[str], block: int, count_on: DataFrame | None = None) -> DataFrame:
+    """df with the features of families of few keys with very many rows, all from one shuffle.
+
+    Days are cut into blocks of about `block` rows of whatever keys, and a
+    block gets the last days of each key before it that its windows reach. Rows
+    lent for one family do no harm to the others: they are older than all that
+    the others' windows reach. Where a single day has more rows than a block,
+    families are cut by their keys, one after the other (`rolling_history`).
+    """
+    day, bare = F.to_date(order[0]), df if count_on is None else count_on
+    counts = [stored(bare.groupBy(*keys, day.alias("__c")).agg(F.count("*").alias("__n")), "days") for keys, _ in families]
+    days = counts[0].groupBy("__c").agg(F.sum("__n").alias("__n"))
+    rows, most = days.agg(F.sum("__n"), F.max("__n")).head()
+    if (rows or 0) <= block or most > block:
+        for keys, features in families:
+            df = rolling_history(df, keys, order, features, block // len(families) if (rows or 0) > block else None, bare)
+        return df
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a calendar
+    own = days.select(F.col("__c").alias("__day"), F.floor(before / block).alias("__own"))
+    placed = _looked_up(df, own.withColumnRenamed("__day", "__c"), (), day)
+    for n, ((keys, features), found) in enumerate(zip(families, counts, strict=True)):
+        upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+        known = found.join(F.broadcast(own), F.col("__c").eqNullSafe(F.col("__day"))).withColumn("__before", F.coalesce(upto, F.lit(0)))
+        lent = _lent(known, keys, max(f.window for f in features)).where(F.size("__lent") > 0)
+        lent = lent.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__c", F.col("__lent").alias(f"__to{n}"))
+        placed = _looked_up(placed, lent, keys, day, "left")
+    place = lambda b, lent: F.struct(b.alias("b"), F.lit(lent).alias("lent"))
+    none = F.array().cast("array<bigint>")
+    others = functools.reduce(F.array_union, [F.coalesce(f"__to{n}", none) for n in range(len(families))])
+    placed = placed.withColumn("__places", F.concat(F.array(place(F.col("__own"), False)), F.transform(others, lambda b: place(b, True))))
+    placed = dealt(_placed(placed.drop("__own", *[f"__to{n}" for n in range(len(families))])), rows, "__block")
+    for keys, features in families:
+        placed = _with_features(placed, Window.partitionBy("__block", *keys).orderBy(*order), features)
+    return placed.where(~F.col("__lent")).drop("__block", "__lent")
+
+
 def prior_count(keys: Sequence[str], order: Sequence[str]) -> Column:
     """How many rows of the key come before."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

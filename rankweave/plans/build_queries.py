@@ -24,10 +24,10 @@ BUILT = [f.out for family in NINE for f in family.features]
 
 
 def incremental_build(spark: SparkSession, sf_dir: str, size: int) -> Build:
-    """The view written by month and built in groups of `size` months."""
+    """What the families need of the view, written by month and built in groups of `size` months."""
     folder = shared_folder(spark)
-    months.write_months(flagged(spark, sf_dir), f"{folder}/months")
     build = Build(spark, f"{folder}/build", NINE, ORDER, counted="starts_before")
+    months.write_months(flagged(spark, sf_dir).select("contest_id", *[c for c in build.carried if c != build.counted]), f"{folder}/months")
     for group in months.month_groups(spark, f"{folder}/months", size):
         build.advance(months.read_months(spark, f"{folder}/months", group))
     return build

@@ -4,13 +4,18 @@ A chunk's rows are put behind the rows that their keys have carried, the
 windows of `operators.history` run over both, and the carried rows leave again:
 the features are those of one run over all rows, however the rows are cut. Per
 key a family carries as many rows as its longest window and the number of rows
-seen so far, so state has a bound for each key and doesn't grow with time.
-
-Everything of a step lies in folders of its version, which is the chunk's
-number: rows/version=n and state/version=n, a folder for each family. State is
-written last and without it a version doesn't count: a step that was lost is
-run again and writes the same rows. A version that counts isn't run again, so
-a stream may hand a chunk over twice.
+seen so far, so state has a bound for each key and doesn't grow with time. A row
+is carried once, with a bit for each family: what is carried for another family
+is older than all that a family's windows reach.
+
+Families of few keys come first, in one shuffle by time of rows that are narrow
+yet; those that share a key follow, and tell in the same shuffle which rows
+their keys carry on. Everything of a step lies in folders of its version, which
+is the chunk's number: rows/version=n has the chunk's rows, and with them older
+ones that are still carried; state/version=n has what families of few keys
+carry. State is written last and without it a version doesn't count: a step that
+was lost is run again and writes the same rows. A version that counts isn't run
+again, so a stream may hand a chunk over twice.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from rankweave.operators.history import Feature, rolling_history
+from rankweave.core.shared import dealt
+from rankweave.operators.history import Feature, rolling_history, rolling_together
 
 
 class Family(NamedTuple):
@@ -47,7 +53,7 @@ class Build:
         """
         self.spark, self.folder, self.families, self.order, self.counted, self.strict = spark, folder.rstrip("/"), list(families), list(order), counted, strict
         columns = [*(k for f in families for k in f.keys), *order, *(x.source for f in families for x in f.features)]
-        self.carried = list(dict.fromkeys(columns))
+        self.carried = list(dict.fromkeys([*columns, *([counted] if counted else [])]))
 
     def _exists(self, path: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,8 +66,14 @@ class Build:
             n += 1
         return n
 
-    def _state(self, version: int, family: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/state/version={version}").where(F.col("family") == family).drop("family")
+    def _mask(self, few: bool) -> int:
+        """A bit for each family, of few keys or of others."""
+        return sum(1 << i for i, f in enumerate(self.families) if (f.block is not None) == few)
+
+    def _state(self, version: int, few: bool) -> DataFrame:
+        """Rows that were carried, __families with the bits of those that they are carried for."""
+        df = self.spark.read.parquet(f"{self.folder}/{'state' if few else 'rows'}/version={version}")
+        return df.where(F.col("__families").bitwiseAND(F.lit(self._mask(few))) != 0).select(*self.carried, "__families")
 
     def advance(self, chunk: DataFrame, version: int | None = None) -> None:
         """Add a chunk of later rows: its features become version's rows, its ends the new state."""
@@ -73,32 +85,43 @@ class Build:
             raise ValueError(f"version {version} can't follow {last}")
         if last >= 0 and self.strict:
             self._check_order(chunk, last)
-        rows, old = chunk, "__old"
-        for key, members in self._shared():
-            # of families that share a key rows and carried ones meet in one shuffle; a family's windows see its own carried rows only
-            both = rows.withColumns({old: F.lit(None).cast("int"), "__seen": F.lit(None).cast("long")})
-            for i in members if last >= 0 else ():
-                both = both.unionByName(self._state(last, i).withColumn(old, F.lit(i)), allowMissingColumns=True)
-            both = both.repartition(key)
+        few = [f for f in self.families if f.block is not None]
+        rows = chunk
+        if few:
+            both = self._behind(rows, last, True)
+            bare = self._behind(chunk.select(*dict.fromkeys([c for f in few for c in f.keys] + self.order)), last, True)  # what blocks are counted on
+            both = rolling_together(self._counted(both, True), [(f.keys, f.features) for f in few], self.order, sum(f.block for f in few), bare)
+            rows = both.where(F.col("__families").isNull()).drop("__families")
+        shared = self._shared()
+        both = (self._behind(rows, last, False) if shared else rows.withColumn("__families", F.lit(None).cast("int"))).withColumn("__next", F.lit(0))
+        both = both.withColumn("__older", F.col("__families").isNotNull())
+        size = chunk.count() + (self._state(last, False).count() if last >= 0 else 0)
+        for key, members in shared:
+            # of families that share a key rows and carried ones meet in one shuffle, and which of them are carried on is told there
+            both = dealt(both, size, key)
+            both = self._counted(both, False) if 0 in members else both
             for i in members:
-                family = self.families[i]
-                both = both.withColumn("__mine", F.col(old).isNull() | (F.col(old) == i))
-                both = self._counted(both, [*family.keys, "__mine"], old, i)
-                both = rolling_history(both, [*family.keys, "__mine"], self.order, family.features)
-            rows = both.where(F.col(old).isNull()).drop(old, "__seen", "__mine")
-        for i, family in enumerate(self.families):
-            if family.block is None:
-                continue
-            both = rows.withColumns({old: F.lit(None).cast("int"), "__seen": F.lit(None).cast("long")})
-            bare = chunk.select(*dict.fromkeys([*family.keys, *self.order]))  # what blocks are counted on
-            if last >= 0:
-                both = both.unionByName(self._state(last, i).withColumn(old, F.lit(i)), allowMissingColumns=True)
-                bare = bare.unionByName(self._state(last, i).select(*bare.columns))
-            both = self._counted(both, family.keys, old, i)
-            both = rolling_history(both, family.keys, self.order, family.features, block=family.block, count_on=bare)
-            rows = both.where(F.col(old).isNull()).drop(old, "__seen")
+                family, mine = self.families[i], self._mine(i)
+                both = rolling_history(both, family.keys, self.order, family.features)
+                own = Window.partitionBy(*family.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+                behind = F.count(F.when(mine, 1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.count(F.when(mine, 1)).over(own)
+                both = both.withColumn("__next", F.col("__next") + F.when(mine & (behind < family.longest), 1 << i).otherwise(0))
+        out = {x.out for f in self.families if f.block is None for x in f.features}
+        rows = both.where(~F.col("__older") | (F.col("__next") != 0)).select(*[F.when(~F.col("__older"), F.col(c)).alias(c) if c in out else c for c in both.columns if c not in ("__families", "__next")], F.col("__next").alias("__families"))
         rows.write.mode("overwrite").parquet(f"{self.folder}/rows/version={version}")
-        self._write_state(chunk, last, version)
+        self._write_state(last, version)
+
+    def _mine(self, i: int) -> Column:
+        """Of new rows and those carried: what is carried for the family, or new."""
+        return F.col("__families").isNull() | (F.col("__families").bitwiseAND(F.lit(1 << i)) != 0)
+
+    def _behind(self, rows: DataFrame, last: int, few: bool) -> DataFrame:
+        """rows behind those that are carried; __families is null in rows."""
+        rows = rows.withColumn("__families", F.lit(None).cast("int"))
+        if last < 0:
+            return rows
+        state = self._state(last, few)
+        return rows.unionByName(state.select(*[c for c in state.columns if c in rows.columns or c == self.counted]), allowMissingColumns=True)
 
     def _shared(self) -> list[tuple[str, list[int]]]:
         """Families without blocks, by a key that they share."""
@@ -112,58 +135,57 @@ class Build:
             mine.append(i)
         return out
 
-    def _counted(self, both: DataFrame, keys: Sequence[str], old: str, i: int) -> DataFrame:
-        if i or not self.counted:
+    def _counted(self, both: DataFrame, few: bool) -> DataFrame:
+        """Of the rows carried before the last one knows how many there were."""
+        if not self.counted or (self.families[0].block is not None) != few:
             return both
-        key = Window.partitionBy(*keys)
-        new = F.sum(F.col(old).isNull().cast("long")).over(key.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
-        return both.withColumn(self.counted, F.coalesce(F.max("__seen").over(key), F.lit(0)) + new - 1)
+        upto = Window.partitionBy(*self.families[0].keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        is_new = F.col("__families").isNull()
+        new = F.count(F.when(is_new, 1)).over(upto) - 1
+        if self.counted not in both.columns:
+            return both.withColumn(self.counted, new)
+        before = F.coalesce(F.max(self.counted).over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1, F.lit(0))
+        return both.withColumn(self.counted, F.when(is_new, before + new).otherwise(F.col(self.counted)))
 
     def _check_order(self, chunk: DataFrame, last: int) -> None:
         day = self.order[0]
-        first, carried = chunk.agg(F.min(day)).head()[0], self._state(last, 0).agg(F.max(day)).head()[0]
+        first = chunk.agg(F.min(day)).head()[0]
+        carried = self._read("rows", last).select(day).unionByName(self._read("state", last).select(day)).agg(F.max(day)).head()[0]
         if first is not None and carried is not None and first <= carried:
             raise ValueError(f"a chunk that begins on {first} can't follow rows of {carried}")
 
-    def _write_state(self, chunk: DataFrame, last: int, version: int) -> None:
-        parts = []
-        new = chunk.select(*self.carried, F.lit(None).cast("long").alias("__seen"))
-        back = [F.desc(c) for c in self.order]
-        # of the rows carried before the last one knows how many there were
-        seen = lambda key: F.coalesce(F.max("__seen").over(key), F.lit(0)) + F.count(F.when(F.col("__seen").isNull(), 1)).over(key)
-        for shared, members in self._shared():
-            both = new.withColumn("family", F.lit(None).cast("int"))
-            for i in members if last >= 0 else ():
-                both = both.unionByName(self._state(last, i).select(*self.carried, "__seen", F.lit(i).alias("family")))
-            both, found = both.repartition(shared), []
-            for i in members:
-                mine = F.col("family").isNull() | (F.col("family") == i)
-                key = Window.partitionBy(*self.families[i].keys, mine)
-                both = both.withColumns({f"__all{i}": seen(key), f"__place{i}": F.row_number().over(key.orderBy(*back))})
-                found.append(F.when(mine & (F.col(f"__place{i}") <= self.families[i].longest), F.struct(F.col(f"__all{i}").alias("__seen"), F.lit(i).alias("family"))))
-            parts.append(both.select(*self.carried, F.inline(F.array_compact(F.array(*found)))))
-        for i, family in enumerate(self.families):
-            if family.block is None:
-                continue
-            both = new
-            if last >= 0:
-                both = both.unionByName(self._state(last, i).select(*self.carried, "__seen"))
-            # tails of few keys are cut before they are shuffled: only the number of rows in front of the filter
-            tail = both.withColumn("__place", F.row_number().over(Window.partitionBy(*family.keys).orderBy(*back))).where(F.col("__place") <= family.longest)
-            counts = both.groupBy(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(family.keys)]).agg((F.coalesce(F.max("__seen"), F.lit(0)) + F.count_if(F.col("__seen").isNull())).alias("__all"))
-            same = [F.col(k).eqNullSafe(F.col(f"__k{j}")) for j, k in enumerate(family.keys)]
-            parts.append(tail.join(counts, same).select(*self.carried, F.col("__all").alias("__seen"), F.lit(i).alias("family")))
-        state = parts[0]
-        for part in parts[1:]:
-            state = state.unionByName(part)
-        state.write.mode("overwrite").partitionBy("family").parquet(f"{self.folder}/state/version={version}")
+    def _read(self, kind: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{kind}/version={version}")
+
+    def _write_state(self, last: int, version: int) -> None:
+        """The last rows of few keys, from the days that hold them; without such families no row, but the version counts from then on."""
+        new = self._read("rows", version).where(~F.col("__older")).select(*self.carried, F.lit(None).cast("int").alias("__families"))
+        few = [(i, f) for i, f in enumerate(self.families) if f.block is not None]
+        both = new.unionByName(self._state(last, True)) if few and last >= 0 else new
+        near, day = F.lit(False), F.col(self.order[0])
+        found = both
+        for i, family in few:
+            names = {k: f"__k{i}_{j}" for j, k in enumerate(family.keys)}
+            days = both.where(self._mine(i)).groupBy(*[F.col(k).alias(n) for k, n in names.items()], day.alias("__d")).agg(F.count("*").alias("__n"))
+            later = F.sum("__n").over(Window.partitionBy(*names.values()).orderBy(F.desc("__d")).rowsBetween(Window.unboundedPreceding, -1))
+            starts = days.withColumn("__later", F.coalesce(later, F.lit(0))).where(F.col("__later") < family.longest).groupBy(*names.values()).agg(F.min("__d").alias(f"__from{i}"))
+            same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+            found = found.join(F.broadcast(starts), same, "left").drop(*names.values())
+            near = near | F.coalesce(self._mine(i) & (day >= F.col(f"__from{i}")), F.lit(False))
+        found = found.where(near).drop(*[f"__from{i}" for i, _ in few])
+        carried = F.lit(0)
+        for i, family in few:
+            place = F.row_number().over(Window.partitionBy(*family.keys, self._mine(i)).orderBy(*[F.desc(c) for c in self.order]))
+            carried = carried + F.when(self._mine(i) & (place <= family.longest), 1 << i).otherwise(0)
+        state = found.withColumn("__carried", carried).where(F.col("__carried") != 0).select(*self.carried, F.col("__carried").alias("__families"))
+        state.write.mode("overwrite").parquet(f"{self.folder}/state/version={version}")
 
     def rows(self) -> DataFrame:
         """All rows of the versions that count."""
         last = self.last_version()
         if last < 0:
             raise ValueError(f"nothing was built in {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/rows").where(F.col("version") <= last).drop("version")
+        return self.spark.read.parquet(f"{self.folder}/rows").where((F.col("version") <= last) & ~F.col("__older")).drop("version", "__older", "__families")
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Advance with every micro-batch of a stream of later and later rows, until all that is there now is read.

@@ -253,3 +253,46 @@ def test_odds_are_joined_by_contest(spark):
     assert {tuple(r)[:4]: r["odds"] for r in found.collect()} == {**dict.fromkeys(rows), (1, 1, 4, 3): 2.5, (2, 1, 5, 3): 7.0}
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         tickets.with_odds(df, odds.unionAll(odds)).collect()
+
+
+PLACES = [(("place",), [history.Feature("mean6", "x", 6, 3), history.Feature("wins4", "n", 4, 1, "sum")]), (("machine",), [history.Feature("low9", "x", 9, 2, "min"), history.Feature("mean9", "n", 9, 1)])]
+
+
+def results_of_few_keys(spark):
+    rng = np.random.default_rng(5)
+    place = lambda i: None if i % 11 == 0 else "rare" if i % 37 == 0 else "ab"[i % 2]
+    rows = [(date(2024, 1, 1) + timedelta(days=i // 5), i, place(i), i % 3, int(rng.integers(4)), float(rng.random()) if i % 7 else None) for i in range(300)]
+    return spark.createDataFrame(rows, "day date, nth int, place string, machine int, n int, x double").repartition(3)
+
+
+@pytest.mark.parametrize("block", [25, 4, 1000])
+def test_families_of_few_keys_share_one_shuffle(spark, block):
+    df = results_of_few_keys(spark)
+    found, want = history.rolling_together(df, PLACES, ["day", "nth"], block), df
+    for keys, features in PLACES:
+        want = history.rolling_history(want, keys, ["day", "nth"], features)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert block != 25 or plan.count("Exchange hashpartitioning(__block") == 1  # the others have a day of more rows, or one block
+    assert sorted(found.select("nth", "mean6", "wins4", "low9", "mean9").collect()) == sorted(want.select("nth", "mean6", "wins4", "low9", "mean9").collect())
+
+
+def test_a_row_is_carried_once_for_all_families(spark, tmp_path):
+    df = results_of_few_keys(spark)
+    families = [incremental.Family(("machine",), (history.Feature("mean5", "x", 5, 1),)), incremental.Family(("machine", "place"), (history.Feature("low7", "x", 7, 1, "min"),)), *[incremental.Family(k, tuple(fs), 10) for k, fs in PLACES]]
+    build = incremental.Build(spark, f"file://{tmp_path}/build", families, ["day", "nth"], counted="before")
+    for first, last in ((0, 90), (90, 100), (100, 300)):
+        build.advance(df.where(f"nth >= {first} and nth < {last}"))
+    rows, state = (spark.read.parquet(f"{tmp_path}/build/{kind}/version=1") for kind in ("rows", "state"))
+    older = rows.where("__older")
+    assert older.count() > 0 and older.where("nth >= 90").count() == 0
+    for part in (rows, state):
+        assert part.count() == part.select("nth").distinct().count()
+    assert build.rows().count() == 300 and build.rows().columns.count("__older") == 0
+    want = df
+    for f in families:
+        want = history.rolling_history(want, f.keys, ["day", "nth"], f.features)
+    want = want.withColumn("before", history.prior_count(["machine"], ["day", "nth"]))
+    names = ["nth", "before", "mean5", "low7", "mean6", "wins4", "low9", "mean9"]
+    near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) < 1e-12)
+    for a, b in zip(sorted(build.rows().select(*names).collect()), sorted(want.select(*names).collect()), strict=True):
+        assert all(near(x, y) for x, y in zip(a, b, strict=True)), (a, b)

@@ -42,8 +42,9 @@ def rolling_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], fe
     if block is not None:
         day = F.to_date(order[0])
         counts = stored((df if count_on is None else count_on).groupBy(*keys, day.alias("__c")).agg(F.count("*").alias("__n")), "days")
-        if (counts.groupBy(*keys).agg(F.sum("__n").alias("n")).agg(F.max("n")).head()[0] or 0) > block:
-            return _blocked(df, keys, order, features, day, _blocks(counts, keys, max(block, longest), longest))
+        most, rows = counts.groupBy(*keys).agg(F.sum("__n").alias("n")).agg(F.max("n"), F.sum("n")).head()
+        if (most or 0) > block:
+            return _blocked(df, keys, order, features, day, _blocks(counts, keys, max(block, longest), longest), rows)
     return _with_features(df, Window.partitionBy(*keys).orderBy(*order), features)
 
 
@@ -106,8 +107,8 @@ def _looked_up(df: DataFrame, found: DataFrame, keys: Sequence[str], day: Column
     return df.join(found, same, how).drop("__c", *[f"__k{i}" for i in range(len(keys))])
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], day: Column, blocks: DataFrame) -> DataFrame:
-    placed = _placed(_looked_up(df, blocks, keys, day))
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[Feature], day: Column, blocks: DataFrame, rows: int) -> DataFrame:
+    placed = spread(_placed(_looked_up(df, blocks, keys, day)), rows, *keys, "__block")
     return _with_features(placed, Window.partitionBy(*keys, "__block").orderBy(*order), features).where(~F.col("__lent")).drop("__block", "__lent")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.core.shared import stored
+from rankweave.core.contest import contest_view
+from rankweave.core.shared import dealt, stored
 from rankweave.operators import challenge as ch
 from rankweave.operators import confidence, fitting, sampling, styles
 from rankweave.operators import metrics as m
@@ -13,10 +14,10 @@ from rankweave.operators import prediction as pr
 from rankweave.operators.history import Feature, rolling_history
 from rankweave.operators.relative import normalise
 from rankweave.operators.tickets import with_completeness
-from rankweave.plans.history_queries import BLOCK, F_SQL, KEY, ORDER, _feature_sql, flagged, rounded
+from rankweave.plans.history_queries import BLOCK, F_SQL, KEY, ORDER, _feature_sql, rounded, with_targets
 from rankweave.plans.registry import on_view, query
 from rankweave.plans.sample_queries import hashed
-from rankweave.plans.scenario_queries import CH0, CH1, CH2, challenged, clip
+from rankweave.plans.scenario_queries import CH0, CH1, CH2, clip, with_challengers
 from rankweave.plans.ticket_queries import SIX, T3, T3F, T3G, Q, on_tickets, ticket_frame
 
 
@@ -30,18 +31,24 @@ RATES = {("entity_id",): styles.rates("entity", 30, 3), ("site", "position"): st
 RATED = "SELECT *, " + ", ".join(_feature_sql(fs, ", ".join(key)) for key, fs in RATES.items()) + " FROM s"
 
 
+FEW = ("site", "position")  # places at a site: few, with very many rows
+
+
+def with_flags(df: DataFrame) -> DataFrame:
+    """df with the targets and win flags by style."""
+    return with_targets(df.withColumn("style", style())).withColumns(styles.win_flags())
+
+
 def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view with win flags by style and their three families of rates."""
-    view = flagged(spark, sf_dir).withColumn("style", style())
-    return with_families(view.withColumns(styles.win_flags()), view, RATES)
+    """The view with win flags by style and their three families of rates: those of places in blocks while rows are narrow, then one shuffle for those of an entity."""
+    view = contest_view(spark, sf_dir).select(*KEY, "race_date", "contest_no", "position", "entity_id", "site", "outcome_rank")
+    df = rolling_history(with_flags(view), FEW, ORDER, RATES[FEW], block=BLOCK, count_on=view)
+    return of_entities(dealt(df, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count(), "entity_id"), RATES)
 
 
-def with_families(df: DataFrame, bare: DataFrame, families: dict) -> DataFrame:
-    """df with families of rolling features: one shuffle for those of an entity, then the few places at a site in blocks that are counted on `bare`."""
-    few = ("site", "position")
-    df = df.repartition("entity_id")
-    for key in sorted(families, key=lambda k: k == few):
-        df = rolling_history(df, key, ORDER, families[key], block=BLOCK if key == few else None, count_on=bare if key == few else None)
+def of_entities(df: DataFrame, families: dict) -> DataFrame:
+    for key, features in families.items():
+        df = rolling_history(df, key, ORDER, features) if key != FEW else df
     return df
 
 
@@ -149,14 +156,21 @@ SLOT_HISTORY = {("entity_id",): [Feature("win", "is_win", 30, 3), Feature("top3"
 
 def favourite_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each complete contest: 31 inputs of the favourite's models, what became of it, and a fold. Missing inputs are 0."""
-    view = flagged(spark, sf_dir).withColumn("style", style())
     families = {key: [*SLOT_HISTORY.get(key, []), *fs] for key, fs in RATES.items()}
-    history = with_families(with_completeness(view, "whole").withColumns(styles.win_flags()), view, families).where("whole")
-    known = [f.out for fs in families.values() for f in fs]
-    history = history.withColumns({c: F.round(c, 9) for c in known}).withColumns(styles.blended())
-    slots, measures = challenged(spark, sf_dir)
+    measured = ["position", "outcome_rank", "lead_time", "trial_time", "raw_score", "machine_a", "machine_b"]
+    view = with_completeness(contest_view(spark, sf_dir), "whole").select(*KEY, "race_date", "contest_no", "entity_id", "site", *measured, "whole")
+    view = stored(view, "slots")  # families and contests read it
+    runs = [*KEY, "race_date", "contest_no", "position", "outcome_rank", "whole"]
+    entities = of_entities(with_flags(dealt(view.select(*runs, "entity_id", "lead_time"), view.count(), "entity_id")), families)
+    places = rolling_history(with_flags(view.select(*runs, "site")), FEW, ORDER, families[FEW], block=BLOCK, count_on=view)
+    names = [[f.out for key, fs in families.items() if (key == FEW) == few for f in fs] for few in (False, True)]
+    # rows of complete contests only go on: measures and rates of a slot meet in the contest's shuffle
+    whole = view.where("whole").select(*KEY, *measured)
+    for df, known in zip((entities, places), names, strict=True):
+        whole = whole.unionByName(rounded(df.where("whole"), *known), allowMissingColumns=True)
+    whole = dealt(whole, 3 * view.where("whole").count(), "contest_id").groupBy(*KEY).agg(*[F.max(c).alias(c) for c in whole.columns if c not in KEY])
+    slots, measures = with_challengers(whole.withColumns(styles.blended()))
     slots = slots.withColumn("outer", ch.outer(measures)).withColumns(ch.contest_flow()).withColumn("candidate", ch.candidate()).withColumns(ch.around_candidate())
-    slots = slots.join(history.select(*KEY, *known, *FLOW_NAMES), KEY)
     mean_lead = lambda inside: F.avg(F.when(inside, F.col("lead_time")))
     place = F.col("position")
     flat = [*[F.first(c).alias(c) for c in FLAT if c != "lead_gap"], (mean_lead(place >= 4) - mean_lead(place <= 3)).alias("lead_gap")]

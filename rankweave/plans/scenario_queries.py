@@ -152,8 +152,11 @@ CH2 = f"SELECT *, {clip('top')} AS pressure, {clip(f'max(CASE WHEN position = 1
 
 
 def challenged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    return with_challengers(slot_shares(spark, sf_dir))
+
+
+def with_challengers(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Slots with their challenger score, and the columns that stand for its measures."""
-    df = slot_shares(spark, sf_dir)
     form, engine, craft = "raw_score", "machine_a", "machine_b"
     measures = {"lead": "lead_time", "trial": "trial_time", "machine": engine, "place_top3": craft, "site_win": craft, "site_top3": craft, "challenger": "challenger", **dict.fromkeys(("top3", "attack", "win", "local"), form)}
     return df.withColumns(ch.scores(measures)).withColumn("challenger", F.round("challenger", 12)), measures

@@ -1,5 +1,6 @@
 """Cases that show at larger tables only: long numbers, equal values, columns of many rows."""
 
+import os
 from datetime import date, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.core import contest, shared
 from rankweave.functions import numbers, text
 from rankweave.operators import confidence, fitting, history, metrics, relative, scenario, search, tickets
-from rankweave.plans import aligned_queries, catalog, evaluation_queries, scoring_queries, search_queries, ticket_queries
+from rankweave.plans import aligned_queries, catalog, evaluation_queries, hit_queries, scoring_queries, search_queries, ticket_queries
 from rankweave.sources import reports
 from rankweave.streaming import incremental
 
@@ -296,3 +297,20 @@ def test_a_row_is_carried_once_for_all_families(spark, tmp_path):
     near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) < 1e-12)
     for a, b in zip(sorted(build.rows().select(*names).collect()), sorted(want.select(*names).collect()), strict=True):
         assert all(near(x, y) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_blocks_of_a_key_get_parts_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    df, (keys, features) = results_of_few_keys(spark), PLACES[0]
+    found = history.rolling_history(df, keys, ["day", "nth"], features, block=40)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    want = history.rolling_history(df, keys, ["day", "nth"], features)
+    assert sorted(found.select("nth", "mean6", "wins4").collect()) == sorted(want.select("nth", "mean6", "wins4").collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the generated tables are not here")
+def test_rows_of_the_favourite_compute_the_view_once(spark):
+    rows = hit_queries.favourite_inputs(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Join" not in plan
+    assert rows.count() == rows.select("contest_id").distinct().count() > 0

@@ -147,7 +147,7 @@ def rolling_together(df: DataFrame, families: Sequence[tuple[Sequence[str], Sequ
     none = F.array().cast("array<bigint>")
     others = functools.reduce(F.array_union, [F.coalesce(f"__to{n}", none) for n in range(len(families))])
     placed = placed.withColumn("__places", F.concat(F.array(place(F.col("__own"), False)), F.transform(others, lambda b: place(b, True))))
-    placed = dealt(_placed(placed.drop("__own", *[f"__to{n}" for n in range(len(families))])), rows, "__block")
+    placed = dealt(_placed(placed.drop("__own", *[f"__to{n}" for n in range(len(families))])), 4 * rows, "__block")  # more parts than blocks, so that few meet in a task
     for keys, features in families:
         placed = _with_features(placed, Window.partitionBy("__block", *keys).orderBy(*order), features)
     return placed.where(~F.col("__lent")).drop("__block", "__lent")

@@ -98,10 +98,10 @@ class Build:
         size = chunk.count() + (self._state(last, False).count() if last >= 0 else 0)
         for key, members in shared:
             # of families that share a key rows and carried ones meet in one shuffle, and which of them are carried on is told there
-            both = dealt(both, size, key)
-            both = self._counted(both, False) if 0 in members else both
-            for i in members:
+            both = dealt(both, 2 * size, key)  # rows get wide
+            for i in sorted(members, key=lambda i: len(self.families[i].features)):  # those of most features last: later sorts carry what earlier ones found
                 family, mine = self.families[i], self._mine(i)
+                both = both if i else self._counted(both, False)
                 both = rolling_history(both, family.keys, self.order, family.features)
                 own = Window.partitionBy(*family.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
                 behind = F.count(F.when(mine, 1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.count(F.when(mine, 1)).over(own)
